@@ -57,3 +57,13 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
         for c in cols
     }
     return joined.withColumns(scaled).select(*df.columns)
+
+
+def impute_median(df: DataFrame, col: str) -> DataFrame:
+    """Fill nulls of ``col`` with its exact median.
+
+    The median is one aggregate row, attached by a constant-key broadcast
+    join (size bound: one row)."""
+    med = df.agg(F.median(F.col(col)).alias("_med")).withColumn("_one", F.lit(1))
+    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(med), "_one")
+    return out.withColumn(col, F.coalesce(F.col(col), F.col("_med"))).select(*df.columns)

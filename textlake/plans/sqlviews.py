@@ -25,7 +25,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     FROM documents d JOIN events e ON e.event_id = d.doc_id"""),
     "products": ((), r"""
     SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS title, p_brand AS main_category,
-           '$' || CAST(p_retailprice AS VARCHAR) AS price,
+           CASE WHEN p_partkey % 17 = 0 THEN 'n/a'
+                WHEN p_partkey % 19 = 0 THEN 'from $' || CAST(p_retailprice AS VARCHAR)
+                ELSE '$' || CAST(p_retailprice AS VARCHAR) END AS price,
            '["Office Products", "' || p_type || '"]' AS categories
     FROM part WHERE p_partkey < 200"""),
     "clean": (("reviews", "products"), r"""

@@ -53,7 +53,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").cast("string").alias("parent_asin"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("main_category"),
-        F.concat(F.lit("$"), F.col("p_retailprice").cast("string")).alias("price"),
+        F.when(F.col("p_partkey") % 17 == 0, F.lit("n/a"))
+         .when(F.col("p_partkey") % 19 == 0, F.concat(F.lit("from $"), F.col("p_retailprice").cast("string")))
+         .otherwise(F.concat(F.lit("$"), F.col("p_retailprice").cast("string"))).alias("price"),
         F.concat(F.lit('["Office Products", "'), F.col("p_type"), F.lit('"]')).alias("categories"),
     )
 
