@@ -1,3 +1,202 @@
-"""Queries (filled in below)."""
+"""Queries: text vectorization, vectors and search."""
 
-from textlake.plans.registry import register  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textlake.functions import labels as L
+from textlake.functions import vectors as VF
+from textlake.operators import clean as C
+from textlake.operators import features as FE
+from textlake.operators import sampling as S
+from textlake.operators import search as R
+from textlake.operators import text as TX
+from textlake.operators import vectors as VO
+from textlake.plans.registry import register
+from textlake.plans.sqlviews import with_ctes
+from textlake.sources import views as V
+from textlake.sources.tables import read_table
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+_STOP = _sql_list(TX.english_stop_words())
+_TOKS = (r"list_filter(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), "
+         r"lambda x: NOT list_contains(" + _STOP.replace("{", "{{").replace("}", "}}") + ", x))")
+_BIGRAMS = "list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
+
+
+def _clean(spark, sf):
+    return C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
+
+
+def _tfidf_sql(select: str) -> str:
+    toks = _TOKS.format(t="text")
+    return with_ctes(select, "clean", extra=[
+        ("toks", f"SELECT review_id, {toks} AS t FROM clean"),
+        ("tf", f"SELECT review_id, term, count(*) AS tf FROM "
+               f"(SELECT review_id, unnest(t || {_BIGRAMS}) AS term FROM toks) GROUP BY ALL"),
+        ("vocab", "SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM "
+                  "(SELECT term, count(*) AS df, sum(tf) AS freq FROM tf GROUP BY term HAVING count(*) >= 5 "
+                  " ORDER BY freq DESC, term LIMIT 10000), (SELECT count(*) AS n FROM clean)"),
+        ("w", "SELECT review_id, term, tf * idf AS w FROM tf JOIN vocab USING (term)"),
+    ])
+
+
+def _tfidf(spark, sf):
+    return TX.fit_tfidf(_clean(spark, sf), "review_id", "text", (1, 2), TX.english_stop_words(),
+                        min_df=5, max_features=10_000)
+
+
+@register("tfidf_vocab", "text", _tfidf_sql("SELECT term, df, round(idf, 6) AS idf FROM vocab"))
+def tfidf_vocab(spark, sf):
+    return _tfidf(spark, sf).vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@register("tfidf_weights", "text", _tfidf_sql(
+    "SELECT review_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY review_id)), 6) AS weight FROM w"))
+def tfidf_weights(spark, sf):
+    return _tfidf(spark, sf).weights
+
+
+_BAL = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rating
+          ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rn_b FROM clean)
+          WHERE rn_b <= (SELECT least(500000, min(n)) FROM (SELECT count(*) AS n FROM clean GROUP BY rating))"""
+
+
+@register("top_bigrams", "text", with_ctes(f"""
+    SELECT rating, term, conteo, rank FROM (
+      SELECT rating, term, count(*) AS conteo,
+             row_number() OVER (PARTITION BY rating ORDER BY count(*) DESC, term) AS rank
+      FROM (SELECT rating, unnest({_BIGRAMS}) AS term FROM (SELECT rating, {_TOKS.format(t='text')} AS t FROM bal))
+      GROUP BY rating, term) WHERE rank <= 15""", "clean", extra=[("bal", _BAL)]))
+def top_bigrams(spark, sf):
+    bal = S.balance_classes(_clean(spark, sf), "rating", "review_id", 500_000)
+    return TX.top_terms_per_group(bal, "rating", "text", 15, (2, 2), TX.english_stop_words())
+
+
+@register("top_words", "text", with_ctes(f"""
+    SELECT target_class, term, conteo, rank FROM (
+      SELECT target_class, term, count(*) AS conteo,
+             row_number() OVER (PARTITION BY target_class ORDER BY count(*) DESC, term) AS rank
+      FROM (SELECT target_class, unnest({_TOKS.format(t='text')}) AS term FROM (
+              SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'),
+                                                          review_id) AS rn_s FROM neg) WHERE rn_s <= 10000))
+      GROUP BY target_class, term) WHERE rank <= 50""", "clean", extra=[
+    ("neg", "SELECT *, 'Negativo' AS target_class FROM clean WHERE rating IN (1, 2)")]))
+def top_words(spark, sf):
+    neg = _clean(spark, sf).withColumn("target_class", L.target_class("rating")) \
+        .where(F.col("target_class") == "Negativo")
+    sample = S.sample_n(neg, 10_000)
+    return TX.top_terms_per_group(sample, "target_class", "text", 50, (1, 1), TX.english_stop_words())
+
+
+_FEATS = FE.FEATURES
+_TC = "CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro' ELSE 'Positivo' END"
+
+
+def _split_sql_cte():
+    return ("sp", f"""
+    SELECT f.*, CASE WHEN rn <= (n * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split FROM (
+      SELECT *, row_number() OVER (PARTITION BY {_TC} ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rn,
+             count(*) OVER (PARTITION BY {_TC}) AS n FROM features) f""")
+
+
+@register("scaled_features", "text", with_ctes(
+    "SELECT review_id, split, " + ", ".join(
+        f"round((CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM sp WHERE split = 'train')) / "
+        f"coalesce(nullif((SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM sp WHERE split = 'train'), 0), 1.0), 6) AS {c}"
+        for c in _FEATS) + " FROM sp", "features", extra=[_split_sql_cte()]))
+def scaled_features(spark, sf):
+    f = FE.text_features(_clean(spark, sf)).withColumn("target_class", L.target_class("rating"))
+    f = S.train_test_split(f, "target_class")
+    scaled = FE.standard_scale(f, _FEATS, fit_on=f.where(F.col("split") == "train"))
+    return scaled.select("review_id", "split", *_FEATS)
+
+
+@register("l2_normalized", "text", with_ctes(
+    "SELECT review_id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM unit_vectors",
+    "unit_vectors"))
+def l2_normalized(spark, sf):
+    idx = R.build_vector_index(V.vectors(spark, sf))
+    return idx.select("review_id", F.transform("vec", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@register("pairwise_cosine", "text", with_ctes("""
+    SELECT a.label AS label_a, b.label AS label_b,
+           round(avg(list_dot_product(a.embedding, b.embedding)), 6) AS mean_cosine,
+           count(*) AS n_pairs
+    FROM unit_vectors a JOIN unit_vectors b ON true GROUP BY a.label, b.label""", "unit_vectors"))
+def pairwise_cosine(spark, sf):
+    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
+    return VO.mean_cosine_between_groups(idx, "label", "vec")
+
+
+_PROTO = ("proto", """
+    SELECT label AS query_id, list(v ORDER BY i) AS vec FROM (
+      SELECT label, i, avg(embedding[i]) AS v FROM unit_vectors, range(1, 65) r(i) GROUP BY label, i)
+    GROUP BY label""")
+
+
+def _semantic_sql(threshold: float | None) -> str:
+    cond = f"WHERE score >= {threshold}" if threshold is not None else ""
+    return with_ctes(f"""
+    SELECT query_id, review_id, score, rank FROM (
+      SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
+      FROM (SELECT p.query_id, u.review_id, round(list_dot_product(u.embedding, p.vec), 6) AS score
+            FROM proto p JOIN unit_vectors u ON true) {cond})
+    WHERE rank <= 10""", "unit_vectors", extra=[_PROTO])
+
+
+def _prototypes(idx):
+    return VO.group_means(idx, "label", "vec").withColumnRenamed("label", "query_id")
+
+
+@register("semantic_topk", "text", _semantic_sql(None))
+def semantic_topk(spark, sf):
+    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
+    return R.semantic_search(idx, _prototypes(idx), k=10)
+
+
+@register("semantic_topk_threshold", "text", _semantic_sql(0.6))
+def semantic_topk_threshold(spark, sf):
+    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
+    return R.semantic_search(idx, _prototypes(idx), k=10, threshold=0.6)
+
+
+_LEX_CTES = [
+    ("ctoks", f"SELECT review_id, {_TOKS.format(t='text')} AS t FROM reviews"),
+    ("ctf", "SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest(t) AS term FROM ctoks) GROUP BY ALL"),
+    ("lvocab", "SELECT term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM ctf, (SELECT count(*) AS n FROM reviews) "
+               "GROUP BY term, n"),
+    ("cw", "SELECT review_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY review_id)) AS dw "
+           "FROM ctf JOIN lvocab USING (term)"),
+    ("qtoks", f"SELECT item_id AS query_id, {_TOKS.format(t='text')} AS t FROM benchmark WHERE trim(text) <> ''"),
+    ("qtf", "SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest(t) AS term FROM qtoks) GROUP BY ALL"),
+    ("qw", "SELECT query_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query_id)) AS qw "
+           "FROM qtf JOIN lvocab USING (term)"),
+]
+
+
+@register("lexical_topk", "text", with_ctes("""
+    SELECT query_id, review_id, score, rank FROM (
+      SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
+      FROM (SELECT query_id, review_id, round(sum(qw * dw), 6) AS score FROM qw JOIN cw USING (term)
+            GROUP BY query_id, review_id) WHERE score > 0)
+    WHERE rank <= 10""", "reviews", extra=_LEX_CTES))
+def lexical_topk(spark, sf):
+    corpus = V.reviews(spark, sf).select("review_id", "text")
+    model = R.build_lexical_index(corpus)
+    queries = read_table(spark, sf, "benchmark", ["item_id", "text"]).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return R.lexical_search(model, queries, k=10)
+
+
+@register("index_stats", "text", with_ctes("""
+    SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share,
+           sum(count(*)) OVER () AS total_docs FROM unit_vectors GROUP BY label""", "unit_vectors"))
+def index_stats(spark, sf):
+    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
+    return R.index_stats(idx, "label")
