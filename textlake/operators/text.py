@@ -64,22 +64,42 @@ def bigrams(toks: Column) -> Column:
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
-def terms(text, ngram_range: tuple[int, int] = (1, 1), stop_words=None) -> Column:
-    toks = word_tokens(text, stop_words)
+def with_terms(df: DataFrame, text_col: str, ngram_range=(1, 1), stop_words=None,
+               name: str = "_terms") -> DataFrame:
+    """Add an array column of the text's terms (unigrams and/or bigrams).
+
+    The token array is projected once as its own column; bigrams are then
+    built from that column. (Referencing the token *expression* inside the
+    bigram lambda would re-tokenize the whole text for every token.)"""
     lo, hi = ngram_range
+    if hi > 2:
+        raise ValueError("n-grams above 2 are not used by any query")
+    keep = [c for c in df.columns if c != text_col]
+    d = df.select(*keep, word_tokens(text_col, stop_words).alias("_tok"))
+    toks = F.col("_tok")
     parts = []
     if lo <= 1 <= hi:
         parts.append(toks)
     if lo <= 2 <= hi:
         parts.append(bigrams(toks))
-    if hi > 2:
-        raise ValueError("n-grams above 2 are not used by any query")
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    out = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return d.select(*keep, out.alias(name))
+
+
+def explode_terms(df: DataFrame, keep: list[str], text_col: str, ngram_range=(1, 1), stop_words=None) -> DataFrame:
+    """(keep..., term): one row per term occurrence.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for ``explode``
+    the optimizer infers a ``size(terms) > 0`` filter and pushes it below the
+    projection with the term expression inlined, which evaluates the bigram
+    lambda -- and the tokenizer inside it -- once per token."""
+    t = with_terms(df.select(*keep, text_col), text_col, ngram_range, stop_words)
+    return t.select(*keep, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngram_range=(1, 1), stop_words=None) -> DataFrame:
     """(id, term, tf): raw counts, aggregated map-side before the shuffle."""
-    ex = df.select(id_col, F.explode(terms(text_col, ngram_range, stop_words)).alias("term"))
+    ex = explode_terms(df, [id_col], text_col, ngram_range, stop_words)
     return ex.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -132,7 +152,7 @@ def transform_tfidf(model: TfidfModel, df: DataFrame, id_col: str, text_col: str
 def top_terms_per_group(df: DataFrame, group: str, text_col: str, n: int, ngram_range=(2, 2),
                         stop_words=None) -> DataFrame:
     """The ``n`` most frequent terms per group (ties by term)."""
-    ex = df.select(group, F.explode(terms(text_col, ngram_range, stop_words)).alias("term"))
+    ex = explode_terms(df, [group], text_col, ngram_range, stop_words)
     counts = ex.groupBy(group, "term").agg(F.count(F.lit(1)).alias("conteo"))
     w = Window.partitionBy(group).orderBy(F.col("conteo").desc(), F.col("term"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -30,6 +30,7 @@ def build_session(master: str | None = None, app: str = "textlake",
     if master:
         builder = builder.master(master)
         builder = builder.config("spark.ui.enabled", "false")
+        builder = builder.config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("TEXTLAKE_DRIVER_MEM", "16g"))
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
