@@ -1,3 +1,127 @@
-"""Queries (filled in below)."""
+"""Queries: monitoring and Structured Streaming jobs.
+
+Streaming queries land Spark-derived input files in the session's checkpoint
+folder, run the stream to completion (``availableNow``) and return the sink
+table. Where the stream result equals a batch result (no late rows), the
+oracle is the batch SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textlake.plans.registry import register
+from textlake.plans.sqlviews import with_ctes
+from textlake.sources import views as V
+from textlake.sources.tables import read_table
+from textlake.streaming import jobs as Z
+
+
+def _events(spark, sf):
+    return read_table(spark, sf, "events", ["event_id", "ts", "user_id", "event_type", "value"]) \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_FEAT_SQL = """
+    SELECT review_id, rating, CAST(len(regexp_extract_all(text, '[A-Z]')) AS BIGINT) AS mayusculas_count,
+           CAST(length(text) AS BIGINT) AS char_total,
+           CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS total_tokens,
+           CAST(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS BIGINT) AS unique_types
+    FROM reviews
+    WHERE text IS NOT NULL AND rating IS NOT NULL AND verified_purchase AND length(text) > 20
+      AND len(string_split(text, ' ')) >= 5"""
+
+
+@register("stream_ingest", "stream", with_ctes(_FEAT_SQL, "reviews"))
+def stream_ingest(spark, sf):
+    out = Z.stream_ingest(spark, V.reviews(spark, sf))
+    return out.select("review_id", "rating", "mayusculas_count", "char_total", "total_tokens", "unique_types")
+
+
+@register("stream_dedupe", "stream", with_ctes("SELECT DISTINCT md5(text) AS text_md5 FROM reviews", "reviews"))
+def stream_dedupe(spark, sf):
+    return Z.stream_dedupe(spark, V.reviews(spark, sf))
+
+
+@register("stream_tumbling", "stream", """
+    SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day AS window_end,
+           event_type, count(*) AS n, round(sum(value), 6) AS v
+    FROM events GROUP BY ALL""")
+def stream_tumbling(spark, sf):
+    return Z.stream_windowed(spark, _events(spark, sf), "tumbling", "1 day")
+
+
+@register("stream_sliding", "stream", """
+    SELECT ws AS window_start, ws + INTERVAL 1 day AS window_end, event_type, count(*) AS n, round(sum(value), 6) AS v
+    FROM (SELECT time_bucket(INTERVAL 6 hour, ts) - k * INTERVAL 6 hour AS ws, event_type, value
+          FROM events, range(0, 4) r(k))
+    GROUP BY ALL""")
+def stream_sliding(spark, sf):
+    return Z.stream_windowed(spark, _events(spark, sf), "sliding", "1 day", "6 hours")
+
+
+@register("stream_session", "stream", """
+    SELECT min(ts) AS window_start, max(ts) + INTERVAL 30 minute AS window_end, user_id,
+           count(*) AS n, round(sum(value), 6) AS v
+    FROM (SELECT *, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
+          FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
+                                 OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 minute
+                               THEN 1 ELSE 0 END AS new_s FROM events))
+    GROUP BY user_id, sid""")
+def stream_session(spark, sf):
+    return Z.stream_windowed(spark, _events(spark, sf), "session", "30 minutes", key="user_id", mode="complete")
+
+
+@register("drift_positive_share", "stream", with_ctes("""
+    SELECT ws AS window_start, sum(n) AS n,
+           round(sum(CASE WHEN target_class = 'Positivo' THEN p ELSE 0 END) * 100, 6) AS positive_pct,
+           CASE WHEN round(sum(CASE WHEN target_class = 'Positivo' THEN p ELSE 0 END) * 100, 6) > 40
+                THEN 'estable' ELSE 'alerta' END AS status,
+           round(sum((p - pb) * ln((p + 1e-6) / (pb + 1e-6))), 6) AS psi
+    FROM (SELECT *, n / sum(n) OVER (PARTITION BY ws) AS p FROM per) pp JOIN base USING (target_class)
+    GROUP BY ws""", "reviews", extra=[
+    ("rv", "SELECT ts, CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro' ELSE 'Positivo' END "
+           "AS target_class FROM reviews"),
+    ("per", "SELECT time_bucket(INTERVAL 1 day, ts) AS ws, target_class, count(*) AS n FROM rv GROUP BY ALL"),
+    ("base", "SELECT target_class, count(*) / sum(count(*)) OVER () AS pb FROM rv GROUP BY 1")]))
+def drift_positive_share(spark, sf):
+    return Z.positive_share_drift(V.reviews(spark, sf))
+
+
+@register("drift_confidence", "stream", with_ctes("""
+    SELECT window_start, n, round(c, 6) AS mean_confidence,
+           round(c - lag(c) OVER (ORDER BY window_start), 6) AS delta, c >= 0.75 AS above_floor
+    FROM (SELECT time_bucket(INTERVAL 1 day, e.ts) AS window_start, avg(list_max(p.proba)) AS c, count(*) AS n
+          FROM probs p JOIN events e ON e.event_id = p.review_id WHERE p.model = 'm_a' GROUP BY 1)""", "probs"))
+def drift_confidence(spark, sf):
+    p = V.probs(spark, sf).where(F.col("model") == "m_a")
+    ev = _events(spark, sf).select(F.col("event_id").alias("review_id"), "ts")
+    scored = p.join(ev, "review_id", "inner").withColumn("confidence", F.array_max("proba"))
+    return Z.confidence_drift(scored)
+
+
+@register("stream_incremental_index", "stream", with_ctes(
+    "SELECT review_id, label, list_transform(embedding, lambda x: round(x, 6)) AS vec FROM unit_vectors",
+    "unit_vectors"))
+def stream_incremental_index(spark, sf):
+    idx = Z.stream_incremental_index(spark, V.vectors(spark, sf))
+    return idx.select("review_id", "label", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+_QC = ("CASE WHEN coalesce(rating, 0) <= 2 THEN 'negativo' WHEN rating = 3 THEN 'neutro' "
+       "WHEN rating >= 4 THEN 'positivo' END")
+
+
+@register("stream_quota", "stream", with_ctes(f"""
+    SELECT review_id, quota_class FROM (
+      SELECT review_id, {_QC} AS quota_class, row_number() OVER (PARTITION BY {_QC} ORDER BY review_id) AS rn
+      FROM reviews) WHERE rn <= 100 AND quota_class IS NOT NULL""", "reviews"))
+def stream_quota(spark, sf):
+    return Z.stream_quota(spark, V.reviews(spark, sf), 100)
+
+
+@register("stream_late_data", "stream")
+def stream_late_data(spark, sf):
+    return Z.stream_late_data(spark, _events(spark, sf))
+
 
-from textlake.plans.registry import register  # noqa: F401
