@@ -73,3 +73,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Folder (on shared storage) for staged tables and streaming checkpoints."""
     d = ensure_checkpoint_dir(spark)
     return d.rstrip("/")
+
+
+def materialize(df):
+    """Cut a long lineage before iterative work (model fits, sweeps): a
+    reliable checkpoint written to ``spark.checkpoint.dir``, so a lost
+    executor does not force recomputing the whole upstream plan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
