@@ -93,11 +93,11 @@ def dedupe_key(df: DataFrame, key: str = "parent_asin") -> DataFrame:
 def dedupe_keep_best(df: DataFrame, key: str, score: str, seq: str) -> DataFrame:
     """D3: per key keep the highest score; the first (lowest ``seq``) wins ties.
 
-    Written as max of (score, -seq, row) so it is one partial+final aggregate.
-    """
-    others = [c for c in df.columns if c not in (key,)]
-    best = F.max(F.struct(F.col(score).alias("_s"), (-F.col(seq)).alias("_q"),
-                          *[F.col(c) for c in others])).alias("_b")
+    ``max_by`` orders on (score, -seq) only, so the kept row may hold maps;
+    it is one partial+final aggregate."""
+    others = [c for c in df.columns if c != key]
+    best = F.max_by(F.struct(*[F.col(c) for c in others]),
+                    F.struct(F.col(score), (-F.col(seq)).alias("_q"))).alias("_b")
     return df.groupBy(key).agg(best).select(key, *[F.col(f"_b.{c}") for c in others])
 
 
