@@ -17,12 +17,18 @@ def l2_norm(v) -> Column:
     return F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _divide_each(c: Column, scalar: Column) -> Column:
+    """c[i] / scalar with the scalar evaluated once per row: it is passed in
+    as a repeated array instead of being referenced inside the lambda (an
+    outer expression inside a lambda is re-evaluated for every element)."""
+    return F.zip_with(c, F.array_repeat(scalar, F.size(c)), lambda x, d: x.cast("double") / d)
+
+
 def l2_normalize(v) -> Column:
     """V / ||v||; a zero vector is divided by 1 (stays zero)."""
     c = col(v)
     n = l2_norm(c)
-    denom = F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(c, lambda x: x.cast("double") / denom)
+    return _divide_each(c, F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
 def dot(a, b) -> Column:
@@ -38,10 +44,10 @@ def scale(v, factor) -> Column:
 def softmax(v) -> Column:
     """exp(x - max) / sum."""
     c = col(v)
-    m = F.array_max(c)
-    e = F.transform(c, lambda x: F.exp(x.cast("double") - m))
+    m = F.array_max(c).cast("double")
+    e = F.zip_with(c, F.array_repeat(m, F.size(c)), lambda x, mx: F.exp(x.cast("double") - mx))
     s = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(e, lambda x: x / s)
+    return _divide_each(e, s)
 
 
 def argmax(v) -> Column:

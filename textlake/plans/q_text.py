@@ -200,3 +200,83 @@ def lexical_topk(spark, sf):
 def index_stats(spark, sf):
     idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
     return R.index_stats(idx, "label")
+
+
+# ---------------------------------------------------------- V5 / R6 -------
+def _enc_sql(src: str, id_expr: str, where: str = "") -> str:
+    return f"""
+    SELECT id, b, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM (
+      SELECT id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS INTEGER) AS b,
+             sum(CASE WHEN ('0x' || substr(md5(term), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v
+      FROM (SELECT {id_expr} AS id, unnest({_TOKS.format(t='text')}) AS term FROM {src} {where})
+      GROUP BY ALL)
+    WHERE v <> 0"""
+
+
+_ENGINE_CTES = [
+    ("hd", _enc_sql("reviews", "review_id")),
+    ("hq", _enc_sql("benchmark", "item_id", "WHERE trim(text) <> ''")),
+    ("sem", """SELECT query_id, review_id, score, rank FROM (
+                 SELECT query_id, review_id, score,
+                        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
+                 FROM (SELECT q.id AS query_id, d.id AS review_id, round(sum(q.v * d.v), 6) AS score
+                       FROM hq q JOIN hd d USING (b) GROUP BY ALL))
+               WHERE rank <= 3 AND score > 0"""),
+]
+
+
+@register("embed_texts", "text", with_ctes(
+    "SELECT id AS review_id, CAST(count(*) AS BIGINT) AS nnz, round(sum(v * v), 6) AS sq_norm FROM hd GROUP BY id",
+    "reviews", extra=_ENGINE_CTES[:1]))
+def embed_texts(spark, sf):
+    from textlake.operators.encode import hash_embed
+    e = hash_embed(V.reviews(spark, sf).select("review_id", "text"), "review_id", "text")
+    nnz = F.size(F.filter("embedding", lambda x: x != 0))
+    sq = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return e.select("review_id", nnz.cast("bigint").alias("nnz"), F.round(sq, 6).alias("sq_norm")) \
+        .where(F.col("nnz") > 0)
+
+
+def _engines(spark, sf):
+    from textlake.operators.encode import hash_embed
+    reviews = V.reviews(spark, sf).select("review_id", "text")
+    bench = read_table(spark, sf, "benchmark", ["item_id", "text"]).where(F.trim("text") != "")
+    idx = R.build_vector_index(hash_embed(reviews, "review_id", "text"))
+    q = hash_embed(bench, "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
+    sem = R.semantic_search(idx, q, k=3).where(F.col("score") > 0)
+    model = R.build_lexical_index(reviews)
+    lex = R.lexical_search(model, bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k=3)
+    return sem, lex
+
+
+@register("compare_engines", "text", with_ctes("""
+    SELECT 'semantic' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM sem
+    UNION ALL
+    SELECT 'lexical' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM lex""",
+    "reviews", extra=_ENGINE_CTES + _LEX_CTES + [("lex", """
+    SELECT query_id, review_id, score, rank FROM (
+      SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
+      FROM (SELECT query_id, review_id, round(sum(qw * dw), 6) AS score FROM qw JOIN cw USING (term)
+            GROUP BY query_id, review_id) WHERE score > 0)
+    WHERE rank <= 3""")]))
+def compare_engines(spark, sf):
+    """Top-3 of both engines side by side for the same text queries."""
+    sem, lex = _engines(spark, sf)
+    cols = ["query_id", "rank", "review_id", F.round("score", 4).alias("score")]
+    return sem.select(F.lit("semantic").alias("engine"), *cols).unionByName(
+        lex.select(F.lit("lexical").alias("engine"), *cols))
+
+
+@register("search_hits_docs", "text", with_ctes("""
+    SELECT s.query_id, s.rank, s.score, s.review_id,
+           CASE WHEN r.rating IN (1, 2) THEN 'Negativo' WHEN r.rating = 3 THEN 'Neutro' ELSE 'Positivo' END AS sentiment,
+           left(r.text, 120) || '...' AS snippet
+    FROM sem s JOIN reviews r ON r.review_id = s.review_id""", "reviews", extra=_ENGINE_CTES))
+def search_hits_docs(spark, sf):
+    """J9 + X25: hits joined to the document table (the hit list is k rows
+    per query, so the join broadcasts it)."""
+    from textlake.functions.text import snippet
+    sem, _ = _engines(spark, sf)
+    docs = V.reviews(spark, sf).select("review_id", L.target_class("rating").alias("sentiment"),
+                                       snippet("text", 120).alias("snippet"))
+    return R.hits_to_docs(sem, docs).select("query_id", "rank", "score", "review_id", "sentiment", "snippet")
