@@ -71,8 +71,7 @@ def best_thresholds(grid: DataFrame, k: int = 3) -> DataFrame:
 
 
 def apply_thresholds(probs: DataFrame, best: DataFrame, k: int = 3) -> DataFrame:
-    """Predictions with the chosen multipliers (one-row broadcast)."""
-    b = best.select(*[f"m{j}" for j in range(k)]).withColumn("_one", F.lit(1))
-    j = probs.withColumn("_one", F.lit(1)).join(F.broadcast(b), "_one")
-    scaled = F.array(*[F.col("proba")[i] * F.col(f"m{i}") for i in range(k)])
-    return j.withColumn("pred", VF.argmax(scaled)).drop("_one")
+    """Predictions with the chosen multipliers."""
+    mult = [best.select(f"m{i}").scalar() for i in range(k)]  # scalar subqueries, evaluated once
+    scaled = F.array(*[F.col("proba")[i] * mult[i] for i in range(k)])
+    return probs.withColumn("pred", VF.argmax(scaled))

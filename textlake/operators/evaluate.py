@@ -55,20 +55,16 @@ def class_metrics(counts: DataFrame, group: list[str], k: int = 3) -> DataFrame:
 
 
 def macro_metrics(counts: DataFrame, group: list[str], k: int = 3, digits: int = DIGITS) -> DataFrame:
-    """Accuracy and macro precision / recall / F1 per group."""
+    """Accuracy and macro precision / recall / F1 per group.
+
+    One aggregate over the per-class table: summed over the classes, tp is
+    the number of correct predictions and support the number of rows."""
     cm = class_metrics(counts, group, k).groupBy(*group).agg(
         F.avg("precision").alias("precision_macro"), F.avg("recall").alias("recall_macro"),
-        F.avg("f1").alias("f1_macro"))
-    acc = counts.groupBy(*group).agg(
-        (F.sum(F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        F.sum("n").alias("n"))
-    out = cm.join(acc, group, "inner") if group else _one_row_join(cm, acc)
-    return out.select(*group, *[F.round(c, digits).alias(c) for c in
-                                ["accuracy", "precision_macro", "recall_macro", "f1_macro"]], "n")
-
-
-def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        F.avg("f1").alias("f1_macro"), (F.sum("tp") / F.sum("support")).alias("accuracy"),
+        F.sum("support").cast("long").alias("n"))
+    return cm.select(*group, *[F.round(c, digits).alias(c) for c in
+                               ["accuracy", "precision_macro", "recall_macro", "f1_macro"]], "n")
 
 
 def metrics_from_matrix(models: DataFrame, k: int = 3) -> DataFrame:

@@ -44,26 +44,22 @@ def canonical(df: DataFrame) -> DataFrame:
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None,
                    digits: int = 6) -> DataFrame:
     """V3: (x - mean) / population std, fitted on ``fit_on`` (the train split);
-    zero std divides by 1. The statistics are one aggregate row, joined back
-    without a cross join by a constant key."""
+    zero std divides by 1. The statistics are one aggregate row, read through
+    scalar subqueries (Spark merges them into a single aggregate)."""
     src = fit_on if fit_on is not None else df
     stats = src.agg(*[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in cols],
                     *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s_{c}") for c in cols])
-    stats = stats.withColumn("_one", F.lit(1))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one")
-    scaled = {
-        c: F.round((F.col(c).cast("double") - F.col(f"_m_{c}")) /
-                   F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}")), digits)
-        for c in cols
-    }
-    return joined.withColumns(scaled).select(*df.columns)
+    scaled = {}
+    for c in cols:
+        m = stats.select(f"_m_{c}").scalar()  # scalar subqueries over one aggregate row
+        s = stats.select(f"_s_{c}").scalar()
+        scaled[c] = F.round((F.col(c).cast("double") - m) / F.when(s == 0, F.lit(1.0)).otherwise(s), digits)
+    return df.withColumns(scaled)
 
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
     """Fill nulls of ``col`` with its exact median.
 
-    The median is one aggregate row, attached by a constant-key broadcast
-    join (size bound: one row)."""
-    med = df.agg(F.median(F.col(col)).alias("_med")).withColumn("_one", F.lit(1))
-    out = df.withColumn("_one", F.lit(1)).join(F.broadcast(med), "_one")
-    return out.withColumn(col, F.coalesce(F.col(col), F.col("_med"))).select(*df.columns)
+    The median is a scalar subquery, evaluated once."""
+    med = df.agg(F.median(F.col(col))).scalar()
+    return df.withColumn(col, F.coalesce(F.col(col), med))

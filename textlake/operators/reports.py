@@ -21,12 +21,10 @@ def dataset_report(canonical: DataFrame) -> DataFrame:
     r = per.agg(F.sum("n").alias("total_rows"),
                 F.map_from_entries(F.array_sort(F.collect_list(
                     F.struct(F.col("rating").cast("string").alias("k"), F.col("n").alias("v"))))).alias(
-                    "rating_distribution"),
-                F.lit(1).alias("_one"))
+                    "rating_distribution"))
     t = by_tc.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct(F.col("target_class").alias("k"), F.col("n").alias("v"))))).alias("target_class_distribution"),
-        F.lit(1).alias("_one"))
-    return r.join(t, "_one").drop("_one")
+        F.struct(F.col("target_class").alias("k"), F.col("n").alias("v"))))))
+    return r.withColumn("target_class_distribution", t.scalar())
 
 
 METRIC_COLS = ["f1_macro", "precision_macro", "recall_macro", "accuracy"]

@@ -123,8 +123,8 @@ def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "tex
     stats = stats.where(F.col("df") >= min_df)
     if max_features:
         stats = stats.orderBy(F.col("freq").desc(), F.col("term")).limit(max_features)
-    vocab = (stats.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs.withColumn("_one", F.lit(1))), "_one")
-             .select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    n = n_docs.scalar()  # scalar subquery: corpus size, evaluated once
+    vocab = stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
     bounded = bool(max_features) and max_features <= MAX_BROADCAST_VOCAB
     v = F.broadcast(vocab) if bounded else vocab
     weights = _weights(tf, v, id_col, digits)

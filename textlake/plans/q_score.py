@@ -158,10 +158,10 @@ def threshold_best(spark, sf):
     best = EN.best_thresholds(grid)
     test = EN.apply_thresholds(sp.where(F.col("split") == "test"), best)
     tm = EV.macro_metrics(EV.confusion_counts(test, []), [], 3)
-    b = best.select("m0", "m1", "m2", F.col("f1_macro").alias("val_f1")).withColumn("_one", F.lit(1))
-    t = tm.select(F.col("f1_macro").alias("test_f1"), F.col("accuracy").alias("test_accuracy")) \
-        .withColumn("_one", F.lit(1))
-    return b.join(t, "_one").drop("_one")
+    # one-row results combined through scalar subqueries (no join)
+    return best.select("m0", "m1", "m2", F.col("f1_macro").alias("val_f1"),
+                       tm.select("f1_macro").scalar().alias("test_f1"),
+                       tm.select("accuracy").scalar().alias("test_accuracy"))
 
 
 @register("argmax_confidence_map", "score", with_ctes("""
