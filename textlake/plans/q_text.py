@@ -280,3 +280,20 @@ def search_hits_docs(spark, sf):
     docs = V.reviews(spark, sf).select("review_id", L.target_class("rating").alias("sentiment"),
                                        snippet("text", 120).alias("snippet"))
     return R.hits_to_docs(sem, docs).select("query_id", "rank", "score", "review_id", "sentiment", "snippet")
+
+
+@register("sql_ngrams", "text", r"""
+    SELECT item_id, gram, count(*) AS n FROM (
+      SELECT item_id, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) AS grams
+      FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM benchmark)),
+      unnest(grams) AS u(gram)
+    GROUP BY item_id, gram""")
+def sql_ngrams(spark, sf):
+    """2.17: the n-gram UDTF used from Spark SQL with LATERAL."""
+    import uuid
+    from textlake.functions.udtf import register as register_udtf
+    register_udtf(spark)
+    view = f"benchmark_{uuid.uuid4().hex[:8]}"
+    read_table(spark, sf, "benchmark", ["item_id", "text"]).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT b.item_id, g.gram, count(*) AS n FROM {view} b, LATERAL ngrams(b.text, 2) g "
+                     f"GROUP BY b.item_id, g.gram")
