@@ -137,3 +137,10 @@ def label_code_roundtrip(spark, sf):
     "SELECT review_id, left(text, 200) || '...' AS snippet FROM reviews", "reviews"))
 def snippet(spark, sf):
     return V.reviews(spark, sf).select("review_id", T.snippet("text", 200).alias("snippet"))
+
+
+@register("name_slug", "scalar", with_ctes(
+    "SELECT parent_asin, replace(lower(title), ' ', '_') AS slug FROM products", "products"))
+def name_slug(spark, sf):
+    """Lower-case, spaces to underscores (file-name slugs)."""
+    return V.products(spark, sf).select("parent_asin", T.slug("title").alias("slug"))

@@ -175,3 +175,28 @@ def argmax_confidence_map(spark, sf):
     return p.select("review_id", L.code_to_label("pred").alias("sentiment"), F.col("pred").alias("sentiment_code"),
                     VF.confidence("proba", 4).alias("confidence"),
                     VF.prob_map("proba", L.CLASS_LABELS, 4).alias("probabilities"))
+
+
+_VOTE = ("vt", """
+    SELECT review_id, label, pred FROM (
+      SELECT review_id, label, pred, row_number() OVER (PARTITION BY review_id ORDER BY score DESC, pred) AS rk FROM (
+        SELECT pr.review_id, pr.label, pr.pred, sum(em.f1_macro) AS score
+        FROM pr JOIN em USING (model) GROUP BY pr.review_id, pr.label, pr.pred))
+    WHERE rk = 1""")
+_VCNT = ("vcnt", "SELECT label, pred, count(*) AS n FROM vt GROUP BY ALL")
+
+
+@register("phase_comparison", "report", with_ctes("""
+    SELECT model, 'individual' AS phase, f1_macro FROM em
+    UNION ALL
+    SELECT 'weighted_vote' AS model, 'ensemble' AS phase, f1_macro FROM vm""",
+    "probs", extra=[_PRED, _CNT] + _metrics_ctes("cnt", ["model"], "e") + [_VOTE, _VCNT]
+    + _metrics_ctes("vcnt", [], "v")))
+def phase_comparison(spark, sf):
+    """(model, phase, F1) across the individual models and the ensemble."""
+    preds = _preds(spark, sf)
+    per_model = EV.macro_metrics(EV.confusion_counts(preds, ["model"]), ["model"], 3)
+    vote = EN.weighted_vote(preds, per_model.select("model", F.col("f1_macro").alias("weight")))
+    vm = EV.macro_metrics(EV.confusion_counts(vote, []), [], 3)
+    return per_model.select("model", F.lit("individual").alias("phase"), "f1_macro").unionByName(
+        vm.select(F.lit("weighted_vote").alias("model"), F.lit("ensemble").alias("phase"), "f1_macro"))
