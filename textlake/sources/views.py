@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vectors as V
+from textlake.session import spread_small_input
 from textlake.sources.tables import read_table
 
 # Fixed values of the adapter: rating by last digit of the document id.
@@ -29,7 +30,7 @@ MODELS = ["m_a", "m_b", "m_c"]
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    docs = spread_small_input(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     events = read_table(spark, sf_dir, "events", ["event_id", "ts"])
     joined = docs.join(events, docs.doc_id == events.event_id, "inner")
     digit = (F.col("doc_id") % 10).cast("int")
