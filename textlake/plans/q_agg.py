@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from textlake.functions import labels as L
 from textlake.operators import clean as C
@@ -39,8 +40,15 @@ _ENRICHED = r"""
 def subcategory_rating_share(spark, sf):
     """Flagship: S4 -> P10 -> J3/X15 -> T1 -> A3 -> W1."""
     enriched = J.enrich_category(_clean(spark, sf), V.products(spark, sf))
-    top = X.top_n_values(enriched, "sub_categoria", 10).select("sub_categoria")
-    counts = X.count_by_two_keys(C.keep_in(enriched, top, "sub_categoria"), "sub_categoria", "rating")
+    # one pass over the corpus: aggregate to (sub-category, rating) cells
+    # first; the top-10 (by row count, ties by name) is then ranked on that
+    # small table (sub-categories x ratings rows), no second scan or join
+    cells = enriched.groupBy("sub_categoria", "rating").agg(F.count("text").alias("conteo"),
+                                                           F.count(F.lit(1)).alias("_rows"))
+    total = F.sum("_rows").over(Window.partitionBy("sub_categoria"))
+    ranked = cells.withColumn("_n", total).withColumn(
+        "_r", F.dense_rank().over(Window.orderBy(F.col("_n").desc(), F.col("sub_categoria"))))
+    counts = ranked.where(F.col("_r") <= 10).select("sub_categoria", "rating", "conteo")
     return X.share_within_group(counts, "sub_categoria", "conteo")
 
 
