@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import Evaluator
@@ -34,11 +34,16 @@ def supervised_frame(clean: DataFrame) -> DataFrame:
     """review_id, label (0/1/2), terms array, 9 features, class weight, split."""
     f = FE.text_features(clean).withColumn("label", L.sentiment_class("rating"))
     f = TX.with_terms(f, "text", (1, 2), TX.english_stop_words(), name="terms")
-    counts = f.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
+    return materialize(S.train_test_split(with_balanced_weights(f, "label"), "label"))
+
+
+def with_balanced_weights(f: DataFrame, cls: str = "label") -> DataFrame:
+    """Add ``w`` = n / (k * n_c). The per-class counts are a k-row aggregate
+    (map-side combined), so broadcasting them is bounded by the class count."""
+    counts = f.groupBy(cls).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
-    counts = counts.select("label", (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("w"))
-    f = f.join(F.broadcast(counts), "label", "inner")
-    return materialize(S.train_test_split(f, "label"))
+    counts = counts.select(cls, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("w"))
+    return f.join(F.broadcast(counts), cls, "inner")
 
 
 def feature_stages(vocab: int = 10_000, min_df: int = 5, with_text: bool = True) -> list:
@@ -170,3 +175,42 @@ def probabilities_table(pred: DataFrame, name: str) -> DataFrame:
     return pred.select(F.lit(name).alias("model"), "review_id", F.col("label").cast("int"),
                        F.col("prediction").cast("int").alias("pred"),
                        vector_to_array("probability").alias("proba"))
+
+
+def embedding_frame(clean: DataFrame, encode) -> DataFrame:
+    """review_id, label, embedding array, class weight, split (80/20).
+
+    ``encode`` is any DataFrame job (id, text) -> (id, embedding)."""
+    emb = encode(clean.select("review_id", "text"))
+    f = clean.select("review_id", L.sentiment_class("rating").alias("label")).join(emb, "review_id", "inner")
+    return materialize(S.train_test_split(with_balanced_weights(f, "label"), "label"))
+
+
+class ArrayToVector(Transformer):
+    """Pipeline stage: ``embedding`` array<double> -> ``emb_vec`` ML vector."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+        return df.withColumn("emb_vec", array_to_vector("embedding"))
+
+
+def embedding_classifier(C: float = 1.0, max_iter: int = 100) -> Pipeline:
+    """L1 on embeddings: array -> vector, L2-normalize *inside* the pipeline
+    (so scoring normalizes exactly like training, SURVEY 8 #1), multinomial
+    logistic regression with balanced weights."""
+    from pyspark.ml.feature import Normalizer
+    return Pipeline(stages=[ArrayToVector(), Normalizer(inputCol="emb_vec", outputCol="features", p=2.0),
+                            logreg(C=C, max_iter=max_iter)])
+
+
+def score_batch(model, df: DataFrame, labels: list[str], digits: int = 4) -> DataFrame:
+    """Encoded rows -> predicted class name and code, confidence (max
+    probability) and the class -> probability map. One pass of
+    ``model.transform``; everything after it is built-in expressions."""
+    from textlake.functions import vectors as VF
+    p = model.transform(df).withColumn("proba", vector_to_array("probability"))
+    code = F.col("prediction").cast("int")
+    names = F.array(*[F.lit(x) for x in labels])
+    return p.select("review_id", F.element_at(names, code + 1).alias("sentiment"), code.alias("sentiment_code"),
+                    VF.confidence("proba", digits).alias("confidence"),
+                    VF.prob_map("proba", labels, digits).alias("probabilities"))

@@ -7,8 +7,11 @@ queries are checked for shape and invariants, not values.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer, IDF
+from pyspark.sql import functions as F
 
 from textlake.operators import clean as C
 from textlake.operators import clusters as CL
@@ -122,3 +125,28 @@ def ann_recall(spark, sf):
     return CL.ann_recall(idx, protos, exact, k=10)
 
 
+
+
+def _embedding_frame(spark, sf):
+    from textlake.operators.encode import hash_embed
+    clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
+    return M.embedding_frame(clean, lambda d: hash_embed(d, "review_id", "text"))
+
+
+@register("embed_logreg_eval", "ml")
+def embed_logreg_eval(spark, sf):
+    """L1 on embeddings: encoder output -> normalize -> multinomial LR; test metrics."""
+    f = _embedding_frame(spark, sf)
+    t0 = time.time()
+    model = M.embedding_classifier().fit(f.where(F.col("split") == "train"))
+    return M.metrics_row(model.transform(f.where(F.col("split") == "test")), "logreg_embeddings", time.time() - t0)
+
+
+@register("score_batch", "ml")
+def score_batch(spark, sf):
+    """Fit on the train split, then score the held-out batch: class,
+    code, confidence and the probability map per review."""
+    from textlake.functions.labels import CLASS_LABELS
+    f = _embedding_frame(spark, sf)
+    model = M.embedding_classifier().fit(f.where(F.col("split") == "train"))
+    return M.score_batch(model, f.where(F.col("split") == "test"), CLASS_LABELS)
