@@ -34,6 +34,7 @@ from textlake.functions import vectors as VF
 from textlake.operators import text as TX
 
 MAX_BROADCAST_BYTES = 64 << 20
+BLOCK_CELLS = 1 << 21
 DIGITS = 6
 
 
@@ -52,40 +53,58 @@ def index_stats(index: DataFrame, label_col: str = "label") -> DataFrame:
                         F.sum("n").over(w).alias("total_docs"))
 
 
-def _topk_block(scores: np.ndarray, ids: np.ndarray, k: int):
-    """Top-k rows of one query column by (score desc, id asc)."""
-    if len(ids) <= k:
-        order = np.lexsort((ids, -scores))
-        return order
-    kth = np.partition(-scores, k - 1)[k - 1]
-    cand = np.nonzero(-scores <= kth)[0]
-    order = cand[np.lexsort((ids[cand], -scores[cand]))][:k]
-    return order
-
-
-def _scorer(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, threshold: float | None):
+def _topk_merge(cols: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int):
+    """Keep the top-k entries of every query column by (score desc, id asc).
+    Flat (column, score, id) arrays in, flat arrays out; fully vectorized."""
+    order = np.lexsort((ids, -scores, cols))
+    cols, scores, ids = cols[order], scores[order], ids[order]
+    first = np.r_[0, np.flatnonzero(np.diff(cols)) + 1]
+    start = np.repeat(first, np.diff(np.r_[first, len(cols)]))
+    keep = (np.arange(len(cols)) - start) < k
+    return cols[keep], scores[keep], ids[keep]
+
+
+def _block_candidates(block: np.ndarray, ids: np.ndarray, k: int):
+    """Per query column of a (rows x queries) score block: every entry at or
+    above the column's k-th largest score (ties kept, so the exact tie-break
+    by id happens in ``_topk_merge``)."""
+    n = block.shape[0]
+    if n > k:
+        kth = np.partition(block, n - k, axis=0)[n - k]
+        mask = block >= kth[None, :]
+    else:
+        mask = np.ones_like(block, dtype=bool)
+    mask &= np.isfinite(block)
+    r, c = np.nonzero(mask)
+    return c, block[r, c], ids[r]
+
+
+def _scorer(bq, k: int, id_col: str, threshold: float | None):
+    """``bq``: a broadcast of (query ids, query matrix); shipped once per
+    executor rather than inside every task's closure. Corpus batches are
+    scored in blocks of at most BLOCK_CELLS scores, so task memory does not
+    grow with the batch size times the number of queries."""
     def run(batches):
-        best_s = [np.empty(0) for _ in qids]
-        best_i = [np.empty(0, dtype=np.int64) for _ in qids]
+        qids, qmat = bq.value
+        step = max(1, BLOCK_CELLS // max(1, len(qids)))
+        bc = np.empty(0, dtype=np.int64)
+        bs = np.empty(0)
+        bi = np.empty(0, dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            mat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            scores = np.round(mat @ qmat.T, DIGITS)
-            for j in range(len(qids)):
-                s = np.concatenate([best_s[j], scores[:, j]])
-                i = np.concatenate([best_i[j], ids])
+            all_ids = pdf[id_col].to_numpy(dtype=np.int64)
+            vecs = pdf["vec"].to_numpy()
+            for lo in range(0, len(all_ids), step):
+                ids = all_ids[lo:lo + step]
+                mat = np.stack(vecs[lo:lo + step]).astype(np.float64)
+                block = np.round(mat @ qmat.T, DIGITS)
                 if threshold is not None:
-                    keep = s >= threshold
-                    s, i = s[keep], i[keep]
-                o = _topk_block(s, i, k)
-                best_s[j], best_i[j] = s[o], i[o]
-        rows = [(int(q), int(i), float(s)) for j, q in enumerate(qids)
-                for s, i in zip(best_s[j], best_i[j])]
-        yield pd.DataFrame(rows, columns=["query_id", id_col, "score"]) if rows else \
-            pd.DataFrame({"query_id": pd.Series([], dtype="int64"), id_col: pd.Series([], dtype="int64"),
-                          "score": pd.Series([], dtype="float64")})
+                    block[block < threshold] = -np.inf
+                c, sc, i = _block_candidates(block, ids, k)
+                bc, bs, bi = _topk_merge(np.r_[bc, c], np.r_[bs, sc], np.r_[bi, i], k)
+        yield pd.DataFrame({"query_id": qids[bc].astype(np.int64) if len(bc) else np.empty(0, dtype=np.int64),
+                            id_col: bi, "score": bs})
     return run
 
 
@@ -111,7 +130,8 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: s
         rows = chunk.collect()  # bounded: at most MAX_BROADCAST_BYTES of query vectors
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qmat = np.array([r["vec"] for r in rows], dtype=np.float64)
-        parts.append(corpus.mapInPandas(_scorer(qids, qmat, k, id_col, threshold), schema))
+        bq = index.sparkSession.sparkContext.broadcast((qids, qmat))
+        parts.append(corpus.mapInPandas(_scorer(bq, k, id_col, threshold), schema))
     cand = parts[0]
     for extra in parts[1:]:
         cand = cand.unionByName(extra)
