@@ -1,9 +1,10 @@
 """Exploratory aggregates, windows and top-n.
 
 Aggregates use Spark's partial (map-side) + final hash aggregation, so hot
-groups are combined before the shuffle. Percentiles are exact
-(``percentile``) by default; ``approx=True`` switches to
-``percentile_approx`` whose buffer is bounded, for very large groups.
+groups are combined before the shuffle. Percentiles are exact by default,
+computed by ``exact_percentiles`` (sketch bracket + rank of the bracket rows
+only, so no task holds a whole group); ``approx=True`` switches to
+``percentile_approx`` alone.
 """
 
 from __future__ import annotations
@@ -51,14 +52,55 @@ def describe_aggs(col: str, approx: bool = False, digits: int = 6) -> list[Colum
     ]
 
 
-def describe_cols(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """A4: one row with describe statistics for every column (one pass)."""
-    return df.agg(*[a for c in cols for a in describe_aggs(c, approx)])
+_DESCRIBE_P = [("p25", 0.25), ("p50", 0.5), ("p75", 0.75)]
 
 
-def describe_by_group(df: DataFrame, group: str, col: str, approx: bool = False) -> DataFrame:
-    """A5"""
-    return df.groupBy(group).agg(*describe_aggs(col, approx))
+def _describe_order(col: str) -> list[str]:
+    return [f"{col}_{s}" for s in ("count", "nulls", "mean", "std", "min", "p25", "p50", "p75", "max")]
+
+
+def _moment_aggs(col: str, digits: int = 6) -> list[Column]:
+    """The describe statistics other than the quartiles."""
+    c = F.col(col).cast("double")
+    return [
+        F.count(c).alias(f"{col}_count"),
+        F.count_if(F.col(col).isNull()).cast("bigint").alias(f"{col}_nulls"),
+        F.round(F.avg(c), digits).alias(f"{col}_mean"),
+        F.round(F.stddev_samp(c), digits).alias(f"{col}_std"),
+        F.min(c).alias(f"{col}_min"),
+        F.max(c).alias(f"{col}_max"),
+    ]
+
+
+def describe_cols(df: DataFrame, cols: list[str], approx: bool = False, digits: int = 6) -> DataFrame:
+    """A4: one row with describe statistics for every column. The moments are
+    one aggregate; exact quartiles come from ``exact_percentiles`` (one row
+    per column) read as scalar subqueries -- no join of one-row frames."""
+    if approx:
+        return df.agg(*[a for c in cols for a in describe_aggs(c, True, digits)])
+    from textlake.session import materialize
+    x = materialize(df.select(*cols))
+    base = x.agg(*[a for c in cols for a in _moment_aggs(c, digits)])
+    sel = []
+    for c in cols:
+        q = exact_percentiles(x, [], c, [p for _, p in _DESCRIBE_P], [f"{c}_{n}" for n, _ in _DESCRIBE_P])
+        got = {f"{c}_{n}": F.round(q.select(f"{c}_{n}").scalar(), digits).alias(f"{c}_{n}") for n, _ in _DESCRIBE_P}
+        sel += [got.get(name, F.col(name)) for name in _describe_order(c)]
+    return base.select(*sel)
+
+
+def describe_by_group(df: DataFrame, group: str, col: str, approx: bool = False, digits: int = 6) -> DataFrame:
+    """A5: describe statistics per group; exact quartiles without funnelling
+    a hot group into one task (``exact_percentiles``)."""
+    if approx:
+        return df.groupBy(group).agg(*describe_aggs(col, True, digits))
+    from textlake.session import materialize
+    x = materialize(df.select(group, col))
+    base = x.groupBy(group).agg(*_moment_aggs(col, digits))
+    names = [f"{col}_{n}" for n, _ in _DESCRIBE_P]
+    q = exact_percentiles(x, [group], col, [p for _, p in _DESCRIBE_P], names)
+    q = q.select(group, *[F.round(n, digits).alias(n) for n in names])
+    return base.join(q, group, "left").select(group, *_describe_order(col))
 
 
 def pivot_matrix(df: DataFrame, row: str, col: str, value: str, row_domain: DataFrame,
@@ -90,8 +132,13 @@ def box_stats(df: DataFrame, group: str, col: str, approx: bool = False, digits:
     the (small) per-group fence table.
     """
     c = F.col(col).cast("double")
-    q = df.groupBy(group).agg(_pct(c, 0.25, approx).alias("q1"), _pct(c, 0.5, approx).alias("median"),
-                              _pct(c, 0.75, approx).alias("q3"))
+    if approx:
+        q = df.groupBy(group).agg(_pct(c, 0.25, approx).alias("q1"), _pct(c, 0.5, approx).alias("median"),
+                                  _pct(c, 0.75, approx).alias("q3"))
+    else:
+        from textlake.session import materialize
+        df = materialize(df.select(group, col))
+        q = exact_percentiles(df, [group], col, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     inner = (df.select(group, c.alias("_v")).join(q.select(group, "lo_fence", "hi_fence"), group)
@@ -145,3 +192,66 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
     w = Window.partitionBy()
     return counts.select(cls, "n_c", F.round(F.sum("n_c").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_c")),
                                             6).alias("weight"))
+
+
+# Exact percentiles without funnelling a group into one task.
+#
+# ``percentile`` keeps a counter per distinct value of a group in the task
+# that finalizes the group: a hot group with billions of distinct values is
+# one huge task. Instead (per group and target p, same definition as
+# ``percentile`` / linear interpolation between ranks floor and ceil of
+# p * (n - 1)):
+#   1. one aggregate: n and a bounded sketch (``percentile_approx``) giving a
+#      value bracket [a, b] around each target rank;
+#   2. one aggregate: rows below a and rows inside [a, b];
+#   3. only the rows inside the bracket (about 2 * MARGIN * n) are ranked, in
+#      a window partitioned by (group, p); rank = rows below + position.
+# Should a bracket miss its ranks (the sketch's error bound exceeded), that
+# (group, p) falls back to the whole group as bracket -- still exact.
+SKETCH_ACCURACY = 100_000
+MARGIN = 4.0 / SKETCH_ACCURACY
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], names: list[str]) -> DataFrame:
+    """keys + one column per p (named by ``names``); null values are ignored,
+    a group with no values gives nulls."""
+    keys2 = list(keys) if keys else ["_g"]
+    x = df.select(*([F.col(k) for k in keys] if keys else [F.lit(0).alias("_g")]),
+                  F.col(col).cast("double").alias("_v"))
+    m = len(ps)
+    pcts = [min(1.0, max(0.0, p + d)) for d in (-MARGIN, MARGIN) for p in ps]
+    s1 = x.groupBy(*keys2).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", pcts, SKETCH_ACCURACY).alias("_ap"))
+    xv = x.where(F.col("_v").isNotNull())
+    # 2. rows below / inside each bracket (one pass, partial aggregation)
+    j = xv.join(s1, keys2, "inner")
+    cnt = j.groupBy(*keys2).agg(
+        *[F.count_if(F.col("_v") < F.col("_ap")[i]).alias(f"_cb{i}") for i in range(m)],
+        *[F.count_if((F.col("_v") >= F.col("_ap")[i]) & (F.col("_v") <= F.col("_ap")[m + i])).alias(f"_ci{i}")
+          for i in range(m)])
+    e = s1.join(cnt, keys2, "inner")
+    specs = []
+    for i, p in enumerate(ps):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
+        ok = (F.col(f"_cb{i}") <= lo) & (hi < F.col(f"_cb{i}") + F.col(f"_ci{i}"))
+        specs.append(F.struct(
+            F.lit(i).alias("i"), pos.alias("pos"), lo.alias("lo"), hi.alias("hi"),
+            F.when(ok, F.col("_ap")[i]).otherwise(F.lit(float("-inf"))).alias("a"),
+            F.when(ok, F.col("_ap")[m + i]).otherwise(F.lit(float("inf"))).alias("b"),
+            F.when(ok, F.col(f"_cb{i}")).otherwise(F.lit(0).cast("long")).alias("base")))
+    br = e.select(*keys2, F.array(*specs).alias("_br"))
+    # 3. rank only the bracket rows; a row joins the brackets that contain it
+    inside = xv.join(br, keys2, "inner").select(
+        *keys2, "_v", F.explode(F.filter("_br", lambda s: (s["a"] <= F.col("_v")) & (F.col("_v") <= s["b"]))).alias("s"))
+    w = Window.partitionBy(*keys2, F.col("s.i")).orderBy("_v")
+    ranked = inside.select(*keys2, "_v", "s", (F.col("s.base") + F.row_number().over(w) - 1).alias("_r")) \
+        .where((F.col("_r") == F.col("s.lo")) | (F.col("_r") == F.col("s.hi")))
+    vals = ranked.groupBy(*keys2, F.col("s.i").alias("i")).agg(
+        F.max(F.when(F.col("_r") == F.col("s.lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_r") == F.col("s.hi"), F.col("_v"))).alias("_vhi"),
+        F.first(F.col("s.pos") - F.col("s.lo")).alias("_f"))
+    vals = vals.select(*keys2, "i", (F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
+    wide = vals.groupBy(*keys2).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(nm)
+                                      for i, nm in enumerate(names)])
+    out = s1.select(*keys2).join(wide, keys2, "left")
+    return out.drop("_g") if not keys else out

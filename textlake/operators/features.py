@@ -60,6 +60,8 @@ def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = No
 def impute_median(df: DataFrame, col: str) -> DataFrame:
     """Fill nulls of ``col`` with its exact median.
 
-    The median is a scalar subquery, evaluated once."""
-    med = df.agg(F.median(F.col(col))).scalar()
+    The median is a scalar subquery, evaluated once, computed by the
+    distributed exact percentile (no single task holds all values)."""
+    from textlake.operators.explore import exact_percentiles
+    med = exact_percentiles(df, [], col, [0.5], ["_median"]).select("_median").scalar()
     return df.withColumn(col, F.coalesce(F.col(col), med))

@@ -115,9 +115,11 @@ def corr_matrix(spark, sf):
     "SELECT round(quantile_cont(CAST(char_total AS DOUBLE), 0.95), 6) AS p95_chars, "
     "round(quantile_cont(ttr, 0.95), 6) AS p95_ttr FROM features", "features"))
 def p95(spark, sf):
-    f = _features(spark, sf)
-    return f.agg(F.round(F.percentile(F.col("char_total").cast("double"), F.lit(0.95)), 6).alias("p95_chars"),
-                 F.round(F.percentile("ttr", F.lit(0.95)), 6).alias("p95_ttr"))
+    from textlake.session import materialize
+    f = materialize(_features(spark, sf).select("char_total", "ttr"))
+    a = X.exact_percentiles(f, [], "char_total", [0.95], ["p95_chars"])
+    b = X.exact_percentiles(f, [], "ttr", [0.95], ["p95_ttr"])
+    return a.select(F.round("p95_chars", 6).alias("p95_chars"), F.round(b.select("p95_ttr").scalar(), 6).alias("p95_ttr"))
 
 
 @register("box_stats", "agg", with_ctes("""
