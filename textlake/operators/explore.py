@@ -210,6 +210,7 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
 # (group, p) falls back to the whole group as bracket -- still exact.
 SKETCH_ACCURACY = 100_000
 MARGIN = 4.0 / SKETCH_ACCURACY
+BROADCAST_GROUPS = 50_000
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], names: list[str]) -> DataFrame:
@@ -220,10 +221,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float],
                   F.col(col).cast("double").alias("_v"))
     m = len(ps)
     pcts = [min(1.0, max(0.0, p + d)) for d in (-MARGIN, MARGIN) for p in ps]
-    s1 = x.groupBy(*keys2).agg(F.count("_v").alias("_n"), F.percentile_approx("_v", pcts, SKETCH_ACCURACY).alias("_ap"))
+    from textlake.session import materialize
+    s1 = materialize(x.groupBy(*keys2).agg(F.count("_v").alias("_n"),
+                                           F.percentile_approx("_v", pcts, SKETCH_ACCURACY).alias("_ap")))
+    # one row per group: broadcast to the value rows only when the group count
+    # is checked to be small (else a shuffle join, skew split by AQE)
+    small = s1.count() <= BROADCAST_GROUPS
+    bc = F.broadcast if small else (lambda d: d)
     xv = x.where(F.col("_v").isNotNull())
     # 2. rows below / inside each bracket (one pass, partial aggregation)
-    j = xv.join(s1, keys2, "inner")
+    j = xv.join(bc(s1), keys2, "inner")
     cnt = j.groupBy(*keys2).agg(
         *[F.count_if(F.col("_v") < F.col("_ap")[i]).alias(f"_cb{i}") for i in range(m)],
         *[F.count_if((F.col("_v") >= F.col("_ap")[i]) & (F.col("_v") <= F.col("_ap")[m + i])).alias(f"_ci{i}")
@@ -241,7 +248,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float],
             F.when(ok, F.col(f"_cb{i}")).otherwise(F.lit(0).cast("long")).alias("base")))
     br = e.select(*keys2, F.array(*specs).alias("_br"))
     # 3. rank only the bracket rows; a row joins the brackets that contain it
-    inside = xv.join(br, keys2, "inner").select(
+    inside = xv.join(bc(br), keys2, "inner").select(
         *keys2, "_v", F.explode(F.filter("_br", lambda s: (s["a"] <= F.col("_v")) & (F.col("_v") <= s["b"]))).alias("s"))
     w = Window.partitionBy(*keys2, F.col("s.i")).orderBy("_v")
     ranked = inside.select(*keys2, "_v", "s", (F.col("s.base") + F.row_number().over(w) - 1).alias("_r")) \
