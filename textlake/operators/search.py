@@ -116,7 +116,10 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     or not (inner product is what is ranked, as in a flat IP index).
     ``index``: (id, vec) with unit vectors. Returns (query_id, id, score, rank).
     """
-    q = queries.select(F.col("query_id").cast("long"), F.col("vec"))
+    from textlake.session import materialize
+    # the query set is read several times (count, dimension, one collect per
+    # pass): cut its lineage once instead of recomputing the encoder each time
+    q = materialize(queries.select(F.col("query_id").cast("long"), F.col("vec")))
     n_q = q.count()
     if n_q == 0:
         return index.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
