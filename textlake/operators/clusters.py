@@ -103,19 +103,30 @@ def lda_topics(counts: DataFrame, vocab: list[str], k: int = 5, n_terms: int = 8
 def ann_recall(index: DataFrame, queries: DataFrame, exact: DataFrame, k: int = 10,
                bucket_length: float = 1.3, tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate neighbours by random-projection LSH, recall@k against
-    the exact search. One ``approxNearestNeighbors`` job per query of the
-    (small, bounded) query set."""
+    the exact search. One distributed job for all queries: the LSH
+    similarity join pairs each query only with the corpus rows that share a
+    hash bucket (the LSH candidates, never all pairs), the k nearest
+    candidates per query are kept (``row_number() <= k``, partial limit
+    before the shuffle) and compared with the exact hits by a join."""
     pts = index.select("review_id", array_to_vector("vec").alias("v"))
+    qpts = queries.select(F.col("query_id").cast("long"), array_to_vector("vec").alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(pts)
-    from pyspark.ml.linalg import Vectors
-    rows = []
-    for q in queries.collect():  # bounded query set
-        hits = model.approxNearestNeighbors(pts, Vectors.dense(q["vec"]), k).select("review_id")
-        got = {r["review_id"] for r in hits.collect()}
-        want = {r["review_id"] for r in exact.where(F.col("query_id") == q["query_id"]).select("review_id").collect()}
-        rows.append((int(q["query_id"]), len(got & want) / max(len(want), 1), len(got)))
-    return index.sparkSession.createDataFrame(rows, "query_id long, recall double, n_returned int")
+    # unit (or zero) vectors are at most 2 apart: the threshold keeps every candidate
+    pairs = model.approxSimilarityJoin(qpts, pts, 2.0 + 1e-6, distCol="dist").select(
+        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.review_id").alias("review_id"), "dist")
+    w = Window.partitionBy("query_id").orderBy(F.col("dist"), F.col("review_id"))
+    got = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("query_id", "review_id")
+    want = exact.select(F.col("query_id").cast("long"), "review_id")
+    n_got = got.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_returned"))
+    n_want = want.groupBy("query_id").agg(F.count(F.lit(1)).alias("_nw"))
+    n_hit = got.join(want, ["query_id", "review_id"], "inner").groupBy("query_id").agg(F.count(F.lit(1)).alias("_nh"))
+    out = qpts.select("query_id").join(n_want, "query_id", "left").join(n_got, "query_id", "left") \
+        .join(n_hit, "query_id", "left")
+    return out.select("query_id",
+                      (F.coalesce(F.col("_nh"), F.lit(0)) / F.greatest(F.coalesce(F.col("_nw"), F.lit(0)), F.lit(1)))
+                      .cast("double").alias("recall"),
+                      F.coalesce(F.col("n_returned"), F.lit(0)).cast("int").alias("n_returned"))
 
 
 def vectors_as_features(df: DataFrame, vec: str = "vec") -> DataFrame:
