@@ -76,3 +76,18 @@ def test_block_scorer_matches_brute_force():
         assert sorted(zip(out.query_id, out.review_id, out.score)) == sorted(want)
 
     check()
+
+
+def test_ann_recall_self_queries(spark):
+    """A query equal to an indexed vector always shares its buckets and is at
+    distance 0, so recall@1 against the exact self hit is 1."""
+    from textlake.operators import clusters as CL
+    vecs = spark.createDataFrame([(i, [float((i * 7 + j) % 5) - 2.0 for j in range(8)]) for i in range(40)],
+                                 "review_id long, embedding array<double>")
+    idx = R.build_vector_index(vecs)
+    q = idx.where(F.col("review_id") < 6).select(F.col("review_id").alias("query_id"), "vec")
+    exact = R.semantic_search(idx, q, k=1)
+    rows = CL.ann_recall(idx, q, exact, k=1).collect()
+    assert len(rows) == 6
+    for r in rows:
+        assert r["n_returned"] == 1 and r["recall"] == 1.0
