@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textlake.llm.common import read_table
+from textlake.llm.common import held_out, read_table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -23,3 +24,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.bbit_minhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality_votes")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.quality_knn import learn, score_quality
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score_quality(docs, learn(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.secret_scan import scan_secrets, span_text
+
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = span_text(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+@query("op3_language_zstd")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.langid_zstd import train_and_identify
+
+    out = train_and_identify(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op5_winnowing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.winnow import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("item_ids")
