@@ -34,7 +34,7 @@ def letters(text: str | None) -> bytes:
 
 def _compressors(dictionaries: dict[str, bytes], level: int):
     out = []
-    for lang, content in sorted(dictionaries.items()):
+    for lang, content in dictionaries.items():
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=level)
         out.append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
@@ -47,7 +47,8 @@ def _sizes(body: bytes, compressors) -> list[int]:
 
 
 def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, bytes]:
-    """One dictionary per language from SAMPLE_DOCS rows at most, those of smallest id hash."""
+    """One dictionary per language from SAMPLE_DOCS rows at most, those of
+    smallest id hash; languages come by their number of rows, the most first."""
     keyed = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = F.xxhash64(key_col)
     ids = keyed.select(F.col(lang_col).alias("_l"), F.col(key_col).alias("_k")).distinct()
@@ -57,14 +58,15 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     parts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.o, r.text)):
         parts.setdefault(r.lang, []).append(letters(r.text))
-    return {lang: b" ".join(p)[:DICT_BYTES] for lang, p in parts.items() if any(p)}
+    count = dict(keyed.groupBy(F.col(lang_col).alias("l")).count().where(F.col("l").isin(list(parts))).collect())
+    return {lang: b" ".join(parts[lang])[:DICT_BYTES] for lang in sorted(parts, key=lambda x: (-count[x], x)) if any(parts[lang])}
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score, margin, rejected), one row per row of ``docs``.
 
-    ``lang_pred`` is the language of the smallest size (ties: the first by
-    name), ``und`` with score 0 if the text is null or has no letter, or if
+    ``lang_pred`` is the language of the smallest size (ties: the one
+    with more rows to learn from), ``und`` with score 0 if the text is null or has no letter, or if
     nothing was learned. ``margin`` is (second - best) / best, ``rejected``
     tells that it is under MARGIN; ``score`` grows with the saved bytes.
     """

@@ -59,3 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.winnow import contamination
 
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+@query("op6_token_frames")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from textlake.llm.token_frames import tokens_round_trip
+
+    return tokens_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
