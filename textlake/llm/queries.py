@@ -67,3 +67,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.token_frames import tokens_round_trip
 
     return tokens_round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_recurrent_lm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.language_model import score_documents
+
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 1))
+    return score_documents(docs, docs.where("NOT held_out"), keep=("held_out",))
