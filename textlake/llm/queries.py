@@ -75,3 +75,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 1))
     return score_documents(docs, docs.where("NOT held_out"), keep=("held_out",))
+
+
+@query("op7_kmeans_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.kmeans_tree import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
