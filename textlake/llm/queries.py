@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm.common import held_out, read_table
+from textlake.llm.line_chunks import SQL as line_chunks_sql
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -82,3 +83,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.kmeans_tree import nearest
 
     return nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+@query("op4_line_chunks", line_chunks_sql)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.line_chunks import remove_repeated_chunks
+
+    return remove_repeated_chunks(read_table(spark, sf_dir, "documents"))
