@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import held_out, read_table
 from textlake.llm.line_chunks import SQL as line_chunks_sql
+from textlake.llm.temperature_mix import SQL as temperature_mix_sql
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -90,3 +91,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.line_chunks import remove_repeated_chunks
 
     return remove_repeated_chunks(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_temperature_mix", temperature_mix_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.temperature_mix import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents"))
