@@ -22,7 +22,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,12 +75,11 @@ def _rows(lengths: list[int], whole: bool, bitmap=None):
                 marks = [_fingerprints(h[edge[r]:edge[r + 1]], lengths, whole) for r in range(j - i)]
                 if known is not None:
                     marks = [m[known[m & U((1 << MAP_BITS) - 1)] == 1] for m in marks]
-                kept = pa.array([len(m) > 0 for m in marks])
-                text = batch.column(2).slice(i, j - i)
+                kept = pa.array([i + r if len(m) else None for r, m in enumerate(marks)], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(edge)),
                      pa.array([m.view(np.int64) for m in marks], pa.list_(pa.int64())),
-                     pc.if_else(kept, text, pa.scalar(None, pa.string()))], schema=schema)
+                     batch.column(2).take(kept)], schema=schema)
     return rows
 
 
