@@ -121,22 +121,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(text.get(k), int(v)) for k, v in ids.itertuples(index=False, name=None)])
 
 
-def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score, predicted), one row per row of ``docs``; ``score`` in
+def score_quality(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep, score, predicted), one row per row of ``docs``; ``score`` in
     [0, 1] grows with quality. Null, empty and blank texts score the share of
-    label 1 in the sample. Only the text is looked at."""
+    label 1 in the sample. Only the text is looked at; the columns ``keep`` are
+    passed on, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    own = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
+    rows, n = docs.select(*own, F.col(text_col).alias("text")), len(own)
 
     def score(batches):
         feats = Features()
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
+            buf, offs = text_buffer(batch.column(n))
             for i, j in row_blocks(offs, 2 << 20):
                 for a in range(i, j, 512):
                     b = min(j, a + 512)
                     s = vote(sent.value, feats.rows(buf, offs[a:b + 1]))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s)], names=["id", "score"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(n)), pa.array(s)],
+                                                     names=[*(f"_{c}" for c in range(n)), "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, score double")
-    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text") + "score double"
+    out = rows.mapInArrow(score, shape)
+    back = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
+    return out.select(*back, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
