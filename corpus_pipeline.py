@@ -1,12 +1,87 @@
-"""Corpus pipeline; its stages are added with their operators."""
+"""Corpus pipeline: documents to token files, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and
+returns a DataFrame, which ``run`` writes as Parquet in the shared folder and
+reads again for the next stage. All but the last return the columns of
+``docs``. Rows are told apart by a hash of id and text, so null and repeated
+ids need no care from the caller.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textlake.llm.bbit_minhash import near_duplicates
+from textlake.llm.common import read_table, stage
+from textlake.llm.quality_knn import learn, score_quality
+from textlake.llm.temperature_mix import mix_sources
+from textlake.llm.token_frames import tokens_round_trip
+from textlake.llm.winnow import contamination
+
+KEY = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour vote accepts (score 0.3 or more)."""
+    model = learn(docs, read_table(spark, sf_dir, "labels"))
+    names = [f"_in_{i}" for i in range(len(docs.columns))]  # the operator's columns may clash with those of docs
+    scored = score_quality(docs.toDF(*names), model, text_col=names[docs.columns.index("text")], keep=tuple(names))
+    return scored.where("predicted = 1").select(*names).toDF(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest id.
+    Identical rows are one document; an id stays if any of its rows does."""
+    found = near_duplicates(docs)
+    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    rows = _keyed(docs.join(stage(gone, "copies"), "doc_id", "left_anti"))
+    again = stage(rows.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "repeated-rows")
+    out = rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates([KEY]))
+    return out.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    rows = _keyed(docs)
+    hit = contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=KEY).where("contaminated").select(KEY).distinct()
+    return rows.join(stage(hit, "contaminated"), KEY, "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, repeated as often as its source's weight asks for."""
+    rows = _keyed(docs)
+    uses = mix_sources(rows, id_col=KEY).groupBy(KEY).agg(F.count("*").alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
+    uses = stage(uses.select(KEY, F.round(F.col("n") / F.col("rows")).cast("int").alias("_uses")), "uses")
+    out = rows.join(uses, KEY).withColumn("_use", F.explode(F.sequence(F.lit(1), "_uses")))
+    return out.select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; (doc_id, start, n_tokens, ids_crc32) as read back from them."""
+    import public_tokenizers
+
+    return tokens_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near duplicates", near_copies),
+    ("benchmark decontamination", decontaminate),
+    ("temperature mixing", mix),
+    ("token files", token_files),
+]
 
-STAGES: list = []
+#: The first stage's model has no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
