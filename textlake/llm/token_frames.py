@@ -18,7 +18,6 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -29,9 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import shared_path, stage
+from textlake.llm.common import row_blocks, shared_path, stage, text_buffer
+from textlake.llm.words import Words
 
 PIECE = 1 << 20
+#: Bytes of text encoded at a time.
+BLOCK = 4 << 20
 LEVEL = 3
 END_ID = 0
 # Fixed values of the seekable format.
@@ -132,17 +134,20 @@ class FrameReader:
 
 # ---- tokens --------------------------------------------------------------
 
+#: White space of the pre-tokenizer, in UTF-8.
+_WS = rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
 #: A space inside a run of white space, or one that ends the text after white space.
-_INNER_SPACE = re.compile(r"\s \s|\s \Z")
-#: Characters of cached pieces after which the cache starts anew.
-CACHE_CHARS = 24_000_000
+_INNER_SPACE = re.compile(_WS + b" (?:" + _WS + rb"|\Z)")
+#: Pieces kept for lookup, about 30 bytes each, after which the table starts anew.
+KEPT = 3_000_000
 
 
 class Encoder:
-    """Ids of texts, by the tokenizers library. A byte-level BPE never joins
-    over the start of a blank that follows other text, so texts are encoded
-    by the pieces between blanks, and a piece seen before is looked up. Texts
-    with runs of white space, where that does not hold, are encoded whole."""
+    """Ids of texts, by the tokenizers library. A byte-level BPE joins nothing
+    over certain borders: before a blank that follows other text, and between
+    ASCII letters and ASCII marks. Texts are cut there, each distinct piece is
+    encoded once, and its ids are looked up after that by a 64-bit hash. Texts
+    with a blank inside a run of white space, where that border moves, are one piece."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -154,6 +159,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.hasher = Words(b"", fold_case=False)
+        code = np.arange(256)
+        self.space = (code == 32) | (code >= 9) & (code <= 13)
+        self.letter = (code >= 65) & (code <= 90) | (code >= 97) & (code <= 122)
+        self.mark = (code < 128) & ~self.letter & ~self.space & (code != 39)
         self._clear()
 
     @classmethod
@@ -164,73 +174,81 @@ class Encoder:
         return cls._loaded[path]
 
     def _clear(self):
-        self.places: dict[str, int] = {}
-        self.chars = self.n = 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 14, np.int64)
-
-    def _learn(self, pieces: list[str]):
-        """Pieces without inner white space are encoded in one text, a line feed between them."""
-        plain = [p for p in pieces if p and not p[1:].isspace() and len(p.split()) == 1 and not p[-1].isspace() and "\n" not in p]
-        other = sorted(set(pieces).difference(plain))
-        one = self.tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def _cuts(self, b: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Starts of the pieces of the rows that begin at ``rows`` in ``b``."""
+        cut = np.zeros(len(b), bool)
+        space, letter, mark = self.space[b], self.letter[b], self.mark[b]
+        blank = b == 32
+        cut[1:] = blank[1:] | letter[:-1] & (mark | space)[1:] | mark[:-1] & letter[1:]
+        cut[2:] |= letter[2:] & space[1:-1] & ~blank[1:-1] & (letter | mark)[:-2]
+        # Blanks after white space, or after what may end a longer white space, with such a thing behind them.
+        next_, prev = np.append(b[1:], 32), np.concatenate(([0], b[:-1]))
+        ends = np.zeros(len(b) + 1, bool)
+        ends[rows] = True
+        odd = np.flatnonzero(blank & (self.space[prev] | (prev >= 128) & (prev < 192)) & (self.space[next_] | (next_ == 0xC2) | (next_ >= 0xE1) & (next_ <= 0xE3) | ends[1:]))
+        bounds = np.append(rows, len(b))
+        for i in odd:
+            r = int(np.searchsorted(bounds, i, "right")) - 1
+            lo, hi = int(bounds[r]), int(bounds[r + 1])
+            if _INNER_SPACE.search(b[max(lo, i - 3):min(hi, i + 4)].tobytes()):  # an end of the slice counts as one of the text
+                cut[lo:hi] = False
+        cut[rows[rows < len(b)]] = True
+        return np.flatnonzero(cut)
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of ids of each piece). Pieces without inner
+        white space are encoded in one text, a line feed between them."""
+        plain = np.array([len(p.split()) == 1 and not p[-1].isspace() and not p[1:2].isspace() and "\n" not in p for p in pieces], bool)
+        if not plain.any():
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.array([t for x in got for t in x], np.uint32), np.array([len(x) for x in got], np.int64)
+        one = self.tokenizer.encode_batch_fast(["\n".join(p for p, k in zip(pieces, plain) if k)], add_special_tokens=False)[0].ids
         one = np.array(one, np.uint32)
         cuts = np.flatnonzero(one == self.line_feed)
-        if len(plain) and len(cuts) != len(plain) - 1:
-            plain, other, one, cuts = [], pieces, one[:0], cuts[:0]
-        size = np.diff(np.concatenate(([-1], cuts, [len(one)]))) - 1 if plain else cuts
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        ids = np.concatenate((np.delete(one, cuts), np.array([t for x in rest for t in x], np.uint32)))
-        pieces = plain + other
-        ends = self.bounds[self.n] + np.cumsum([*size, *map(len, rest)], dtype=np.int64)
-        while len(self.flat) < ends[-1]:
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.bounds) <= self.n + len(pieces):
-            self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
-        self.flat[self.bounds[self.n]:ends[-1]] = ids
-        self.bounds[self.n + 1:self.n + 1 + len(pieces)] = ends
-        self.places.update(zip(pieces, range(self.n, self.n + len(pieces))))
-        self.n += len(pieces)
-        self.chars += sum(map(len, pieces))
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, without an end id."""
-        if self.chars > CACHE_CHARS:
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([p for p, k in zip(pieces, plain) if not k], add_special_tokens=False)]
+        size = np.zeros(len(pieces), np.int64)
+        size[plain] = np.diff(np.concatenate(([-1], cuts, [len(one)]))) - 1
+        size[~plain] = [len(x) for x in rest]
+        out = np.empty(int(size.sum()), np.uint32)
+        which = np.repeat(plain, size)
+        out[which], out[~which] = np.delete(one, cuts), [t for x in rest for t in x]
+        return out, size
+
+    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts buf[offs[i]:offs[i+1]] end to end, and their bounds; no end ids."""
+        base = int(offs[0])
+        b, rows = buf[base:int(offs[-1])], offs - base
+        if not len(b):
+            return np.empty(0, np.uint32), np.zeros(len(offs), np.int64)
+        if len(self.keys) > KEPT:
             self._clear()
-        split: list[list[str] | None] = []
-        for t in texts:
-            if _INNER_SPACE.search(t):
-                split.append(None)
-            else:
-                split.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t])
-        new = {p for s in split if s for p in s if p not in self.places}
-        if new:
-            self._learn(sorted(new))
-        for t, s in zip(texts, split):
-            if s is None:
-                yield np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32)
-                continue
-            k = np.fromiter(map(self.places.__getitem__, s), np.int64, len(s))
-            lo, size = self.bounds[k], self.bounds[k + 1] - self.bounds[k]
-            shift = np.repeat(lo - (np.cumsum(size) - size), size)
-            yield self.flat[shift + np.arange(len(shift))]
+        starts = self._cuts(b, rows[:-1])
+        h = self.hasher.hash_spans(b, starts, np.append(starts[1:], len(b)))
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, u), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != u) if len(self.keys) else np.arange(len(u))
+        if len(new):
+            ends = np.append(starts[1:], len(b))
+            raw = b.tobytes()
+            ids, size = self._learn([raw[starts[i]:ends[i]].decode("utf-8", "replace") for i in first[new]])
+            slot = np.searchsorted(self.keys, u[new])
+            number = np.arange(len(self.keys), len(self.keys) + len(new), dtype=np.int32)
+            self.keys, self.place = np.insert(self.keys, slot, u[new]), np.insert(self.place, slot, number)
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
+            self.flat = np.concatenate((self.flat, ids))
+            at = np.searchsorted(self.keys, u)
+        k = self.place[at][back]
+        lo, size = self.bounds[k], self.bounds[k + 1] - self.bounds[k]
+        total = np.concatenate(([0], np.cumsum(size)))
+        out = self.flat[np.repeat(lo - total[:-1], size) + np.arange(total[-1])]
+        return out, total[np.searchsorted(starts, rows)]
 
 
 # ---- operators -----------------------------------------------------------
 
-def _text_batches(batch, most: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of about ``most`` characters each; null texts are empty."""
-    keys, texts, size = [], [], 0
-    for k, t in zip(batch.column(0), batch.column(1)):
-        keys.append(k.as_py()), texts.append(t.as_py() or "")
-        size += len(texts[-1])
-        if size >= most:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
-
-
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text (null: empty), append END_ID, and write the
     files. Returns the manifest: (shard, path, n_docs, n_ids) by file.
@@ -243,12 +261,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         path, writer, n_docs, n_ids = f"{folder}/ids-{pid:07d}.zst", None, 0, 0
         encoder = Encoder.load(tokenizer_path)
         for batch in batches:
-            for keys, texts in _text_batches(batch):
-                writer = writer or FrameWriter(path, encoder.width)
-                for key, ids in zip(keys, encoder.encode(texts)):
-                    ids = np.append(ids, np.uint32(END_ID))
-                    writer.add(key, ids)
-                    n_docs, n_ids = n_docs + 1, n_ids + len(ids)
+            buf, offs = text_buffer(batch.column(1))
+            keys = batch.column(0).to_pylist()
+            writer = writer or FrameWriter(path, encoder.width)
+            for i, j in row_blocks(offs, BLOCK):
+                ids, edge = encoder.encode(buf, offs[i:j + 1])
+                for r in range(j - i):
+                    own = np.append(ids[edge[r]:edge[r + 1]], np.uint32(END_ID))
+                    writer.add(keys[i + r], own)
+                    n_docs, n_ids = n_docs + 1, n_ids + len(own)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": [pid], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})

@@ -39,11 +39,12 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Words:
     """Finds and hashes the words of rows laid end to end in a byte buffer."""
 
-    def __init__(self, separators: bytes):
+    def __init__(self, separators: bytes, fold_case: bool = True):
         self.is_word = np.ones(256, bool)
         self.is_word[list(separators)] = False
         self.values = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
-        self.values[65:91] = self.values[97:123]
+        if fold_case:
+            self.values[65:91] = self.values[97:123]
         self.pow, self.inv = _powers(_P, BLOCK + 1), _powers(_PINV, BLOCK + 1)
 
     def find(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,6 +62,15 @@ class Words:
         s = np.concatenate(starts)
         return s, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(offs, s, "right") - 1
 
+    def hash_spans(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the spans b[starts[i]:ends[i]]."""
+        n = len(b)
+        if n >= len(self.pow):
+            self.pow, self.inv = _powers(_P, n + 1), _powers(_PINV, n + 1)
+        total = np.zeros(n + 1, U)
+        np.cumsum(self.values[b] * self.pow[:n], dtype=U, out=total[1:])
+        return mix((total[ends] - total[starts]) * self.inv[starts])
+
     def _cut(self, buf, offs, pos: int, end: int) -> int:
         """End of a piece of about BLOCK bytes that splits no word."""
         size = BLOCK
@@ -75,8 +85,6 @@ class Words:
 
     def _piece(self, b: np.ndarray, rows: np.ndarray):
         n = len(b)
-        if n >= len(self.pow):
-            self.pow, self.inv = _powers(_P, n + 1), _powers(_PINV, n + 1)
         w = self.is_word[b]
         first, last = w.copy(), w.copy()
         first[1:] &= ~w[:-1]
@@ -86,9 +94,7 @@ class Words:
         before = rows[rows > 0] - 1
         last[before] |= w[before]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        total = np.zeros(n + 1, U)
-        np.cumsum(self.values[b] * self.pow[:n], dtype=U, out=total[1:])
-        return s, e, mix((total[e] - total[s]) * self.inv[s])
+        return s, e, self.hash_spans(b, s, e)
 
 
 def kgrams(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
