@@ -19,46 +19,48 @@ from textlake.llm.temperature_mix import mix_sources
 from textlake.llm.token_frames import tokens_round_trip
 from textlake.llm.winnow import contamination
 
-KEY = "_pipeline_row"
+KEY, ID, TEXT, SOURCE = "row_key", "in_doc_id", "in_text", "in_source"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    """``docs`` with a row key, its own columns under a prefix, so that no name can clash."""
+    return docs.toDF(*(f"in_{c}" for c in docs.columns)).withColumn(KEY, F.xxhash64(ID, TEXT))
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(f"in_{c}" for c in docs.columns)).toDF(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote accepts (score 0.3 or more)."""
     model = learn(docs, read_table(spark, sf_dir, "labels"))
-    names = [f"_in_{i}" for i in range(len(docs.columns))]  # the operator's columns may clash with those of docs
-    scored = score_quality(docs.toDF(*names), model, text_col=names[docs.columns.index("text")], keep=tuple(names))
-    return scored.where("predicted = 1").select(*names).toDF(*docs.columns)
+    rows = _keyed(docs).drop(KEY)
+    return _restored(score_quality(rows, model, text_col=TEXT, keep=tuple(rows.columns)).where("predicted = 1"), docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id.
     Identical rows are one document; an id stays if any of its rows does."""
     found = near_duplicates(docs)
-    gone = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    rows = _keyed(docs.join(stage(gone, "copies"), "doc_id", "left_anti"))
+    gone = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ID)).agg(F.max("kept").alias("kept")).where("NOT kept").select(ID)
+    rows = _keyed(docs).join(stage(gone, "copies"), ID, "left_anti")
     again = stage(rows.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "repeated-rows")
-    out = rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates([KEY]))
-    return out.select(*docs.columns)
+    return _restored(rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates([KEY])), docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     rows = _keyed(docs)
-    hit = contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=KEY).where("contaminated").select(KEY).distinct()
-    return rows.join(stage(hit, "contaminated"), KEY, "left_anti").select(*docs.columns)
+    hit = contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col=KEY, text_col=TEXT).where("contaminated").select(KEY).distinct()
+    return _restored(rows.join(stage(hit, "contaminated"), KEY, "left_anti"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, repeated as often as its source's weight asks for."""
     rows = _keyed(docs)
-    uses = mix_sources(rows, id_col=KEY).groupBy(KEY).agg(F.count("*").alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
-    uses = stage(uses.select(KEY, F.round(F.col("n") / F.col("rows")).cast("int").alias("_uses")), "uses")
-    out = rows.join(uses, KEY).withColumn("_use", F.explode(F.sequence(F.lit(1), "_uses")))
-    return out.select(*docs.columns)
+    uses = mix_sources(rows, id_col=KEY, source_col=SOURCE, text_col=TEXT).groupBy(KEY).agg(F.count("*").alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
+    uses = stage(uses.select(KEY, F.round(F.col("n") / F.col("rows")).cast("int").alias("uses")), "uses")
+    return _restored(rows.join(uses, KEY).withColumn("use", F.explode(F.sequence(F.lit(1), "uses"))), docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
