@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import held_out
+from textlake.llm.common import held_out, stage
 
 #: Bounds of the fitted sample: documents per language, bytes of each, bytes of a dictionary.
 SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 400, 2048, 1 << 15
@@ -53,6 +53,7 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     order = F.xxhash64(key_col)
     ids = keyed.select(F.col(lang_col).alias("_l"), F.col(key_col).alias("_k")).distinct()
     ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k"))).where(f"_r <= {SAMPLE_DOCS}")
+    ids = stage(ids, "sample")  # so small a table is joined without a shuffle of the texts
     rows = keyed.join(ids, (keyed[lang_col] == ids["_l"]) & keyed[key_col].eqNullSafe(ids["_k"]), "left_semi")
     rows = rows.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(text_col, 1, DOC_BYTES).alias("text")).collect()
     parts: dict[str, list[bytes]] = {}
