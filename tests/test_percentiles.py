@@ -52,3 +52,20 @@ def test_fallback_when_bracket_misses(spark, monkeypatch):
     df = _data(spark, 3)
     monkeypatch.setattr(X, "MARGIN", -0.2)  # brackets that cannot hold the ranks
     _close(_got(df, ["g"]), _want(df, ["g"]))
+
+
+def test_equal_values_are_one_entry(spark):
+    """A column of five ratings, 40 % of them equal: what the window sees is
+    counts by value, however many rows there are."""
+    rows = spark.range(40_000).select(F.struct(F.lit(0).alias("_g")).alias("_k"),
+                                      F.when(F.col("id") % 5 < 2, 5.0).otherwise((F.col("id") % 4).cast("double")).alias("_v"))
+    whole = spark.range(3).select(F.struct(F.lit(0).alias("_g")).alias("_k"), F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("lo"),
+                                  F.lit(0).cast("long").alias("hi"), F.lit(0.0).alias("f"), F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b"))
+    assert X.bracket_counts(rows, whole).count() == 3 * 5
+    df = rows.select("_v").withColumnRenamed("_v", "v")
+    _close(_got(df, []), _want(df, []))
+
+
+def test_null_groups_keep_their_percentiles(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), (2, 5.0), (3, None)], "g int, v double")
+    _close(_got(df, ["g"]), _want(df, ["g"]))

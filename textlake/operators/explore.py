@@ -2,8 +2,8 @@
 
 Aggregates use Spark's partial (map-side) + final hash aggregation, so hot
 groups are combined before the shuffle. Percentiles are exact by default,
-computed by ``exact_percentiles`` (sketch bracket + rank of the bracket rows
-only, so no task holds a whole group); ``approx=True`` switches to
+computed by ``exact_percentiles`` (sketch bracket + counts by value inside it,
+so no task holds a whole group); ``approx=True`` switches to
 ``percentile_approx`` alone.
 """
 
@@ -72,21 +72,31 @@ def _moment_aggs(col: str, digits: int = 6) -> list[Column]:
     ]
 
 
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(_c, _x): one row per row and column, so several columns share one aggregate."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")).select("_s.*")
+
+
+def percentiles_of_columns(df: DataFrame, wanted: dict[str, tuple[str, float]], digits: int = 6) -> DataFrame:
+    """One row with an exact percentile per entry ``name -> (column, p)``."""
+    ps = sorted({p for _, p in wanted.values()})
+    q = exact_percentiles(_long(df, sorted({c for c, _ in wanted.values()})), ["_c"], "_x", ps, [f"_q{i}" for i in range(len(ps))])
+    return q.agg(*[F.round(F.max(F.when(F.col("_c") == c, F.col(f"_q{ps.index(p)}"))), digits).alias(n) for n, (c, p) in wanted.items()])
+
+
 def describe_cols(df: DataFrame, cols: list[str], approx: bool = False, digits: int = 6) -> DataFrame:
-    """A4: one row with describe statistics for every column. The moments are
-    one aggregate; exact quartiles come from ``exact_percentiles`` (one row
-    per column) read as scalar subqueries -- no join of one-row frames."""
+    """A4: one row with describe statistics for every column. The columns are
+    laid out as rows, so all moments are one aggregate by column name, and all
+    quartiles one run of ``exact_percentiles``."""
     if approx:
         return df.agg(*[a for c in cols for a in describe_aggs(c, True, digits)])
     from textlake.session import materialize
-    x = materialize(df.select(*cols))
-    base = x.agg(*[a for c in cols for a in _moment_aggs(c, digits)])
-    sel = []
-    for c in cols:
-        q = exact_percentiles(x, [], c, [p for _, p in _DESCRIBE_P], [f"{c}_{n}" for n, _ in _DESCRIBE_P])
-        got = {f"{c}_{n}": F.round(q.select(f"{c}_{n}").scalar(), digits).alias(f"{c}_{n}") for n, _ in _DESCRIBE_P}
-        sel += [got.get(name, F.col(name)) for name in _describe_order(c)]
-    return base.select(*sel)
+    x = materialize(_long(df, cols))
+    base = x.groupBy("_c").agg(*_moment_aggs("_x", digits))
+    names = [f"_x_{n}" for n, _ in _DESCRIBE_P]
+    q = exact_percentiles(x, ["_c"], "_x", [p for _, p in _DESCRIBE_P], names)
+    per = base.join(q.select("_c", *[F.round(n, digits).alias(n) for n in names]), "_c", "left")
+    return per.agg(*[F.max(F.when(F.col("_c") == c, F.col("_x" + name[len(c):]))).alias(name) for c in cols for name in _describe_order(c)])
 
 
 def describe_by_group(df: DataFrame, group: str, col: str, approx: bool = False, digits: int = 6) -> DataFrame:
@@ -197,68 +207,62 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
 # Exact percentiles without funnelling a group into one task.
 #
 # ``percentile`` keeps a counter per distinct value of a group in the task
-# that finalizes the group: a hot group with billions of distinct values is
-# one huge task. Instead (per group and target p, same definition as
-# ``percentile`` / linear interpolation between ranks floor and ceil of
-# p * (n - 1)):
+# that finalizes the group. Instead (per group and target p, same definition:
+# linear interpolation between ranks floor and ceil of p * (n - 1)):
 #   1. one aggregate: n and a bounded sketch (``percentile_approx``) giving a
 #      value bracket [a, b] around each target rank;
-#   2. one aggregate: rows below a and rows inside [a, b];
-#   3. only the rows inside the bracket (about 2 * MARGIN * n) are ranked, in
-#      a window partitioned by (group, p); rank = rows below + position.
-# Should a bracket miss its ranks (the sketch's error bound exceeded), that
-# (group, p) falls back to the whole group as bracket -- still exact.
+#   2. one aggregate by value over the rows up to b: all values below a are
+#      one entry, each distinct value in [a, b] another, with its count;
+#   3. counts are cumulated over those entries, and the entries that hold the
+#      two ranks give the result.
+# A value that fills a third of a group is a single entry in step 3, merged
+# map-side in step 2. Should a bracket miss its ranks (the sketch's error
+# bound exceeded), steps 2 and 3 are repeated for it without limits.
 SKETCH_ACCURACY = 100_000
 MARGIN = 4.0 / SKETCH_ACCURACY
-BROADCAST_GROUPS = 50_000
+
+
+def bracket_counts(x: DataFrame, brackets: DataFrame) -> DataFrame:
+    """(_k, i, lo, hi, f, _v, _c): rows of ``x`` (_k, _v) counted by value
+    inside each bracket (_k, i, lo, hi, f, a, b); the entry of the rows below it has a null value."""
+    per = brackets.groupBy("_k").agg(F.collect_list(F.struct("i", "lo", "hi", "f", "a", "b")).alias("_br"))
+    near = x.where(F.col("_v").isNotNull()).join(per, "_k").select(
+        "_k", "_v", F.explode(F.filter("_br", lambda s: F.col("_v") <= s["b"])).alias("s"))
+    value = F.when(F.col("_v") >= F.col("s.a"), F.col("_v"))
+    return near.groupBy("_k", "s.i", "s.lo", "s.hi", "s.f", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _ranked(counts: DataFrame) -> DataFrame:
+    """(_k, i, f, _vlo, _vhi): the values at the two ranks, null where the bracket misses one."""
+    w = Window.partitionBy("_k", "i").orderBy(F.col("_v").asc_nulls_first())
+    c = counts.withColumn("_upto", F.sum("_c").over(w))
+
+    def at(rank):
+        return F.max(F.when((F.col("_upto") > F.col(rank)) & (F.col("_upto") - F.col("_c") <= F.col(rank)), F.col("_v")))
+    return c.groupBy("_k", "i").agg(F.first("f").alias("f"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+                                    at("lo").alias("_vlo"), at("hi").alias("_vhi"))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], names: list[str]) -> DataFrame:
     """keys + one column per p (named by ``names``); null values are ignored,
     a group with no values gives nulls."""
-    keys2 = list(keys) if keys else ["_g"]
-    x = df.select(*([F.col(k) for k in keys] if keys else [F.lit(0).alias("_g")]),
-                  F.col(col).cast("double").alias("_v"))
+    from textlake.session import staged
     m = len(ps)
+    x = df.select(F.struct(*([F.col(k) for k in keys] or [F.lit(0).alias("_g")])).alias("_k"), F.col(col).cast("double").alias("_v"))
     pcts = [min(1.0, max(0.0, p + d)) for d in (-MARGIN, MARGIN) for p in ps]
-    from textlake.session import materialize
-    s1 = materialize(x.groupBy(*keys2).agg(F.count("_v").alias("_n"),
-                                           F.percentile_approx("_v", pcts, SKETCH_ACCURACY).alias("_ap")))
-    # one row per group: broadcast to the value rows only when the group count
-    # is checked to be small (else a shuffle join, skew split by AQE)
-    small = s1.count() <= BROADCAST_GROUPS
-    bc = F.broadcast if small else (lambda d: d)
-    xv = x.where(F.col("_v").isNotNull())
-    # 2. rows below / inside each bracket (one pass, partial aggregation)
-    j = xv.join(bc(s1), keys2, "inner")
-    cnt = j.groupBy(*keys2).agg(
-        *[F.count_if(F.col("_v") < F.col("_ap")[i]).alias(f"_cb{i}") for i in range(m)],
-        *[F.count_if((F.col("_v") >= F.col("_ap")[i]) & (F.col("_v") <= F.col("_ap")[m + i])).alias(f"_ci{i}")
-          for i in range(m)])
-    e = s1.join(cnt, keys2, "inner")
+    sketch = staged(x.groupBy("_k").agg(F.count("_v").alias("_n"), F.percentile_approx("_v", pcts, SKETCH_ACCURACY).alias("_ap")))
     specs = []
     for i, p in enumerate(ps):
         pos = F.lit(p) * (F.col("_n") - 1)
-        lo, hi = F.floor(pos).cast("long"), F.ceil(pos).cast("long")
-        ok = (F.col(f"_cb{i}") <= lo) & (hi < F.col(f"_cb{i}") + F.col(f"_ci{i}"))
-        specs.append(F.struct(
-            F.lit(i).alias("i"), pos.alias("pos"), lo.alias("lo"), hi.alias("hi"),
-            F.when(ok, F.col("_ap")[i]).otherwise(F.lit(float("-inf"))).alias("a"),
-            F.when(ok, F.col("_ap")[m + i]).otherwise(F.lit(float("inf"))).alias("b"),
-            F.when(ok, F.col(f"_cb{i}")).otherwise(F.lit(0).cast("long")).alias("base")))
-    br = e.select(*keys2, F.array(*specs).alias("_br"))
-    # 3. rank only the bracket rows; a row joins the brackets that contain it
-    inside = xv.join(bc(br), keys2, "inner").select(
-        *keys2, "_v", F.explode(F.filter("_br", lambda s: (s["a"] <= F.col("_v")) & (F.col("_v") <= s["b"]))).alias("s"))
-    w = Window.partitionBy(*keys2, F.col("s.i")).orderBy("_v")
-    ranked = inside.select(*keys2, "_v", "s", (F.col("s.base") + F.row_number().over(w) - 1).alias("_r")) \
-        .where((F.col("_r") == F.col("s.lo")) | (F.col("_r") == F.col("s.hi")))
-    vals = ranked.groupBy(*keys2, F.col("s.i").alias("i")).agg(
-        F.max(F.when(F.col("_r") == F.col("s.lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_r") == F.col("s.hi"), F.col("_v"))).alias("_vhi"),
-        F.first(F.col("s.pos") - F.col("s.lo")).alias("_f"))
-    vals = vals.select(*keys2, "i", (F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
-    wide = vals.groupBy(*keys2).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(nm)
-                                      for i, nm in enumerate(names)])
-    out = s1.select(*keys2).join(wide, keys2, "left")
-    return out.drop("_g") if not keys else out
+        lo = F.floor(pos).cast("long")
+        specs.append(F.struct(F.lit(i).alias("i"), lo.alias("lo"), F.ceil(pos).cast("long").alias("hi"), (pos - lo).alias("f"),
+                              F.col("_ap")[i].alias("a"), F.col("_ap")[m + i].alias("b")))
+    brackets = sketch.where("_n > 0").select("_k", F.inline(F.array(*specs)))
+    first = staged(_ranked(bracket_counts(x, brackets)))
+    found = F.col("_vlo").isNotNull() & F.col("_vhi").isNotNull()
+    missed = brackets.drop("a", "b").join(first.where(found).select("_k", "i"), ["_k", "i"], "left_anti")
+    wide = staged(missed.withColumn("a", F.lit(float("-inf"))).withColumn("b", F.lit(float("inf"))))
+    vals = first.where(found).unionByName(_ranked(bracket_counts(x, wide)))
+    vals = vals.select("_k", "i", (F.col("_vlo") + F.col("f") * (F.col("_vhi") - F.col("_vlo"))).alias("_q"))
+    out = vals.groupBy("_k").agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)])
+    return sketch.select("_k").join(out, "_k", "left").select(*[F.col(f"_k.{k}").alias(k) for k in keys], *names)

@@ -117,9 +117,7 @@ def corr_matrix(spark, sf):
 def p95(spark, sf):
     from textlake.session import materialize
     f = materialize(_features(spark, sf).select("char_total", "ttr"))
-    a = X.exact_percentiles(f, [], "char_total", [0.95], ["p95_chars"])
-    b = X.exact_percentiles(f, [], "ttr", [0.95], ["p95_ttr"])
-    return a.select(F.round("p95_chars", 6).alias("p95_chars"), F.round(b.select("p95_ttr").scalar(), 6).alias("p95_ttr"))
+    return X.percentiles_of_columns(f, {"p95_chars": ("char_total", 0.95), "p95_ttr": ("ttr", 0.95)})
 
 
 @register("box_stats", "agg", with_ctes("""

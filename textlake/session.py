@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,8 +56,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as is.
-    Only when it is unset (tests, laptops) a scratch folder is created.
+    On a cluster this setting must point at shared storage and is used as is.
+    Only a local session that has none gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +65,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textlake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -83,6 +86,15 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def staged(df):
+    """Write ``df`` as Parquet in the shared folder and read it back. Unlike a
+    checkpoint its size is known to the planner, which so chooses the join."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/staged-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread_small_input(df):
     """Give an input with fewer splits than the cluster has cores a
     round-robin repartition, so row-local heavy work (tokenizing long texts)
