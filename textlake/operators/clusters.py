@@ -29,12 +29,12 @@ def kmeans_scores(points: DataFrame, k: int, seed: int = 42) -> dict:
     spark = points.sparkSession
     cents = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
                                   "cluster int, c array<double>")  # k rows
-    p = pred.select("cluster", vector_to_array("features").alias("x")).join(F.broadcast(cents), "cluster")
+    p = pred.select("cluster", vector_to_array("features").alias("x")).join(cents, "cluster")
     diff = F.zip_with("x", "c", lambda a, b: (a - b) * (a - b))
     p = p.withColumn("d2", F.aggregate(diff, F.lit(0.0), lambda s, v: s + v))
     per = p.groupBy("cluster").agg(F.avg(F.sqrt("d2")).alias("s"), F.count(F.lit(1)).alias("n"),
                                    F.sum("d2").alias("wss"))
-    per = per.join(F.broadcast(cents), "cluster").collect()  # k rows
+    per = per.join(cents, "cluster").collect()  # k rows
     c = {r["cluster"]: np.array(r["c"]) for r in per}
     s = {r["cluster"]: r["s"] for r in per}
     n = {r["cluster"]: r["n"] for r in per}
@@ -64,7 +64,7 @@ def cluster_top_terms(weights: DataFrame, assignments: DataFrame, n: int = 10, i
     """Mean TF-IDF weight per (cluster, term); top ``n`` terms per cluster."""
     j = weights.join(assignments.select(id_col, "cluster"), id_col)
     size = assignments.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
-    agg = j.groupBy("cluster", "term").agg(F.sum("weight").alias("_s")).join(F.broadcast(size), "cluster")
+    agg = j.groupBy("cluster", "term").agg(F.sum("weight").alias("_s")).join(size, "cluster")
     agg = agg.withColumn("mean_weight", F.round(F.col("_s") / F.col("_n"), 6))
     w = Window.partitionBy("cluster").orderBy(F.col("mean_weight").desc(), F.col("term"))
     return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n) \
@@ -97,7 +97,7 @@ def lda_topics(counts: DataFrame, vocab: list[str], k: int = 5, n_terms: int = 8
     ex = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "tw"))
     ex = ex.select("topic", (F.col("rank") + 1).alias("rank"), F.col("tw.termIndices").alias("term_index"),
                    F.round(F.col("tw.termWeights"), 6).alias("weight"))
-    return ex.join(F.broadcast(vb), "term_index").select("topic", "rank", "term", "weight")
+    return ex.join(vb, "term_index").select("topic", "rank", "term", "weight")
 
 
 def ann_recall(index: DataFrame, queries: DataFrame, exact: DataFrame, k: int = 10,

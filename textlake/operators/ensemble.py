@@ -29,7 +29,7 @@ def weighted_vote(preds: DataFrame, weights: DataFrame) -> DataFrame:
 
     The vote table is aggregated per (review, class) before ranking, so a
     review's group never holds more than k rows."""
-    votes = preds.join(F.broadcast(weights.select("model", "weight")), "model", "inner")
+    votes = preds.join(weights.select("model", "weight"), "model", "inner")
     tot = votes.groupBy("review_id", "label", "pred").agg(F.sum("weight").alias("score"))
     w = Window.partitionBy("review_id").orderBy(F.col("score").desc(), F.col("pred"))
     return (tot.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)

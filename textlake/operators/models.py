@@ -43,7 +43,7 @@ def with_balanced_weights(f: DataFrame, cls: str = "label") -> DataFrame:
     counts = f.groupBy(cls).agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     counts = counts.select(cls, (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("w"))
-    return f.join(F.broadcast(counts), cls, "inner")
+    return f.join(counts, cls, "inner")
 
 
 def feature_stages(vocab: int = 10_000, min_df: int = 5, with_text: bool = True) -> list:
@@ -160,7 +160,7 @@ def stacking(probs: DataFrame) -> DataFrame:
     counts = sp.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
     w = Window.partitionBy()
     counts = counts.select("label", (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("w"))
-    sp = materialize(sp.join(F.broadcast(counts), "label"))
+    sp = materialize(sp.join(counts, "label"))
     cols = [f"{m}_{i}" for m in models for i in range(K)]
     pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"),
                             LogisticRegression(family="multinomial", weightCol="w", maxIter=100, regParam=0.001)])

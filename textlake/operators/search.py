@@ -22,7 +22,6 @@ query weights and summed per (query, doc): sparse cosine similarity.
 from __future__ import annotations
 
 import math
-import time
 
 import numpy as np
 import pandas as pd
@@ -98,7 +97,7 @@ def _scorer(bq, k: int, id_col: str, threshold: float | None):
             for lo in range(0, len(all_ids), step):
                 ids = all_ids[lo:lo + step]
                 mat = np.stack(vecs[lo:lo + step]).astype(np.float64)
-                block = np.round(mat @ qmat.T, DIGITS)
+                block = np.round(mat @ qmat.T, DIGITS) + 0.0  # no negative zero
                 if threshold is not None:
                     block[block < threshold] = -np.inf
                 c, sc, i = _block_candidates(block, ids, k)
@@ -129,7 +128,7 @@ def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     corpus = index.select(id_col, "vec")
     parts = []
     for p in range(passes):
-        chunk = q if passes == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
+        chunk = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
         rows = chunk.collect()  # bounded: at most MAX_BROADCAST_BYTES of query vectors
         qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
         qmat = np.array([r["vec"] for r in rows], dtype=np.float64)
@@ -167,19 +166,3 @@ def lexical_search(model: TX.TfidfModel, queries: DataFrame, k: int = 10, id_col
               .where(F.col("score") > 0))
     w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col))
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def overlap_at_k(a: DataFrame, b: DataFrame, id_col: str = "review_id") -> DataFrame:
-    """Jaccard overlap of two engines' hit sets per query."""
-    x = a.select("query_id", id_col).withColumn("in_a", F.lit(1))
-    y = b.select("query_id", id_col).withColumn("in_b", F.lit(1))
-    j = x.join(y, ["query_id", id_col], "full_outer")
-    return j.groupBy("query_id").agg(
-        F.round(F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()) / F.count(F.lit(1)), 6)
-        .alias("jaccard"))
-
-
-def timed(fn, *args, **kwargs):
-    t0 = time.time()
-    out = fn(*args, **kwargs)
-    return out, time.time() - t0

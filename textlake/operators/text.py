@@ -6,8 +6,8 @@ what a shuffle handles well:
 
     explode terms  -> (doc, term) counts      partial+final aggregate
     per term       -> df, corpus frequency    partial+final aggregate
-    vocabulary     -> min_df, top max_features (TakeOrderedAndProject; the
-                      result is bounded by max_features, so it is broadcast)
+    vocabulary     -> min_df, top max_features (TakeOrderedAndProject); the
+                      join with the counts is left to adaptive execution
     weights        -> tf * idf, L2 norm per document (window per document,
                       bounded by the document's distinct terms)
 
@@ -30,8 +30,6 @@ from pyspark.sql import Window
 
 from textlake.functions.text import WORD_PATTERN
 
-MAX_BROADCAST_VOCAB = 200_000
-
 
 @functools.lru_cache(maxsize=None)
 def english_stop_words() -> tuple[str, ...]:
@@ -111,7 +109,6 @@ class TfidfModel:
     id_col: str
     ngram_range: tuple[int, int]
     stop_words: tuple[str, ...] | None
-    bounded: bool         # vocabulary size bounded by max_features
 
 
 def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "text",
@@ -125,10 +122,8 @@ def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "tex
         stats = stats.orderBy(F.col("freq").desc(), F.col("term")).limit(max_features)
     n = n_docs.scalar()  # scalar subquery: corpus size, evaluated once
     vocab = stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    bounded = bool(max_features) and max_features <= MAX_BROADCAST_VOCAB
-    v = F.broadcast(vocab) if bounded else vocab
-    weights = _weights(tf, v, id_col, digits)
-    return TfidfModel(vocab, weights, n_docs, id_col, tuple(ngram_range), stop_words, bounded)
+    weights = _weights(tf, vocab, id_col, digits)
+    return TfidfModel(vocab, weights, n_docs, id_col, tuple(ngram_range), stop_words)
 
 
 def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, digits: int | None) -> DataFrame:
@@ -145,8 +140,7 @@ def transform_tfidf(model: TfidfModel, df: DataFrame, id_col: str, text_col: str
     """Weights of new texts (queries) under a fitted vocabulary; unknown terms
     are ignored before normalization."""
     tf = term_counts(df, id_col, text_col, model.ngram_range, model.stop_words)
-    v = F.broadcast(model.vocab) if model.bounded else model.vocab
-    return _weights(tf, v, id_col, digits)
+    return _weights(tf, model.vocab, id_col, digits)
 
 
 def top_terms_per_group(df: DataFrame, group: str, text_col: str, n: int, ngram_range=(2, 2),

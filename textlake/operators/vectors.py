@@ -38,7 +38,8 @@ def group_means(df: DataFrame, group: str, vec: str) -> DataFrame:
 def mean_cosine_between_groups(unit: DataFrame, group: str, vec: str, digits: int = 6) -> DataFrame:
     """Mean pairwise cosine between every two groups (incl. a group with itself)."""
     sums = group_sums(unit, group, vec)
-    # one row holding the per-group sums; its size is bounded by the group domain
+    if sums.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: their pairs are not a table to read")
     allg = sums.agg(F.collect_list(F.struct(F.col(group).alias("g"), "sum", "n")).alias("gs"))
     pairs = allg.select(F.explode(F.flatten(F.transform(
         "gs", lambda a: F.transform("gs", lambda b: F.struct(

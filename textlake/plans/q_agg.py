@@ -90,14 +90,13 @@ def describe_ttr_by_rating(spark, sf):
 
 
 @register("class_share", "agg", with_ctes("""
-    SELECT target_class, round(coalesce(100.0 * n / nullif(sum(n) OVER (), 0), 0), 6) AS share
-    FROM (SELECT CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro' ELSE 'Positivo' END
-                 AS target_class, count(*) AS n FROM clean GROUP BY 1)""", "clean"))
+    SELECT t.target_class, round(coalesce(100.0 * n / nullif(sum(n) OVER (), 0), 0), 6) AS share
+    FROM (VALUES ('Negativo'), ('Neutro'), ('Positivo')) t(target_class) LEFT JOIN (SELECT CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro' ELSE 'Positivo' END
+                 AS target_class, count(*) AS n FROM clean GROUP BY 1) c USING (target_class)""", "clean"))
 def class_share(spark, sf):
     c = _clean(spark, sf).withColumn("target_class", L.target_class("rating"))
     return c.agg(*[F.round(X.class_share(c, "target_class", lab), 6).alias(lab) for lab in L.CLASS_LABELS]) \
-        .selectExpr("stack(3, 'Negativo', Negativo, 'Neutro', Neutro, 'Positivo', Positivo) AS (target_class, share)") \
-        .where(F.col("share") > 0)
+        .selectExpr("stack(3, 'Negativo', Negativo, 'Neutro', Neutro, 'Positivo', Positivo) AS (target_class, share)")
 
 
 _CORR_COLS = ["rating", "char_total", "mayusculas_count", "exclamacion_count", "total_tokens", "ttr"]

@@ -61,19 +61,16 @@ def attach_timestamp_fanout(spark, sf):
 
 @register("products_in_reviews", "join", with_ctes(
     "SELECT parent_asin, main_category FROM products p WHERE EXISTS "
-    "(SELECT 1 FROM reviews r WHERE r.parent_asin = p.parent_asin AND r.rating <= 2)", "products", "reviews"))
+    "(SELECT 1 FROM reviews r WHERE r.parent_asin = p.parent_asin)", "products", "reviews"))
 def products_in_reviews(spark, sf):
-    # products that received at least one negative review
-    r = V.reviews(spark, sf).where(F.col("rating") <= 2)
-    return J.products_in_reviews(V.products(spark, sf), r).select("parent_asin", "main_category")
+    return J.products_in_reviews(V.products(spark, sf), V.reviews(spark, sf)).select("parent_asin", "main_category")
 
 
 @register("unreviewed_products", "join", with_ctes(
     "SELECT parent_asin, main_category FROM products p WHERE NOT EXISTS "
-    "(SELECT 1 FROM reviews r WHERE r.parent_asin = p.parent_asin AND r.rating <= 2)", "products", "reviews"))
+    "(SELECT 1 FROM reviews r WHERE r.parent_asin = p.parent_asin)", "products", "reviews"))
 def unreviewed_products(spark, sf):
-    r = V.reviews(spark, sf).where(F.col("rating") <= 2)
-    return J.unreviewed_products(V.products(spark, sf), r).select("parent_asin", "main_category")
+    return J.unreviewed_products(V.products(spark, sf), V.reviews(spark, sf)).select("parent_asin", "main_category")
 
 
 @register("align_by_id", "join", """

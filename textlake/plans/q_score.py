@@ -165,14 +165,14 @@ def threshold_best(spark, sf):
 
 
 @register("argmax_confidence_map", "score", with_ctes("""
-    SELECT review_id, ['Negativo', 'Neutro', 'Positivo'][pred + 1] AS sentiment, pred AS sentiment_code,
+    SELECT model, review_id, ['Negativo', 'Neutro', 'Positivo'][pred + 1] AS sentiment, pred AS sentiment_code,
            round(list_max(proba), 4) AS confidence,
            map(['Negativo', 'Neutro', 'Positivo'], list_transform(proba, lambda x: round(x, 4))) AS probabilities
-    FROM pr WHERE model = 'm_a'""", "probs", extra=[_PRED]))
+    FROM pr""", "probs", extra=[_PRED]))
 def argmax_confidence_map(spark, sf):
     from textlake.functions import labels as L
-    p = _preds(spark, sf).where(F.col("model") == "m_a")
-    return p.select("review_id", L.code_to_label("pred").alias("sentiment"), F.col("pred").alias("sentiment_code"),
+    p = _preds(spark, sf)
+    return p.select("model", "review_id", L.code_to_label("pred").alias("sentiment"), F.col("pred").alias("sentiment_code"),
                     VF.confidence("proba", 4).alias("confidence"),
                     VF.prob_map("proba", L.CLASS_LABELS, 4).alias("probabilities"))
 

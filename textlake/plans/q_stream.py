@@ -92,9 +92,9 @@ def drift_positive_share(spark, sf):
     SELECT window_start, n, round(c, 6) AS mean_confidence,
            round(c - lag(c) OVER (ORDER BY window_start), 6) AS delta, c >= 0.75 AS above_floor
     FROM (SELECT time_bucket(INTERVAL 1 day, e.ts) AS window_start, avg(list_max(p.proba)) AS c, count(*) AS n
-          FROM probs p JOIN events e ON e.event_id = p.review_id WHERE p.model = 'm_a' GROUP BY 1)""", "probs"))
+          FROM probs p JOIN events e ON e.event_id = p.review_id GROUP BY 1)""", "probs"))
 def drift_confidence(spark, sf):
-    p = V.probs(spark, sf).where(F.col("model") == "m_a")
+    p = V.probs(spark, sf)
     ev = _events(spark, sf).select(F.col("event_id").alias("review_id"), "ts")
     scored = p.join(ev, "review_id", "inner").withColumn("confidence", F.array_max("proba"))
     return Z.confidence_drift(scored)

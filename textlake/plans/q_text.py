@@ -219,22 +219,25 @@ _ENGINE_CTES = [
     ("sem", """SELECT query_id, review_id, score, rank FROM (
                  SELECT query_id, review_id, score,
                         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
-                 FROM (SELECT q.id AS query_id, d.id AS review_id, round(sum(q.v * d.v), 6) AS score
-                       FROM hq q JOIN hd d USING (b) GROUP BY ALL))
-               WHERE rank <= 3 AND score > 0"""),
+                 FROM (SELECT q.query_id, r.review_id, coalesce(s.score, 0.0) AS score
+                       FROM (SELECT item_id AS query_id FROM benchmark WHERE trim(text) <> '') q JOIN reviews r ON true
+                       LEFT JOIN (SELECT q.id AS query_id, d.id AS review_id, round(sum(q.v * d.v), 6) + 0.0 AS score
+                                  FROM hq q JOIN hd d USING (b) GROUP BY ALL) s
+                       ON s.query_id = q.query_id AND s.review_id = r.review_id))
+               WHERE rank <= 3"""),
 ]
 
 
 @register("embed_texts", "text", with_ctes(
-    "SELECT id AS review_id, CAST(count(*) AS BIGINT) AS nnz, round(sum(v * v), 6) AS sq_norm FROM hd GROUP BY id",
+    "SELECT review_id, count(id) AS nnz, coalesce(round(sum(v * v), 6), 0.0) AS sq_norm FROM reviews LEFT JOIN hd ON id = review_id "
+    "GROUP BY review_id",
     "reviews", extra=_ENGINE_CTES[:1]))
 def embed_texts(spark, sf):
     from textlake.operators.encode import hash_embed
     e = hash_embed(V.reviews(spark, sf).select("review_id", "text"), "review_id", "text")
     nnz = F.size(F.filter("embedding", lambda x: x != 0))
     sq = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    return e.select("review_id", nnz.cast("bigint").alias("nnz"), F.round(sq, 6).alias("sq_norm")) \
-        .where(F.col("nnz") > 0)
+    return e.select("review_id", nnz.cast("bigint").alias("nnz"), F.round(sq, 6).alias("sq_norm"))
 
 
 def _engines(spark, sf):
@@ -243,16 +246,18 @@ def _engines(spark, sf):
     bench = read_table(spark, sf, "benchmark", ["item_id", "text"]).where(F.trim("text") != "")
     idx = R.build_vector_index(hash_embed(reviews, "review_id", "text"))
     q = hash_embed(bench, "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
-    sem = R.semantic_search(idx, q, k=3).where(F.col("score") > 0)
+    sem = R.semantic_search(idx, q, k=3)
     model = R.build_lexical_index(reviews)
     lex = R.lexical_search(model, bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k=3)
     return sem, lex
 
 
 @register("compare_engines", "text", with_ctes("""
-    SELECT 'semantic' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM sem
-    UNION ALL
-    SELECT 'lexical' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM lex""",
+    SELECT e.*, left(r.text, 120) || '...' AS snippet FROM (
+      SELECT 'semantic' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM sem
+      UNION ALL
+      SELECT 'lexical' AS engine, query_id, rank, review_id, round(score, 4) AS score FROM lex) e
+    JOIN reviews r USING (review_id)""",
     "reviews", extra=_ENGINE_CTES + _LEX_CTES + [("lex", """
     SELECT query_id, review_id, score, rank FROM (
       SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
@@ -260,11 +265,12 @@ def _engines(spark, sf):
             GROUP BY query_id, review_id) WHERE score > 0)
     WHERE rank <= 3""")]))
 def compare_engines(spark, sf):
-    """Top-3 of both engines side by side for the same text queries."""
+    """Top-3 of both engines side by side for the same text queries, with snippets."""
+    from textlake.functions.text import snippet
     sem, lex = _engines(spark, sf)
     cols = ["query_id", "rank", "review_id", F.round("score", 4).alias("score")]
-    return sem.select(F.lit("semantic").alias("engine"), *cols).unionByName(
-        lex.select(F.lit("lexical").alias("engine"), *cols))
+    hits = sem.select(F.lit("semantic").alias("engine"), *cols).unionByName(lex.select(F.lit("lexical").alias("engine"), *cols))
+    return R.hits_to_docs(hits, V.reviews(spark, sf).select("review_id", snippet("text", 120).alias("snippet")))
 
 
 @register("search_hits_docs", "text", with_ctes("""

@@ -17,19 +17,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
            CAST(CASE WHEN d.doc_id % 10 < 4 THEN 5 WHEN d.doc_id % 10 < 6 THEN 4
                      WHEN d.doc_id % 10 = 6 THEN 3 WHEN d.doc_id % 10 = 7 THEN 2
                      ELSE 1 END AS DOUBLE) AS rating,
-           CAST(d.doc_id % 250 AS VARCHAR) AS parent_asin,
+           CASE WHEN d.doc_id % 13 = 0 THEN 'x' ELSE '' END || CAST(d.doc_id // 4 AS VARCHAR) AS parent_asin,
            d.doc_id % 11 <> 0 AS verified_purchase,
            d.doc_id % 7 AS helpful_vote,
            epoch_us(e.ts) // 1000 AS "timestamp",
            e.ts AS ts
-    FROM documents d JOIN events e ON e.event_id = d.doc_id"""),
+    FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id"""),
     "products": ((), r"""
     SELECT CAST(p_partkey AS VARCHAR) AS parent_asin, p_name AS title, p_brand AS main_category,
            CASE WHEN p_partkey % 17 = 0 THEN 'n/a'
                 WHEN p_partkey % 19 = 0 THEN 'from $' || CAST(p_retailprice AS VARCHAR)
                 ELSE '$' || CAST(p_retailprice AS VARCHAR) END AS price,
            '["Office Products", "' || p_type || '"]' AS categories
-    FROM part WHERE p_partkey < 200"""),
+    FROM part"""),
     "clean": (("reviews", "products"), r"""
     SELECT r.parent_asin, r.review_id, r.text, r.rating, r."timestamp", m.main_category
     FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY review_id) AS rn_

@@ -93,15 +93,3 @@ def staged(df):
     path = f"{checkpoint_root(spark)}/staged-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread_small_input(df):
-    """Give an input with fewer splits than the cluster has cores a
-    round-robin repartition, so row-local heavy work (tokenizing long texts)
-    runs in parallel. Inputs that already have enough splits -- every large
-    table -- are returned unchanged, so no shuffle is added at scale."""
-    sc = df.sparkSession.sparkContext
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df

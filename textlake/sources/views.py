@@ -1,10 +1,10 @@
 """Adapters that present the driver's test tables as the review corpus.
 
-``reviews``  documents joined to events (one event per document id):
+``reviews``  documents with the event of their id, if there is one:
              review_id, title, text, rating, parent_asin, verified_purchase,
              helpful_vote, timestamp (epoch ms), ts
-``products`` part rows with key < 200: parent_asin, title, main_category,
-             price (text), categories (JSON text)
+``products`` all part rows: parent_asin, title, main_category, price (text),
+             categories (JSON text)
 ``vectors``  embeddings scaled by 1 + vec_id % 3 (so normalization matters)
 ``probs``    three "models": softmax of embedding dims 1-3, 4-6, 7-9 with
              label = label % 3
@@ -19,20 +19,19 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.functions import vectors as V
-from textlake.session import spread_small_input
 from textlake.sources.tables import read_table
 
-# Fixed values of the adapter: rating by last digit of the document id.
+# Fixed values of the adapter: rating by last digit of the document id; four
+# reviews a product, and every 13th review of a product that is not listed.
 RATING_BY_LAST_DIGIT = [5.0, 5.0, 5.0, 5.0, 4.0, 4.0, 3.0, 2.0, 1.0, 1.0]
-N_ASINS = 250
-N_PRODUCTS = 200
+REVIEWS_PER_PRODUCT, UNLISTED = 4, 13
 MODELS = ["m_a", "m_b", "m_c"]
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_small_input(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     events = read_table(spark, sf_dir, "events", ["event_id", "ts"])
-    joined = docs.join(events, docs.doc_id == events.event_id, "inner")
+    joined = docs.join(events, docs.doc_id == events.event_id, "left")
     digit = (F.col("doc_id") % 10).cast("int")
     rating = F.element_at(F.array(*[F.lit(x) for x in RATING_BY_LAST_DIGIT]), digit + 1)
     return joined.select(
@@ -40,7 +39,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.title_of("text").alias("title"),
         F.col("text"),
         rating.alias("rating"),
-        (F.col("doc_id") % N_ASINS).cast("string").alias("parent_asin"),
+        F.concat(F.when(F.col("doc_id") % UNLISTED == 0, F.lit("x")).otherwise(F.lit("")),
+                 F.expr(f"doc_id DIV {REVIEWS_PER_PRODUCT}").cast("string")).alias("parent_asin"),
         (F.col("doc_id") % 11 != 0).alias("verified_purchase"),
         (F.col("doc_id") % 7).alias("helpful_vote"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
@@ -50,7 +50,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
-    return part.where(F.col("p_partkey") < N_PRODUCTS).select(
+    return part.select(
         F.col("p_partkey").cast("string").alias("parent_asin"),
         F.col("p_name").alias("title"),
         F.col("p_brand").alias("main_category"),
