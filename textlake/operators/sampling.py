@@ -133,15 +133,23 @@ def sample_per_chunk(df: DataFrame, ordinal: str, chunk: int, per_chunk: int,
             .where(F.col("_rn") <= per_chunk).drop("_chunk", "_rn"))
 
 
-def quota_head(df: DataFrame, cls: str, ordinal: str, q: int) -> DataFrame:
-    """M4: the first ``q`` rows per class in arrival (ordinal) order.
-
-    The ordinal is zero-padded so that its text order is its numeric order;
-    the bucketed ranking then works on it exactly as on an md5 key.
-    """
-    key = F.lpad(F.col(ordinal).cast("string"), 20, "0")
-    seg = rank_segments(df, [cls], ordinal, lambda n, nmin: [F.lit(q)], key=key, hex_digits=16)
-    return seg.where(F.col("_seg") == 0).drop("_seg")
+def quota_head(df: DataFrame, cls: str, ordinal: str, q) -> DataFrame:
+    """M4: the first ``q`` rows per class in arrival (ordinal) order; ``q`` is
+    a number or the name of a column that is constant in a class.
+
+    A sketch per class gives edges at shares 1e-5, 2e-5, 4e-5, ... of its rows;
+    only rows up to the first edge that surely has ``q`` rows below it are
+    ranked, about 2 * q of them, whatever the ordinals' size, sign or gaps."""
+    from textlake.session import staged
+    want = F.max(F.col(q)) if isinstance(q, str) else F.lit(q)
+    accuracy, shares = 100_000, [min(1.0, 1e-5 * 2 ** k) for k in range(18)]
+    edges = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"), want.alias("_q"), F.percentile_approx(ordinal, shares, accuracy).alias("_e"))
+    enough = F.filter(F.arrays_zip(F.col("_e").alias("e"), F.array(*[F.lit(s) for s in shares]).alias("s")),
+                      lambda x: (x["s"] - 1.0 / accuracy) * F.col("_n") - 1 >= F.col("_q"))
+    edges = staged(edges.select(cls, "_q", F.get(enough, 0)["e"].alias("_bound")))
+    near = df.join(edges, cls).where(F.col("_bound").isNull() | (F.col(ordinal) <= F.col("_bound")))
+    rank = F.row_number().over(Window.partitionBy(cls).orderBy(ordinal))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_q")).select(*df.columns)
 
 
 def stratified_subsample(df: DataFrame, cls: str, n: int, id_col: str = "review_id",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textlake.plans.registry import register
+from textlake.plans.q_text import _TOKS as TOKENS_SQL
 from textlake.plans.sqlviews import with_ctes
 from textlake.sources import views as V
 from textlake.sources.tables import read_table
@@ -44,9 +45,9 @@ def stream_dedupe(spark, sf):
 
 
 @register("stream_tumbling", "stream", """
-    SELECT time_bucket(INTERVAL 1 day, ts) AS window_start, time_bucket(INTERVAL 1 day, ts) + INTERVAL 1 day AS window_end,
-           event_type, count(*) AS n, round(sum(value), 6) AS v
-    FROM events GROUP BY ALL""")
+    SELECT ws AS window_start, ws + INTERVAL 1 day AS window_end, event_type, count(*) AS n, round(sum(value), 6) AS v
+    FROM (SELECT *, time_bucket(INTERVAL 1 day, ts) AS ws FROM events)
+    GROUP BY ALL HAVING ws + INTERVAL 1 day <= (SELECT max(ts) FROM events) - INTERVAL 1 day""")
 def stream_tumbling(spark, sf):
     return Z.stream_windowed(spark, _events(spark, sf), "tumbling", "1 day")
 
@@ -55,7 +56,7 @@ def stream_tumbling(spark, sf):
     SELECT ws AS window_start, ws + INTERVAL 1 day AS window_end, event_type, count(*) AS n, round(sum(value), 6) AS v
     FROM (SELECT time_bucket(INTERVAL 6 hour, ts) - k * INTERVAL 6 hour AS ws, event_type, value
           FROM events, range(0, 4) r(k))
-    GROUP BY ALL""")
+    GROUP BY ALL HAVING ws + INTERVAL 1 day <= (SELECT max(ts) FROM events) - INTERVAL 1 day""")
 def stream_sliding(spark, sf):
     return Z.stream_windowed(spark, _events(spark, sf), "sliding", "1 day", "6 hours")
 
@@ -67,9 +68,9 @@ def stream_sliding(spark, sf):
           FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
                                  OR ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 minute
                                THEN 1 ELSE 0 END AS new_s FROM events))
-    GROUP BY user_id, sid""")
+    GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 minute <= (SELECT max(ts) FROM events) - INTERVAL 1 day""")
 def stream_session(spark, sf):
-    return Z.stream_windowed(spark, _events(spark, sf), "session", "30 minutes", key="user_id", mode="complete")
+    return Z.stream_windowed(spark, _events(spark, sf), "session", "30 minutes", key="user_id")
 
 
 @register("drift_positive_share", "stream", with_ctes("""
@@ -82,22 +83,25 @@ def stream_session(spark, sf):
     GROUP BY ws""", "reviews", extra=[
     ("rv", "SELECT ts, CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro' ELSE 'Positivo' END "
            "AS target_class FROM reviews"),
-    ("per", "SELECT time_bucket(INTERVAL 1 day, ts) AS ws, target_class, count(*) AS n FROM rv GROUP BY ALL"),
-    ("base", "SELECT target_class, count(*) / sum(count(*)) OVER () AS pb FROM rv GROUP BY 1")]))
+    ("per", "SELECT ws, target_class, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 6 hour, ts) AS ws FROM rv) "
+            "GROUP BY ws, target_class HAVING ws + INTERVAL 6 hour <= (SELECT max(ts) FROM rv) - INTERVAL 1 hour"),
+    ("base", "SELECT target_class, nb / sum(nb) OVER () AS pb FROM (SELECT target_class, sum(n) AS nb FROM per GROUP BY 1)")]))
 def drift_positive_share(spark, sf):
-    return Z.positive_share_drift(V.reviews(spark, sf))
+    return Z.stream_positive_share(spark, V.reviews(spark, sf))
 
 
 @register("drift_confidence", "stream", with_ctes("""
-    SELECT window_start, n, round(c, 6) AS mean_confidence,
-           round(c - lag(c) OVER (ORDER BY window_start), 6) AS delta, c >= 0.75 AS above_floor
-    FROM (SELECT time_bucket(INTERVAL 1 day, e.ts) AS window_start, avg(list_max(p.proba)) AS c, count(*) AS n
-          FROM probs p JOIN events e ON e.event_id = p.review_id GROUP BY 1)""", "probs"))
+    SELECT w.window_start, w.n, round(w.c, 6) AS mean_confidence, round(w.c - b.c, 6) AS delta, w.c >= 0.75 AS above_floor
+    FROM win w LEFT JOIN win b ON b.window_start + INTERVAL 6 hour = w.window_start""", "probs", extra=[
+    ("sc", "SELECT e.ts, time_bucket(INTERVAL 6 hour, e.ts) AS window_start, list_max(p.proba) AS c "
+           "FROM probs p JOIN events e ON e.event_id = p.review_id"),
+    ("win", "SELECT window_start, avg(c) AS c, count(*) AS n FROM sc GROUP BY 1 "
+            "HAVING window_start + INTERVAL 6 hour <= (SELECT max(ts) FROM sc) - INTERVAL 1 hour")]))
 def drift_confidence(spark, sf):
     p = V.probs(spark, sf)
     ev = _events(spark, sf).select(F.col("event_id").alias("review_id"), "ts")
     scored = p.join(ev, "review_id", "inner").withColumn("confidence", F.array_max("proba"))
-    return Z.confidence_drift(scored)
+    return Z.stream_confidence(spark, scored)
 
 
 @register("stream_incremental_index", "stream", with_ctes(
@@ -120,8 +124,24 @@ def stream_quota(spark, sf):
     return Z.stream_quota(spark, V.reviews(spark, sf), 100)
 
 
-@register("stream_late_data", "stream")
+@register("stream_incremental_postings", "stream", with_ctes(
+    "SELECT review_id, term, count(*) AS tf FROM (SELECT review_id, unnest(" + TOKENS_SQL.format(t="text") +
+    ") AS term FROM reviews) GROUP BY ALL", "reviews"))
+def stream_incremental_postings(spark, sf):
+    return Z.stream_incremental_postings(spark, V.reviews(spark, sf)).select("review_id", "term", "tf")
+
+
+@register("stream_late_data", "stream", """
+    WITH cut AS (SELECT *, ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS second FROM events)
+    SELECT 0::BIGINT AS batch_id, count(*) AS input_rows, 0::BIGINT AS dropped_rows FROM cut WHERE NOT second
+    UNION ALL
+    SELECT 1, count(*), count(*) FILTER (time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 1 hour)
+    FROM cut WHERE second""")
 def stream_late_data(spark, sf):
-    return Z.stream_late_data(spark, _events(spark, sf))
+    """The later half of the period lands first, so most of the earlier half is late."""
+    ev = _events(spark, sf)
+    ends = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    cut = ends["lo"] + (ends["hi"] - ends["lo"]) / 2
+    return Z.stream_late_data(spark, [ev.where(F.col("ts") >= cut), ev.where(F.col("ts") < cut)])
 
 

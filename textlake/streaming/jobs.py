@@ -1,27 +1,26 @@
 """Structured Streaming jobs.
 
-Each job reads a file source with an explicit schema, uses event time with a
-watermark (``ts`` must be TIMESTAMP, not TIMESTAMP_NTZ), and writes through a
-checkpointed sink so it can be restarted after executor or driver loss:
-
-* windowed counts (tumbling / sliding / session) run in ``update`` mode and
-  upsert every micro-batch into a Parquet result table (``foreachBatch``),
-  so the result holds each window's final value while the state store only
-  keeps windows the watermark has not yet passed;
-* dedupe uses ``dropDuplicatesWithinWatermark`` on a text hash (the state
-  keeps 32-byte keys, not texts);
-* the quota sampler and the incremental index are ``foreachBatch`` jobs
-  written with batch DataFrame operators (bucketed exact ranks, anti joins),
-  idempotent by batch id, so no class or key is funnelled into one task.
-
-``run_to_completion`` drives a query with ``trigger(availableNow=True)``.
-All folders live under the session's ``spark.checkpoint.dir`` (shared
-storage on a cluster).
+Each job reads a folder of Parquet files with an explicit schema, uses event
+time with a watermark (``ts`` must be TIMESTAMP, not TIMESTAMP_NTZ), and only
+ever appends to its sink:
+
+* cleaning, dedupe and windowed counts (tumbling, sliding, session) use the
+  file sink in ``append`` mode. A window is written once, when the watermark
+  has passed its end, and its state is dropped then;
+* the quota sampler, the incremental indexes and the late-row report are
+  ``foreachBatch`` jobs of batch operators. A batch writes the folder
+  ``batch=<id>`` and nothing else, so a replayed batch replaces its own rows;
+  what earlier batches wrote is read, never rewritten.
+
+``trigger(availableNow=True)`` processes what has landed and stops; running a
+job again with the same base folder goes on from its checkpoint. All folders
+live under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,39 +32,23 @@ from textlake.operators import features as FE
 from textlake.operators import sampling as S
 from textlake.session import checkpoint_root
 
+# Fixed values of the drift rules: limits and status words.
+POSITIVE_LIMIT, CONFIDENCE_FLOOR = 40.0, 0.75
+STABLE, ALERT = "estable", "alerta"
+
 
 def workdir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/textlake-stream/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_files(df: DataFrame, path: str, n_files: int, order_col: str | None = None) -> str:
-    """Land a DataFrame as ``n_files`` Parquet slices so a file-source stream
-    can replay it in micro-batches.
-
-    With ``order_col`` the slices are value ranges of that column written one
-    after the other, so the source (which replays files by modification time)
-    sees them in that order -- arrival order is then the column's order."""
-    if not order_col:
-        df.repartition(n_files).write.mode("overwrite").parquet(f"{path}/slice=00000")
-        return path
-    key = F.col(order_col).cast("double")
-    probs = [i / n_files for i in range(1, n_files)]
-    bounds = df.select(key.alias("_k")).approxQuantile("_k", probs, 0.001) if n_files > 1 else []
-    edges = [None, *bounds, None]
-    for i in range(n_files):
-        lo, hi = edges[i], edges[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (key >= lo)
-        if hi is not None:
-            cond = cond & (key < hi)
-        df.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{path}/slice={i:05d}")
+def land(df: DataFrame, path: str) -> str:
+    """Add the rows to a landing folder as new files."""
+    df.write.mode("append").parquet(path)
     return path
 
 
-def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .option("recursiveFileLookup", "true").parquet(path))
+def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def run_to_completion(q: StreamingQuery) -> StreamingQuery:
@@ -75,49 +58,28 @@ def run_to_completion(q: StreamingQuery) -> StreamingQuery:
     return q
 
 
-def upsert_batches(result_path: str, keys: list[str]):
-    """foreachBatch writer: replace the rows of the batch's keys in the result
-    table (MERGE emulated by anti join + union, written atomically per batch
-    to a new version folder; idempotent when a batch is replayed)."""
+def append_to_files(out: DataFrame, base: str) -> DataFrame:
+    """Run a stream into the file sink (each row once, also after a restart) and read the sink."""
+    run_to_completion(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+                      .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
+    return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def append_batches(stream: DataFrame, base: str, schema: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Run ``build(batch, earlier rows)`` on every batch and append its rows;
+    returns all rows, with the column ``batch``."""
+    spark, table = stream.sparkSession, f"{base}/table"
+    with_batch = f"{schema}, batch long"
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        out = f"{result_path}/v={batch_id:09d}"
-        prev = _latest_version(spark, result_path, before=batch_id)
-        cur = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            cur = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        cur.write.mode("overwrite").parquet(out)
-
-    return write
-
-
-def _latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if not name.startswith("v="):
-            continue
-        v = int(name[2:])
-        if before is not None and v >= before:
-            continue
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")) and (best is None or v > best[0]):
-            best = (v, st.getPath().toString())
-    return best[1] if best else None
-
-
-def read_result(spark: SparkSession, root: str, schema) -> DataFrame:
-    latest = _latest_version(spark, root)
-    if latest is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(latest)
+        s = batch.sparkSession
+        earlier = s.read.schema(with_batch).parquet(table).where(F.col("batch") < batch_id)
+        build(batch, earlier).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    run_to_completion(stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_ckpt")
+                      .trigger(availableNow=True).start())
+    return spark.read.schema(with_batch).parquet(table)
 
 
 # ---------------------------------------------------------------- Z1 ------
@@ -131,29 +93,22 @@ def clean_stream(reviews: DataFrame) -> DataFrame:
     return FE.text_features(r.select("review_id", "text", "rating", "parent_asin", "ts"))
 
 
-def stream_ingest(spark: SparkSession, reviews: DataFrame, n_files: int = 4) -> DataFrame:
-    base = workdir(spark, "ingest")
-    src = stage_files(reviews, f"{base}/input", n_files, "ts")
-    stream = read_stream(spark, src, reviews.schema)
-    out = clean_stream(stream).drop("text")
-    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-    run_to_completion(q)
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+def stream_ingest(spark: SparkSession, reviews: DataFrame, base: str | None = None) -> DataFrame:
+    base = base or workdir(spark, "ingest")
+    stream = read_stream(spark, land(reviews, f"{base}/input"), reviews.schema)
+    return append_to_files(clean_stream(stream).drop("text"), base)
 
 
 # ---------------------------------------------------------------- Z2 ------
-def stream_dedupe(spark: SparkSession, reviews: DataFrame, delay: str = "400 days", n_files: int = 4) -> DataFrame:
-    """One row per text hash within the watermark."""
-    base = workdir(spark, "dedupe")
-    src = stage_files(reviews.select("review_id", "text", "ts"), f"{base}/input", n_files, "ts")
-    stream = read_stream(spark, src, reviews.select("review_id", "text", "ts").schema)
+def stream_dedupe(spark: SparkSession, reviews: DataFrame, delay: str = "7 days", base: str | None = None) -> DataFrame:
+    """One row per text hash; a hash is forgotten once the watermark is
+    ``delay`` past its first row, so the state covers that span only."""
+    base = base or workdir(spark, "dedupe")
+    rows = reviews.select("review_id", "text", "ts")
+    stream = read_stream(spark, land(rows, f"{base}/input"), rows.schema)
     d = (stream.withColumn("text_md5", F.md5("text")).withWatermark("ts", delay)
          .dropDuplicatesWithinWatermark(["text_md5"]).select("text_md5"))
-    q = (d.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-    run_to_completion(q)
-    return spark.read.schema(d.schema).parquet(f"{base}/out")
+    return append_to_files(d, base)
 
 
 # ---------------------------------------------------------------- Z3 ------
@@ -173,160 +128,145 @@ def windowed_counts(events: DataFrame, kind: str, duration: str, slide: str | No
 
 
 def stream_windowed(spark: SparkSession, events: DataFrame, kind: str, duration: str, slide: str | None = None,
-                    key: str = "event_type", delay: str = "1 day", n_files: int = 4,
-                    mode: str = "update") -> DataFrame:
-    base = workdir(spark, f"win-{kind}")
-    src = stage_files(events, f"{base}/input", n_files, "ts")
-    stream = read_stream(spark, src, events.schema)
-    agg = windowed_counts(stream, kind, duration, slide, key, delay)
-    if mode == "append":
-        q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-        run_to_completion(q)
-        return spark.read.schema(agg.schema).parquet(f"{base}/out")
-    if mode == "complete":
-        # session windows have no update mode: each batch carries the full result
-        def overwrite(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{base}/out/v={batch_id:09d}")
-        q = (agg.writeStream.outputMode("complete").foreachBatch(overwrite)
-             .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-        run_to_completion(q)
-        return read_result(spark, f"{base}/out", agg.schema)
-    q = (agg.writeStream.outputMode("update")
-         .foreachBatch(upsert_batches(f"{base}/out", ["window_start", "window_end", key]))
-         .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-    run_to_completion(q)
-    return read_result(spark, f"{base}/out", agg.schema)
+                    key: str = "event_type", delay: str = "1 day", base: str | None = None) -> DataFrame:
+    """The windows that the watermark (largest ``ts`` so far less ``delay``) has passed."""
+    base = base or workdir(spark, f"win-{kind}")
+    stream = read_stream(spark, land(events, f"{base}/input"), events.schema)
+    return append_to_files(windowed_counts(stream, kind, duration, slide, key, delay), base)
 
 
 # ---------------------------------------------------------------- Z4/Z5 ---
-def positive_share_drift(reviews: DataFrame, duration: str = "1 day", threshold: float = 40.0) -> DataFrame:
-    """Share of positive reviews per window; fixed rule (> threshold is
-    stable) plus a population-stability index against the whole period."""
-    r = reviews.withColumn("target_class", L.target_class("rating"))
-    per = r.groupBy(F.window("ts", duration).alias("w"), "target_class").agg(F.count(F.lit(1)).alias("n"))
-    base = r.groupBy("target_class").agg(F.count(F.lit(1)).alias("nb"))
-    from pyspark.sql import Window
-    base = base.withColumn("pb", F.col("nb") / F.sum("nb").over(Window.partitionBy()))
-    per = per.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("w")))
-    j = per.join(F.broadcast(base.select("target_class", "pb")), "target_class", "inner")
+def class_counts(reviews: DataFrame, duration: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """Rows per window and class, on a stream or a table."""
+    r = reviews.withWatermark("ts", delay) if reviews.isStreaming else reviews
+    per = r.groupBy(F.window("ts", duration).alias("w"), L.target_class("rating").alias("target_class")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "target_class", "n")
+
+
+def positive_share_drift(per: DataFrame, threshold: float = POSITIVE_LIMIT) -> DataFrame:
+    """Share of positive reviews per window of ``class_counts``; fixed rule
+    (> threshold is stable) plus a population-stability index against all windows."""
+    base = per.groupBy("target_class").agg(F.sum("n").alias("nb"))
+    base = base.withColumn("pb", F.col("nb") / per.agg(F.sum("n").alias("all")).scalar())
+    size = per.groupBy("window_start").agg(F.sum("n").alias("size"))
+    j = per.join(base, "target_class").join(size, "window_start").withColumn("p", F.col("n") / F.col("size"))
     eps = 1e-6
     psi_term = (F.col("p") - F.col("pb")) * F.log((F.col("p") + eps) / (F.col("pb") + eps))
-    out = j.groupBy("w").agg(
+    out = j.groupBy("window_start").agg(
         F.sum(F.when(F.col("target_class") == "Positivo", F.col("p")).otherwise(0.0)).alias("pos"),
         F.sum(psi_term).alias("psi"), F.sum("n").alias("n"))
     pos = F.round(F.col("pos") * 100, 6)
-    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n",
-                      pos.alias("positive_pct"),
-                      F.when(pos > threshold, F.lit("estable")).otherwise(F.lit("alerta")).alias("status"),
+    return out.select("window_start", "n", pos.alias("positive_pct"),
+                      F.when(pos > threshold, F.lit(STABLE)).otherwise(F.lit(ALERT)).alias("status"),
                       F.round("psi", 6).alias("psi"))
 
 
-def confidence_drift(scored: DataFrame, duration: str = "1 day", floor: float = 0.75) -> DataFrame:
-    """Mean confidence per window, its change against the previous window
-    and a floor rule. (``lag`` runs on the small per-window table.)"""
-    from pyspark.sql import Window
-    per = scored.groupBy(F.window("ts", duration).alias("w")).agg(F.avg("confidence").alias("c"),
-                                                                  F.count(F.lit(1)).alias("n"))
-    per = per.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "c", "n")
-    w = Window.orderBy("window_start")
-    return per.select("window_start", "n", F.round("c", 6).alias("mean_confidence"),
-                      F.round(F.col("c") - F.lag("c").over(w), 6).alias("delta"),
-                      (F.col("c") >= floor).alias("above_floor"))
+def mean_confidence(scored: DataFrame, duration: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """Mean confidence and rows per window, on a stream or a table."""
+    s = scored.withWatermark("ts", delay) if scored.isStreaming else scored
+    per = s.groupBy(F.window("ts", duration).alias("w")).agg(F.avg("confidence").alias("c"), F.count(F.lit(1)).alias("n"))
+    return per.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), "c", "n")
+
+
+def confidence_drift(per: DataFrame, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
+    """Mean confidence per window, its change against the window that ends
+    where it starts, and a floor rule."""
+    before = per.select(F.col("window_end").alias("window_start"), F.col("c").alias("_before"))
+    j = per.join(before, "window_start", "left")
+    return j.select("window_start", "n", F.round("c", 6).alias("mean_confidence"),
+                    F.round(F.col("c") - F.col("_before"), 6).alias("delta"), (F.col("c") >= floor).alias("above_floor"))
+
+
+def stream_positive_share(spark: SparkSession, reviews: DataFrame, base: str | None = None) -> DataFrame:
+    """Z4 on a stream: closed windows are appended as they close, and the rule is applied to them."""
+    base = base or workdir(spark, "share")
+    rows = reviews.select("ts", "rating")
+    stream = read_stream(spark, land(rows, f"{base}/input"), rows.schema)
+    return positive_share_drift(append_to_files(class_counts(stream), base))
+
+
+def stream_confidence(spark: SparkSession, scored: DataFrame, base: str | None = None) -> DataFrame:
+    """Z5 on a stream, as ``stream_positive_share``."""
+    base = base or workdir(spark, "confidence")
+    rows = scored.select("ts", "confidence")
+    stream = read_stream(spark, land(rows, f"{base}/input"), rows.schema)
+    return confidence_drift(append_to_files(mean_confidence(stream), base))
 
 
 # ---------------------------------------------------------------- Z6 ------
-def stream_incremental_index(spark: SparkSession, vectors: DataFrame, copies: int = 2,
-                             n_files: int = 4) -> DataFrame:
-    """Append normalized vectors of ids not yet in the index. The input
-    replays the table ``copies`` times; the index must still hold each id once."""
-    from textlake.operators.search import build_vector_index
-    base = workdir(spark, "index")
-    for c in range(copies):
-        stage_files(vectors, f"{base}/input/copy={c}", n_files)
-    schema = vectors.schema
-    stream = read_stream(spark, f"{base}/input", schema, files_per_trigger=1)
-    index_root = f"{base}/index"
+def append_unseen(stream: DataFrame, base: str, id_col: str, schema: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append ``build`` of the rows whose id the index does not have yet."""
+    def new_rows(batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        fresh = batch.dropDuplicates([id_col]).join(earlier.select(id_col).distinct(), id_col, "left_anti")
+        return build(fresh)
+
+    return append_batches(stream, base, schema, new_rows)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        prev = _latest_version(s, index_root, before=batch_id)
-        # replayed copies are identical rows, so any survivor per id is the same
-        new = build_vector_index(batch.dropDuplicates(["review_id"]), keep=["label"])
-        if prev is not None:
-            old = s.read.parquet(prev)
-            new = old.unionByName(new.join(old.select("review_id"), "review_id", "left_anti"))
-        new.write.mode("overwrite").parquet(f"{index_root}/v={batch_id:09d}")
 
-    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_ckpt")
-         .trigger(availableNow=True).start())
-    run_to_completion(q)
-    return read_result(spark, index_root, "review_id long, vec array<double>, label int")
+def stream_incremental_index(spark: SparkSession, vectors: DataFrame, base: str | None = None) -> DataFrame:
+    """Normalized vectors; the rows land twice, the index holds each id once."""
+    from textlake.operators.search import build_vector_index
+    base = base or workdir(spark, "index")
+    schema = "review_id long, vec array<double>, label int"
+    for _ in range(2):
+        land(vectors, f"{base}/input")
+        index = append_unseen(read_stream(spark, f"{base}/input", vectors.schema), base, "review_id", schema,
+                              lambda d: build_vector_index(d, keep=["label"]))
+    return index
+
+
+def stream_incremental_postings(spark: SparkSession, reviews: DataFrame, base: str | None = None) -> DataFrame:
+    """Postings (review_id, term, tf) of the lexical index, kept the same way."""
+    from textlake.operators import text as TX
+    base = base or workdir(spark, "postings")
+    rows = reviews.select("review_id", "text")
+    for _ in range(2):
+        land(rows, f"{base}/input")
+        index = append_unseen(read_stream(spark, f"{base}/input", rows.schema), base, "review_id", "review_id long, term string, tf long",
+                              lambda d: TX.term_counts(d, "review_id", "text", (1, 1), TX.english_stop_words()))
+    return index
 
 
 # ---------------------------------------------------------------- Z7 ------
-def stream_quota(spark: SparkSession, reviews: DataFrame, q: int, n_files: int = 4) -> DataFrame:
-    """Keep the first ``q`` rows per quota class in arrival order, drop
-    the rest. State is the per-class count table; each micro-batch takes the
-    remaining quota with the bucketed exact rank, never one task per class."""
-    base = workdir(spark, "quota")
-    cols = reviews.select("review_id", "rating", "ts")
-    src = stage_files(cols, f"{base}/input", n_files, "review_id")
-    stream = read_stream(spark, src, cols.schema)
-    kept_root = f"{base}/kept"
+def stream_quota(spark: SparkSession, reviews: DataFrame, q: int, base: str | None = None) -> DataFrame:
+    """Keep the first ``q`` rows per quota class in arrival order (batch,
+    then id), drop the rest. Each batch reads the counts of the rows kept so
+    far and appends what is left of the quotas."""
+    base = base or workdir(spark, "quota")
+    rows = reviews.select("review_id", "rating")
+    stream = read_stream(spark, land(rows, f"{base}/input"), rows.schema)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        prev = _latest_version(s, kept_root, before=batch_id)
-        b = batch.select("review_id", L.quota_class("rating").alias("quota_class")) \
-            .where(F.col("quota_class").isNotNull())
-        if prev is not None:
-            kept = s.read.parquet(prev)
-            used = kept.groupBy("quota_class").agg(F.count(F.lit(1)).alias("_used"))
-            b = b.join(F.broadcast(used), "quota_class", "left").fillna(0, ["_used"])
-        else:
-            kept = None
-            b = b.withColumn("_used", F.lit(0).cast("long"))
-        b = b.withColumn("_left", F.greatest(F.lit(q) - F.col("_used"), F.lit(0)))
-        key = F.lpad(F.col("review_id").cast("string"), 20, "0")
-        seg = S.rank_segments(b, ["quota_class", "_left"], "review_id", lambda n, nmin: [F.col("_left")],
-                              key=key, hex_digits=16)
-        take = seg.where(F.col("_seg") == 0).select("review_id", "quota_class")
-        out = take if kept is None else kept.unionByName(take)
-        out.write.mode("overwrite").parquet(f"{kept_root}/v={batch_id:09d}")
-
-    qq = (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/_ckpt")
-          .trigger(availableNow=True).start())
-    run_to_completion(qq)
-    return read_result(spark, kept_root, "review_id long, quota_class string")
+    def take(batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        b = batch.select("review_id", L.quota_class("rating").alias("quota_class")).where(F.col("quota_class").isNotNull())
+        used = earlier.groupBy("quota_class").agg(F.count(F.lit(1)).alias("_used"))
+        b = b.join(used, "quota_class", "left")
+        b = b.withColumn("_left", F.greatest(F.lit(q) - F.coalesce("_used", F.lit(0)), F.lit(0))).drop("_used")
+        return S.quota_head(b, "quota_class", "review_id", "_left").select("review_id", "quota_class")
 
+    return append_batches(stream, base, "review_id long, quota_class string", take).drop("batch")
 
-# ---------------------------------------------------------------- Z8 ------
-def stream_late_data(spark: SparkSession, events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Rows behind the watermark are dropped; report them per batch.
-
-    The second half of the period is landed first, the first half after it,
-    so the second file group is entirely late."""
-    base = workdir(spark, "late")
-    cut = events.agg(F.percentile_approx(F.col("ts").cast("long"), 0.5).alias("m")).first()["m"]
-    late = events.where(F.col("ts").cast("long") < cut)
-    early = events.where(F.col("ts").cast("long") >= cut)
-    stage_files(early, f"{base}/input/a", 1)
-    src_schema = events.schema
-    agg = windowed_counts(spark.readStream.schema(src_schema).option("maxFilesPerTrigger", 1)
-                          .option("recursiveFileLookup", "true").parquet(f"{base}/input"),
-                          "tumbling", "1 hour", None, "event_type", delay)
-    progress = []
-    for part in ("a", "b"):
-        if part == "b":
-            stage_files(late, f"{base}/input/b", 1)
-        q = (agg.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-             .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
-        run_to_completion(q)
-        progress += q.recentProgress
-    rows = []
-    for p in progress:
-        dropped = sum(int(op.get("numRowsDroppedByWatermark", 0)) for op in p.get("stateOperators", []))
-        rows.append((int(p["batchId"]), int(p["numInputRows"]), dropped))
-    return spark.createDataFrame(rows, "batch_id long, input_rows long, dropped_rows long")
 
+# ---------------------------------------------------------------- Z8 ------
+def stream_late_data(spark: SparkSession, parts: list[DataFrame], duration: str = "1 hour", delay: str = "1 hour",
+                     base: str | None = None) -> DataFrame:
+    """Per batch, the rows read and those whose window the watermark had
+    already passed, which a windowed count drops. The watermark of a batch is
+    the largest ``ts`` of the batches before it, less ``delay``; it is kept in
+    the report itself, so the count is one of rows and survives restarts.
+    ``parts`` land one after the other, each followed by a run."""
+    base = base or workdir(spark, "late")
+
+    def count(batch: DataFrame, earlier: DataFrame) -> DataFrame:
+        mark = earlier.agg(F.max("max_ts").alias("m")).scalar() - F.expr(f"INTERVAL {delay}")
+        late = F.window("ts", duration).end <= mark
+        one = batch.select("ts", F.coalesce(late, F.lit(False)).alias("late")) if earlier.where("max_ts IS NOT NULL").take(1) \
+            else batch.select("ts", F.lit(False).alias("late"))
+        return one.agg(F.count(F.lit(1)).alias("input_rows"), F.count_if("late").alias("dropped_rows"), F.max("ts").alias("max_ts"))
+
+    report = None
+    for part in parts:
+        land(part, f"{base}/input")
+        report = append_batches(read_stream(spark, f"{base}/input", part.schema), base,
+                                "input_rows long, dropped_rows long, max_ts timestamp", count)
+    return report.select(F.col("batch").alias("batch_id"), "input_rows", "dropped_rows")
