@@ -25,11 +25,16 @@ from textlake.sources.tables import read_table
 
 _RAW = ["review_id", "rating", "title", "text", "parent_asin", "verified_purchase", "helpful_vote", "timestamp"]
 
+def _more():
+    """The raw fields that no later step uses, nested and textual ones among them."""
+    return {"images": F.expr("array(named_struct('url', concat('img/', review_id)))"), "asin": F.concat(F.lit("a"), "parent_asin"),
+            "user_id": F.concat(F.lit("u"), (F.col("review_id") % 97).cast("string")), "price": F.format_string("%.2f", F.col("review_id") % 50 / 4)}
+
 
 def _landing(spark, sf, base):
     """JSON lines of the reviews, gzip-compressed, plus the conversation
     turns as non-JSON lines (malformed input for the PERMISSIVE reader)."""
-    reviews = V.reviews(spark, sf).select(*_RAW)
+    reviews = V.reviews(spark, sf).select(*_RAW).withColumns(_more())
     IO.write_jsonl(reviews, f"{base}/raw/reviews", "gzip")
     junk = read_table(spark, sf, "conversations", ["text"]) \
         .select(F.regexp_replace("text", "[\\r\\n]+", " ").alias("value")).where(F.trim("value") != "")
@@ -38,11 +43,12 @@ def _landing(spark, sf, base):
 
 
 @register("ingest_reviews", "io", with_ctes(
-    "SELECT review_id, rating, parent_asin, \"timestamp\" FROM reviews", "reviews"))
+    "SELECT review_id, rating, parent_asin, \"timestamp\", '[{\"url\":\"img/' || review_id || '\"}]' AS images, 'a' || parent_asin AS asin, "
+    "'u' || review_id % 97 AS user_id, printf('%.2f', review_id % 50 / 4) AS price FROM reviews", "reviews"))
 def ingest_reviews(spark, sf):
     base = IO.scratch(spark, "ingest")
     good, _bad = IO.ingest_reviews(spark, _landing(spark, sf, base), f"{base}/parquet")
-    return good.select("review_id", "rating", "parent_asin", "timestamp")
+    return good.select("review_id", "rating", "parent_asin", "timestamp", "images", "asin", "user_id", "price")
 
 
 @register("ingest_rejects", "io",
@@ -181,28 +187,32 @@ def _metric_docs(spark, sf):
     mat = dense.groupBy("model").agg(F.array_sort(F.collect_list(F.struct(
         "label", F.array("pred_0", "pred_1", "pred_2").alias("row")))).alias("rows")) \
         .select("model", F.transform("rows", lambda r: r["row"]).alias("confusion_matrix"))
+    seconds = F.when(F.col("model") != "m_b", F.round(F.col("accuracy") * 100, 6))  # one model without a training time
     return (macro.join(per, "model").join(mat, "model")
             .select(F.col("model").alias("model_name"), F.lit("probabilities").alias("model_type"),
-                    F.lit(None).cast("double").alias("training_time_seconds"), "f1_macro", "precision_macro",
+                    seconds.alias("training_time_seconds"), "f1_macro", "precision_macro",
                     "recall_macro", "accuracy", "per_class", "confusion_matrix"))
 
 
 def _reports(spark, sf):
-    """Land the documents as the reference's report files look: one file
-    holding an array, one holding a single object, a byte-identical copy,
-    and a path that does not exist."""
+    """Land the documents in the shapes that report files have: an array, a
+    copy of it, a single object with the scores nested and the other name of
+    the time, text that is no JSON, and a path that does not exist. Of
+    documents of equal F1 the first file's, then the first in it, is kept."""
     base = IO.scratch(spark, "reports")
     docs = _metric_docs(spark, sf)
     objs = docs.where(F.col("model_name") != "m_c").select(F.to_json(F.struct(*docs.columns)).alias("j"))
-    arr = objs.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]"))
-                   .alias("value"))
-    arr.coalesce(1).write.mode("overwrite").text(f"{base}/baseline")
-    arr.coalesce(1).write.mode("overwrite").text(f"{base}/baseline_copy")
-    one = docs.where(F.col("model_name") == "m_c").select(F.to_json(F.struct(*docs.columns)).alias("value"))
+    arr = materialize(objs.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ","), F.lit("]")).alias("value")))
+    for name in ("baseline", "baseline_copy"):
+        arr.coalesce(1).write.mode("overwrite").text(f"{base}/{name}")
+    scores = [c for c in docs.columns if c not in ("model_name", "model_type", "training_time_seconds")]
+    one = docs.where(F.col("model_name") == "m_c").select(F.to_json(F.struct(
+        "model_name", "model_type", F.struct(F.col("training_time_seconds").alias(IO.TIME_FIELDS[1]), *scores).alias(IO.NESTED))).alias("value"))
     one.coalesce(1).write.mode("overwrite").text(f"{base}/improved")
-    rep = IO.load_metric_reports(spark, [f"{base}/baseline", f"{base}/baseline_copy", f"{base}/improved",
-                                         f"{base}/missing"])
-    return C.dedupe_keep_best(rep.withColumn("_seq", F.col("pos")), "model_name", "f1_macro", "_seq")
+    broken = read_table(spark, sf, "region", ["r_name"]).agg(F.concat(F.lit("{no json "), F.max("r_name")).alias("value"))
+    broken.coalesce(1).write.mode("overwrite").text(f"{base}/broken")
+    rep = IO.load_metric_reports(spark, [f"{base}/{n}" for n in ("broken", "baseline", "missing", "baseline_copy", "improved")])
+    return C.dedupe_keep_best(rep.withColumn("_seq", F.col("file") * 1_000_000 + F.col("pos")), "model_name", "f1_macro", "_seq")
 
 
 _E = """
@@ -271,10 +281,8 @@ def report_confusion_cells(spark, sf):
                                                          F.col("n").cast("bigint").alias("n"))
 
 
-@register("report_f1_vs_time", "report")
+@register("report_f1_vs_time", "report", _e_sql(
+    "SELECT model_name, f1_macro, round(accuracy * 100, 6) AS training_time_seconds FROM em WHERE model_name <> 'm_b'"))
 def report_f1_vs_time(spark, sf):
-    """Models without a training time are dropped (the documents built
-    from stored probabilities carry none, so the result is empty here)."""
+    """Models without a training time are dropped."""
     return RP.f1_vs_time(_reports(spark, sf))
-
-

@@ -8,9 +8,10 @@ are capped with ``maxRecordsPerFile``.
 
 from __future__ import annotations
 
-import json
+import functools
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,11 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("rating", T.DoubleType()),
     T.StructField("title", T.StringType()),
     T.StructField("text", T.StringType()),
+    T.StructField("images", T.StringType()),
+    T.StructField("asin", T.StringType()),
     T.StructField("parent_asin", T.StringType()),
+    T.StructField("user_id", T.StringType()),
+    T.StructField("price", T.StringType()),
     T.StructField("verified_purchase", T.BooleanType()),
     T.StructField("helpful_vote", T.LongType()),
     T.StructField("timestamp", T.LongType()),
@@ -47,19 +52,19 @@ def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> str
 
 
 def ingest_reviews(spark: SparkSession, src: str, out: str, batch_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """JSON lines (plain or gzip) -> numbered Parquet parts.
+    """JSON lines (plain or gzip) -> Parquet parts of ``batch_rows`` rows at most.
 
-    Malformed lines are kept apart (PERMISSIVE + corrupt-record column), the
-    job is skipped when the output folder already has data (``ignore``).
-    Returns (good rows as read back from Parquet, rejected lines)."""
+    One pass parses and writes every line, good and malformed ones in a
+    partition of their own; the job is skipped when the output folder already
+    has data (``ignore``). Nested fields and prices stay text. A gzip file is
+    read by one task and written in parts, so what follows runs in parallel.
+    Returns (good rows, rejected lines) as read back."""
     raw = (spark.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", CORRUPT).json(src))
-    raw = raw.cache()  # the corrupt-record column may only be queried on a cached/parsed frame
-    good = raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
-    good.write.mode("ignore").option("maxRecordsPerFile", batch_rows).parquet(out)
-    written = spark.read.parquet(out)
-    return written, bad
+    raw = raw.withColumn("rejected", F.col(CORRUPT).isNotNull())
+    raw.write.mode("ignore").option("maxRecordsPerFile", batch_rows).partitionBy("rejected").parquet(out)
+    written = spark.read.schema(raw.schema).parquet(out)
+    return written.where("NOT rejected").drop(CORRUPT, "rejected"), written.where("rejected").select(CORRUPT)
 
 
 def ingest_products(spark: SparkSession, src: str, out: str, batch_rows: int = 50_000) -> DataFrame:
@@ -106,18 +111,11 @@ def save_split_artifacts(df: DataFrame, path: str) -> str:
 
 def load_embedding_splits(spark: SparkSession, path: str, splits=("train", "val", "test")) -> DataFrame:
     """Read every split; a missing split is an error, as in the reference."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts = []
-    for s in splits:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/split={s}")
-        if not p.getFileSystem(conf).exists(p):
-            raise FileNotFoundError(f"missing split {s} under {path}")
-        parts.append(spark.read.parquet(f"{path}/split={s}").withColumn("split", F.lit(s)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    try:
+        parts = [spark.read.parquet(f"{path}/split={s}").withColumn("split", F.lit(s)) for s in splits]
+    except AnalysisException as e:
+        raise FileNotFoundError(f"a split of {splits} is missing under {path}") from e
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def save_predictions(df: DataFrame, path: str) -> str:
@@ -130,42 +128,61 @@ def load_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-METRIC_SCHEMA = T.StructType([
-    T.StructField("model_name", T.StringType()),
-    T.StructField("model_type", T.StringType()),
-    T.StructField("training_time_seconds", T.DoubleType()),
-    T.StructField("f1_macro", T.DoubleType()),
-    T.StructField("precision_macro", T.DoubleType()),
-    T.StructField("recall_macro", T.DoubleType()),
-    T.StructField("accuracy", T.DoubleType()),
-    T.StructField("per_class", T.MapType(T.StringType(), T.StructType([
-        T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType()),
-        T.StructField("f1", T.DoubleType()), T.StructField("support", T.LongType())]))),
-    T.StructField("confusion_matrix", T.ArrayType(T.ArrayType(T.LongType()))),
-])
+_CLASS_SCORES = T.MapType(T.StringType(), T.StructType([
+    T.StructField("precision", T.DoubleType()), T.StructField("recall", T.DoubleType()),
+    T.StructField("f1", T.DoubleType()), T.StructField("support", T.LongType())]))
+# The fields of a metric document, the two names of its training
+# time, and the field under which one kind of report nests its scores.
+TIME_FIELDS = ("training_time_seconds", "training_time_sec")
+NESTED = "improved_results"
+_SCORES = [*(T.StructField(c, T.DoubleType()) for c in ("f1_macro", "precision_macro", "recall_macro", "accuracy")),
+           T.StructField("per_class", _CLASS_SCORES), T.StructField("confusion_matrix", T.ArrayType(T.ArrayType(T.LongType())))]
+_HEAD = [T.StructField("model_name", T.StringType()), T.StructField("model_type", T.StringType())]
+_TIMES = [T.StructField(c, T.DoubleType()) for c in TIME_FIELDS]
+METRIC_SCHEMA = T.StructType([*_HEAD, T.StructField("training_time_seconds", T.DoubleType()), *_SCORES])
+_DOCUMENT = T.StructType([*_HEAD, *_TIMES, *_SCORES, T.StructField(NESTED, T.StructType([*_HEAD, *_TIMES, *_SCORES]))])
+
+
+def _present(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths that can be read; the others are named in a message."""
+    found = []
+    for p in paths:
+        try:
+            spark.read.text(p)
+            found.append(p)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            print(f"[textlake] metric report not found, skipped: {p}")
+    return found
 
 
 def load_metric_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Metric documents, each an object or an array of objects; files
-    that do not exist are skipped (with a message), as in the reference."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    present = []
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if hp.getFileSystem(conf).exists(hp):
-            present.append(p)
-        else:
-            print(f"[textlake] metric report not found, skipped: {p}")
-    if not present:
-        return spark.createDataFrame([], METRIC_SCHEMA)
-    raw = spark.read.option("multiLine", True).text(present, wholetext=True)
-    arr = T.ArrayType(METRIC_SCHEMA)
-    parsed = raw.select(F.input_file_name().alias("source"), F.trim("value").alias("v"))
-    parsed = parsed.select("source", F.when(F.col("v").startswith("["), F.from_json("v", arr))
-                           .otherwise(F.array(F.from_json("v", METRIC_SCHEMA))).alias("docs"))
-    out = parsed.select("source", F.posexplode("docs").alias("pos", "d"))
-    return out.select("source", "pos", "d.*")
+    """Metric documents in file order: (file, pos, source, METRIC_SCHEMA fields).
+
+    A file holds an object, an array of objects, or an object whose scores are
+    under NESTED; fields given outside it are kept where it has none. Either
+    name of the training time is read. Missing files, text that is no JSON and
+    objects without a model name or a score are skipped, the files that give
+    no document with a message."""
+    found = _present(spark, paths)
+    if not found:
+        return spark.createDataFrame([], T.StructType([T.StructField("file", T.IntegerType()), T.StructField("pos", T.IntegerType()),
+                                                       T.StructField("source", T.StringType()), *METRIC_SCHEMA.fields]))
+    parts = [spark.read.text(p, wholetext=True).select(F.lit(i).alias("file"), F.lit(p).alias("source"), F.trim("value").alias("v")) for i, p in enumerate(found)]
+    raw = functools.reduce(DataFrame.unionByName, parts)
+    docs = F.when(F.col("v").startswith("["), F.from_json("v", T.ArrayType(_DOCUMENT))).otherwise(F.array(F.from_json("v", _DOCUMENT)))
+    docs = raw.select("file", "source", F.posexplode(docs).alias("pos", "d"))
+    inner = F.col(f"d.{NESTED}")
+    field = lambda c: F.coalesce(inner[c], F.col(f"d.{c}"))
+    time = F.coalesce(*[field(c) for c in TIME_FIELDS]).alias("training_time_seconds")
+    cols = [time if f.name == "training_time_seconds" else field(f.name).alias(f.name) for f in METRIC_SCHEMA]
+    out = docs.select("file", "pos", "source", *cols).where("model_name IS NOT NULL AND (f1_macro IS NOT NULL OR accuracy IS NOT NULL)")
+    read = {r["file"] for r in out.select("file").distinct().collect()}  # one row per file
+    for i, p in enumerate(found):
+        if i not in read:
+            print(f"[textlake] no metric document in {p}, skipped")
+    return out
 
 
 def track_run(spark: SparkSession, path: str, experiment: str, name: str, params: dict, metrics: dict) -> DataFrame:
@@ -177,6 +194,3 @@ def track_run(spark: SparkSession, path: str, experiment: str, name: str, params
     df.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
-
-def json_document(obj) -> str:
-    return json.dumps(obj)
