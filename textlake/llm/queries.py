@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.llm.bbit_minhash import SQL as near_duplicates_sql
 from textlake.llm.common import held_out, read_table
 from textlake.llm.line_chunks import SQL as line_chunks_sql
 from textlake.llm.temperature_mix import SQL as temperature_mix_sql
+from textlake.llm.winnow import SQL as winnow_sql
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -21,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op9_near_duplicates")
+@query("op9_near_duplicates", near_duplicates_sql)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.bbit_minhash import near_duplicates
 
@@ -56,7 +58,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-@query("op5_winnowing")
+@query("op5_winnowing", winnow_sql)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.winnow import contamination
 

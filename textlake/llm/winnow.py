@@ -171,3 +171,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("id").cast(source).alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                       F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
                       (n_hit > 0).alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+#: The contract's columns on ``documents`` and ``benchmark``, by joining all windows.
+SQL = r"""
+WITH low AS (
+  SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+items AS (
+  SELECT DISTINCT id AS item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM words WHERE side = 'b' AND len(w) > 0)),
+grams AS (
+  SELECT id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM items) WHERE side = 'd' AND len(w) >= k)),
+hits AS (SELECT id, i, k, item FROM grams JOIN items USING (k, g)),
+per_word AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY id),
+per_item AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM hits) GROUP BY id)
+SELECT d.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM (SELECT * FROM words WHERE side = 'd') d LEFT JOIN per_word USING (id) LEFT JOIN per_item USING (id)
+"""
