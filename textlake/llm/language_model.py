@@ -153,6 +153,15 @@ def _train(docs: DataFrame, id_col: str, sent, head: dict) -> dict:
     return params
 
 
+def _rare(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
+    """Per row the distinct tokens and their numbers."""
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+    pairs = pa.StructArray.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.append(first, len(h))))], names=["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32)), pairs)
+
+
 def _scorer(sent, weights, carried: list[str]):
     def run(batches):
         hasher, head = Words(SPACE), _Head(sent.value)
@@ -162,7 +171,7 @@ def _scorer(sent, weights, carried: list[str]):
         tail_low = log(v["total"] - v["named"] + 0.5 * (v["types"] - v["n_ids"] + 2))
         for batch in batches:
             buf, offs = text_buffer(batch.column("text"))
-            for i, j in row_blocks(offs, 16 << 20):
+            for i, j in row_blocks(offs, 8 << 20):
                 h, edge = _tokens(hasher, buf, offs[i:j + 1])
                 at, ids = head.find(h)
                 row = np.repeat(np.arange(j - i), np.diff(edge))
@@ -174,15 +183,9 @@ def _scorer(sent, weights, carried: list[str]):
                 # Words without an id: their smoothed share among such words; those outside HEAD lack their count as yet.
                 model += add(np.where((ids == 0) & (at >= 0), own - tail_low, 0.0))
                 size = np.diff(edge)
-                rare, far = [], np.flatnonzero(at < 0)
-                cut = np.searchsorted(far, edge)
-                for r in range(j - i):
-                    u, n = np.unique(h[far[cut[r]:cut[r + 1]]], return_counts=True)
-                    rare.append([{"h": int(a), "n": int(b)} for a, b in zip(u.view(np.int64), n)])
-                kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(i, j - i) for c in carried), pa.array(size), pa.array(add(at >= 0).astype(np.int64)),
-                     pa.array(add(own) - size * base_low), pa.array(model), pa.array(rare, kind)],
+                     pa.array(add(own) - size * base_low), pa.array(model), _rare(h[at < 0], row[at < 0], j - i)],
                     names=[*carried, "n_tokens", "n_known", "base_score", "score", "rare"])
     return run
 
