@@ -51,8 +51,12 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     smallest id hash; languages come by their number of rows, the most first."""
     keyed = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = F.xxhash64(key_col)
-    ids = keyed.select(F.col(lang_col).alias("_l"), F.col(key_col).alias("_k")).distinct()
-    ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k"))).where(f"_r <= {SAMPLE_DOCS}")
+    share = F.shiftrightunsigned(F.xxhash64("_k"), 11) / float(1 << 53)  # even in [0, 1)
+    ids = keyed.select(F.col(lang_col).alias("_l"), F.col(key_col).alias("_k")).distinct().withColumn("_s", share)
+    # Four times as many as needed are ranked, so a common language is no large window.
+    most = stage(ids.groupBy("_l").agg((4.0 * SAMPLE_DOCS / F.count("*")).alias("_most")), "languages")
+    ids = ids.join(most, "_l").where("_s <= _most")
+    ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_s", "_k"))).where(f"_r <= {SAMPLE_DOCS}")
     ids = stage(ids, "sample")  # so small a table is joined without a shuffle of the texts
     rows = keyed.join(ids, (keyed[lang_col] == ids["_l"]) & keyed[key_col].eqNullSafe(ids["_k"]), "left_semi")
     rows = rows.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(text_col, 1, DOC_BYTES).alias("text")).collect()
