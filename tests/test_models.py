@@ -48,10 +48,25 @@ def test_normalization_inside_pipeline(spark):
         v[3] = (i % 5) / 10.0
         rows.append((i, lab, v, 1.0))
     df = spark.createDataFrame(rows, "review_id long, label int, embedding array<double>, w double")
-    model = M.embedding_classifier().fit(df)
+    model = M.embedding_classifier(df).fit(df)
     scaled = df.selectExpr("review_id", "label", "transform(embedding, x -> x * 7.5) AS embedding", "w")
     a = {r["review_id"]: r["probabilities"] for r in M.score_batch(model, df, ["a", "b", "c"], 6).collect()}
     b = {r["review_id"]: r["probabilities"] for r in M.score_batch(model, scaled, ["a", "b", "c"], 6).collect()}
     for k in a:
         for c in a[k]:
             assert math.isclose(a[k][c], b[k][c], abs_tol=1e-6)
+
+
+def test_penalty_and_features_by_hand(spark):
+    """regParam is 1 / (C * sum of weights); text rows have unit length with
+    idf ln((1 + n) / (1 + df)) + 1, features the population deviation."""
+    from textlake.operators import features as FE
+    from textlake.operators import models as M
+    rows = [(i, ["a", "b"] if i % 2 else ["a"], 0.5 + i % 2, *[float(i + j) for j in range(len(FE.FEATURES))]) for i in range(8)]
+    df = spark.createDataFrame(rows, "review_id long, terms array<string>, w double, " + ", ".join(f"{c} double" for c in FE.FEATURES))
+    assert M.logreg(2.0)(df).getRegParam() == pytest.approx(1 / (2.0 * 8))
+    x = {r.review_id: r.features.toArray() for r in M.fit_features(df, min_df=1).transform(df).collect()}
+    a, b = 1.0, math.log(9 / 5) + 1
+    n = math.hypot(a, b)
+    assert sorted(x[1][:2]) == pytest.approx(sorted([a / n, b / n])) and sorted(x[0][:2]) == pytest.approx([0.0, 1.0])
+    assert x[0][2] == pytest.approx((0 - 3.5) / math.sqrt(5.25))

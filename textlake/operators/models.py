@@ -8,14 +8,15 @@ per-row ``weightCol`` = n / (k * n_c), the balanced weighting.
 
 from __future__ import annotations
 
+import functools
 import time
 
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import CountVectorizer, IDF, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,6 +29,8 @@ from textlake.operators import text as TX
 from textlake.session import materialize
 
 K = 3
+#: Fixed value: the tolerance at which the linear models stop before their last iteration.
+TOLERANCE = 1e-4
 
 
 def supervised_frame(clean: DataFrame) -> DataFrame:
@@ -46,45 +49,83 @@ def with_balanced_weights(f: DataFrame, cls: str = "label") -> DataFrame:
     return f.join(counts, cls, "inner")
 
 
-def feature_stages(vocab: int = 10_000, min_df: int = 5, with_text: bool = True) -> list:
-    """V4: TF-IDF of the terms + standardized engineered features -> ``features``."""
-    stages = []
-    inputs = []
-    if with_text:
-        stages += [CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab, minDF=min_df),
-                   IDF(inputCol="tf", outputCol="tfidf")]
-        inputs.append("tfidf")
-    stages += [VectorAssembler(inputCols=FE.FEATURES, outputCol="num_raw"),
-               StandardScaler(inputCol="num_raw", outputCol="num", withMean=False, withStd=True)]
-    inputs.append("num")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return stages
+def fit_features(train: DataFrame, vocab: int = 10_000, min_df: int = 5) -> PipelineModel:
+    """V4: the TF-IDF weights of V1 (smooth idf + 1, L2-normalized rows) beside
+    the scaled features of V3 (population deviation), fitted on ``train``."""
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab, minDF=min_df).fit(train)
+    idf = IDF(inputCol="tf", outputCol="_idf").fit(counts.transform(train)).idf
+    weights = ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1.0), inputCol="tf", outputCol="_weights")
+    unit = Normalizer(inputCol="_weights", outputCol="text_features", p=2.0)
+    return PipelineModel([counts, weights, unit, *_scaled(train).stages, VectorAssembler(inputCols=["text_features", "num"], outputCol="features")])
 
 
-def logreg(C: float = 1.0, max_iter: int = 100) -> LogisticRegression:
-    """L1: multinomial, balanced weights; regParam = 1/C (scaled by the
-    weighted row count at fit time is left to MLlib's averaging)."""
-    return LogisticRegression(family="multinomial", weightCol="w", regParam=1.0 / (C * 1000.0),
-                              elasticNetParam=0.0, maxIter=max_iter, standardization=False)
+def fit_embedding_features(train: DataFrame) -> PipelineModel:
+    """The L2-normalized embedding beside the nine scaled features."""
+    unit = Normalizer(inputCol="emb_vec", outputCol="emb_unit", p=2.0)
+    return PipelineModel([ArrayToVector(), unit, *_scaled(train).stages, VectorAssembler(inputCols=["emb_unit", "num"], outputCol="features")])
 
 
-def random_forest(n_trees: int = 100, depth: int = 30, rate: float = 0.05, seed: int = 42) -> RandomForestClassifier:
-    """L2"""
-    return RandomForestClassifier(numTrees=n_trees, maxDepth=depth, subsamplingRate=rate,
-                                  featureSubsetStrategy="sqrt", weightCol="w", seed=seed)
+def _scaled(train: DataFrame) -> PipelineModel:
+    """V3: (x - mean) / population deviation of the engineered features."""
+    n = train.count()
+    raw = VectorAssembler(inputCols=FE.FEATURES, outputCol="num_raw")
+    scaler = StandardScaler(inputCol="num_raw", outputCol="_num", withMean=True, withStd=True).fit(raw.transform(train))
+    factor = (n / (n - 1)) ** 0.5 if n > 1 else 1.0  # MLlib divides by the sample deviation
+    return PipelineModel([raw, scaler, ElementwiseProduct(scalingVec=Vectors.dense([factor] * len(FE.FEATURES)), inputCol="_num", outputCol="num")])
+
 
+def penalty(train: DataFrame, C: float) -> float:
+    """The L2 penalty of strength C: losses are averaged by weight here and
+    summed there, so it is 1 / (C * sum of weights)."""
+    return 1.0 / (C * train.agg(F.sum("w")).first()[0])
 
-def boosted_ovr(iters: int = 10, depth: int = 5, step: float = 0.1, rate: float = 0.8, seed: int = 42) -> OneVsRest:
-    """L3: MLlib GBT is binary, so one-vs-rest over the classes."""
-    return OneVsRest(classifier=GBTClassifier(maxIter=iters, maxDepth=depth, stepSize=step,
-                                              subsamplingRate=rate, seed=seed, weightCol="w"),
-                     weightCol="w")
 
+def logreg(C: float = 1.0, max_iter: int = 1000):
+    """L1: multinomial, balanced weights."""
+    return lambda train: LogisticRegression(family="multinomial", weightCol="w", regParam=penalty(train, C),
+                                            elasticNetParam=0.0, maxIter=max_iter, tol=TOLERANCE, standardization=False)
 
-def linear_svc_ovr(C: float = 0.5, max_iter: int = 50) -> OneVsRest:
+
+def random_forest(n_trees: int = 100, depth: int = 30, rate: float = 0.05, min_leaf: int = 1, seed: int = 42):
+    """L2"""
+    return lambda train: RandomForestClassifier(numTrees=n_trees, maxDepth=depth, subsamplingRate=rate, minInstancesPerNode=min_leaf,
+                                                featureSubsetStrategy="sqrt", weightCol="w", seed=seed)
+
+
+def linear_svc_ovr(C: float = 0.5, max_iter: int = 2000):
     """L4"""
-    return OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * 1000.0), maxIter=max_iter, weightCol="w"),
-                     weightCol="w")
+    return lambda train: OneVsRest(classifier=LinearSVC(regParam=penalty(train, C), maxIter=max_iter, tol=TOLERANCE, weightCol="w"), weightCol="w", parallelism=K)
+
+
+class BoostedOneVsRest:
+    """L3: MLlib's boosted trees are binary, so one model per class, up to
+    ``iters`` rounds each; boosting stops when the error on the validation
+    rows (a fifth of the training rows, by hash) no longer falls. The class of
+    the largest probability is predicted."""
+
+    def __init__(self, iters: int = 300, depth: int = 5, step: float = 0.1, rate: float = 0.8, seed: int = 42, tol: float = 0.001):
+        self.args = dict(maxIter=iters, maxDepth=depth, stepSize=step, subsamplingRate=rate, seed=seed, weightCol="w", labelCol="_own",
+                         validationIndicatorCol="_held", validationTol=tol)
+        self.models: list = []
+
+    def fit(self, train: DataFrame):
+        t = materialize(train.select("features", "label", "w", S.hash_fraction_below("review_id", 0.2, 7).alias("_held")))
+        self.models = [GBTClassifier(**self.args).fit(t.withColumn("_own", (F.col("label") == c).cast("double"))) for c in range(K)]
+        return self
+
+    def rounds(self) -> list[int]:
+        return [m.getNumTrees for m in self.models]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, m in enumerate(self.models):
+            df = m.transform(df).withColumn(f"_p{c}", F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+        total = sum((F.col(f"_p{c}") for c in range(1, K)), F.col("_p0"))
+        df = df.withColumn("proba", F.array(*[F.col(f"_p{c}") / total for c in range(K)]))
+        return df.withColumn("prediction", (F.array_position("proba", F.array_max("proba")) - 1).cast("double")).drop(*[f"_p{c}" for c in range(K)])
+
+
+def boosted_ovr(**args):
+    return lambda train: BoostedOneVsRest(**args)
 
 
 def metrics_row(pred: DataFrame, name: str, seconds: float) -> DataFrame:
@@ -94,95 +135,104 @@ def metrics_row(pred: DataFrame, name: str, seconds: float) -> DataFrame:
                     "accuracy", "precision_macro", "recall_macro", "f1_macro", "n")
 
 
-def fit_evaluate(frame: DataFrame, estimator, name: str, with_text: bool = True):
-    train = frame.where(F.col("split") == "train")
-    test = frame.where(F.col("split") == "test")
-    pipe = Pipeline(stages=feature_stages(with_text=with_text) + [estimator])
+def fit_evaluate(frame: DataFrame, make, name: str, features=fit_features):
+    """Fit features and model on the train rows, score the test rows. Returns
+    (features, model, metrics row); the time is that of the model's fit."""
+    train, test = frame.where(F.col("split") == "train"), frame.where(F.col("split") == "test")
+    prepare = features(train)
+    x = materialize(prepare.transform(train).select("review_id", "label", "w", "features"))
     t0 = time.time()
-    model = pipe.fit(train)
+    model = make(x).fit(x)
     secs = time.time() - t0
-    return model, metrics_row(model.transform(test), name, secs)
-
+    return prepare, model, metrics_row(model.transform(prepare.transform(test)), name, secs)
 
-class MacroF1Evaluator(Evaluator):
-    """Macro F1 for model search (``TrainValidationSplit``/``CrossValidator``)."""
 
-    def __init__(self, k: int = K):
-        super().__init__()
-        self.k = k
+def probabilities(pred: DataFrame):
+    """The class probabilities as an array, whatever the model gives."""
+    return F.col("proba") if "proba" in pred.columns else vector_to_array("probability")
 
-    def _evaluate(self, dataset: DataFrame) -> float:
-        counts = EV.confusion_counts(dataset.withColumn("pred", F.col("prediction").cast("int")), [])
-        return float(EV.macro_metrics(counts, [], self.k).first()["f1_macro"])
 
-    def isLargerBetter(self) -> bool:
-        return True
+def search_estimators() -> dict:
+    """The estimators that the search compares unless others are given."""
+    return {"logreg": logreg(), "random_forest": random_forest(), "random_forest_leaf4": random_forest(min_leaf=4), "gbt_ovr": boosted_ovr()}
 
 
-def model_search(frame: DataFrame, grid_values=(0.1, 1.0, 10.0)) -> DataFrame:
-    """Compare regularization strengths on a train/validation split by
-    macro F1 (``TrainValidationSplit``, parallel fits); leaderboard rows."""
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+def model_search(frame: DataFrame, estimators: dict | None = None) -> DataFrame:
+    """Macro F1 of several estimators on a fifth of the train rows, each
+    with its own time; the best first."""
     train = frame.where(F.col("split") == "train")
-    est = logreg()
-    grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * 1000.0) for c in grid_values]).build()
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=feature_stages() + [est]), estimatorParamMaps=grid,
-                               evaluator=MacroF1Evaluator(), trainRatio=0.8, parallelism=3, seed=42)
-    t0 = time.time()
-    m = tvs.fit(train)
-    secs = time.time() - t0
-    rows = [(f"logreg_C={c}", float(v), round(secs, 3)) for c, v in zip(grid_values, m.validationMetrics)]
-    spark = frame.sparkSession
-    return spark.createDataFrame(rows, "estimator string, macro_f1 double, time_to_fit double")
+    held = S.hash_fraction_below("review_id", 0.2, 11)
+    parts = train.withColumn("split", F.when(held, F.lit("test")).otherwise(F.lit("train")))
+    prepare = fit_features(parts.where("split = 'train'"))
+    x = materialize(prepare.transform(parts).select("review_id", "label", "w", "features", "split"))
+    rows = []
+    for name, make in (estimators or search_estimators()).items():
+        fit_on = x.where("split = 'train'")
+        t0 = time.time()
+        model = make(fit_on).fit(fit_on)
+        secs = time.time() - t0
+        score = metrics_row(model.transform(x.where("split = 'test'")), name, secs).first()
+        rows.append((name, float(score["f1_macro"]), round(secs, 3)))
+    rows.sort(key=lambda r: (-r[1], r[0]))
+    return frame.sparkSession.createDataFrame(rows, "estimator string, macro_f1 double, time_to_fit double")
+
+
+def grouped_importance(model) -> list[tuple[str, float]]:
+    """Importances summed over the text block vs each engineered feature."""
+    imp = importances(model)
+    n_num = len(FE.FEATURES)
+    return [("text_block", float(imp[:-n_num].sum()))] + [(f, float(v)) for f, v in zip(FE.FEATURES, imp[-n_num:])]
 
 
-def grouped_importance(model, vocab_size_col: str = "tfidf") -> list[tuple[str, float]]:
-    """Importances summed over the TF-IDF block vs each engineered feature."""
-    pm = model.stages[-1]
-    imp = pm.featureImportances.toArray()
-    n_num = len(FE.FEATURES)
-    text_block = float(imp[:-n_num].sum()) if len(imp) > n_num else 0.0
-    rows = [("tfidf_block", text_block)] + [(f, float(v)) for f, v in zip(FE.FEATURES, imp[-n_num:])]
-    return rows
-
-
-def stacking(probs: DataFrame) -> DataFrame:
-    """Base models' class probabilities side by side -> multinomial LR.
-
-    The meta-learner is fitted on the validation split and scored on test
-    (not on the base models' in-sample predictions)."""
-    models = sorted(r["model"] for r in probs.select("model").distinct().collect())  # a handful of names
-    wide = probs.groupBy("review_id", "label").pivot("model", models).agg(F.first("proba"))
-    for m in models:
-        wide = wide.withColumn(m, F.coalesce(F.col(m), F.array(*[F.lit(0.0)] * K)))
-    flat = wide.select("review_id", "label", *[F.col(m)[i].alias(f"{m}_{i}") for m in models for i in range(K)])
-    sp = S.train_val_test_split(flat, "label", "review_id")
-    counts = sp.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.partitionBy()
-    counts = counts.select("label", (F.sum("_nc").over(w) / (F.count(F.lit(1)).over(w) * F.col("_nc"))).alias("w"))
-    sp = materialize(sp.join(counts, "label"))
-    cols = [f"{m}_{i}" for m in models for i in range(K)]
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"),
-                            LogisticRegression(family="multinomial", weightCol="w", maxIter=100, regParam=0.001)])
-    t0 = time.time()
-    m = pipe.fit(sp.where(F.col("split") == "val"))
-    secs = time.time() - t0
-    return metrics_row(m.transform(sp.where(F.col("split") == "test")), "stacking", secs)
+def importances(model):
+    """Importance per feature: that of the trees, or the mean absolute coefficient over the classes."""
+    if hasattr(model, "featureImportances"):
+        return model.featureImportances.toArray()
+    return abs(model.coefficientMatrix.toArray()).mean(axis=0)
+
+
+def top_terms(prepare: PipelineModel, model, n: int = 15) -> list[tuple[str, float]]:
+    """The ``n`` features of largest importance, by term or feature name (ties by name)."""
+    names = [*prepare.stages[0].vocabulary, *FE.FEATURES]
+    return sorted(((t, float(v)) for t, v in zip(names, importances(model))), key=lambda x: (-x[1], x[0]))[:n]
 
 
-def probabilities_table(pred: DataFrame, name: str) -> DataFrame:
-    """S12 rows: (model, review_id, label, pred, proba)."""
-    return pred.select(F.lit(name).alias("model"), "review_id", F.col("label").cast("int"),
-                       F.col("prediction").cast("int").alias("pred"),
-                       vector_to_array("probability").alias("proba"))
+def stacking(frame: DataFrame, base: dict, folds: int = 3) -> DataFrame:
+    """Multinomial regression on the base models' class probabilities.
+
+    The train rows' probabilities are out of fold: every row is scored by
+    models that have not seen it. The test rows are scored by models of all
+    train rows."""
+    train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
+    fold = F.pmod(F.xxhash64("review_id"), F.lit(folds))
+    t0 = time.time()
+
+    def scored(fit_on: DataFrame, rows: DataFrame) -> DataFrame:
+        prepare = fit_features(fit_on)
+        x = materialize(prepare.transform(fit_on).select("review_id", "label", "w", "features"))
+        out = prepare.transform(rows).select("review_id", "label", "w", "features")
+        for name, make in base.items():
+            pred = make(x).fit(x).transform(out)
+            out = pred.withColumn(name, probabilities(pred)).select(*out.columns, name)
+        return materialize(out.drop("features"))
+
+    parts = [scored(train.where(fold != f), train.where(fold == f)) for f in range(folds)]
+    meta_train = functools.reduce(DataFrame.unionByName, parts)
+    meta_test = scored(train, test)
+    flat = lambda d: d.select("review_id", "label", "w", *[F.get(m, i).alias(f"{m}_{i}") for m in base for i in range(K)])
+    cols = [f"{m}_{i}" for m in base for i in range(K)]
+    meta_train = flat(meta_train)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), logreg()(meta_train)])
+    model = pipe.fit(meta_train)
+    return metrics_row(model.transform(flat(meta_test)), "stacking", time.time() - t0)
 
 
 def embedding_frame(clean: DataFrame, encode) -> DataFrame:
-    """review_id, label, embedding array, class weight, split (80/20).
+    """review_id, label, 9 features, embedding array, class weight, split (80/20).
 
     ``encode`` is any DataFrame job (id, text) -> (id, embedding)."""
     emb = encode(clean.select("review_id", "text"))
-    f = clean.select("review_id", L.sentiment_class("rating").alias("label")).join(emb, "review_id", "inner")
+    f = FE.text_features(clean).select("review_id", L.sentiment_class("rating").alias("label"), *FE.FEATURES).join(emb, "review_id", "inner")
     return materialize(S.train_test_split(with_balanced_weights(f, "label"), "label"))
 
 
@@ -194,13 +244,11 @@ class ArrayToVector(Transformer):
         return df.withColumn("emb_vec", array_to_vector("embedding"))
 
 
-def embedding_classifier(C: float = 1.0, max_iter: int = 100) -> Pipeline:
+def embedding_classifier(train: DataFrame, C: float = 1.0, max_iter: int = 1000) -> Pipeline:
     """L1 on embeddings: array -> vector, L2-normalize *inside* the pipeline
     (so scoring normalizes exactly like training, SURVEY 8 #1), multinomial
     logistic regression with balanced weights."""
-    from pyspark.ml.feature import Normalizer
-    return Pipeline(stages=[ArrayToVector(), Normalizer(inputCol="emb_vec", outputCol="features", p=2.0),
-                            logreg(C=C, max_iter=max_iter)])
+    return Pipeline(stages=[ArrayToVector(), Normalizer(inputCol="emb_vec", outputCol="features", p=2.0), logreg(C, max_iter)(train)])
 
 
 def score_batch(model, df: DataFrame, labels: list[str], digits: int = 4) -> DataFrame:

@@ -110,12 +110,17 @@ def stage_table(spark, sf):
     return clean.groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("report_json", "io")
+@register("report_json", "io", with_ctes("""
+    SELECT count(*) AS total_rows, CAST(count(*) FILTER (WHERE rating = 5) AS BIGINT) AS fives,
+           CAST(count(*) FILTER (WHERE rating IN (1, 2)) AS BIGINT) AS negatives FROM features""", "features"))
 def report_json(spark, sf):
+    """The dataset report as one JSON document, read back and parsed."""
     base = IO.scratch(spark, "report")
     clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
     doc = RP.dataset_report(FE.canonical(FE.text_features(clean)))
-    return IO.write_report_json(doc, f"{base}/eda_summary")
+    back = IO.write_report_json(doc, f"{base}/eda_summary").select(F.from_json("value", doc.schema).alias("d")).select("d.*")
+    return back.select("total_rows", F.coalesce(F.col("rating_distribution")["5.0"], F.lit(0)).cast("long").alias("fives"),
+                       F.coalesce(F.col("target_class_distribution")["Negativo"], F.lit(0)).cast("long").alias("negatives"))
 
 
 @register("embedding_splits", "io", with_ctes("""
@@ -143,32 +148,20 @@ def predictions_roundtrip(spark, sf):
     return IO.load_predictions(spark, f"{base}/preds").select("model", "review_id", "label", "pred")
 
 
-@register("model_roundtrip", "io")
+@register("model_roundtrip", "io", "SELECT 0::BIGINT AS mismatches, true AS any_rows")
 def model_roundtrip(spark, sf):
-    """Save a fitted pipeline, load it, predictions must agree."""
+    """Save fitted features and model, load them, predictions must agree."""
     from pyspark.ml import PipelineModel
     from textlake.operators import models as M
     base = IO.scratch(spark, "model")
     frame = M.supervised_frame(C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf)))
-    model, _ = M.fit_evaluate(frame, M.logreg(max_iter=20), "logreg")
-    model.write().overwrite().save(f"{base}/model")
+    prepare, model, _ = M.fit_evaluate(frame, M.random_forest(), "random_forest")
+    PipelineModel([prepare, model]).write().overwrite().save(f"{base}/model")
     loaded = PipelineModel.load(f"{base}/model")
     test = frame.where(F.col("split") == "test")
-    a = model.transform(test).select("review_id", F.col("prediction").alias("pred_saved"))
-    b = loaded.transform(test).select("review_id", F.col("prediction").alias("pred_loaded"))
-    return a.join(b, "review_id")
-
-
-@register("track_run", "io")
-def track_run(spark, sf):
-    base = IO.scratch(spark, "runs")
-    m = EV.macro_metrics(EV.confusion_counts(
-        V.probs(spark, sf).withColumn("pred", F.array_position("proba", F.array_max("proba")).cast("int") - 1),
-        ["model"]), ["model"]).collect()  # one row per model
-    for r in m:
-        IO.track_run(spark, f"{base}/runs", "search_eval", r["model"], {"k": 3},
-                     {"f1_macro": r["f1_macro"], "accuracy": r["accuracy"]})
-    return spark.read.parquet(f"{base}/runs").select("experiment", "run_name", "params", "metrics")
+    a = model.transform(prepare.transform(test)).select("review_id", F.col("prediction").alias("saved"))
+    b = loaded.transform(test).select("review_id", F.col("prediction").alias("loaded"))
+    return a.join(b, "review_id", "full").agg(F.count_if(~F.col("saved").eqNullSafe(F.col("loaded"))).alias("mismatches"), (F.count("*") > 0).alias("any_rows"))
 
 
 # ------------------------------------------------------------ E1-E7 -------
@@ -286,3 +279,19 @@ def report_confusion_cells(spark, sf):
 def report_f1_vs_time(spark, sf):
     """Models without a training time are dropped."""
     return RP.f1_vs_time(_reports(spark, sf))
+
+
+@register("track_run", "io", _e_sql(
+    "SELECT 'search_eval' AS experiment, model_name AS run_name, '3' AS k, 'test' AS split, f1_macro, accuracy FROM em"))
+def track_run(spark, sf):
+    """One record per run with parameters, metrics and tags, all appended in one write."""
+    base = IO.scratch(spark, "runs")
+    m = EV.macro_metrics(EV.confusion_counts(
+        V.probs(spark, sf).withColumn("pred", F.array_position("proba", F.array_max("proba")).cast("int") - 1),
+        ["model"]), ["model"])
+    runs = m.select(F.lit("search_eval").alias("experiment"), F.col("model").alias("run_name"), F.create_map(F.lit("k"), F.lit("3")).alias("params"),
+                    F.create_map(F.lit("f1_macro"), F.col("f1_macro"), F.lit("accuracy"), F.col("accuracy")).alias("metrics"),
+                    F.create_map(F.lit("split"), F.lit("test")).alias("tags"))
+    back = IO.track_runs(runs, f"{base}/runs")
+    return back.select("experiment", "run_name", F.col("params")["k"].alias("k"), F.col("tags")["split"].alias("split"),
+                       *[F.col("metrics")[c].alias(c) for c in ("f1_macro", "accuracy")])

@@ -21,6 +21,7 @@ from textlake.operators import text as TX
 from textlake.operators import vectors as VO
 from textlake.plans.registry import register
 from textlake.session import materialize
+from textlake.sources import io as IO
 from textlake.sources import views as V
 
 
@@ -30,39 +31,60 @@ def _frame(spark, sf):
 
 @register("logreg_eval", "ml")
 def logreg_eval(spark, sf):
-    return M.fit_evaluate(_frame(spark, sf), M.logreg(C=1.0), "logreg")[1]
+    return M.fit_evaluate(_frame(spark, sf), M.logreg(C=1.0), "logreg")[2]
 
 
 @register("rf_eval", "ml")
 def rf_eval(spark, sf):
-    return M.fit_evaluate(_frame(spark, sf), M.random_forest(), "random_forest")[1]
+    return M.fit_evaluate(_frame(spark, sf), M.random_forest(), "random_forest")[2]
+
+
+@register("rf_embedding_eval", "ml")
+def rf_embedding_eval(spark, sf):
+    """L2 with four rows a leaf, on the embedding and the nine features."""
+    return M.fit_evaluate(_embedding_frame(spark, sf), M.random_forest(min_leaf=4), "random_forest_leaf4", M.fit_embedding_features)[2]
 
 
 @register("gbt_ovr_eval", "ml")
 def gbt_ovr_eval(spark, sf):
-    return M.fit_evaluate(_frame(spark, sf), M.boosted_ovr(), "gbt_ovr")[1]
+    return M.fit_evaluate(_frame(spark, sf), M.boosted_ovr(), "gbt_ovr")[2]
 
 
 @register("svc_ovr_eval", "ml")
 def svc_ovr_eval(spark, sf):
-    return M.fit_evaluate(_frame(spark, sf), M.linear_svc_ovr(), "linear_svc_ovr")[1]
+    return M.fit_evaluate(_frame(spark, sf), M.linear_svc_ovr(max_iter=100), "linear_svc_ovr")[2]
 
 
 @register("model_leaderboard", "ml")
 def model_leaderboard(spark, sf):
-    return M.model_search(_frame(spark, sf))
+    """The leaderboard, exported as CSV and read back."""
+    board = materialize(M.model_search(_frame(spark, sf)))
+    path = IO.write_csv(board.coalesce(1), f"{IO.scratch(spark, 'leaderboard')}/csv", gzip=False)
+    return IO.read_csv(spark, path, board.schema)
 
 
-@register("feature_importance", "ml")
+@register("feature_importance", "ml", "SELECT 10::BIGINT AS features, 1.0::DOUBLE AS total, true AS all_positive")
 def feature_importance(spark, sf):
-    model, _ = M.fit_evaluate(_frame(spark, sf), M.random_forest(), "random_forest")
-    rows = M.grouped_importance(model)
-    return spark.createDataFrame([(n, round(v, 6)) for n, v in rows], "feature string, importance double")
+    """The text block and the nine features, whose importances add up to one."""
+    _, model, _ = M.fit_evaluate(_frame(spark, sf), M.random_forest(), "random_forest")
+    rows = spark.createDataFrame(M.grouped_importance(model), "feature string, importance double")
+    return rows.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("all_positive"))
+
+
+@register("feature_importance_terms", "ml")
+def feature_importance_terms(spark, sf):
+    """The 15 largest importances of a forest and of the mean absolute coefficients, by name."""
+    frame, rows = _frame(spark, sf), []
+    for name, make in (("random_forest", M.random_forest()), ("logreg", M.logreg())):
+        prepare, model, _ = M.fit_evaluate(frame, make, name)
+        rows += [(name, i + 1, t, round(v, 6)) for i, (t, v) in enumerate(M.top_terms(prepare, model, 15))]
+    return spark.createDataFrame(rows, "model string, rank int, feature string, importance double")
 
 
 @register("stacking_eval", "ml")
 def stacking_eval(spark, sf):
-    return M.stacking(V.probs(spark, sf))
+    """L10 over L1-L3, the regressions with 100 iterations at most."""
+    return M.stacking(_frame(spark, sf), {"logreg": M.logreg(max_iter=100), "random_forest": M.random_forest(), "gbt_ovr": M.boosted_ovr()})
 
 
 def _unit_points(spark, sf):
@@ -75,10 +97,10 @@ def kmeans_sweep(spark, sf):
     return CL.kmeans_sweep(_unit_points(spark, sf), range(2, 9))
 
 
-def _tfidf_features(spark, sf, vocab: int, min_df: int = 2):
+def _tfidf_features(spark, sf, vocab: int):
     clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
     t = TX.with_terms(clean.select("review_id", "text"), "text", (1, 1), TX.english_stop_words(), name="terms")
-    pipe = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab, minDF=min_df),
+    pipe = Pipeline(stages=[CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocab),
                             IDF(inputCol="tf", outputCol="features")])
     t = materialize(t)
     m = pipe.fit(t)
@@ -88,24 +110,23 @@ def _tfidf_features(spark, sf, vocab: int, min_df: int = 2):
 @register("kmeans_tfidf_terms", "ml")
 def kmeans_tfidf_terms(spark, sf):
     from pyspark.ml.clustering import KMeans
-    _, pts = _tfidf_features(spark, sf, 1000)
+    _, pts = _tfidf_features(spark, sf, 1500)
     km = KMeans(k=4, seed=42, featuresCol="features", predictionCol="cluster").fit(pts)
     assign = km.transform(pts).select("review_id", "cluster")
     clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
-    weights = TX.fit_tfidf(clean, "review_id", "text", (1, 1), TX.english_stop_words(), min_df=2,
-                           max_features=1000).weights
+    weights = TX.fit_tfidf(clean, "review_id", "text", (1, 1), TX.english_stop_words(), max_features=1500).weights
     return CL.cluster_top_terms(weights, assign, 10)
 
 
 @register("pca2", "ml")
 def pca2(spark, sf):
-    _, pts = _tfidf_features(spark, sf, 1000)
+    _, pts = _tfidf_features(spark, sf, 1500)
     return CL.pca_project(pts, 2)
 
 
 @register("svd3", "ml")
 def svd3(spark, sf):
-    _, pts = _tfidf_features(spark, sf, 1000)
+    _, pts = _tfidf_features(spark, sf, 1500)
     return CL.svd_values(pts, 3)
 
 
@@ -113,7 +134,7 @@ def svd3(spark, sf):
 def lda_topics(spark, sf):
     clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))
     t = TX.with_terms(clean.select("review_id", "text"), "text", (1, 1), TX.english_stop_words(), name="terms")
-    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=1000, minDF=2).fit(t)
+    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=1000).fit(t)
     return CL.lda_topics(cv.transform(t), list(cv.vocabulary), k=5)
 
 
@@ -138,7 +159,8 @@ def embed_logreg_eval(spark, sf):
     """L1 on embeddings: encoder output -> normalize -> multinomial LR; test metrics."""
     f = _embedding_frame(spark, sf)
     t0 = time.time()
-    model = M.embedding_classifier().fit(f.where(F.col("split") == "train"))
+    train = f.where(F.col("split") == "train")
+    model = M.embedding_classifier(train).fit(train)
     return M.metrics_row(model.transform(f.where(F.col("split") == "test")), "logreg_embeddings", time.time() - t0)
 
 
@@ -148,5 +170,6 @@ def score_batch(spark, sf):
     code, confidence and the probability map per review."""
     from textlake.functions.labels import CLASS_LABELS
     f = _embedding_frame(spark, sf)
-    model = M.embedding_classifier().fit(f.where(F.col("split") == "train"))
+    train = f.where(F.col("split") == "train")
+    model = M.embedding_classifier(train).fit(train)
     return M.score_batch(model, f.where(F.col("split") == "test"), CLASS_LABELS)

@@ -185,12 +185,8 @@ def load_metric_reports(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def track_run(spark: SparkSession, path: str, experiment: str, name: str, params: dict, metrics: dict) -> DataFrame:
-    """Append one run record to the runs table."""
-    row = [(uuid.uuid4().hex, experiment, name, {k: str(v) for k, v in params.items()},
-            {k: float(v) for k, v in metrics.items()})]
-    df = spark.createDataFrame(row, "run_id string, experiment string, run_name string, "
-                                    "params map<string,string>, metrics map<string,double>")
-    df.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
-
+def track_runs(runs: DataFrame, path: str) -> DataFrame:
+    """Append run records (experiment, run_name, params, metrics, tags) to
+    the runs table in one write; every record gets an id and the time."""
+    runs.withColumn("run_id", F.expr("uuid()")).withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
+    return runs.sparkSession.read.parquet(path)
