@@ -78,9 +78,13 @@ def dedupe_first(df: DataFrame, key: list[str] | str, order_col: str = "review_i
                       *[F.col(f"_best.{c}") for c in rest]).select(*df.columns)
 
 
-def dedupe_text(df: DataFrame) -> DataFrame:
-    """``unique(subset=['text'])`` with a deterministic survivor."""
-    return dedupe_first(df, "text", "review_id")
+def dedupe_text(df: DataFrame, order_col: str = "review_id") -> DataFrame:
+    """``unique(subset=['text'])``; the row of the smallest id survives.
+
+    Texts are grouped by their SHA-256 digest, a hash aggregate of one id per
+    digest; a semi join on the id picks the rows. ``order_col`` must be unique."""
+    first = df.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("_d")).agg(F.min(order_col).alias(order_col))
+    return df.join(first.select(order_col), order_col, "left_semi")
 
 
 def dedupe_key(df: DataFrame, key: str = "parent_asin") -> DataFrame:
@@ -116,7 +120,3 @@ def clean_reviews(reviews: DataFrame, products: DataFrame) -> DataFrame:
     r = min_words_space(r)
     r = drop_cols(r, ["verified_purchase", "helpful_vote", "title"])
     return r.join(meta, "parent_asin", "inner")
-
-
-def rank_window(partition: list[str], order: list[Column]) -> Window:
-    return Window.partitionBy(*partition).orderBy(*order)

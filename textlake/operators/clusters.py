@@ -131,7 +131,3 @@ def ann_recall(index: DataFrame, queries: DataFrame, exact: DataFrame, k: int =
 
 def vectors_as_features(df: DataFrame, vec: str = "vec") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec)))
-
-
-def unit(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn(vec, VF.l2_normalize(vec))

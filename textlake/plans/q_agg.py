@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from textlake.functions import labels as L
 from textlake.operators import clean as C
@@ -12,6 +11,7 @@ from textlake.operators import features as FE
 from textlake.operators import joins as J
 from textlake.plans.registry import register
 from textlake.plans.sqlviews import with_ctes
+from textlake.session import staged
 from textlake.sources import views as V
 
 
@@ -40,15 +40,11 @@ _ENRICHED = r"""
 def subcategory_rating_share(spark, sf):
     """Flagship: S4 -> P10 -> J3/X15 -> T1 -> A3 -> W1."""
     enriched = J.enrich_category(_clean(spark, sf), V.products(spark, sf))
-    # one pass over the corpus: aggregate to (sub-category, rating) cells
-    # first; the top-10 (by row count, ties by name) is then ranked on that
-    # small table (sub-categories x ratings rows), no second scan or join
-    cells = enriched.groupBy("sub_categoria", "rating").agg(F.count("text").alias("conteo"),
-                                                           F.count(F.lit(1)).alias("_rows"))
-    total = F.sum("_rows").over(Window.partitionBy("sub_categoria"))
-    ranked = cells.withColumn("_n", total).withColumn(
-        "_r", F.dense_rank().over(Window.orderBy(F.col("_n").desc(), F.col("sub_categoria"))))
-    counts = ranked.where(F.col("_r") <= 10).select("sub_categoria", "rating", "conteo")
+    # one pass over the corpus: cells of (sub-category, rating) first; the ten
+    # largest sub-categories (ties by name) are taken from that small table
+    cells = staged(enriched.groupBy("sub_categoria", "rating").agg(F.count("text").alias("conteo"), F.count(F.lit(1)).alias("_rows")))
+    top = cells.groupBy("sub_categoria").agg(F.sum("_rows").alias("n")).orderBy(F.col("n").desc(), "sub_categoria").limit(10)
+    counts = C.keep_in(cells, top, "sub_categoria").select("sub_categoria", "rating", "conteo")
     return X.share_within_group(counts, "sub_categoria", "conteo")
 
 
@@ -220,3 +216,28 @@ def saturation_rating_month(spark, sf):
 def dataset_report(spark, sf):
     from textlake.operators.reports import dataset_report as rep
     return rep(FE.canonical(_features(spark, sf)))
+
+
+@register("top_products_reviews", "agg", with_ctes("""
+    SELECT review_id, parent_asin FROM clean WHERE parent_asin IN
+      (SELECT parent_asin FROM clean GROUP BY parent_asin ORDER BY count(*) DESC, parent_asin LIMIT 10)""", "clean"))
+def top_products_reviews(spark, sf):
+    """P7 + T1: the reviews of the ten products with most reviews."""
+    c = staged(_clean(spark, sf).select("review_id", "parent_asin"))
+    return C.keep_in(c, X.top_n_values(c, "parent_asin", 10), "parent_asin").select("review_id", "parent_asin")
+
+
+@register("histogram_punctuation", "agg", with_ctes("""
+    SELECT rating, CAST(least(greatest(floor(puntuacion_emocional / 1.0), 0), 19) AS INTEGER) AS bin, count(*) AS n
+    FROM features GROUP BY ALL""", "features"))
+def histogram_punctuation(spark, sf):
+    """A12 for emotional punctuation, 0 to 20."""
+    return X.histogram_by_group(_features(spark, sf), "rating", "puntuacion_emocional", 0.0, 20.0, 20)
+
+
+@register("rating_star_names", "agg", with_ctes(
+    "SELECT CASE rating " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in L.STAR_NAMES.items()) + " END AS stars, count(*) AS n "
+    "FROM reviews GROUP BY ALL", "reviews"))
+def rating_star_names(spark, sf):
+    """Reviews per star name."""
+    return V.reviews(spark, sf).groupBy(L.star_name("rating").alias("stars")).agg(F.count(F.lit(1)).alias("n"))

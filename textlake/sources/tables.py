@@ -20,8 +20,3 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def scan_projected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Parquet scan that reads only ``columns``."""
-    return spark.read.parquet(path).select(*columns)
