@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from textlake.functions import vectors as VF
 
 
 def kmeans_scores(points: DataFrame, k: int, seed: int = 42) -> dict:
