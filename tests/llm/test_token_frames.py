@@ -30,6 +30,29 @@ def test_ids_equal_those_of_the_library():
     assert ids_of(encoder, texts[::-1]) == want[::-1]  # from the table
 
 
+def test_added_tokens_in_the_text():
+    from tokenizers import AddedToken, Tokenizer
+
+    rng = random.Random(2)
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, mark * 3, f"  {mark}  x {mark}", "<|endof", "text|>", f"{mark}\n", "", "plain words", f"é {mark}日"]
+    parts = [mark, mark, "<|endof", "text|>", " ", "  ", "\n", "word", "é", "I'll", "\xa0", "1"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(3000)]
+    fresh = Tokenizer.from_file(PATH)
+    assert fresh.encode(f"a{mark}b", add_special_tokens=False).ids == [64, 50256, 65]
+    want = [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    encoder = Encoder(PATH)
+    assert ids_of(encoder, texts) == want
+    assert ids_of(encoder, texts[::-1]) == want[::-1]
+    # A token that takes the blanks before it: texts that hold it go to the library whole.
+    odd = Encoder(PATH)
+    odd.tokenizer.add_special_tokens([AddedToken("<sep>", lstrip=True)])
+    fresh.add_special_tokens([AddedToken("<sep>", lstrip=True)])
+    odd._find_added()
+    texts = ["a  <sep> b", f"{mark} <sep>", "none", "", f"x{mark}"]
+    assert ids_of(odd, texts) == [e.ids for e in fresh.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_frames_are_plain_zstandard(tmp_path):
     path = str(tmp_path / "a" / "x.zst")
     docs = [(None, np.array([5], np.uint32)), (3, np.arange(1000, dtype=np.uint32)), (3, np.zeros(0, np.uint32)), (9, np.arange(PIECE + 7, dtype=np.uint32) % 50_000)]

@@ -147,7 +147,9 @@ class Encoder:
     over certain borders: before a blank that follows other text, and between
     ASCII letters and ASCII marks. Texts are cut there, each distinct piece is
     encoded once, and its ids are looked up after that by a 64-bit hash. Texts
-    with a blank inside a run of white space, where that border moves, are one piece."""
+    with a blank inside a run of white space, where that border moves, are one piece.
+    Added tokens (such as <|endoftext|>) are found first, as the library does, and
+    what stands between them is encoded as texts of its own."""
 
     _loaded: dict[str, Encoder] = {}
 
@@ -156,7 +158,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._find_added()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.hasher = Words(b"", fold_case=False)
@@ -173,6 +175,13 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _find_added(self):
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        self.added_pattern = re.compile(b"|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if added else None
+        #: Whether added tokens are plain strings in the text; else the texts that hold one go to the library whole.
+        self.plain_added = self.tokenizer.normalizer is None and len({t.normalized for t in added.values()}) < 2 and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+
     def _clear(self):
         self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.flat, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
@@ -217,12 +226,44 @@ class Encoder:
         out[which], out[~which] = np.delete(one, cuts), [t for x in rest for t in x]
         return out, size
 
+    def _added_spans(self, b: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(start, end, ids) of the added tokens, or of the texts to encode whole, in order."""
+        raw = b.tobytes()
+        if self.added_pattern is None or not self.added_pattern.search(raw):
+            return []
+        near = set()
+        for m in self.added_pattern.finditer(raw):  # a match over a border leaves its texts to be looked at alone
+            near.update(range(int(np.searchsorted(rows, m.start(), "right")) - 1, int(np.searchsorted(rows, m.end(), "left"))))
+        out = []
+        for r in sorted(near):
+            lo, hi = int(rows[r]), int(rows[r + 1])
+            found = [(lo + m.start(), lo + m.end(), [self.added[m[0]]]) for m in self.added_pattern.finditer(raw[lo:hi])]
+            if found and not self.plain_added:
+                found = [(lo, hi, self.tokenizer.encode(raw[lo:hi].decode("utf-8", "replace"), add_special_tokens=False).ids)]
+            out += found
+        return out
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts buf[offs[i]:offs[i+1]] end to end, and their bounds; no end ids."""
         base = int(offs[0])
         b, rows = buf[base:int(offs[-1])], offs - base
+        spans = self._added_spans(b, rows)
+        if not spans:
+            return self._encode(b, rows)
+        starts, sizes = np.array([x[0] for x in spans]), np.array([len(x[2]) for x in spans])
+        bounds = np.sort(np.concatenate((rows, starts, [x[1] for x in spans])))
+        length = np.diff(bounds)
+        is_span = np.isin(bounds[:-1], starts) & (length > 0)
+        ids, edge = self._encode(b[np.repeat(~is_span, length)], np.concatenate(([0], np.cumsum(np.where(is_span, 0, length)))))
+        ids = np.insert(ids, np.repeat(edge[:-1][is_span], sizes), np.array([t for x in spans for t in x[2]], np.uint32))
+        count = np.diff(edge)
+        count[is_span] = sizes
+        return ids, np.concatenate(([0], np.cumsum(count)))[np.searchsorted(bounds, rows)]
+
+    def _encode(self, b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the texts b[rows[i]:rows[i+1]], which hold no added token."""
         if not len(b):
-            return np.empty(0, np.uint32), np.zeros(len(offs), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(rows), np.int64)
         if len(self.keys) > KEPT:
             self._clear()
         starts = self._cuts(b, rows[:-1])
