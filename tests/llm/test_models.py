@@ -98,6 +98,31 @@ def test_random_strings_are_found(spark):
     assert len(found) >= 54 and sum(bool(got[i]) for i in range(60, 260)) <= 6
 
 
+def test_lone_and_copied_keys(spark):
+    """One key is found, alone or in many copies, and its copies do not change what else is kept."""
+    rng = np.random.default_rng(8)
+
+    def keys(n, low, high):
+        out = []
+        while len(out) < n:
+            s = "".join(rng.choice(list("0123456789ABCDEF"), 40))
+            if low <= secret_scan.randomness_p(*secret_scan.infer_encoding(s)[1:]) < high:
+                out.append(s)
+        return out
+
+    def kept(texts):
+        rows = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        return [bool(r.spans) for r in sorted(rows, key=lambda r: r.doc_id)]
+
+    lone, (high,), names = keys(1, 0.2, 0.3), keys(1, 0.9, 1), ["0A" * 20, "0123456789ABCDEF" * 2 + "01234567"]
+    assert kept(lone) == [True]
+    assert kept(lone * 300 + names) == [True] * 300 + [False] * 2
+    others = keys(30, 0, 1)
+    assert kept(others + names + lone * 300)[:32] == kept(others + names + lone)[:32]
+    assert kept([high] * 300 + names) == [True] * 300 + [False] * 2
+    assert kept(names[:1] * 300) == [False] * 300
+
+
 def test_gru_gradients_and_probabilities(monkeypatch):
     monkeypatch.setattr(gru, "f4", np.float64)
     rng, n = np.random.default_rng(0), 60

@@ -8,7 +8,11 @@ method makes one p-value of them. Random strings have evenly spread p-values,
 words and identifiers small ones, the smaller the longer they are. So in each
 stratum of encoding and length the number of random strings is estimated from
 the upper half of the p-values, and the lowest p-value is chosen at which the
-expected share of non-random strings among those kept is FDR at most.
+expected share of non-random strings among those kept is FDR at most. Each
+distinct string counts once, however often it is copied, and every stratum
+starts from a prior of PRIOR random strings and as many with p under FDR: a
+lone string is kept if its p is not suspicious. The price is that about two
+non-random strings a stratum, FDR of the prior, can be kept beyond the rule.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import math
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 FDR = 0.05
 BINS = 200
+#: Prior strings of each sort in a stratum: 1 / (1 + PRIOR * (1 - p)) is at most FDR for p up to a half.
+PRIOR = 40
 LEAST_RANDOM = 20
 #: name, pattern of the whole string, symbols in order. The first that fits is taken.
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -124,20 +131,27 @@ def find_spans(text: str) -> list[tuple]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-_SPANS = "array<struct<kind:string,start:long,end:long,stratum:string,p:double>>"
+_SPANS = "array<struct<kind:string,start:long,end:long,stratum:string,p:double,key:string>>"
+
+
+def _keyed_spans(text: str) -> list[dict]:
+    """The spans with ``key``, a hash of the string of a random candidate."""
+    return [dict(zip(("kind", "start", "end", "stratum", "p"), x), key=xxhash.xxh3_128_hexdigest(text[x[1]:x[2]]) if x[0] == "random" else None)
+            for x in find_spans(text)]
 
 
 def _scan(batches):
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("p", pa.float64())])
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("p", pa.float64()), ("key", pa.string())])
     for batch in batches:
-        spans = [[dict(zip(("kind", "start", "end", "stratum", "p"), x)) for x in find_spans(str(t))] if t.is_valid else [] for t in batch.column(1)]
+        spans = [_keyed_spans(str(t)) if t.is_valid else [] for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], names=["id", "spans"])
 
 
 def thresholds(counts: dict[str, list[int]]) -> dict[str, float]:
     """Least p-value kept in each stratum, from histograms of BINS equal bins."""
-    out = {}
-    for stratum, bins in counts.items():
+    out, low = {}, int(FDR * BINS)
+    for stratum, found in counts.items():
+        bins = [n + PRIOR / BINS + (PRIOR / low if i < low else 0) for i, n in enumerate(found)]
         random = 2 * sum(bins[BINS // 2:])
         out[stratum] = 1.0
         for t in range(BINS):
@@ -157,7 +171,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kind = docs.schema[id_col].dataType.simpleString()
     found = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan, f"id {kind}, spans {_SPANS}"), "spans")
-    p = found.select(F.explode("spans").alias("s")).where("s.kind = 'random'").select("s.stratum", F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    p = found.select(F.explode("spans").alias("s")).where("s.kind = 'random'").select("s.stratum", "s.key", F.least(F.floor(F.col("s.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    p = p.distinct()  # a string once, however often it is copied
     counts: dict[str, list[int]] = {}
     for stratum, b, n in p.groupBy("stratum", "bin").count().collect():  # encodings x length bins x BINS at most
         counts.setdefault(stratum, [0] * BINS)[b] = n
