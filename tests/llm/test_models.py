@@ -191,6 +191,25 @@ def test_base_scores_against_counts(spark):
         assert abs(base - r.base_score) < 1e-6 * abs(base)
 
 
+def test_every_training_row_reaches_the_network(spark, monkeypatch):
+    """Rows of null ids and of one id as well: each is trained on once, over several rounds."""
+    from textlake.llm import language_model
+
+    paths, seen = [], language_model.shared_path
+    rows = [(None if i < 30 else 7 if i < 60 else i, f"a w{i} " * (1 + i % 3)) for i in range(90)] + [(5, "same")] * 10
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def path(spark, name):
+        paths.append(seen(spark, name))
+        return paths[-1]
+
+    monkeypatch.setattr(language_model, "shared_path", path)
+    score_documents(train.limit(1), train).collect()
+    dealt = spark.read.schema("ids array<int>, turn long").parquet(*[p for p in paths if "sequences" in p]).groupBy("turn").count().collect()
+    assert sum(r["count"] for r in dealt) == 100 and max(r["count"] for r in dealt) < 25
+    assert {r.turn for r in dealt} <= set(range(language_model.ROUNDS))
+
+
 def test_model_probabilities_sum_to_one(spark):
     """All one-word texts over the training words, and any unknown word: with
     the end's share left out, first-token probabilities add up to one."""

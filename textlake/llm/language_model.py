@@ -7,9 +7,9 @@ Tokens are white-space words (A-Z lower-cased) and an end after each document.
 2. The HEAD most frequent tokens travel to the tasks with their counts. The
    first IDS of them, and one id for all other words, are the ids of the
    recurrent model (module ``gru``).
-3. Rounds of local training: replicas of one million ids each, over a fixed
-   share of the training documents, whose weights are averaged by ids seen.
-   The share is by hash, so what is trained on grows with the corpus.
+3. Rounds of local training: replicas of one million ids each, whose weights
+   are averaged by ids seen. Every training row is dealt to one round, by a
+   hash of the row, so all rounds together are one pass over all of them.
 4. Each document is scored whole, the state carried from window to window.
    A word without an id gets the probability of the "other" id times its
    smoothed share among such words; words outside HEAD get their counts by a
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm import gru
-from textlake.llm.common import row_blocks, stage, text_buffer
+from textlake.llm.common import row_blocks, shared_path, stage, text_buffer
 from textlake.llm.words import SPACE, U, Words
 
 #: Tokens whose counts are broadcast (16 bytes each), and those that the model predicts one by one.
 HEAD, IDS = 1 << 17, 2046
 #: One training document in SHARE is trained on in each of ROUNDS rounds, in replicas of REPLICA ids.
-SHARE, ROUNDS, REPLICA, RATE = 16, 2, 1_000_000, 0.02
+SHARE, REPLICA, RATE = 16, 1_000_000, 0.02
+ROUNDS = SHARE
 #: Distinct tokens that a task holds before it passes their counts on.
 FLUSH = 1 << 20
 END = 0x656E64
@@ -99,11 +100,11 @@ def _sequences(sent):
     def run(batches):
         hasher, head = Words(SPACE), _Head(sent.value)
         for batch in batches:
-            buf, offs = text_buffer(batch.column(0))
+            buf, offs = text_buffer(batch.column(1))
             for i, j in row_blocks(offs, 4 << 20):
                 h, edge = _tokens(hasher, buf, offs[i:j + 1])
                 ids = head.find(h)[1].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))], names=["ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))], names=["turn", "ids"])
     return run
 
 
@@ -136,15 +137,19 @@ def _train(docs: DataFrame, id_col: str, sent, head: dict) -> dict:
     counts = np.concatenate(([max(total - head["named"], 0)], head["freq"]))
     params = gru.init(counts)
     sc = docs.sparkSession.sparkContext
-    share = docs.withColumn("turn", F.expr(f"pmod(xxhash64(`{id_col}`), {SHARE})"))
+    # Null and repeated ids, and repeated rows, are spread over the turns too.
+    turn_of = F.pmod(F.xxhash64(id_col, "text", F.monotonically_increasing_id()), F.lit(SHARE))
+    path = shared_path(docs.sparkSession, "sequences")
+    docs.select(turn_of.alias("turn"), "text").mapInArrow(_sequences(sent), "turn long, ids array<int>").write.partitionBy("turn").parquet(path)
+    share = docs.sparkSession.read.schema("ids array<int>, turn long").parquet(path)
+    size = {r.turn: r.n for r in share.groupBy("turn").agg(F.sum(F.size("ids")).alias("n")).collect()}  # SHARE rows
     shape = "name string, block long, part long, seen long, w array<double>"
     for turn in range(ROUNDS):
-        weights = sc.broadcast(params)
-        ids = share.where(F.col("turn") == turn).select("text").mapInArrow(_sequences(sent), "ids array<int>")
-        ids = stage(ids, "sequences")
-        n = ids.agg(F.sum(F.size("ids"))).first()[0]
+        n = size.get(turn, 0)
         if not n:
             continue
+        weights = sc.broadcast(params)
+        ids = share.where(F.col("turn") == turn).select("ids")
         rows = ids.repartition(max(1, round(n / REPLICA))).mapInArrow(_replica(sent, weights), shape)
         rows = rows.groupBy("name", "block", "part").applyInPandas(_sum_within, shape)
         done = rows.groupBy("name", "block").applyInPandas(_sum_all, shape).toPandas()
