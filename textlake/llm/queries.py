@@ -100,3 +100,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textlake.llm.temperature_mix import mix_sources
 
     return mix_sources(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_bpe_transducer")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from textlake.llm.bpe_transducer import broadcast_vocabulary, decode_ids, encode_texts, read_ranks
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        vocabulary = broadcast_vocabulary(spark, read_ranks(lines), public_tokenizers.PATTERN)
+    encoded = encode_texts(read_table(spark, sf_dir, "documents"), vocabulary)
+    decoded = decode_ids(encoded, vocabulary, keep=("doc_id", "ids"))
+    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
