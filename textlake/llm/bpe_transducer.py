@@ -25,6 +25,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -352,7 +353,7 @@ class Decoder:
 
 def _by_rows(batch: pa.RecordBatch, column: int, make, kind: pa.DataType, name: str):
     """The batch without ``column`` and with ``make`` of it, in output batches of BLOCK input bytes."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     offs = np.concatenate([[0], np.cumsum(sizes)])
     rest = [i for i in range(batch.num_columns) if i != column]
     for a, b in row_blocks(offs, BLOCK):
