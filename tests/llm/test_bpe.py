@@ -102,14 +102,14 @@ def test_decoding_in_any_steps_equals_pythons_decoder(vocabulary, monkeypatch):
 
 def test_documents(spark, edge_docs, no_docs, vocabulary):
     ranks, _, reference = vocabulary
-    sent = T.broadcast_vocabulary(spark, ranks, P.PATTERN)
-    encoded = T.encode_texts(edge_docs, sent, keep=("doc_id", "n"))
-    rows = T.decode_ids(encoded, sent, keep=("doc_id", "n", "ids")).collect()
+    rules, tokens = T.broadcast_rules(spark, ranks, P.PATTERN), T.broadcast_tokens(spark, ranks)
+    encoded = T.encode_texts(edge_docs, rules, keep=("doc_id", "n"))
+    rows = T.decode_ids(encoded, tokens, keep=("doc_id", "n", "ids")).collect()
     want = sorted((repr(i), reference.encode_ordinary(t or ""), t or "") for i, t, _, _ in ROWS)
     assert sorted((repr(r.doc_id), ids(r.ids), r.decoded) for r in rows) == want and {r.n for r in rows} == {"other"}
-    assert T.decode_ids(T.encode_texts(no_docs, sent), sent).count() == 0
+    assert T.decode_ids(T.encode_texts(no_docs, rules), tokens).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
-    assert T.decode_ids(nothing, sent).collect()[0].decoded == ""
+    assert T.decode_ids(nothing, tokens).collect()[0].decoded == ""
 
 
 def test_query(spark):

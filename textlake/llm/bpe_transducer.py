@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import row_blocks
 
 #: Cached states of a transducer, cached pieces and the longest piece that is cached.
-STATES, PIECES, PIECE_BYTES = 40_000, 200_000, 64
+STATES, PIECES, PIECE_BYTES = 100_000, 400_000, 64
 #: Text bytes encoded (or id bytes decoded) to one output batch, and ids per decoding step.
 BLOCK, STEP = 4 << 20, 1 << 16
 #: Characters from which the pieces of a text are taken one by one instead of as a list.
@@ -150,33 +150,51 @@ class Rules:
         return True
 
 
+class State(dict):
+    """One state: its moves, byte -> (next state, token that ends), as far as they were needed."""
+
+    __slots__ = ("entries", "machine")
+
+    def __init__(self, entries: tuple, machine: Transducer):
+        super().__init__()
+        self.entries, self.machine = entries, machine
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        move = self[byte] = self.machine.move(self.entries, byte)
+        return move
+
+
 class Transducer:
     """Bytes of a piece in, token ids out; states are made when first reached.
 
     A state holds the open boundaries, oldest first: the trie node of the bytes
-    since, and what the token before forbids of them. Each move names the token that ends at the byte
-    read. A boundary's encoding is found by stepping back over these tokens, so
-    tokens are emitted up to where the steps of all open boundaries meet.
+    since, and what the token before forbids of them. Each move names the token
+    that ends at the byte read. A boundary's encoding is found by stepping back
+    over these tokens, so tokens are emitted up to where the steps of all open
+    boundaries meet.
     """
 
     def __init__(self, rules: Rules):
         self.rules = rules
         self.size = {token: len(text) for text, token in rules.ranks.items()}
-        self.states: list[tuple] = []
-        self.index: dict[tuple, int] = {}
-        self.moves: dict[int, tuple[int, int]] = {}
-        self._state((((), ROOT),))
-
-    def _state(self, entries: tuple) -> int:
-        if entries not in self.index:
-            self.index[entries] = len(self.states)
-            self.states.append(entries)
-        return self.index[entries]
-
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        self.states: dict[tuple, State] = {}
+        self.start = self._state((((), ROOT),))
+
+    def _state(self, entries: tuple) -> State:
+        state = self.states.get(entries)
+        if state is None:
+            if len(self.states) >= STATES:
+                for old in self.states.values():
+                    old.clear()
+                self.states.clear()
+                self.states[self.start.entries] = self.start
+            state = self.states[entries] = State(entries, self)
+        return state
+
+    def move(self, entries: tuple, byte: int) -> tuple[State, int]:
         """The subset step: entries that the byte leads on, and the new boundary."""
         rules, live, ended = self.rules, [], -1
-        for before, node in self.states[state]:
+        for before, node in entries:
             child = rules.trie.get(node << 8 | byte)
             if child is None:
                 continue
@@ -186,23 +204,12 @@ class Transducer:
             token = rules.token[child]
             if token >= 0 and ended < 0 and rules.allowed(limits, token):
                 ended = token
-        after = (*live, (rules.tail(ended), ROOT))
-        full = len(self.states) >= STATES and after not in self.index
-        if full:
-            start = self.states[0]
-            self.states.clear(), self.index.clear(), self.moves.clear()
-            self._state(start)
-        move = (self._state(after), ended)
-        if not full:
-            self.moves[state << 8 | byte] = move
-        return move
+        return self._state((*live, (rules.tail(ended), ROOT))), ended
 
-    def _read(self, state: int, data: bytes, ended: list[int]) -> int:
+    def _read(self, state: State, data: bytes, ended: list[int]) -> State:
         """Moves over ``data``, adding the token that ends at each byte; the state reached."""
-        known = self.moves.get
         for byte in data:
-            move = known(state << 8 | byte) or self._move(state, byte)
-            state, token = move
+            state, token = state[byte]
             ended.append(token)
         return state
 
@@ -212,12 +219,13 @@ class Transducer:
         if len(piece) > self.rules.longest:
             return [token for part in self.stream(piece[i:i + STEP] for i in range(0, len(piece), STEP)) for token in part]
         ended: list[int] = []
-        self._read(0, piece, ended)
+        self._read(self.start, piece, ended)
         return self._back(ended, len(ended))
 
     def stream(self, chunks):
         """Lists of the ids that are certain after each chunk of a piece, and of the rest at its end."""
-        state, ended = 0, []
+        state: State = self.start
+        ended: list[int] = []
         for data in chunks:
             state = self._read(state, data, ended)
             if len(ended) > 2 * self.rules.longest:
@@ -234,9 +242,9 @@ class Transducer:
             end -= self.size[out[-1]]
         return out[::-1]
 
-    def _shared(self, state: int, ended: list[int]) -> int:
+    def _shared(self, state: State, ended: list[int]) -> int:
         """The latest boundary that the encodings of all open boundaries pass."""
-        at = [len(ended) - self.rules.depth[node] for _, node in self.states[state]]
+        at = [len(ended) - self.rules.depth[node] for _, node in state.entries]
         while min(at) != max(at):
             i = at.index(max(at))
             at[i] -= self.size[ended[at[i] - 1]]
@@ -384,12 +392,17 @@ def _worker_copy(sent, name: str, build):
     return box[name]
 
 
-def broadcast_vocabulary(spark, ranks: dict[bytes, int], pattern: str):
-    """The compiled vocabulary for ``encode_texts`` and ``decode_ids``; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast({"ranks": ranks, "pattern": pattern, "rules": Rules(ranks)})
+def broadcast_rules(spark, ranks: dict[bytes, int], pattern: str):
+    """The compiled merges for ``encode_texts``; their size is that of the vocabulary."""
+    return spark.sparkContext.broadcast({"rules": Rules(ranks), "pattern": pattern})
+
+
+def broadcast_tokens(spark, ranks: dict[bytes, int]):
+    """The token bytes for ``decode_ids``."""
+    return spark.sparkContext.broadcast({"ranks": ranks})
 
 
-def encode_texts(df: DataFrame, vocabulary, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
+def encode_texts(df: DataFrame, rules, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """(keep columns, ids_col): the ids of each whole text as packed little-endian
     unsigned 32-bit integers, a row each. Null and empty texts have no ids. Each
     match of the pattern is encoded apart, without special tokens. Rows are never
@@ -397,17 +410,17 @@ def encode_texts(df: DataFrame, vocabulary, text_col: str = "text", keep: tuple[
     columns not in ``keep`` are left out.
     """
     def maker():
-        encoder = _worker_copy(vocabulary, "encoder", lambda box: Encoder(box["rules"], box["pattern"]))
+        encoder = _worker_copy(rules, "encoder", lambda box: Encoder(box["rules"], box["pattern"]))
         return lambda text: encoder.encode(text or "")
 
     return _mapped(df, text_col, ids_col, "binary", pa.binary(), keep, maker)
 
 
-def decode_ids(df: DataFrame, vocabulary, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
+def decode_ids(df: DataFrame, tokens, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
     """(keep columns, text_col): the text of each row of packed ids (null: empty),
     decoded as a stream. An id outside the vocabulary raises."""
     def maker():
-        decoder = _worker_copy(vocabulary, "decoder", lambda box: Decoder(box["ranks"]))
+        decoder = _worker_copy(tokens, "decoder", lambda box: Decoder(box["ranks"]))
         return lambda packed: decoder.decode(packed or b"")
 
     return _mapped(df, ids_col, text_col, "string", pa.string(), keep, maker)
