@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm.bbit_minhash import SQL as near_duplicates_sql
-from textlake.llm.common import held_out, read_table
+from textlake.llm.code_bounds import SQL as code_bounds_sql
+from textlake.llm.common import held_out, read_table, stage
 from textlake.llm.line_chunks import SQL as line_chunks_sql
 from textlake.llm.temperature_mix import SQL as temperature_mix_sql
 from textlake.llm.winnow import SQL as winnow_sql
@@ -113,3 +114,20 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_ids(encoded, broadcast_tokens(spark, ranks), keep=("doc_id", "ids"))
     return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_code_bounds", code_bounds_sql)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from textlake.llm.code_bounds import compress
+
+    codes, books = compress(read_table(spark, sf_dir, "embeddings"), keep=("label",))
+    codes = stage(codes, "vector-codes")
+    # a label's errors may pass the largest long, the table's do not
+    sums = codes.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("label_error"))
+    sums = sums.select(F.col("label").alias("of"), F.least("label_error", F.lit((1 << 63) - 1)).cast("long").alias("label_error"))
+    numbers = ",".join(str(x) for part in books for entry in part for x in entry)
+    return codes.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id", F.array_join(F.transform("code", lambda c: F.format_string("%02x", c)), "").alias("code"), "error", "label_error",
+        F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
