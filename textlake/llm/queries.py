@@ -11,6 +11,7 @@ from textlake.llm.bbit_minhash import SQL as near_duplicates_sql
 from textlake.llm.code_bounds import SQL as code_bounds_sql
 from textlake.llm.common import held_out, read_table, stage
 from textlake.llm.line_chunks import SQL as line_chunks_sql
+from textlake.llm.prefix_trie import SQL as prefix_trie_sql
 from textlake.llm.temperature_mix import SQL as temperature_mix_sql
 from textlake.llm.winnow import SQL as winnow_sql
 
@@ -131,3 +132,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
         "vec_id", F.array_join(F.transform("code", lambda c: F.format_string("%02x", c)), "").alias("code"), "error", "label_error",
         F.lit(hashlib.sha256(numbers.encode()).hexdigest()).alias("codebooks_sha256"))
+
+
+@query("op13_prefix_trie", prefix_trie_sql)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textlake.llm.prefix_trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
