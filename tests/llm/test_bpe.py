@@ -107,6 +107,9 @@ def test_documents(spark, edge_docs, no_docs, vocabulary):
     rows = T.decode_ids(encoded, tokens, keep=("doc_id", "n", "ids")).collect()
     want = sorted((repr(i), reference.encode_ordinary(t or ""), t or "") for i, t, _, _ in ROWS)
     assert sorted((repr(r.doc_id), ids(r.ids), r.decoded) for r in rows) == want and {r.n for r in rows} == {"other"}
+    both = T.round_trip(edge_docs, rules, tokens, keep=("doc_id", "n")).collect()
+    assert sorted((repr(r.doc_id), ids(r.ids), r.decoded) for r in both) == want
+    assert T.round_trip(no_docs, rules, tokens).count() == 0
     assert T.decode_ids(T.encode_texts(no_docs, rules), tokens).count() == 0
     nothing = spark.createDataFrame([(1, None)], "doc_id long, ids binary")
     assert T.decode_ids(nothing, tokens).collect()[0].decoded == ""

@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from textlake.llm.common import row_blocks
 
 #: Cached states of a transducer, cached pieces and the longest piece that is cached.
-STATES, PIECES, PIECE_BYTES = 100_000, 400_000, 64
+STATES, PIECES, PIECE_BYTES = 60_000, 250_000, 64
 #: Text bytes encoded (or id bytes decoded) to one output batch, and ids per decoding step.
-BLOCK, STEP = 4 << 20, 1 << 16
+BLOCK, STEP = 1 << 20, 1 << 16
 #: Characters from which the pieces of a text are taken one by one instead of as a list.
 LONG_TEXT = 1 << 20
 ROOT = 0
@@ -359,29 +359,26 @@ class Decoder:
         return "".join([*out, self.finish()])
 
 
-def _by_rows(batch: pa.RecordBatch, column: int, make, kind: pa.DataType, name: str):
-    """The batch without ``column`` and with ``make`` of it, in output batches of BLOCK input bytes."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    offs = np.concatenate([[0], np.cumsum(sizes)])
-    rest = [i for i in range(batch.num_columns) if i != column]
-    for a, b in row_blocks(offs, BLOCK):
-        part = batch.slice(a, b - a)
-        made = pa.array([make(v.as_py()) for v in part.column(column)], kind)
-        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in rest), made], names=[*(batch.schema.names[i] for i in rest), name])
-
-
-def _mapped(df: DataFrame, input_col: str, output_col: str, kind: str, arrow_kind: pa.DataType, keep: tuple[str, ...], maker) -> DataFrame:
-    """(keep columns, output_col): ``maker()`` of a task's worker applied to ``input_col``, row by row."""
+def _mapped(df: DataFrame, input_col: str, outputs: dict[str, str], keep: tuple[str, ...], maker) -> DataFrame:
+    """(keep columns, outputs): ``maker()`` of a task's worker applied to
+    ``input_col`` row by row gives the values of the outputs (column -> binary or
+    string). A batch is put out in pieces of BLOCK input bytes."""
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = df.select(*kept, F.col(input_col).alias("v"))
+    rows, n = df.select(*kept, F.col(input_col).alias("v")), len(keep)
+    names = [*(f"k{i}" for i in range(n)), *(f"v{i}" for i in range(len(outputs)))]
+    kinds = [{"binary": pa.binary(), "string": pa.string()}[k] for k in outputs.values()]
 
     def run(batches):
         make = maker()
         for batch in batches:
-            yield from _by_rows(batch, len(keep), make, arrow_kind, "v")
+            sizes = pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy(zero_copy_only=False)
+            for a, b in row_blocks(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), BLOCK):
+                part = batch.slice(a, b - a)
+                made = zip(*(make(v.as_py()) for v in part.column(n)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(v, k) for v, k in zip(made, kinds))], names=names)
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"v {kind}"])
-    return rows.mapInArrow(run, schema).toDF(*keep, output_col)
+    ddl = [*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:n]), *(f"v{i} {k}" for i, k in enumerate(outputs.values()))]
+    return rows.mapInArrow(run, ", ".join(ddl)).toDF(*keep, *outputs)
 
 
 def _worker_copy(sent, name: str, build):
@@ -402,6 +399,14 @@ def broadcast_tokens(spark, ranks: dict[bytes, int]):
     return spark.sparkContext.broadcast({"ranks": ranks})
 
 
+def _encoder(rules) -> Encoder:
+    return _worker_copy(rules, "encoder", lambda box: Encoder(box["rules"], box["pattern"]))
+
+
+def _decoder(tokens) -> Decoder:
+    return _worker_copy(tokens, "decoder", lambda box: Decoder(box["ranks"]))
+
+
 def encode_texts(df: DataFrame, rules, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
     """(keep columns, ids_col): the ids of each whole text as packed little-endian
     unsigned 32-bit integers, a row each. Null and empty texts have no ids. Each
@@ -410,17 +415,30 @@ def encode_texts(df: DataFrame, rules, text_col: str = "text", keep: tuple[str,
     columns not in ``keep`` are left out.
     """
     def maker():
-        encoder = _worker_copy(rules, "encoder", lambda box: Encoder(box["rules"], box["pattern"]))
-        return lambda text: encoder.encode(text or "")
+        encoder = _encoder(rules)
+        return lambda text: (encoder.encode(text or ""),)
 
-    return _mapped(df, text_col, ids_col, "binary", pa.binary(), keep, maker)
+    return _mapped(df, text_col, {ids_col: "binary"}, keep, maker)
 
 
 def decode_ids(df: DataFrame, tokens, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), text_col: str = "decoded") -> DataFrame:
     """(keep columns, text_col): the text of each row of packed ids (null: empty),
     decoded as a stream. An id outside the vocabulary raises."""
     def maker():
-        decoder = _worker_copy(tokens, "decoder", lambda box: Decoder(box["ranks"]))
-        return lambda packed: decoder.decode(packed or b"")
+        decoder = _decoder(tokens)
+        return lambda packed: (decoder.decode(packed or b""),)
+
+    return _mapped(df, ids_col, {text_col: "string"}, keep, maker)
+
+
+def round_trip(df: DataFrame, rules, tokens, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` of its ids in one pass: (keep columns, ids_col, decoded_col)."""
+    def maker():
+        encoder, decoder = _encoder(rules), _decoder(tokens)
+
+        def both(text):
+            packed = encoder.encode(text or "")
+            return packed, decoder.decode(packed)
+        return both
 
-    return _mapped(df, ids_col, text_col, "string", pa.string(), keep, maker)
+    return _mapped(df, text_col, {ids_col: "binary", decoded_col: "string"}, keep, maker)

@@ -107,13 +107,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bpe_transducer")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from textlake.llm.bpe_transducer import broadcast_rules, broadcast_tokens, decode_ids, encode_texts, read_ranks
+    from textlake.llm.bpe_transducer import broadcast_rules, broadcast_tokens, read_ranks, round_trip
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = read_ranks(lines)
-    encoded = encode_texts(read_table(spark, sf_dir, "documents"), broadcast_rules(spark, ranks, public_tokenizers.PATTERN))
-    decoded = decode_ids(encoded, broadcast_tokens(spark, ranks), keep=("doc_id", "ids"))
-    return decoded.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+    rules, tokens = broadcast_rules(spark, ranks, public_tokenizers.PATTERN), broadcast_tokens(spark, ranks)
+    return round_trip(read_table(spark, sf_dir, "documents"), rules, tokens).select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
