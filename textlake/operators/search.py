@@ -2,26 +2,27 @@
 
 Exact vector search
 -------------------
-A batch of queries is scored against the whole vector table without a cross
-join: the query matrix (size-checked) is broadcast, every task multiplies its
-Arrow batches of corpus vectors with it in numpy and keeps a running top-k
-per query, so a task emits at most ``n_queries * k`` rows. A final
-``row_number() <= k`` per query (WindowGroupLimit) merges the partial lists.
-Query sets larger than the broadcast budget are scored in several passes,
-each with a bounded broadcast.
+Corpus and queries are cut into blocks by a hash, and every block of the one
+meets every block of the other by a join key, once (BLOCK_ROWS x QUERY_BLOCK
+rows at most a group): numpy multiplies the two and keeps the k best rows of
+each query, so a group gives at most ``queries * k`` rows. A final
+``row_number() <= k`` per query (WindowGroupLimit) merges them. Neither side
+passes the driver. The corpus may be a written index or any (id, vec) table.
 
 Ties are broken the same way everywhere: score rounded to 6 digits,
 descending, then id ascending.
 
 Lexical search
 --------------
-Postings (doc, term, weight) of a TF-IDF fit are joined on ``term`` with the
-query weights and summed per (query, doc): sparse cosine similarity.
+The sum of query weight * largest weight of a block bounds the score of all
+documents of the block. The SEED_BLOCKS blocks of largest bound are scored
+first; their k-th score leaves only the blocks whose bound reaches it, and only
+the postings of these are read further.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,16 +31,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from textlake.functions import vectors as VF
+from textlake.operators import indexes as IX
 from textlake.operators import text as TX
+from textlake.session import staged
 
-MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_CELLS = 1 << 21
+QUERY_BLOCK = 1024
+SEED_BLOCKS = 4
 DIGITS = 6
+#: Bounds and scores are sums of doubles in any order, and scores are rounded.
+SLACK = 2e-6
 
 
 def build_vector_index(vectors: DataFrame, id_col: str = "review_id", vec_col: str = "embedding",
                        keep: list[str] | None = None) -> DataFrame:
-    """L2-normalized vectors plus the document columns to return."""
+    """R1 without a written index: L2-normalized vectors plus the document columns to return."""
     return vectors.select(id_col, VF.l2_normalize(vec_col).alias("vec"), *(keep or []))
 
 
@@ -79,10 +85,9 @@ def _block_candidates(block: np.ndarray, ids: np.ndarray, k: int):
 
 
 def _scorer(bq, k: int, id_col: str, threshold: float | None):
-    """``bq``: a broadcast of (query ids, query matrix); shipped once per
-    executor rather than inside every task's closure. Corpus batches are
-    scored in blocks of at most BLOCK_CELLS scores, so task memory does not
-    grow with the batch size times the number of queries."""
+    """``bq.value``: (query ids, query matrix). Corpus batches are scored in
+    blocks of at most BLOCK_CELLS scores, so task memory does not grow with
+    the batch size times the number of queries."""
     def run(batches):
         qids, qmat = bq.value
         step = max(1, BLOCK_CELLS // max(1, len(qids)))
@@ -107,36 +112,38 @@ def _scorer(bq, k: int, id_col: str, threshold: float | None):
     return run
 
 
-def semantic_search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "review_id",
+@dataclass
+class QueryBlock:
+    value: tuple[np.ndarray, np.ndarray]  # ids, matrix
+
+
+def semantic_search(index, queries: DataFrame, k: int = 10, id_col: str = "review_id",
                     threshold: float | None = None) -> DataFrame:
     """R2 (+R3): exact inner-product top-k of each query over the index.
 
     ``queries``: (query_id bigint, vec array<double>), normalized by the caller
     or not (inner product is what is ranked, as in a flat IP index).
-    ``index``: (id, vec) with unit vectors. Returns (query_id, id, score, rank).
+    ``index``: a ``VectorIndex`` or (id, vec) with unit vectors. Returns
+    (query_id, id, score, rank).
     """
-    from textlake.session import materialize
-    # the query set is read several times (count, dimension, one collect per
-    # pass): cut its lineage once instead of recomputing the encoder each time
-    q = materialize(queries.select(F.col("query_id").cast("long"), F.col("vec")))
-    n_q = q.count()
-    if n_q == 0:
-        return index.sparkSession.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
-    dim = len(q.first()["vec"])
-    passes = max(1, math.ceil(n_q * dim * 8 / MAX_BROADCAST_BYTES))
-    schema = f"query_id long, {id_col} long, score double"
-    corpus = index.select(id_col, "vec")
-    parts = []
-    for p in range(passes):
-        chunk = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        rows = chunk.collect()  # bounded: at most MAX_BROADCAST_BYTES of query vectors
-        qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        qmat = np.array([r["vec"] for r in rows], dtype=np.float64)
-        bq = index.sparkSession.sparkContext.broadcast((qids, qmat))
-        parts.append(corpus.mapInPandas(_scorer(bq, k, id_col, threshold), schema))
-    cand = parts[0]
-    for extra in parts[1:]:
-        cand = cand.unionByName(extra)
+    q = staged(queries.select(F.col("query_id").cast("long"), F.col("vec")).where("query_id IS NOT NULL AND vec IS NOT NULL"))
+    q_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    if isinstance(index, IX.VectorIndex):
+        n_blocks, corpus = index.manifest["n_blocks"], index.rows
+    else:
+        n_blocks = max(1, -(-index.count() // IX.BLOCK_ROWS))
+        corpus = index.withColumn("block", F.pmod(F.xxhash64(id_col, "vec"), F.lit(n_blocks)).cast("int"))
+    corpus = corpus.select("block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"), F.col(id_col).cast("long"), "vec").where(F.col("vec").isNotNull())
+    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q_block"), "query_id", "vec")
+
+    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or asked.empty:
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), id_col: np.empty(0, np.int64), "score": np.empty(0)})
+        block = QueryBlock((asked["query_id"].to_numpy(dtype=np.int64), np.stack(asked["vec"].to_numpy()).astype(np.float64)))
+        return next(_scorer(block, k, id_col, threshold)(iter([rows])))
+
+    key = ["block", "q_block"]
+    cand = corpus.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(score, f"query_id long, {id_col} long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -147,22 +154,51 @@ def hits_to_docs(hits: DataFrame, docs: DataFrame, id_col: str = "review_id") ->
 
 
 def build_lexical_index(corpus: DataFrame, id_col: str = "review_id", text_col: str = "text",
-                        stop_words=None) -> TX.TfidfModel:
-    """TF-IDF fit over the corpus (unigrams, English stop words)."""
-    sw = TX.english_stop_words() if stop_words is None else stop_words
-    return TX.fit_tfidf(corpus, id_col, text_col, (1, 1), sw, min_df=1, max_features=None, digits=None)
-
-
-def lexical_search(model: TX.TfidfModel, queries: DataFrame, k: int = 10, id_col: str = "review_id",
+                        stop_words=None, root: str | None = None) -> IX.LexicalIndex:
+    """The written index of the corpus (unigrams, English stop words), reused if there is one."""
+    return IX.open_lexical_index(corpus, id_col, text_col, stop_words, root)
+
+
+@dataclass
+class LexicalPlan:
+    """What a search reads: query weights, the bound of every (query, block), the
+    scores of the first blocks, and the (query, block) that are scored after them."""
+    weights: DataFrame
+    bounds: DataFrame
+    seeds: DataFrame
+    rest: DataFrame
+
+
+def _block_scores(index: IX.LexicalIndex, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, id, score) of all documents of the (query, block) pairs that share a term with their query."""
+    asked = pairs.select("query_id", "block").join(weights, "query_id")
+    hits = asked.join(index.blocks.select("term", "block", "postings"), ["term", "block"]).select("query_id", "qw", F.explode("postings").alias("p"))
+    scores = hits.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("qw") * F.col("p.weight")), DIGITS).alias("score"))
+    return scores.where("score > 0")
+
+
+def lexical_plan(index: IX.LexicalIndex, queries: DataFrame, k: int, qid_col: str = "query_id", text_col: str = "query") -> LexicalPlan:
+    q = queries.where(F.trim(F.col(text_col)) != "").select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("query"))
+    model = TX.TfidfModel(index.vocab, None, None, "query_id", index.ngram_range, index.stop_words)
+    weights = staged(TX.transform_tfidf(model, q, "query_id", "query").withColumnRenamed("weight", "qw"))
+    heads = index.blocks.select("term", "block", "max_weight").join(weights, "term")
+    bounds = staged(heads.groupBy("query_id", "block").agg(F.sum(F.col("qw") * F.col("max_weight")).alias("bound")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEED_BLOCKS).drop("r")
+    first = staged(first)
+    seeds = staged(_block_scores(index, weights, first))
+    kth = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    least = seeds.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
+    rest = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left")
+    return LexicalPlan(weights, bounds, seeds, staged(rest.where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least")))))
+
+
+def lexical_search(index: IX.LexicalIndex, queries: DataFrame, k: int = 10, id_col: str = "review_id",
                    qid_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """Cosine of each query against the corpus; zero scores dropped;
     at most ``k`` hits per query; blank queries give no rows."""
-    q = queries.where(F.trim(F.col(text_col)) != "")
-    qw = TX.transform_tfidf(model, q, qid_col, text_col).withColumnRenamed("weight", "qw")
-    postings = model.weights.withColumnRenamed("weight", "dw")
-    scores = (qw.join(postings, "term", "inner")
-              .groupBy(qid_col, id_col).agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
-              .withColumn("score", F.round("score", DIGITS))
-              .where(F.col("score") > 0))
-    w = Window.partitionBy(qid_col).orderBy(F.col("score").desc(), F.col(id_col))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    plan = lexical_plan(index, queries, k, qid_col, text_col)
+    scores = plan.seeds.unionByName(_block_scores(index, plan.weights, plan.rest))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    top = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select(F.col("query_id").alias(qid_col), F.col("id").alias(id_col), "score", "rank")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from textlake.functions.text import WORD_PATTERN
+from textlake.session import staged
 
 
 @functools.lru_cache(maxsize=None)
@@ -114,25 +115,25 @@ class TfidfModel:
 def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "text",
               ngram_range=(1, 1), stop_words=None, min_df: int = 1,
               max_features: int | None = None, digits: int | None = 6) -> TfidfModel:
-    tf = term_counts(corpus, id_col, text_col, ngram_range, stop_words)
+    tf = staged(term_counts(corpus, id_col, text_col, ngram_range, stop_words))  # read by vocabulary and weights
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
     stats = stats.where(F.col("df") >= min_df)
     if max_features:
         stats = stats.orderBy(F.col("freq").desc(), F.col("term")).limit(max_features)
     n = n_docs.scalar()  # scalar subquery: corpus size, evaluated once
-    vocab = stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    vocab = staged(stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
     weights = _weights(tf, vocab, id_col, digits)
     return TfidfModel(vocab, weights, n_docs, id_col, tuple(ngram_range), stop_words)
 
 
 def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, digits: int | None) -> DataFrame:
     w = tf.join(vocab.select("term", "idf"), "term", "inner").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    weight = F.col("w") / norm
+    norms = w.groupBy(F.col(id_col).alias("_of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
+    weight = F.col("w") / F.col("_norm")
     if digits is not None:
         weight = F.round(weight, digits)
-    return w.select(id_col, "term", weight.alias("weight"))
+    return w.join(norms, F.col(id_col).eqNullSafe(F.col("_of"))).select(id_col, "term", weight.alias("weight"))
 
 
 def transform_tfidf(model: TfidfModel, df: DataFrame, id_col: str, text_col: str,

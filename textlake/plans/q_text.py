@@ -8,12 +8,14 @@ from textlake.functions import labels as L
 from textlake.functions import vectors as VF
 from textlake.operators import clean as C
 from textlake.operators import features as FE
+from textlake.operators import indexes as IX
 from textlake.operators import sampling as S
 from textlake.operators import search as R
 from textlake.operators import text as TX
 from textlake.operators import vectors as VO
 from textlake.plans.registry import register
 from textlake.plans.sqlviews import with_ctes
+from textlake.session import staged
 from textlake.sources import views as V
 from textlake.sources.tables import read_table
 
@@ -140,13 +142,12 @@ _PROTO = ("proto", """
     GROUP BY label""")
 
 
-def _semantic_sql(threshold: float | None) -> str:
-    cond = f"WHERE score >= {threshold}" if threshold is not None else ""
-    return with_ctes(f"""
+def _semantic_sql() -> str:
+    return with_ctes("""
     SELECT query_id, review_id, score, rank FROM (
       SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
       FROM (SELECT p.query_id, u.review_id, round(list_dot_product(u.embedding, p.vec), 6) AS score
-            FROM proto p JOIN unit_vectors u ON true) {cond})
+            FROM proto p JOIN unit_vectors u ON true))
     WHERE rank <= 10""", "unit_vectors", extra=[_PROTO])
 
 
@@ -154,16 +155,23 @@ def _prototypes(idx):
     return VO.group_means(idx, "label", "vec").withColumnRenamed("label", "query_id")
 
 
-@register("semantic_topk", "text", _semantic_sql(None))
+@register("semantic_topk", "text", _semantic_sql())
 def semantic_topk(spark, sf):
-    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
-    return R.semantic_search(idx, _prototypes(idx), k=10)
+    idx = IX.open_vector_index(V.vectors(spark, sf), keep=["label"])
+    return R.semantic_search(idx, _prototypes(idx.rows), k=10)
 
 
-@register("semantic_topk_threshold", "text", _semantic_sql(0.6))
+@register("semantic_topk_threshold", "text", with_ctes("""
+    SELECT query_id, review_id, score, rank FROM (
+      SELECT query_id, review_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, review_id) AS rank
+      FROM (SELECT a.review_id AS query_id, b.review_id, round(list_dot_product(a.embedding, b.embedding), 6) AS score
+            FROM unit_vectors a JOIN unit_vectors b ON a.review_id % 10 = 0) WHERE score >= 0.6)
+    WHERE rank <= 10""", "unit_vectors"))
 def semantic_topk_threshold(spark, sf):
-    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
-    return R.semantic_search(idx, _prototypes(idx), k=10, threshold=0.6)
+    """The ten rows nearest to each tenth row (itself among them) at 0.60 or more."""
+    idx = IX.open_vector_index(V.vectors(spark, sf), keep=["label"])
+    asked = idx.rows.where("review_id % 10 = 0").select(F.col("review_id").alias("query_id"), "vec")
+    return R.semantic_search(idx, asked, k=10, threshold=0.6)
 
 
 _LEX_CTES = [
@@ -196,10 +204,16 @@ def lexical_topk(spark, sf):
 
 @register("index_stats", "text", with_ctes("""
     SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS share,
-           sum(count(*)) OVER () AS total_docs FROM unit_vectors GROUP BY label""", "unit_vectors"))
+           sum(count(*)) OVER () AS total_docs, (SELECT max(len(embedding)) FROM vectors) AS dimension,
+           (SELECT CAST(8 * sum(len(embedding)) AS BIGINT) FROM vectors) AS bytes, true AS dated,
+           (SELECT CAST(sum(CAST(('0x' || substr(md5(CAST(review_id AS VARCHAR) || ':' || array_to_string(
+                list_transform(embedding, lambda x: CAST(round(x * 1e6) AS BIGINT)), ',')), 1, 15)) AS BIGINT)) AS VARCHAR) FROM vectors) AS checksum
+    FROM unit_vectors GROUP BY label""", "unit_vectors"))
 def index_stats(spark, sf):
-    idx = R.build_vector_index(V.vectors(spark, sf), keep=["label"])
-    return R.index_stats(idx, "label")
+    """Documents and labels of the written index, and its manifest."""
+    idx = IX.open_vector_index(V.vectors(spark, sf), keep=["label"])
+    return R.index_stats(idx.rows, "label").select("*", *(F.lit(idx.manifest[c]).alias(c) for c in ("dimension", "bytes", "checksum")),
+                                                   (F.to_date(F.lit(idx.manifest["built_at"])) <= F.current_date()).alias("dated"))
 
 
 # ---------------------------------------------------------- V5 / R6 -------
@@ -246,7 +260,7 @@ def _engines(spark, sf):
     bench = read_table(spark, sf, "benchmark", ["item_id", "text"]).where(F.trim("text") != "")
     idx = R.build_vector_index(hash_embed(reviews, "review_id", "text"))
     q = hash_embed(bench, "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vec"))
-    sem = R.semantic_search(idx, q, k=3)
+    sem = R.semantic_search(staged(idx), q, k=3)
     model = R.build_lexical_index(reviews)
     lex = R.lexical_search(model, bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), k=3)
     return sem, lex
