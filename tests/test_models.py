@@ -6,6 +6,7 @@ import math
 import pytest
 
 from tests.conftest import SF_SMALL
+from textlake.operators import models as M
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +40,6 @@ def test_score_batch_covers_whole_test_split(spark, scored):
 
 def test_normalization_inside_pipeline(spark):
     """A scaled copy of a vector scores exactly like the unit vector."""
-    from textlake.operators import models as M
     rows = []
     for i in range(60):
         lab = i % 3
@@ -61,7 +61,6 @@ def test_penalty_and_features_by_hand(spark):
     """regParam is 1 / (C * sum of weights); text rows have unit length with
     idf ln((1 + n) / (1 + df)) + 1, features the population deviation."""
     from textlake.operators import features as FE
-    from textlake.operators import models as M
     rows = [(i, ["a", "b"] if i % 2 else ["a"], 0.5 + i % 2, *[float(i + j) for j in range(len(FE.FEATURES))]) for i in range(8)]
     df = spark.createDataFrame(rows, "review_id long, terms array<string>, w double, " + ", ".join(f"{c} double" for c in FE.FEATURES))
     assert M.logreg(2.0)(df).getRegParam() == pytest.approx(1 / (2.0 * 8))
@@ -70,3 +69,33 @@ def test_penalty_and_features_by_hand(spark):
     n = math.hypot(a, b)
     assert sorted(x[1][:2]) == pytest.approx(sorted([a / n, b / n])) and sorted(x[0][:2]) == pytest.approx([0.0, 1.0])
     assert x[0][2] == pytest.approx((0 - 3.5) / math.sqrt(5.25))
+
+
+def test_saved_text_model_scores_texts(spark, tmp_path):
+    """S14 + L7: a pipeline from text, and one from embeddings, saved and loaded."""
+    from pyspark.ml import PipelineModel
+
+    words = {0: "broken awful refund", 1: "okay average fine", 2: "great lovely perfect"}
+    rows = [(i, f"{words[i % 3]} item{i % 7}", i % 3, 1.0) for i in range(90)]
+    train = spark.createDataFrame(rows, "review_id long, text string, label int, w double")
+    asked = spark.createDataFrame([(1, "lovely perfect gift", "x"), (2, "awful broken", None), (3, None, "y")], "review_id long, text string, other string")
+    model = M.text_classifier(train, max_iter=20, dim=64).fit(train)
+    model.write().overwrite().save(f"{tmp_path}/m")
+    loaded = PipelineModel.load(f"{tmp_path}/m")
+    assert loaded.stages[0].getOrDefault("dim") == 64
+    a, b = (sorted(map(tuple, M.score_batch(m, asked, ["neg", "neu", "pos"]).drop("probabilities").collect())) for m in (model, loaded))
+    assert a == b and [r[1] for r in a[:2]] == ["pos", "neg"] and len(a) == 3
+    from textlake.operators.encode import HashEncoder, encode_batches
+
+    encoded = encode_batches(train, HashEncoder(64))
+    m2 = M.embedding_classifier(encoded, max_iter=20).fit(encoded)
+    m2.write().overwrite().save(f"{tmp_path}/e")
+    same = PipelineModel.load(f"{tmp_path}/e").transform(encode_batches(asked, HashEncoder(64))).select("review_id", "prediction").collect()
+    assert sorted(same) == sorted(m2.transform(encode_batches(asked, HashEncoder(64))).select("review_id", "prediction").collect())
+
+
+def test_macro_f1_evaluator(spark):
+    rows = spark.createDataFrame([(0, 0.0), (0, 1.0), (1, 1.0), (1, 1.0), (2, 0.0), (2, 2.0)], "label int, prediction double")
+    want = (0.5 + 0.8 + 2 / 3) / 3
+    assert abs(M.MacroF1().evaluate(rows) - want) < 1e-5 and M.MacroF1().isLargerBetter()
+    assert M.metrics_row(rows, "x", 0.0).first()["f1_macro"] == M.MacroF1().evaluate(rows)

@@ -80,10 +80,13 @@ def dedupe_first(df: DataFrame, key: list[str] | str, order_col: str = "review_i
 def dedupe_text(df: DataFrame, order_col: str = "review_id") -> DataFrame:
     """``unique(subset=['text'])``; the row of the smallest id survives.
 
-    Texts are grouped by their SHA-256 digest, a hash aggregate of one id per
-    digest; a semi join on the id picks the rows. ``order_col`` must be unique."""
-    first = df.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("_d")).agg(F.min(order_col).alias(order_col))
-    return df.join(first.select(order_col), order_col, "left_semi")
+    One aggregate keyed by the text's SHA-256 digest, merged map-side, so copies
+    of a text meet no window and no join. Null texts are one text, null ids come
+    last, and of rows of one id and text one stays (the least row hash)."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    order = F.struct(F.col(order_col).isNull(), F.col(order_col), F.xxhash64(*df.columns))
+    kept = df.groupBy(F.sha2(F.col("text").cast("binary"), 256)).agg(F.min_by(row, order).alias("_row"))
+    return kept.select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def dedupe_key(df: DataFrame, key: str = "parent_asin") -> DataFrame:

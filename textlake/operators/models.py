@@ -9,19 +9,27 @@ per-row ``weightCol`` = n / (k * n_c), the balanced weighting.
 from __future__ import annotations
 
 import functools
+import importlib
 import time
 
+from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol
+from pyspark.ml.tuning import TrainValidationSplit
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from textlake.functions import labels as L
+from textlake.operators import encode as EN
 from textlake.operators import evaluate as EV
 from textlake.operators import features as FE
 from textlake.operators import sampling as S
@@ -177,11 +185,11 @@ def model_search(frame: DataFrame, estimators: dict | None = None) -> DataFrame:
     return frame.sparkSession.createDataFrame(rows, "estimator string, macro_f1 double, time_to_fit double")
 
 
-def grouped_importance(model) -> list[tuple[str, float]]:
-    """Importances summed over the text block vs each engineered feature."""
+def grouped_importance(model, block: str = "text_block") -> list[tuple[str, float]]:
+    """Importances summed over the block of text (or embedding) features vs each engineered feature."""
     imp = importances(model)
     n_num = len(FE.FEATURES)
-    return [("text_block", float(imp[:-n_num].sum()))] + [(f, float(v)) for f, v in zip(FE.FEATURES, imp[-n_num:])]
+    return [(block, float(imp[:-n_num].sum()))] + [(f, float(v)) for f, v in zip(FE.FEATURES, imp[-n_num:])]
 
 
 def importances(model):
@@ -236,14 +244,47 @@ def embedding_frame(clean: DataFrame, encode) -> DataFrame:
     return materialize(S.train_test_split(with_balanced_weights(f, "label"), "label"))
 
 
-class ArrayToVector(Transformer):
+class ArrayToVector(Transformer, DefaultParamsReadable, DefaultParamsWritable):
     """Pipeline stage: ``embedding`` array<double> -> ``emb_vec`` ML vector."""
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
         return df.withColumn("emb_vec", array_to_vector("embedding"))
 
 
+class TextEncoder(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Pipeline stage: a text column -> the ML vector of its encoder, so that a
+    saved model takes texts. ``encoder`` names the encoder's class as
+    ``module:Class``; it is made with ``dim``. Both are saved with the model."""
+
+    encoder = Param(Params._dummy(), "encoder", "class of the encoder, module:Class", TypeConverters.toString)
+    dim = Param(Params._dummy(), "dim", "dimension of the vectors", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol="text", outputCol="emb_vec", encoder="textlake.operators.encode:HashEncoder", dim=256):
+        super().__init__()
+        self._setDefault(inputCol="text", outputCol="emb_vec", encoder="textlake.operators.encode:HashEncoder", dim=256)
+        self._set(**self._input_kwargs)
+
+    def make(self):
+        module, name = self.getOrDefault(self.encoder).split(":")
+        return getattr(importlib.import_module(module), name)(self.getOrDefault(self.dim))
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        encoded = EN.encode_batches(df, self.make(), self.getInputCol(), "_encoded")
+        return encoded.withColumn(self.getOutputCol(), array_to_vector("_encoded")).drop("_encoded")
+
+
+def text_frame(clean: DataFrame) -> DataFrame:
+    """review_id, text, label, class weight, split (80/20)."""
+    f = clean.select("review_id", "text", L.sentiment_class("rating").alias("label"))
+    return materialize(S.train_test_split(with_balanced_weights(f, "label"), "label"))
+
+
+def text_classifier(train: DataFrame, C: float = 1.0, max_iter: int = 1000, dim: int = 256) -> Pipeline:
+    """L1 on embeddings, from text: encode, L2-normalize and classify in one pipeline that can be saved."""
+    return Pipeline(stages=[TextEncoder(dim=dim), Normalizer(inputCol="emb_vec", outputCol="features", p=2.0), logreg(C, max_iter)(train)])
+
+
 def embedding_classifier(train: DataFrame, C: float = 1.0, max_iter: int = 1000) -> Pipeline:
     """L1 on embeddings: array -> vector, L2-normalize *inside* the pipeline
     (so scoring normalizes exactly like training, SURVEY 8 #1), multinomial
@@ -251,8 +292,30 @@ def embedding_classifier(train: DataFrame, C: float = 1.0, max_iter: int = 1000)
     return Pipeline(stages=[ArrayToVector(), Normalizer(inputCol="emb_vec", outputCol="features", p=2.0), logreg(C, max_iter)(train)])
 
 
+class MacroF1(Evaluator, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """2.17: macro F1 as a tuning metric (MLlib's own "f1" is weighted by class size)."""
+
+    @keyword_only
+    def __init__(self, *, labelCol="label", predictionCol="prediction"):
+        super().__init__()
+        self._setDefault(labelCol="label", predictionCol="prediction")
+        self._set(**self._input_kwargs)
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        rows = dataset.select(F.col(self.getLabelCol()).cast("int").alias("label"), F.col(self.getPredictionCol()).cast("int").alias("pred"))
+        return float(EV.macro_metrics(EV.confusion_counts(rows, []), [], K).first()["f1_macro"])
+
+
+def tune(train: DataFrame, estimator, grid: list, seed: int = 42, parallelism: int = 2):
+    """The grid point of largest macro F1 on a fifth of the rows, fitted on all
+    of them. Returns (model, [(parameters by name, macro F1)])."""
+    search = TrainValidationSplit(estimator=estimator, estimatorParamMaps=grid, evaluator=MacroF1(), trainRatio=0.8, seed=seed, parallelism=parallelism)
+    found = search.fit(train)
+    return found.bestModel, [({p.name: v for p, v in point.items()}, f) for point, f in zip(grid, found.validationMetrics)]
+
+
 def score_batch(model, df: DataFrame, labels: list[str], digits: int = 4) -> DataFrame:
-    """Encoded rows -> predicted class name and code, confidence (max
+    """Rows (encoded, or texts if the model encodes them) -> predicted class name and code, confidence (max
     probability) and the class -> probability map. One pass of
     ``model.transform``; everything after it is built-in expressions."""
     from textlake.functions import vectors as VF

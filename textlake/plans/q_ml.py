@@ -173,3 +173,52 @@ def score_batch(spark, sf):
     train = f.where(F.col("split") == "train")
     model = M.embedding_classifier(train).fit(train)
     return M.score_batch(model, f.where(F.col("split") == "test"), CLASS_LABELS)
+
+
+@register("text_model_roundtrip", "ml", "SELECT 0::BIGINT AS text_mismatches, 0::BIGINT AS embedding_mismatches, true AS any_rows")
+def text_model_roundtrip(spark, sf):
+    """S14 + L7: the text and the embedding pipeline are saved, loaded, and score the held-out rows alike."""
+    from pyspark.ml import PipelineModel
+    from textlake.functions.labels import CLASS_LABELS
+    from textlake.operators.encode import HashEncoder, encode_batches
+    base = IO.scratch(spark, "text-model")
+    f = M.text_frame(C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf)))
+    texts, encoded = f, encode_batches(f, HashEncoder())
+    counts = []
+    for name, frame, make in (("text", texts, M.text_classifier), ("embedding", encoded, M.embedding_classifier)):
+        train, test = frame.where("split = 'train'"), frame.where("split = 'test'").drop("label", "w")
+        model = make(train).fit(train)
+        model.write().overwrite().save(f"{base}/{name}")
+        loaded = PipelineModel.load(f"{base}/{name}")
+        a, b = (M.score_batch(m, test, CLASS_LABELS).select("review_id", F.struct("sentiment", "confidence", F.to_json("probabilities")).alias(c)) for m, c in ((model, "a"), (loaded, "b")))
+        counts.append(a.join(b, "review_id", "full").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias(f"{name}_mismatches"), F.count("*").alias(f"{name}_rows")).first())
+    t, e = counts
+    return spark.createDataFrame([(t["text_mismatches"], e["embedding_mismatches"], t["text_rows"] > 0 and t["text_rows"] == e["embedding_rows"])],
+                                 "text_mismatches long, embedding_mismatches long, any_rows boolean")
+
+
+@register("feature_importance_embedding", "ml", "SELECT 10::BIGINT AS features, 1.0::DOUBLE AS total, true AS all_positive, true AS has_block")
+def feature_importance_embedding(spark, sf):
+    """The embedding as one block beside the nine features."""
+    _, model, _ = M.fit_evaluate(_embedding_frame(spark, sf), M.random_forest(min_leaf=4), "random_forest_leaf4", M.fit_embedding_features)
+    rows = spark.createDataFrame(M.grouped_importance(model, "embedding_block"), "feature string, importance double")
+    return rows.agg(F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("all_positive"),
+                    (F.count_if(F.col("feature") == "embedding_block") == 1).alias("has_block"))
+
+
+@register("tune_forest", "ml", "SELECT 2::BIGINT AS grid_points, true AS best_is_largest, true AS same_as_metrics")
+def tune_forest(spark, sf):
+    """2.17 + L5: a grid over the least leaf size by macro F1; the metric's value on
+    the held-out rows is that of the metrics table."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.tuning import ParamGridBuilder
+    frame = _embedding_frame(spark, sf)
+    train, test = frame.where("split = 'train'"), frame.where("split = 'test'")
+    prepare = M.fit_embedding_features(train)
+    x = materialize(prepare.transform(train).select("review_id", "label", "w", "features"))
+    forest = RandomForestClassifier(numTrees=20, maxDepth=12, featureSubsetStrategy="sqrt", weightCol="w", seed=42)
+    model, points = M.tune(x, forest, ParamGridBuilder().addGrid(forest.minInstancesPerNode, [1, 4]).build())
+    pred = materialize(model.transform(prepare.transform(test)).select("label", "prediction"))
+    value, table = M.MacroF1().evaluate(pred), M.metrics_row(pred, "forest", 0.0).first()["f1_macro"]
+    best = max(points, key=lambda p: p[1])[0]["minInstancesPerNode"]
+    return spark.createDataFrame([(len(points), best == model.getMinInstancesPerNode(), value == table)], "grid_points long, best_is_largest boolean, same_as_metrics boolean")
