@@ -86,3 +86,27 @@ def test_stream_quota_over_batches(spark, tmp_path):
     per = {r.quota_class: r.n for r in kept.groupBy("quota_class").agg(F.count("*").alias("n")).collect()}
     assert per == {"negativo": 5, "neutro": 5, "positivo": 5}
     assert {r.review_id for r in kept.where("review_id >= 0 AND quota_class = 'negativo'").collect()} == {0, 1, 5, 6}
+
+
+def test_unseen_ids_are_state_not_a_scan(spark, tmp_path):
+    """Ids seen in an earlier run are dropped after a restart, and no batch plan reads the index."""
+    import contextlib
+    import io
+
+    plans, base = [], str(tmp_path)
+
+    def build(batch):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            batch.explain("extended")
+        plans.append(text.getvalue())
+        return batch
+
+    before = spark.conf.get(Z.STATE_PROVIDER)
+    for ids in ([1, 2, 2, 3], [3, 4, None, 1], [None, 5, 4]):
+        Z.land(spark.createDataFrame([(i,) for i in ids], "review_id long"), f"{base}/input")
+        table = Z.append_unseen(Z.read_stream(spark, f"{base}/input", "review_id long"), base, "review_id", "review_id long", build)
+    got = sorted(((r.batch, r.review_id) for r in table.collect()), key=repr)
+    assert got == sorted([(0, 1), (0, 2), (0, 3), (1, 4), (1, None), (2, 5)], key=repr)
+    assert len(plans) == 3 and not any("Scan parquet" in p or "Join" in p for p in plans)  # the batch alone
+    assert spark.conf.get(Z.STATE_PROVIDER) == before

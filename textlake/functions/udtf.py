@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-# Fixed value: the same word pattern as functions.text.WORD_PATTERN.
-_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
 @udtf(returnType="pos int, gram string", useArrow=True)
 class NGrams:
+    def __init__(self):
+        import re
+        self.words = re.compile(r"\w{2,}")  # letters, digits and underscore, as functions.text.WORD_PATTERN
+
     def eval(self, text, n):
-        import regex
         if text is None or n is None or n < 1:
             return
-        toks = regex.findall(_PATTERN, text.lower())
+        toks = self.words.findall(text.lower())
         for i in range(len(toks) - n + 1):
             yield i, " ".join(toks[i:i + n])
 

@@ -9,6 +9,8 @@ so no task holds a whole group); ``approx=True`` switches to
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -109,8 +111,8 @@ def describe_by_group(df: DataFrame, group: str, col: str, approx: bool = False,
     base = x.groupBy(group).agg(*_moment_aggs(col, digits))
     names = [f"{col}_{n}" for n, _ in _DESCRIBE_P]
     q = exact_percentiles(x, [group], col, [p for _, p in _DESCRIBE_P], names)
-    q = q.select(group, *[F.round(n, digits).alias(n) for n in names])
-    return base.join(q, group, "left").select(group, *_describe_order(col))
+    q = q.select(F.col(group).alias("_of"), *[F.round(n, digits).alias(n) for n in names])
+    return base.join(q, F.col(group).eqNullSafe(F.col("_of")), "left").select(group, *_describe_order(col))
 
 
 def pivot_matrix(df: DataFrame, row: str, col: str, value: str, row_domain: DataFrame,
@@ -121,6 +123,14 @@ def pivot_matrix(df: DataFrame, row: str, col: str, value: str, row_domain: Data
     return out.na.fill(0, [str(v) for v in col_values])
 
 
+def profile_columns(df: DataFrame) -> DataFrame:
+    """(position, column, type, non_null, nulls) of every column, in one pass."""
+    total = F.count(F.lit(1))
+    parts = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                      F.count(F.col(f"`{f.name}`")).alias("non_null"), (total - F.count(F.col(f"`{f.name}`"))).alias("nulls")) for i, f in enumerate(df.schema.fields)]
+    return df.agg(F.array(*parts).alias("c")).select(F.inline("c"))
+
+
 def class_share(df: DataFrame, cls: str, value) -> Column:
     """Percentage of rows with ``cls == value``; 0 on empty input."""
     return F.coalesce(F.try_divide(F.count_if(F.col(cls) == value) * 100.0, F.count(F.lit(1))), F.lit(0.0))
@@ -129,9 +139,10 @@ def class_share(df: DataFrame, cls: str, value) -> Column:
 def corr_long(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """Pearson matrix as (a, b, r) rows, computed in one aggregate."""
     pairs = [(a, b) for a in cols for b in cols]
-    row = df.agg(*[F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), digits).alias(f"{a}|{b}")
-                   for a, b in pairs])
-    stack = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
+    name = {p: "|".join(sorted(p)) for p in pairs}  # (a, b) and (b, a) are computed once
+    once = {n: p for p, n in name.items()}
+    row = df.agg(*[F.round(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), digits).alias(n) for n, (a, b) in once.items()])
+    stack = ", ".join(f"'{a}', '{b}', `{name[a, b]}`" for a, b in pairs)
     return row.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, r)")
 
 
@@ -151,10 +162,11 @@ def box_stats(df: DataFrame, group: str, col: str, approx: bool = False, digits:
         q = exact_percentiles(df, [group], col, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    inner = (df.select(group, c.alias("_v")).join(q.select(group, "lo_fence", "hi_fence"), group)
+    fences = q.select(F.col(group).alias("_of"), "lo_fence", "hi_fence")
+    inner = (df.select(group, c.alias("_v")).join(fences, F.col(group).eqNullSafe(F.col("_of")))
              .where((F.col("_v") >= F.col("lo_fence")) & (F.col("_v") <= F.col("hi_fence")))
-             .groupBy(group).agg(F.min("_v").alias("whisker_lo"), F.max("_v").alias("whisker_hi")))
-    out = q.join(inner, group, "left")
+             .groupBy("_of").agg(F.min("_v").alias("whisker_lo"), F.max("_v").alias("whisker_hi")))
+    out = q.join(inner, F.col(group).eqNullSafe(F.col("_of")), "left")
     return out.select(group, *[F.round(x, digits).alias(x) for x in
                                ["q1", "median", "q3", "whisker_lo", "whisker_hi"]])
 
@@ -176,6 +188,33 @@ def mean_ci95(df: DataFrame, group: str, col: str, digits: int = 6) -> DataFrame
                                  F.count(c).alias("n"))
 
 
+def poisson_limits(most: int = 12) -> list[int]:
+    """A Poisson(1) draw is the number of these limits that a 32-bit hash reaches."""
+    total, term, out = 0.0, math.exp(-1.0), []
+    for k in range(most):
+        total += term
+        out.append(round(total * 2 ** 32))
+        term /= k + 1
+    return out
+
+
+def bootstrap_ci(df: DataFrame, group: str, col: str, id_col: str, replicates: int = 200, level: float = 0.95, digits: int = 6) -> DataFrame:
+    """Mean and percentile interval of a Poisson bootstrap. In replicate 4j + c
+    a row counts as often as a Poisson(1) draw from hex digits 8c + 1 to 8c + 8 of
+    md5(id:j), so replicates are the same on every engine and partitioning. Sums by
+    (group, replicate) are merged map-side; ``replicates`` is a multiple of 4."""
+    x = df.select(group, F.col(col).cast("double").alias("_x"), F.col(id_col).cast("string").alias("_id")).where("_x IS NOT NULL AND _id IS NOT NULL")
+    x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(replicates // 4 - 1))))
+    x = x.withColumn("_h", F.md5(F.concat_ws(":", "_id", F.col("_j").cast("string")).cast("binary")))
+    u = [F.conv(F.substring("_h", 8 * c + 1, 8), 16, 10).cast("long") for c in range(4)]
+    draws = F.explode(F.array(*[F.struct((F.col("_j") * 4 + c).alias("r"), u[c].alias("u")) for c in range(4)]))
+    x = x.select(group, "_x", draws.alias("d")).select(group, "_x", "d.r", sum((F.col("d.u") >= limit).cast("int") for limit in poisson_limits()).alias("_k"))
+    sums = x.where("_k > 0").groupBy(group, "r").agg((F.sum(F.col("_k") * F.col("_x")) / F.sum("_k")).alias("_m"))
+    tail = (1 - level) / 2
+    return sums.groupBy(group).agg(F.count(F.lit(1)).alias("replicates"), F.round(F.avg("_m"), digits).alias("mean"), F.round(F.percentile("_m", F.lit(tail)), digits).alias("ci_lo"),
+                                   F.round(F.percentile("_m", F.lit(1 - tail)), digits).alias("ci_hi"))
+
+
 def share_within_group(df: DataFrame, group: str, count_col: str, name: str = "porcentaje",
                        digits: int = 6) -> DataFrame:
     """Count / sum(count) over the group * 100."""

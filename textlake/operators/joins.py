@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from textlake.functions import text as T
 from textlake.operators.clean import dedupe_key
+from textlake.session import staged
+
+#: Rows of one key that one task may join, keys and items of the sketch that finds larger ones.
+PART_ROWS, HOT_KEYS, SKETCH_ITEMS = 20_000, 256, 4096
 
 
 def join_products(reviews: DataFrame, products: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -46,10 +50,51 @@ def attach_timestamp(sample: DataFrame, raw: DataFrame, fanout: bool = False) ->
     text join, where duplicated raw texts multiply the row.
     """
     if fanout:
-        return sample.drop("timestamp").join(raw.select("text", "timestamp"), "text", "left")
+        return fan_out_join(sample.drop("timestamp"), raw.select("text", "timestamp"), "text")
     return sample.drop("timestamp").join(raw.select("review_id", "timestamp"), "review_id", "left")
 
 
+def hot_keys(df: DataFrame, digest: str, part_rows: int) -> list[str]:
+    """Digests with more than ``part_rows`` rows by a frequent-items sketch, HOT_KEYS at most."""
+    found = df.where(F.col(digest).isNotNull()).agg(F.expr(f"approx_top_k({digest}, {HOT_KEYS}, {SKETCH_ITEMS})").alias("top")).first()["top"]
+    return [r["item"] for r in found or [] if r["count"] > part_rows]
+
+
+def _grid(rows: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
+    """Rows of hot keys with a cell (own part, other part): each row in one part of
+    its side, once for each part of the other side."""
+    rows = rows.join(F.broadcast(hot), "_d")  # 2 * HOT_KEYS rows at most
+    rows = rows.withColumn(own, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(f"_n{own[1]}")).cast("int"))
+    return rows.withColumn(other, F.explode(F.expr(f"sequence(0, _n{other[1]} - 1)"))).drop(f"_n{own[1]}", f"_n{other[1]}")
+
+
+def fan_out_parts(left: DataFrame, right: DataFrame, key: str, part_rows: int):
+    """(hot keys, left grid, right grid, cold left, cold right): a key with many rows
+    on a side is cut into parts of about ``part_rows`` rows there, and every part
+    of the one side meets every part of the other in a cell of its own."""
+    digest = F.sha2(F.col(key).cast("binary"), 256)
+    left, right = left.withColumn("_d", digest), right.withColumn("_d", digest)
+    keys = sorted(set(hot_keys(left, "_d", part_rows)) | set(hot_keys(right, "_d", part_rows)))
+    if not keys:
+        return None, None, None, left, right
+    sizes = [df.where(F.col("_d").isin(keys)).groupBy("_d").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias(n)) for df, n in ((left, "_ni"), (right, "_nj"))]
+    hot = staged(sizes[0].join(sizes[1], "_d"))  # keys that both sides have
+    is_hot = F.coalesce(F.col("_d").isin([r["_d"] for r in hot.select("_d").collect()]), F.lit(False))
+    return hot, _grid(left, hot, "_i", "_j"), _grid(right, hot, "_j", "_i"), left.where(~is_hot), right.where(~is_hot)
+
+
+def fan_out_join(left: DataFrame, right: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """Left join on ``key`` whose matches multiply. Keys hot on a side (found by a
+    sketch) are joined by cells, so that a key with a third of both sides is
+    spread over tasks; the others are joined plainly."""
+    hot, grid_l, grid_r, cold_l, cold_r = fan_out_parts(left, right, key, part_rows)
+    out = cold_l.drop("_d").join(cold_r.drop("_d"), key, "left")
+    if hot is None:
+        return out
+    cells = grid_l.join(grid_r.drop(key), ["_d", "_i", "_j"]).drop("_d", "_i", "_j")  # equal SHA-256, equal key
+    return out.unionByName(cells.select(*out.columns))
+
+
 def products_in_reviews(products: DataFrame, reviews: DataFrame) -> DataFrame:
     """Products whose key occurs in the reviews (semi join)."""
     return products.join(reviews.select("parent_asin"), "parent_asin", "left_semi")

@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import labels as L
+from textlake.operators import features as FE
 
 
 def dataset_report(canonical: DataFrame) -> DataFrame:
-    """Total rows, rating and target-class distributions."""
+    """Total rows, rating and target-class distributions, columns and engineered features."""
     per = canonical.groupBy("rating", "target_class").agg(F.count(F.lit(1)).alias("n"))
     by_tc = per.groupBy("target_class").agg(F.sum("n").alias("n"))
     r = per.agg(F.sum("n").alias("total_rows"),
@@ -24,7 +25,9 @@ def dataset_report(canonical: DataFrame) -> DataFrame:
                     "rating_distribution"))
     t = by_tc.agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct(F.col("target_class").alias("k"), F.col("n").alias("v"))))))
-    return r.withColumn("target_class_distribution", t.scalar())
+    names = lambda cols: F.array(*[F.lit(c) for c in cols])
+    return r.withColumn("target_class_distribution", t.scalar()).withColumn("columns", names(canonical.columns)).withColumn(
+        "features", names([c for c in FE.FEATURES if c in canonical.columns]))
 
 
 METRIC_COLS = ["f1_macro", "precision_macro", "recall_macro", "accuracy"]
@@ -62,8 +65,8 @@ def confusion_cells(models: DataFrame) -> DataFrame:
 
 
 def model_rank(models: DataFrame) -> DataFrame:
-    """Each metric ranked over models (1 = best)."""
+    """Each metric ranked over models (1 = best, equal values share a rank)."""
     from pyspark.sql import Window
     long = metrics_long(models)
-    w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("model_name"))
+    w = Window.partitionBy("metric").orderBy(F.col("value").desc())
     return long.withColumn("rank", F.rank().over(w))

@@ -8,7 +8,7 @@ vectors it needs no pairs at all:
 
 so it is computed over *all* rows with one vector-sum aggregate per class
 (MLlib ``Summarizer``, partial aggregation per task) and a classes x classes
-combination of the per-class sums.
+combination of the per-class sums, by blocks of classes.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import vectors as VF
+from textlake.session import staged
 
-MAX_GROUPS = 10_000
+#: Groups are dealt into so many blocks; every two blocks are combined by one task.
+GROUP_BLOCKS = 8
 
 
 def group_sums(df: DataFrame, group: str, vec: str) -> DataFrame:
@@ -37,14 +39,10 @@ def group_means(df: DataFrame, group: str, vec: str) -> DataFrame:
 
 def mean_cosine_between_groups(unit: DataFrame, group: str, vec: str, digits: int = 6) -> DataFrame:
     """Mean pairwise cosine between every two groups (incl. a group with itself)."""
-    sums = group_sums(unit, group, vec)
-    if sums.count() > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: their pairs are not a table to read")
-    allg = sums.agg(F.collect_list(F.struct(F.col(group).alias("g"), "sum", "n")).alias("gs"))
-    pairs = allg.select(F.explode(F.flatten(F.transform(
-        "gs", lambda a: F.transform("gs", lambda b: F.struct(
-            a["g"].alias("label_a"), b["g"].alias("label_b"),
-            (VF.dot(a["sum"], b["sum"]) / (a["n"] * b["n"])).alias("m"),
-            (a["n"] * b["n"]).alias("n_pairs")))))).alias("p"))
-    return pairs.select(F.col("p.label_a").alias(f"{group}_a"), F.col("p.label_b").alias(f"{group}_b"),
-                        F.round("p.m", digits).alias("mean_cosine"), F.col("p.n_pairs").cast("bigint").alias("n_pairs"))
+    sums = staged(group_sums(unit, group, vec))
+    own = F.pmod(F.xxhash64(group), F.lit(GROUP_BLOCKS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(GROUP_BLOCKS - 1)))
+    a = sums.select(own.alias("_i"), every.alias("_j"), F.col(group).alias(f"{group}_a"), F.col("sum").alias("_a"), F.col("n").alias("_na"))
+    b = sums.select(own.alias("_j"), every.alias("_i"), F.col(group).alias(f"{group}_b"), F.col("sum").alias("_b"), F.col("n").alias("_nb"))
+    n = F.col("_na") * F.col("_nb")
+    return a.join(b, ["_i", "_j"]).select(f"{group}_a", f"{group}_b", F.round(VF.dot("_a", "_b") / n, digits).alias("mean_cosine"), n.cast("bigint").alias("n_pairs"))

@@ -212,7 +212,7 @@ def saturation_rating_month(spark, sf):
            (SELECT map(list(tc ORDER BY tc), list(n ORDER BY tc))
               FROM (SELECT CASE WHEN rating IN (1, 2) THEN 'Negativo' WHEN rating = 3 THEN 'Neutro'
                                 ELSE 'Positivo' END AS tc, count(*) AS n FROM features GROUP BY 1))
-              AS target_class_distribution""", "features"))
+              AS target_class_distribution, """ + f"{FE.CANONICAL} AS columns, {FE.FEATURES} AS features", "features"))
 def dataset_report(spark, sf):
     from textlake.operators.reports import dataset_report as rep
     return rep(FE.canonical(_features(spark, sf)))
@@ -241,3 +241,31 @@ def histogram_punctuation(spark, sf):
 def rating_star_names(spark, sf):
     """Reviews per star name."""
     return V.reviews(spark, sf).groupBy(L.star_name("rating").alias("stars")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LIMITS = X.poisson_limits()
+
+
+@register("ttr_bootstrap_ci", "agg", with_ctes(f"""
+    SELECT rating, count(*) AS replicates, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi
+    FROM (SELECT rating, r, sum(k * ttr) / sum(k) AS m FROM (
+            SELECT rating, ttr, j * 4 + c AS r, len(list_filter({_LIMITS}, lambda x: CAST('0x' || substr(h, CAST(8 * c + 1 AS BIGINT), 8) AS BIGINT) >= x)) AS k
+            FROM (SELECT rating, ttr, j, md5(CAST(review_id AS VARCHAR) || ':' || CAST(j AS VARCHAR)) AS h FROM features, range(0, 50) a(j)), range(0, 4) b(c)
+            WHERE ttr IS NOT NULL)
+          WHERE k > 0 GROUP BY rating, r)
+    GROUP BY rating""", "features"))
+def ttr_bootstrap_ci(spark, sf):
+    """Percentile interval of 200 Poisson bootstrap replicates."""
+    return X.bootstrap_ci(_features(spark, sf), "rating", "ttr", "review_id")
+
+
+_REVIEW_TYPES = {"review_id": "bigint", "title": "string", "text": "string", "rating": "double", "parent_asin": "string", "verified_purchase": "boolean",
+                 "helpful_vote": "bigint", "timestamp": "bigint", "ts": "timestamp"}
+
+
+@register("profile_schema", "agg", with_ctes(" UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{c}' AS \"column\", '{t}' AS type, count(\"{c}\") AS non_null, count(*) - count(\"{c}\") AS nulls FROM reviews"
+    for i, (c, t) in enumerate(_REVIEW_TYPES.items())), "reviews"))
+def profile_schema(spark, sf):
+    """Schema and null counts of every column."""
+    return X.profile_columns(V.reviews(spark, sf))

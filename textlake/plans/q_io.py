@@ -138,6 +138,38 @@ def embedding_splits(spark, sf):
     return back.select("review_id", "label", "split")
 
 
+_SPLIT = """CASE WHEN rn <= c0 THEN 'test' WHEN rn <= c0 + ((n - c0) * 176 + 999) // 1000 THEN 'val' ELSE 'train' END"""
+
+
+@register("split_artifacts", "io", with_ctes(f"""
+    SELECT review_id, label, {_SPLIT} AS split, md5(text) AS text_md5, 256::BIGINT AS dimension, """ + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in FE.FEATURES) + f"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rn,
+                 count(*) OVER (PARTITION BY label) AS n, (count(*) OVER (PARTITION BY label) * 15 + 99) // 100 AS c0
+          FROM (SELECT *, CASE WHEN rating IN (1, 2) THEN 0 WHEN rating = 3 THEN 1 ELSE 2 END AS label FROM features))""", "features"))
+def split_artifacts(spark, sf):
+    """Per split the text, the label, the nine features and the text's embedding, written and read back."""
+    from textlake.operators.encode import HashEncoder, encode_batches
+    base = IO.scratch(spark, "artifacts")
+    f = FE.text_features(C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf)))
+    f = f.select("review_id", "text", L.sentiment_class("rating").cast("int").alias("label"), *FE.FEATURES)
+    IO.save_split_artifacts(S.train_val_test_split(encode_batches(f, HashEncoder()), "label", "review_id"), f"{base}/artifacts")
+    back = IO.load_embedding_splits(spark, f"{base}/artifacts")
+    return back.select("review_id", "label", "split", F.md5("text").alias("text_md5"), F.size("embedding").cast("long").alias("dimension"),
+                       *[F.round(F.col(c).cast("double"), 6).alias(c) for c in FE.FEATURES])
+
+
+@register("nested_as_text", "io", with_ctes(
+    """SELECT parent_asin, replace(categories, '", "', '","') AS categories, '{"name":' || to_json(title) || '}' AS details FROM products""", "products"))
+def nested_as_text(spark, sf):
+    """X27 + S2: nested product fields become JSON text, are written so, and ingested as they are."""
+    from textlake.functions.text import to_json_text
+    base = IO.scratch(spark, "nested")
+    nested = V.products(spark, sf).select("parent_asin", "title", "main_category", "price", F.from_json("categories", "array<string>").alias("categories"),
+                                          F.struct(F.col("title").alias("name")).alias("details"))
+    IO.write_jsonl(nested.withColumns({c: to_json_text(c) for c in ("categories", "details")}), f"{base}/raw")
+    return IO.ingest_products(spark, f"{base}/raw", f"{base}/parquet").select("parent_asin", "categories", "details")
+
+
 @register("predictions_roundtrip", "io", with_ctes(
     "SELECT model, review_id, label, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS pred FROM probs",
     "probs"))

@@ -87,10 +87,9 @@ def eval_metrics(spark, sf):
       UNPIVOT em ON accuracy, precision_macro, recall_macro, f1_macro INTO NAME metric VALUE value)""",
     "probs", extra=[_PRED, _CNT] + _metrics_ctes("cnt", ["model"], "e")))
 def model_rank(spark, sf):
-    from pyspark.sql import Window
+    from textlake.operators.reports import model_rank as rank
     m = EV.macro_metrics(_counts(spark, sf), ["model"], 3)
-    long = m.unpivot(["model"], ["accuracy", "precision_macro", "recall_macro", "f1_macro"], "metric", "value")
-    return long.withColumn("rank", F.rank().over(Window.partitionBy("metric").orderBy(F.col("value").desc())))
+    return rank(m.withColumnRenamed("model", "model_name")).withColumnRenamed("model_name", "model")
 
 
 @register("weighted_vote", "score", with_ctes("""

@@ -8,7 +8,8 @@ ever appends to its sink:
   file sink in ``append`` mode. A window is written once, when the watermark
   has passed its end, and its state is dropped then;
 * the quota sampler, the incremental indexes and the late-row report are
-  ``foreachBatch`` jobs of batch operators. A batch writes the folder
+  ``foreachBatch`` jobs of batch operators; the indexes see each id once, by
+  the stream's state. A batch writes the folder
   ``batch=<id>`` and nothing else, so a replayed batch replaces its own rows;
   what earlier batches wrote is read, never rewritten.
 
@@ -19,6 +20,7 @@ live under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -35,6 +37,7 @@ from textlake.session import checkpoint_root
 # Fixed values of the drift rules: limits and status words.
 POSITIVE_LIMIT, CONFIDENCE_FLOOR = 40.0, 0.75
 STABLE, ALERT = "estable", "alerta"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def workdir(spark: SparkSession, name: str) -> str:
@@ -195,13 +198,23 @@ def stream_confidence(spark: SparkSession, scored: DataFrame, base: str | None =
 
 
 # ---------------------------------------------------------------- Z6 ------
-def append_unseen(stream: DataFrame, base: str, id_col: str, schema: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Append ``build`` of the rows whose id the index does not have yet."""
-    def new_rows(batch: DataFrame, earlier: DataFrame) -> DataFrame:
-        fresh = batch.dropDuplicates([id_col]).join(earlier.select(id_col).distinct(), id_col, "left_anti")
-        return build(fresh)
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streams started here keep their state in RocksDB: what exceeds memory is on the executors' disks, changes go to the checkpoint."""
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+
 
-    return append_batches(stream, base, schema, new_rows)
+def append_unseen(stream: DataFrame, base: str, id_col: str, schema: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append ``build`` of the rows whose id no earlier batch had. The ids are
+    the stream's own state (one entry an id, split over the partitions, restored
+    after a restart); the index itself is never read. A null id is an id."""
+    with state_on_disk(stream.sparkSession):
+        return append_batches(stream.dropDuplicates([id_col]), base, schema, lambda batch, _earlier: build(batch))
 
 
 def stream_incremental_index(spark: SparkSession, vectors: DataFrame, base: str | None = None) -> DataFrame:
