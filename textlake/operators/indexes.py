@@ -57,15 +57,15 @@ def read_manifest(spark: SparkSession, path: str) -> dict | None:
     return json.loads(rows[0]["value"]) if rows else None
 
 
-def open_or_build(df: DataFrame, kind: str, root: str | None, build: Callable[[str], dict]) -> dict:
-    """The manifest of the index of ``df``. ``build(folder)`` writes the data and returns its figures."""
+def open_or_build(df: DataFrame, kind: str, root: str | None, build: Callable[[str, int], dict]) -> dict:
+    """The manifest of the index of ``df``. ``build(folder, rows)`` writes the data and returns its figures."""
     spark = df.sparkSession
     mark = fingerprint(df)
     path = f"{(root or index_root(spark)).rstrip('/')}/{kind}-{mark}"
     found = read_manifest(spark, path)
     if found is None:
         data = f"{path}/data-{uuid.uuid4().hex[:12]}"
-        found = {"kind": kind, "fingerprint": mark, "data": data, **build(data), "built_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")}
+        found = {"kind": kind, "fingerprint": mark, "data": data, **build(data, int(mark.split("-")[0])), "built_at": dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")}
         spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return found
 
@@ -86,16 +86,14 @@ def open_lexical_index(corpus: DataFrame, id_col: str = "review_id", text_col: s
     rows = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
-    def build(data: str) -> dict:
-        model = TX.fit_tfidf(rows, "id", "text", (1, 1), words, min_df=1, max_features=None, digits=None)
-        model.vocab.write.parquet(f"{data}/vocab")
-        n = model.n_docs.first()["n"]
+    def build(data: str, n: int) -> dict:
+        model = TX.fit_tfidf(rows, "id", "text", (1, 1), words, min_df=1, max_features=None, digits=None, vocab_path=f"{data}/vocab")
         n_blocks = max(1, -(-n // BLOCK_DOCS))
         post = model.weights.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
         blocks = post.groupBy("term", "block").agg(F.max("weight").alias("max_weight"), F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("postings"))
         blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{data}/blocks")
-        written = spark.read.parquet(f"{data}/blocks").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term").alias("terms"), F.sum(F.size("postings")).alias("postings")).first()
-        return {"n_docs": n, "n_blocks": n_blocks, "terms": written["terms"], "block_rows": written["rows"], "postings": written["postings"] or 0}
+        written = spark.read.parquet(f"{data}/blocks").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("postings")).alias("postings")).first()
+        return {"n_docs": n, "n_blocks": n_blocks, "terms": model.vocab.count(), "block_rows": written["rows"], "postings": written["postings"] or 0}
 
     kind = f"lexical-{zlib.crc32(chr(10).join(words).encode()):08x}"  # other stop words make another index
     found = open_or_build(rows, kind, root, build)
@@ -125,8 +123,7 @@ def open_vector_index(vectors: DataFrame, id_col: str = "review_id", vec_col: st
     spark, kept = vectors.sparkSession, list(keep or [])
     rows = vectors.select(id_col, vec_col, *kept)
 
-    def build(data: str) -> dict:
-        n = rows.count()
+    def build(data: str, n: int) -> dict:
         n_blocks = max(1, -(-n // BLOCK_ROWS))
         out = rows.select(F.pmod(F.xxhash64(id_col, vec_col), F.lit(n_blocks)).cast("int").alias("block"), id_col, VF.l2_normalize(vec_col).alias("vec"), *kept)
         out.repartition("block").sortWithinPartitions("block", id_col).write.parquet(data)

@@ -114,7 +114,8 @@ class TfidfModel:
 
 def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "text",
               ngram_range=(1, 1), stop_words=None, min_df: int = 1,
-              max_features: int | None = None, digits: int | None = 6) -> TfidfModel:
+              max_features: int | None = None, digits: int | None = 6, vocab_path: str | None = None) -> TfidfModel:
+    """V1. The vocabulary is written to ``vocab_path``, or else staged."""
     tf = staged(term_counts(corpus, id_col, text_col, ngram_range, stop_words))  # read by vocabulary and weights
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("freq"))
@@ -122,7 +123,12 @@ def fit_tfidf(corpus: DataFrame, id_col: str = "review_id", text_col: str = "tex
     if max_features:
         stats = stats.orderBy(F.col("freq").desc(), F.col("term")).limit(max_features)
     n = n_docs.scalar()  # scalar subquery: corpus size, evaluated once
-    vocab = staged(stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    vocab = stats.select("term", "df", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    if vocab_path:
+        vocab.write.parquet(vocab_path)
+        vocab = corpus.sparkSession.read.schema(vocab.schema).parquet(vocab_path)
+    else:
+        vocab = staged(vocab)
     weights = _weights(tf, vocab, id_col, digits)
     return TfidfModel(vocab, weights, n_docs, id_col, tuple(ngram_range), stop_words)
 
