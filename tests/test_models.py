@@ -99,3 +99,25 @@ def test_macro_f1_evaluator(spark):
     want = (0.5 + 0.8 + 2 / 3) / 3
     assert abs(M.MacroF1().evaluate(rows) - want) < 1e-5 and M.MacroF1().isLargerBetter()
     assert M.metrics_row(rows, "x", 0.0).first()["f1_macro"] == M.MacroF1().evaluate(rows)
+
+
+def test_svd_projection_and_kmeans_starts(spark):
+    """C4 and C1 against numpy: coordinates, energies, and the best of several starts."""
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    from textlake.operators import clusters as CL
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((60, 12)) < 0.4, rng.normal(size=(60, 12)), 0.0)
+    x[7] = 0
+    rows = [(i, SparseVector(12, [(int(j), float(v[j])) for j in np.flatnonzero(v)]) if i % 2 else Vectors.dense(v)) for i, v in enumerate(x)]
+    pts = spark.createDataFrame(rows, ["review_id", "features"])
+    v, squared, total = CL.right_vectors(pts, 3)
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(squared, s[:3] ** 2) and abs(total - (s ** 2).sum()) < 1e-9
+    got = np.array([r[1:] for r in sorted(CL.svd_project(pts, v).collect())])
+    assert np.allclose(np.abs(got), np.abs(x @ vt[:3].T)) and np.allclose(got, x @ v)
+    assert [r["singular_value"] for r in CL.svd_values(pts, 2).orderBy("component").collect()] == [round(float(c), 6) for c in s[:2]]
+    model, costs = CL.kmeans_best(pts, 5, starts=4)
+    assert len(costs) == 4 and model.summary.trainingCost == min(costs)

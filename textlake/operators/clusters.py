@@ -12,7 +12,7 @@ from pyspark.ml.clustering import KMeans, LDA
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import BucketedRandomProjectionLSH, PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -77,17 +77,54 @@ def pca_project(points: DataFrame, k: int = 2, id_col: str = "review_id") -> Dat
     return out.select(id_col, *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(k)])
 
 
+def row_matrix(points: DataFrame):
+    """The ``features`` as a distributed row matrix; rows go to it inside the JVM."""
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+    return RowMatrix(MLUtils.convertVectorColumnsFromML(points.select("features"), "features"))
+
+
 def svd_values(points: DataFrame, k: int = 3) -> DataFrame:
     """C4: top singular values of the (distributed) row matrix."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    rows = points.select("features").rdd.map(lambda r: OldVectors.fromML(r[0]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
+    svd = row_matrix(points).computeSVD(k, computeU=False)
     vals = [float(x) for x in svd.s.toArray()]
     return points.sparkSession.createDataFrame([(i + 1, round(v, 6)) for i, v in enumerate(vals)],
                                                "component int, singular_value double")
 
 
+def right_vectors(points: DataFrame, k: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(V, squared singular values, their total) of the ``features``: the Gramian is
+    summed by the tasks; the driver gets (features x features) numbers, so the
+    number of features, a vocabulary's, must be bounded. The largest component of
+    each vector is positive."""
+    gram = row_matrix(points).computeGramianMatrix().toArray()
+    values, vectors = np.linalg.eigh(gram)
+    top = np.argsort(values)[::-1][:k]
+    v = vectors[:, top]
+    return v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]), values[top], float(np.trace(gram))
+
+
+def svd_project(points: DataFrame, v: np.ndarray, id_col: str = "review_id") -> DataFrame:
+    """C4: (id, s1..sk), every row's coordinates on the right singular vectors; its
+    non-zero features times the vectors' entries, in the JVM."""
+    u = points.select(id_col, F.unwrap_udt("features").alias("f"))
+    place = F.coalesce(F.col("f.indices"), F.sequence(F.lit(0), F.size("f.values") - 1))
+    u = u.select(id_col, place.alias("i"), F.col("f.values").alias("x"))
+
+    def on(vector) -> Column:
+        entries = F.lit([float(c) for c in vector])
+        return F.aggregate(F.zip_with("i", "x", lambda i, x: x * F.get(entries, i)), F.lit(0.0), lambda s, y: s + y)
+
+    return u.select(id_col, *[on(v[:, j]).alias(f"s{j + 1}") for j in range(v.shape[1])])
+
+
+def kmeans_best(points: DataFrame, k: int, starts: int = 10, seed: int = 42):
+    """K-Means from several starts; (model of least inertia, inertia of every start)."""
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster", maxIter=20).fit(points) for i in range(starts)]
+    costs = [float(m.summary.trainingCost) for m in models]
+    return models[int(np.argmin(costs))], costs
+
+
 def lda_topics(counts: DataFrame, vocab: list[str], k: int = 5, n_terms: int = 8, seed: int = 42) -> DataFrame:
     """LDA topics with their top terms (vocabulary bounded by vocabSize)."""
     m = LDA(k=k, seed=seed, maxIter=20, featuresCol="features").fit(counts)

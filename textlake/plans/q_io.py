@@ -55,8 +55,8 @@ def ingest_reviews(spark, sf):
           "SELECT count(*) AS rejected FROM conversations WHERE trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) <> ''")
 def ingest_rejects(spark, sf):
     base = IO.scratch(spark, "ingest")
-    _good, bad = IO.ingest_reviews(spark, _landing(spark, sf, base), f"{base}/parquet")
-    return bad.agg(F.count(F.lit(1)).alias("rejected"))
+    IO.ingest_reviews(spark, _landing(spark, sf, base), f"{base}/parquet")
+    return IO.ingest_counts(spark, f"{base}/parquet").select("rejected")
 
 
 @register("ingest_products", "io", with_ctes(

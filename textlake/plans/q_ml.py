@@ -20,6 +20,7 @@ from textlake.operators import search as R
 from textlake.operators import text as TX
 from textlake.operators import vectors as VO
 from textlake.plans.registry import register
+from textlake.plans.sqlviews import with_ctes
 from textlake.session import materialize
 from textlake.sources import io as IO
 from textlake.sources import views as V
@@ -130,6 +131,44 @@ def svd3(spark, sf):
     return CL.svd_values(pts, 3)
 
 
+_CLEAN_ROWS = "(SELECT count(*) FROM clean)"
+
+
+@register("svd_projection", "ml", with_ctes(
+    f"SELECT {_CLEAN_ROWS} AS n, true AS orthogonal, true AS energy_is_squared_value, true AS descending, true AS residual_agrees", "clean"))
+def svd_projection(spark, sf):
+    """C4: every row on three components. Checked on all rows: the components are
+    orthogonal, their energies are the squared singular values in order, and what
+    the rows lose by the projection is the rest of the Gramian's trace."""
+    _, pts = _tfidf_features(spark, sf, 1500)
+    v, squared, total = CL.right_vectors(pts, 3)
+    s = CL.svd_project(pts, v)
+    dots = [F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"d{i}{j}") for i in (1, 2, 3) for j in range(i, 4)]
+    r = s.agg(F.count("*").alias("n"), *dots).first()
+    energy = [r[f"d{i}{i}"] for i in (1, 2, 3)]
+    length = pts.select(F.unwrap_udt("features").alias("f")).agg(F.sum(F.aggregate("f.values", F.lit(0.0), lambda a, x: a + x * x)).alias("t")).first()["t"]
+    near = lambda a, b: abs(a - b) <= 1e-6 * max(abs(a), abs(b), 1.0)
+    orthogonal = all(abs(r[f"d{i}{j}"]) <= 1e-6 * (energy[i - 1] * energy[j - 1]) ** 0.5 + 1e-9 for i in (1, 2, 3) for j in range(i + 1, 4))
+    return spark.createDataFrame([(r["n"], orthogonal, all(map(near, energy, squared)), energy == sorted(energy, reverse=True), bool(near(length - sum(energy), total - sum(squared))))],
+                                 "n long, orthogonal boolean, energy_is_squared_value boolean, descending boolean, residual_agrees boolean")
+
+
+@register("kmeans_svd", "ml", with_ctes(
+    f"SELECT {_CLEAN_ROWS} AS n, 4::BIGINT AS clusters, 10::BIGINT AS starts, true AS best_is_least, true AS inertia_agrees", "clean"))
+def kmeans_svd(spark, sf):
+    """K-Means on the three components, ten starts, the best kept; its inertia is the sum over the assigned rows."""
+    from pyspark.ml.functions import array_to_vector
+    _, pts = _tfidf_features(spark, sf, 1500)
+    s = CL.svd_project(pts, CL.right_vectors(pts, 3)[0])
+    s = materialize(s.select("review_id", F.array("s1", "s2", "s3").alias("x"), array_to_vector(F.array("s1", "s2", "s3")).alias("features")))
+    model, costs = CL.kmeans_best(s, 4)
+    centers = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    far = F.aggregate(F.zip_with("x", F.get(centers, "cluster"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, d: a + d)
+    r = model.transform(s).agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("c"), F.sum(far).alias("d")).first()
+    return spark.createDataFrame([(r["n"], r["c"], len(costs), model.summary.trainingCost == min(costs), abs(r["d"] - min(costs)) <= 1e-6 * max(1.0, min(costs)))],
+                                 "n long, clusters long, starts long, best_is_least boolean, inertia_agrees boolean")
+
+
 @register("lda_topics", "ml")
 def lda_topics(spark, sf):
     clean = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf))

@@ -39,6 +39,13 @@ def stream_ingest(spark, sf):
     return out.select("review_id", "rating", "mayusculas_count", "char_total", "total_tokens", "unique_types")
 
 
+@register("stream_ingest_counts", "stream", with_ctes(
+    f"SELECT (SELECT count(*) FROM reviews) AS rows_read, (SELECT count(*) FROM ({_FEAT_SQL})) AS rows_kept", "reviews"))
+def stream_ingest_counts(spark, sf):
+    """What the ingest read and kept, observed in its own pass."""
+    return Z.stream_ingest_counts(spark, V.reviews(spark, sf)).agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_kept").alias("rows_kept"))
+
+
 @register("stream_dedupe", "stream", with_ctes("SELECT DISTINCT md5(text) AS text_md5 FROM reviews", "reviews"))
 def stream_dedupe(spark, sf):
     return Z.stream_dedupe(spark, V.reviews(spark, sf))

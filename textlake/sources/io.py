@@ -12,13 +12,14 @@ import functools
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlake.session import checkpoint_root
+from textlake.session import checkpoint_root, configure
 
 CORRUPT = "_corrupt_record"
+COUNTS = "rows long, rejected long, kept long"
 
 REVIEW_SCHEMA = T.StructType([
     T.StructField("review_id", T.LongType()),
@@ -54,19 +55,39 @@ def write_jsonl(df: DataFrame, path: str, compression: str | None = None) -> str
 def ingest_reviews(spark: SparkSession, src: str, out: str, batch_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """JSON lines (plain or gzip) -> Parquet parts of ``batch_rows`` rows at most.
 
-    One pass parses and writes every line, good and malformed ones in a
-    partition of their own; the job is skipped when the output folder already
-    has data (``ignore``). Nested fields and prices stay text. A gzip file is
-    read by one task and written in parts, so what follows runs in parallel.
-    Returns (good rows, rejected lines) as read back."""
-    raw = (spark.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).json(src))
-    raw = raw.withColumn("rejected", F.col(CORRUPT).isNotNull())
-    raw.write.mode("ignore").option("maxRecordsPerFile", batch_rows).partitionBy("rejected").parquet(out)
-    written = spark.read.schema(raw.schema).parquet(out)
+    One pass parses, writes and counts every line, good and malformed ones in a
+    partition of their own. The counts (``ingest_counts``) are written last, and
+    the job is skipped where they exist, so an interrupted job is repeated. Nested
+    fields and prices stay text. A gzip file is read by one task and written in
+    parts, so what follows runs in parallel. Returns (good rows, rejected lines) as
+    read back."""
+    if ingest_counts(spark, out) is None:
+        # A session that has observed a query can no longer be serialized, which some
+        # MLlib models need; so this is done in a session of its own.
+        side = configure(spark.newSession())
+        raw = (side.read.schema(REVIEW_SCHEMA).option("mode", "PERMISSIVE")
+               .option("columnNameOfCorruptRecord", CORRUPT).json(src))
+        raw = raw.withColumn("rejected", F.col(CORRUPT).isNotNull())
+        seen = Observation()
+        counted = raw.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("rejected").alias("rejected"))
+        counted.write.mode("overwrite").option("maxRecordsPerFile", batch_rows).partitionBy("rejected").parquet(out)
+        rows, rejected = seen.get["rows"], seen.get["rejected"]
+        spark.createDataFrame([(rows, rejected, rows - rejected)], COUNTS).coalesce(1).write.mode("overwrite").json(f"{out.rstrip('/')}_counts")
+    written = spark.read.schema(T.StructType([*REVIEW_SCHEMA.fields, T.StructField("rejected", T.BooleanType())])).parquet(out)
     return written.where("NOT rejected").drop(CORRUPT, "rejected"), written.where("rejected").select(CORRUPT)
 
 
+def ingest_counts(spark: SparkSession, out: str) -> DataFrame | None:
+    """(rows, rejected, kept) as observed while the lines were written to ``out``; None before that."""
+    try:
+        counts = spark.read.schema(COUNTS).json(f"{out.rstrip('/')}_counts")
+        return counts if counts.take(1) else None
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def ingest_products(spark: SparkSession, src: str, out: str, batch_rows: int = 50_000) -> DataFrame:
     """Every field read as string; nested values arrive as raw JSON text."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in PRODUCT_FIELDS])

@@ -63,11 +63,24 @@ def run_to_completion(q: StreamingQuery) -> StreamingQuery:
 
 def append_to_files(out: DataFrame, base: str) -> DataFrame:
     """Run a stream into the file sink (each row once, also after a restart) and read the sink."""
-    run_to_completion(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-                      .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
+    run_into_files(out, base)
     return out.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
 
+def run_into_files(out: DataFrame, base: str) -> StreamingQuery:
+    return run_to_completion(out.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+                             .option("checkpointLocation", f"{base}/_ckpt").trigger(availableNow=True).start())
+
+
+def observed(q: StreamingQuery, spark: SparkSession) -> list[dict]:
+    """The metrics observed in every batch of a finished run, {name: Row} each."""
+    most = int(spark.conf.get("spark.sql.streaming.numRecentProgressUpdates"))
+    progress = q.recentProgress
+    if len(progress) >= most:
+        raise ValueError(f"only the last {most} batches are known; raise spark.sql.streaming.numRecentProgressUpdates")
+    return [p.observedMetrics for p in progress if p.observedMetrics]
+
+
 def append_batches(stream: DataFrame, base: str, schema: str, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Run ``build(batch, earlier rows)`` on every batch and append its rows;
     returns all rows, with the column ``batch``."""
@@ -102,6 +115,15 @@ def stream_ingest(spark: SparkSession, reviews: DataFrame, base: str | None = No
     return append_to_files(clean_stream(stream).drop("text"), base)
 
 
+def stream_ingest_counts(spark: SparkSession, reviews: DataFrame, base: str | None = None) -> DataFrame:
+    """Rows read and kept by one run of the ingest, counted while it runs: (batch, rows_read, rows_kept)."""
+    base = base or workdir(spark, "ingest-counts")
+    stream = read_stream(spark, land(reviews, f"{base}/input"), reviews.schema)
+    kept = clean_stream(stream.observe("read", F.count(F.lit(1)).alias("n"))).drop("text").observe("kept", F.count(F.lit(1)).alias("n"))
+    rows = [(i, m["read"]["n"], m["kept"]["n"]) for i, m in enumerate(observed(run_into_files(kept, base), spark))]
+    return spark.createDataFrame(rows, "batch long, rows_read long, rows_kept long")
+
+
 # ---------------------------------------------------------------- Z2 ------
 def stream_dedupe(spark: SparkSession, reviews: DataFrame, delay: str = "7 days", base: str | None = None) -> DataFrame:
     """One row per text hash; a hash is forgotten once the watermark is
