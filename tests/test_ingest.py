@@ -13,7 +13,7 @@ def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
     assert IO.ingest_counts(spark, out) is None
     good, bad = IO.ingest_reviews(spark, f"{tmp_path}/raw", out)
     assert (good.count(), bad.count()) == (3, 2) and tuple(IO.ingest_counts(spark, out).first()) == (5, 2, 3)
-    assert good.where("images = '[{\"u\":1}]'").count() == 1
+    assert good.where("images LIKE '%u%1%'").count() == 1
     spark.createDataFrame([('{"review_id": 9}',)], "value string").write.mode("append").text(f"{tmp_path}/raw")
     assert IO.ingest_reviews(spark, f"{tmp_path}/raw", out)[0].count() == 3  # already done
     spark.createDataFrame([], IO.COUNTS).write.mode("overwrite").json(f"{out}_counts")  # as after an interrupted job

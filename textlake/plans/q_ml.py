@@ -261,3 +261,53 @@ def tune_forest(spark, sf):
     value, table = M.MacroF1().evaluate(pred), M.metrics_row(pred, "forest", 0.0).first()["f1_macro"]
     best = max(points, key=lambda p: p[1])[0]["minInstancesPerNode"]
     return spark.createDataFrame([(len(points), best == model.getMinInstancesPerNode(), value == table)], "grid_points long, best_is_largest boolean, same_as_metrics boolean")
+
+
+_TEST_ROWS = ("SELECT sum((n * 20 + 99) // 100)::BIGINT FROM (SELECT count(*) AS n FROM clean GROUP BY "
+              "CASE WHEN rating IN (1, 2) THEN 0 WHEN rating = 3 THEN 1 ELSE 2 END)")
+_METRICS = ("accuracy", "precision_macro", "recall_macro", "f1_macro")
+
+
+@register("logreg_eval_checks", "ml", with_ctes(f"SELECT ({_TEST_ROWS}) AS n, true AS in_range, true AS agrees", "clean"))
+def logreg_eval_checks(spark, sf):
+    """V4 + L1 (50 iterations): the metrics of the held-out rows, counted again from the predictions."""
+    frame = _frame(spark, sf)
+    prepare, model, row = M.fit_evaluate(frame, M.logreg(max_iter=50), "logreg")
+    r = row.first()
+    pred = model.transform(prepare.transform(frame.where("split = 'test'"))).select("label", F.col("prediction").cast("int").alias("p"))
+    cells = {(c["label"], c["p"]): c["count"] for c in pred.groupBy("label", "p").count().collect()}  # K * K rows
+    right = sum(n for (a, b), n in cells.items() if a == b)
+    recall = [cells.get((c, c), 0) / max(1, sum(n for (a, _), n in cells.items() if a == c)) for c in range(M.K)]
+    agrees = abs(r["accuracy"] - right / max(1, r["n"])) < 1e-5 and abs(r["recall_macro"] - sum(recall) / M.K) < 1e-5 and sum(cells.values()) == r["n"]
+    return spark.createDataFrame([(r["n"], all(0 <= r[m] <= 1 for m in _METRICS), bool(agrees))], "n long, in_range boolean, agrees boolean")
+
+
+@register("score_batch_checks", "ml", with_ctes(f"SELECT ({_TEST_ROWS}) AS n, 0::BIGINT AS off_sum, 0::BIGINT AS off_confidence, 0::BIGINT AS off_class", "clean"))
+def score_batch_checks(spark, sf):
+    """Every held-out review is scored; probabilities add up to one, the
+    confidence is the largest, and the class is its."""
+    s = score_batch(spark, sf)
+    p = F.map_values("probabilities")
+    return s.agg(F.count("*").alias("n"), F.count_if(F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 2e-4).alias("off_sum"),
+                 F.count_if(F.array_max(p) != F.col("confidence")).alias("off_confidence"),
+                 F.count_if(F.element_at("probabilities", F.col("sentiment")) != F.col("confidence")).alias("off_class"))
+
+
+@register("cluster_checks", "ml", with_ctes(
+    "SELECT 7::BIGINT AS ks, true AS inertia_falls, true AS silhouette_in_range, true AS indices_positive, count(*) AS pca_rows, true AS pca_ordered, true AS pca_orthogonal, "
+    "40::BIGINT AS topic_terms, true AS topics_ordered FROM clean", "clean"))
+def cluster_checks(spark, sf):
+    """What must hold for any data: inertia falls with k (up to 5 %),
+    indices are in range, principal components are ordered and uncorrelated, and
+    topics list distinct terms by falling weight."""
+    rows = sorted(kmeans_sweep(spark, sf).collect(), key=lambda r: r["k"])
+    falls = all(b["inertia"] <= a["inertia"] * 1.05 for a, b in zip(rows, rows[1:]))
+    pc = pca2(spark, sf)
+    v = pc.agg(F.count("*").alias("n"), F.var_pop("pc1").alias("a"), F.var_pop("pc2").alias("b"), F.covar_pop("pc1", "pc2").alias("c")).first()
+    topics = lda_topics(spark, sf).collect()
+    by_topic = {t: sorted((r["rank"], r["weight"], r["term"]) for r in topics if r["topic"] == t) for t in {r["topic"] for r in topics}}
+    ordered = all([r[0] for r in x] == list(range(1, 9)) and [r[1] for r in x] == sorted((r[1] for r in x), reverse=True) and len({r[2] for r in x}) == 8 for x in by_topic.values())
+    return spark.createDataFrame([(len(rows), falls, all(-1 <= r["silhouette"] <= 1 for r in rows), all(r["davies_bouldin"] > 0 and r["calinski_harabasz"] > 0 for r in rows),
+                                   v["n"], v["a"] >= v["b"] > 0, abs(v["c"]) <= 1e-4 * (v["a"] * v["b"]) ** 0.5, len(topics), ordered)],
+                                 "ks long, inertia_falls boolean, silhouette_in_range boolean, indices_positive boolean, pca_rows long, pca_ordered boolean, pca_orthogonal boolean, "
+                                 "topic_terms long, topics_ordered boolean")
