@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import held_out, stage
 
-#: Bounds of the fitted sample: documents per language, bytes of each, bytes of a dictionary.
-SAMPLE_DOCS, DOC_BYTES, DICT_BYTES = 400, 2048, 1 << 15
+#: Bounds of the fitted sample: documents per language, and bytes of a dictionary.
+SAMPLE_DOCS, DICT_BYTES = 128, 1 << 15
 BLOCK = 4096
-#: Compression level, and that of texts of one short block, where a few bytes decide.
-LEVEL, SHORT_LEVEL, SHORT = 6, 12, 1024
+LEVEL = 6
 #: Least advantage over the second language, as a share of the best size, that is not rejected.
 MARGIN = 0.02
 
@@ -47,8 +46,11 @@ def _sizes(body: bytes, compressors) -> list[int]:
 
 
 def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, bytes]:
-    """One dictionary per language from SAMPLE_DOCS rows at most, those of
-    smallest id hash; languages come by their number of rows, the most first."""
+    """One dictionary per language of up to SAMPLE_DOCS rows, those of smallest id
+    hash. Each of them gives an even share of the DICT_BYTES, a piece from a place
+    in its whole text that a hash of id and text chooses (a text no longer than
+    the share gives all of it), cut in the tasks. Languages come by their number of
+    rows, the most first."""
     keyed = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     order = F.xxhash64(key_col)
     share = F.shiftrightunsigned(F.xxhash64("_k"), 11) / float(1 << 53)  # even in [0, 1)
@@ -59,7 +61,10 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_s", "_k"))).where(f"_r <= {SAMPLE_DOCS}")
     ids = stage(ids, "sample")  # so small a table is joined without a shuffle of the texts
     rows = keyed.join(ids, (keyed[lang_col] == ids["_l"]) & keyed[key_col].eqNullSafe(ids["_k"]), "left_semi")
-    rows = rows.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(text_col, 1, DOC_BYTES).alias("text")).collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), order.alias("o"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("place"))
+    used = stage(ids.groupBy(F.col("_l").alias("lang")).agg(F.ceil(F.lit(float(DICT_BYTES)) / F.count("*")).cast("int").alias("share")), "shares")
+    start = F.pmod(F.col("place"), F.greatest(F.length("text") - F.col("share"), F.lit(0)) + 1).cast("int")
+    rows = rows.join(used, "lang").select("lang", "o", F.substr("text", start + 1, F.col("share")).alias("text")).collect()  # pieces alone
     parts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.o, r.text)):
         parts.setdefault(r.lang, []).append(letters(r.text))
@@ -79,12 +84,11 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], id_col: s
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def predict(batches):
-        long, short = (_compressors(sent.value, level) for level in (LEVEL, SHORT_LEVEL))
+        compressors = _compressors(sent.value, LEVEL)
         for batch in batches:
             out = []
             for t in batch.column(1):
                 body = letters(t.as_py())
-                compressors = short if len(body) <= SHORT else long
                 if not body or not compressors:
                     out.append(("und", 0.0, 0.0, True))
                     continue
