@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import row_blocks
 
 #: Cached states of a transducer, cached pieces and the longest piece that is cached.
-STATES, PIECES, PIECE_BYTES = 60_000, 250_000, 64
+STATES, PIECES, PIECE_BYTES = 100_000, 500_000, 64
 #: Text bytes encoded (or id bytes decoded) to one output batch, and ids per decoding step.
 BLOCK, STEP = 1 << 20, 1 << 16
 #: Characters from which the pieces of a text are taken one by one instead of as a list.
