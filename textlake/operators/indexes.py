@@ -26,7 +26,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import vectors as VF
@@ -109,12 +109,12 @@ class VectorIndex:
     manifest: dict
 
 
-def checksum(vectors: DataFrame, id_col: str, vec_col: str) -> str:
-    """Sum over the rows of 60 bits of the MD5 of id and components in millionths;
-    engines that have MD5 compute the same, so a copy can be compared elsewhere."""
+def row_checksum(id_col: str, vec_col: str) -> Column:
+    """60 bits of the MD5 of id and components in millionths; engines that have MD5
+    compute the same, so a copy can be compared elsewhere by the sum over its rows."""
     parts = F.array_join(F.transform(vec_col, lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")), ",")
-    row = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), parts).cast("binary")), 1, 15), 16, 10)
-    return str(int(vectors.agg(F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).alias("s")).first()["s"]))
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
 
 
 def open_vector_index(vectors: DataFrame, id_col: str = "review_id", vec_col: str = "embedding", keep: list[str] | None = None, root: str | None = None) -> VectorIndex:
@@ -127,8 +127,9 @@ def open_vector_index(vectors: DataFrame, id_col: str = "review_id", vec_col: st
         n_blocks = max(1, -(-n // BLOCK_ROWS))
         out = rows.select(F.pmod(F.xxhash64(id_col, vec_col), F.lit(n_blocks)).cast("int").alias("block"), id_col, VF.l2_normalize(vec_col).alias("vec"), *kept)
         out.repartition("block").sortWithinPartitions("block", id_col).write.parquet(data)
-        dim = spark.read.parquet(data).agg(F.max(F.size("vec")).alias("d"), F.sum(F.size("vec")).alias("cells")).first()
-        return {"n": n, "n_blocks": n_blocks, "dimension": dim["d"] or 0, "bytes": 8 * (dim["cells"] or 0), "checksum": checksum(rows, id_col, vec_col)}
+        size = F.when(F.col(vec_col).isNotNull(), F.size(vec_col))
+        r = rows.agg(F.max(size).alias("d"), F.sum(size).alias("cells"), F.sum(row_checksum(id_col, vec_col)).alias("s")).first()
+        return {"n": n, "n_blocks": n_blocks, "dimension": r["d"] or 0, "bytes": 8 * (r["cells"] or 0), "checksum": str(int(r["s"] or 0))}
 
     found = open_or_build(rows, "vectors-" + "-".join([id_col, vec_col, *kept]), root, build)
     return VectorIndex(spark.read.parquet(found["data"]), found)
