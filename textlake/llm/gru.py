@@ -47,28 +47,45 @@ def cell(p: dict, h: np.ndarray, x: np.ndarray):
     return new + z * (h - new), (z, r, v, new)
 
 
-def _log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def _by_class(p: dict, ids: np.ndarray):
+    """Order of the ids by class, their classes in that order, and (class, from, to) of each class that occurs."""
+    k = ids // WIDTH
+    order = np.argsort(k.astype(np.int16 if len(p["cb"]) < 1 << 15 else np.int64), kind="stable")
+    k = k[order]
+    edge = np.searchsorted(k, np.arange(len(p["cb"]) + 1))
+    return order, k, [(c, edge[c], edge[c + 1]) for c in np.flatnonzero(np.diff(edge))]
+
+
+def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row maxima of ``a``, which becomes exp(a - maximum) in place, and the sums of its rows."""
+    top = a.max(axis=1)
+    a -= top[:, None]
+    np.exp(a, out=a)
+    return top, a @ np.ones(a.shape[1], a.dtype)
+
+
+def _inner(p: dict, hs: np.ndarray, k: np.ndarray, parts: list) -> np.ndarray:
+    """Scores of the ids within the class of each state; the states come by class."""
+    a = np.empty((len(hs), WIDTH), hs.dtype)
+    for c, i, j in parts:
+        np.matmul(hs[i:j], p["w"][c], out=a[i:j])
+    a += p["wb"][k]
+    return a
 
 
 def log_prob(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probability of each next id after each state."""
-    k = ids // WIDTH
+    order, k, parts = _by_class(p, ids)
+    h, row, out = h[order], np.arange(len(ids)), np.empty(len(ids), h.dtype)
     a = h @ p["c"]
     a += p["cb"]
-    a -= a.max(axis=1, keepdims=True)
-    out = a[np.arange(len(k)), k]
-    out -= np.log(np.exp(a, out=a).sum(axis=1))
-    order = np.argsort(k, kind="stable")
-    edge = np.searchsorted(k[order], np.arange(len(p["cb"]) + 1))
-    for c in np.flatnonzero(np.diff(edge)):
-        rows = order[edge[c]:edge[c + 1]]
-        a = h[rows] @ p["w"][c]
-        a += p["wb"][c]
-        a -= a.max(axis=1, keepdims=True)
-        own = a[np.arange(len(rows)), ids[rows] - c * WIDTH]
-        out[rows] += own - np.log(np.exp(a, out=a).sum(axis=1))
+    own = a[row, k]
+    top, total = _exp(a)
+    got = own - top - np.log(total)
+    a = _inner(p, h, k, parts)
+    own = a[row, ids[order] - k * WIDTH]
+    top, total = _exp(a)
+    out[order] = got + own - top - np.log(total)
     return out
 
 
@@ -85,55 +102,82 @@ class Trainer:
         """One update from a window: ``before`` and ``after`` are (steps, rows)
         of ids, ``live`` masks padding, a state is zero before ``start`` is read.
         Returns the last state, to carry on."""
-        p, steps, outputs = self.p, [], []
-        xs = p["x"][before] + p["b"]
-        states = [h]
-        for t in range(len(before)):
-            states[-1] = np.where((before[t] == start)[:, None], f4(0), states[-1])
-            h, keep = cell(p, states[-1], xs[t])
-            steps.append(keep), states.append(h), outputs.append(h)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        hs, ids, on = np.concatenate(outputs), after.ravel(), live.ravel()
-        scale = f4(1 / max(int(on.sum()), 1))
-        k = ids // WIDTH
-        d = np.exp(_log_softmax(hs @ p["c"] + p["cb"]))
-        d[np.arange(len(k)), k] -= 1
-        d *= scale
-        d[~on] = 0
-        g["c"], g["cb"] = hs.T @ d, d.sum(axis=0)
-        dh = d @ p["c"].T
-        rows_on = np.flatnonzero(on)
-        order = rows_on[np.argsort(k[rows_on], kind="stable")]
-        edge = np.searchsorted(k[order], np.arange(len(p["cb"]) + 1))
-        for c in np.flatnonzero(np.diff(edge)):
-            rows = order[edge[c]:edge[c + 1]]
-            d = np.exp(_log_softmax(hs[rows] @ p["w"][c] + p["wb"][c]))
-            d[np.arange(len(rows)), ids[rows] - c * WIDTH] -= 1
-            d *= scale
-            g["w"][c], g["wb"][c] = hs[rows].T @ d, d.sum(axis=0)
-            dh[rows] += d @ p["w"][c].T
-        dh = dh.reshape(len(before), -1, HIDDEN)
-        carry, dx = np.zeros_like(h), np.zeros_like(xs)
-        uz, un = p["u"][:, :2 * HIDDEN], p["u"][:, 2 * HIDDEN:]
-        for t in range(len(before) - 1, -1, -1):
-            z, r, v, new = steps[t]
-            prev = states[t]
-            d = carry + dh[t]
-            dn = d * (1 - z) * (1 - new * new)
-            dz = d * (prev - new) * z * (1 - z)
-            dr = dn * v * r * (1 - r)
-            dzr, dv = np.concatenate((dz, dr), axis=1), dn * r
-            dx[t] = np.concatenate((dzr, dn), axis=1)
-            g["u"][:, :2 * HIDDEN] += prev.T @ dzr
-            g["u"][:, 2 * HIDDEN:] += prev.T @ dv
-            carry = np.where((before[t] == start)[:, None], f4(0), d * z + dzr @ uz.T + dv @ un.T)
-        flat, idx = dx.reshape(-1, 3 * HIDDEN), before.ravel()
+        p, n, rows = self.p, len(before), before.shape[1]
+        # Within a window states and gates lie as (step, unit, row), so that every gate is one block.
+        u = np.ascontiguousarray(p["u"].T)
+        xs = np.ascontiguousarray((p["x"][before] + p["b"]).transpose(0, 2, 1))
+        keep = (before != start).astype(f4)
+        prev, hs, v, new = (np.empty((n, HIDDEN, rows), f4) for _ in range(4))
+        gates, state = np.empty((n, 2 * HIDDEN, rows), f4), np.ascontiguousarray(h.T, f4)
+        for t in range(n):
+            np.multiply(state, keep[t], out=prev[t])
+            a = u @ prev[t]
+            g, x = gates[t], xs[t]
+            np.add(a[:2 * HIDDEN], x[:2 * HIDDEN], out=g)
+            g *= f4(0.5)
+            np.tanh(g, out=g)
+            g *= f4(0.5)
+            g += f4(0.5)
+            v[t] = a[2 * HIDDEN:]
+            m = g[HIDDEN:] * v[t]
+            m += x[2 * HIDDEN:]
+            np.tanh(m, out=new[t])
+            state = hs[t]
+            np.subtract(prev[t], new[t], out=state)
+            state *= g[:HIDDEN]
+            state += new[t]
+        g, dh = self._outputs(np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, HIDDEN), after.ravel(), live.ravel())
+        dh = np.ascontiguousarray(dh.reshape(n, rows, HIDDEN).transpose(0, 2, 1))
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        by_new, by_z = (1 - z) * (1 - new * new), (prev - new) * z * (1 - z)
+        by_r, carry = v * r * (1 - r), np.zeros((HIDDEN, rows), f4)
+        # What reaches the gates: of the update gate, the reset gate, and the new state before and after the reset gate.
+        dx, du = np.empty((n, 3 * HIDDEN, rows), f4), np.empty((n, 3 * HIDDEN, rows), f4)
+        for t in range(n - 1, -1, -1):
+            d = dh[t]
+            d += carry
+            a, x = du[t], dx[t]
+            dn = x[2 * HIDDEN:]
+            np.multiply(d, by_new[t], out=dn)
+            np.multiply(d, by_z[t], out=x[:HIDDEN])
+            np.multiply(dn, by_r[t], out=x[HIDDEN:2 * HIDDEN])
+            a[:2 * HIDDEN] = x[:2 * HIDDEN]
+            np.multiply(dn, r[t], out=a[2 * HIDDEN:])
+            carry = p["u"] @ a
+            d *= z[t]
+            carry += d
+            carry *= keep[t]
+        g["u"] = np.matmul(prev, du.transpose(0, 2, 1)).sum(axis=0)
+        flat, idx = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN), before.ravel()
         g["b"] = flat.sum(axis=0)
         order = np.argsort(idx, kind="stable")
         first = np.flatnonzero(np.diff(idx[order], prepend=-1))
+        g["x"] = np.zeros_like(p["x"])
         g["x"][idx[order][first]] = np.add.reduceat(flat[order], first, axis=0)
         self._step(g)
-        return h
+        return np.ascontiguousarray(state.T)
+
+    def _outputs(self, hs: np.ndarray, ids: np.ndarray, on: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Gradients of the output weights and of the states ``hs``, for the mean loss over the ids that are ``on``."""
+        p, dh = self.p, np.zeros_like(hs)
+        at = np.flatnonzero(on)
+        order, k, parts = _by_class(p, ids[at])
+        at = at[order]
+        hs, own, row, scale = hs[at], ids[at] - k * WIDTH, np.arange(len(at)), f4(1 / max(len(at), 1))
+        d = hs @ p["c"]
+        d += p["cb"]
+        d *= (scale / _exp(d)[1])[:, None]
+        d[row, k] -= scale
+        g = {"c": hs.T @ d, "cb": d.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+        back = d @ p["c"].T
+        d = _inner(p, hs, k, parts)
+        d *= (scale / _exp(d)[1])[:, None]
+        d[row, own] -= scale
+        for c, i, j in parts:
+            g["w"][c], g["wb"][c] = hs[i:j].T @ d[i:j], d[i:j].sum(axis=0)
+            back[i:j] += d[i:j] @ p["w"][c].T
+        dh[at] = back
+        return g, dh
 
     def _step(self, g: dict) -> None:
         self.t += 1
