@@ -1,12 +1,15 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Every document becomes the set of its distinct word 5-grams (the whole
-   sequence if it has fewer words). Documents of equal sets are one class.
+   sequence if it has fewer words). Documents of equal sets are one class;
+   classes are numbered, and links and components are those of classes.
 2. 128 minima per class: 32 bands of 4 full minima give candidate buckets;
    the low 4 bits of all minima are packed into 8 longs.
-3. In each bucket the member with the smallest id is paired with the others.
-   A pair goes on if its similarity estimate, corrected for chance matches of
-   the low bits, is not 5 standard deviations below the threshold.
+3. In each bucket the member with the smallest number is paired with the
+   others. A pair goes on if the sizes of its sets allow the threshold, and its
+   similarity estimate, corrected for chance matches of the low bits, is not 5
+   standard deviations below it. Sets of fewer than SMALL shingles go on
+   without an estimate, as their minima are not spread well enough for one.
 4. Pairs are confirmed on the full sets, in groups of bounded size.
 5. Links give components. In buckets that still hold several components, the
    pairs of different components are estimated and confirmed block by block
@@ -33,6 +36,8 @@ BANDS, LANES = PERMS // ROWS, PERMS * BITS // 64
 #: Rows that one task confirms against one document at a time, and shingles of a block of a bucket.
 GROUP = 256
 BLOCK = 1 << 21
+#: Pairs with a smaller set than this are confirmed whatever their estimate.
+SMALL = 64
 _SIG = [f"s{i}" for i in range(LANES)]
 
 
@@ -58,9 +63,13 @@ def _minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def _signer():
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        *((c, pa.int64()) for c in _SIG), ("bands", pa.list_(pa.int64()))])
+def _class_key(s: np.ndarray):
+    """128 bits that tell sets apart, together with their size."""
+    return mix(s + U(7)).sum(dtype=U), np.bitwise_xor.reduce(mix(s * U(3)))
+
+
+def _signer(carried: list[str]):
+    names = [*carried, "n_shingles", "k1", "k2", *_SIG, "bands"]
 
     def sign(batches):
         hasher, rng = Words(SPACE), np.random.default_rng(128)
@@ -70,7 +79,7 @@ def _signer():
         mult = mix(np.arange(1, ROWS + 1, dtype=U))
         salt = mix(np.arange(1000, 1000 + BANDS, dtype=U))
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
+            buf, offs = text_buffer(batch.column("text"))
             for i, j in row_blocks(offs, 4 << 20):
                 n = np.zeros(j - i, np.int64)
                 keys, sig, bands = np.zeros((j - i, 2), U), np.zeros((j - i, LANES), U), []
@@ -79,14 +88,14 @@ def _signer():
                     if not len(s):
                         bands.append(None)
                         continue
-                    keys[r] = mix(s + U(7)).sum(dtype=U), np.bitwise_xor.reduce(mix(s * U(3)))
+                    keys[r] = _class_key(s)
                     m = _minima((s >> U(32)).astype(np.uint32), a, b).astype(U)
                     sig[r] = np.bitwise_or.reduce(((m & U((1 << BITS) - 1)) << lane).reshape(LANES, -1), axis=1)
                     bands.append(mix((m.reshape(BANDS, ROWS) * mult).sum(axis=1, dtype=U) + salt).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(keys[:, c].copy().view(np.int64)) for c in (0, 1)),
+                    [*(batch.column(c).slice(i, j - i) for c in carried), pa.array(n), *(pa.array(keys[:, c].copy().view(np.int64)) for c in (0, 1)),
                      *(pa.array(sig[:, c].copy().view(np.int64)) for c in range(LANES)),
-                     pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+                     pa.array(bands, pa.list_(pa.int64()))], names=names)
     return sign
 
 
@@ -112,12 +121,22 @@ def _set_rows():
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def rows(batches):
-        hasher = Words(SPACE)
+        """Repeated rows come one after the other, since the rows were joined by what they have in common; one is enough."""
+        hasher, last = Words(SPACE), -1
         for batch in batches:
-            buf, offs = text_buffer(batch.column(1))
+            if not batch.num_rows:
+                continue
+            ids = batch.column("id").to_numpy()
+            batch = batch.filter(pa.array(np.diff(ids, prepend=last) != 0))
+            last = ids[-1]
+            buf, offs = text_buffer(batch.column("text"))
+            ids, k1, k2 = (batch.column(c).to_numpy().view(U) for c in ("id", "k1", "k2"))
             for i, j in row_blocks(offs, 4 << 20):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in _sets(hasher, buf, offs[i:j + 1])], pa.binary())], schema=schema)
+                out, sets = [], []
+                for r, s in enumerate(_sets(hasher, buf, offs[i:j + 1]), i):
+                    if len(s) and _class_key(s) == (k1[r], k2[r]):  # not another text of the same hash
+                        out.append(ids[r]), sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(out, U).view(np.int64)), pa.array(sets, pa.binary())], schema=schema)
     return rows
 
 
@@ -149,20 +168,21 @@ def _confirmer(percent: int):
     return confirm
 
 
-def _shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents with these ids."""
-    used = docs.join(ids.hint("merge"), "id", "left_semi").select("id", "text")
-    return used.mapInArrow(_set_rows(), "id long, shingles binary")
+def _shingle_sets(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, shingles) of the classes with these numbers, from a text of each."""
+    wanted = reps.select("id", "doc", "text_hash", "k1", "k2").join(ids.hint("merge"), "id", "left_semi")
+    used = docs.select(F.col("id").alias("doc"), "text_hash", "text").join(wanted.hint("merge"), ["doc", "text_hash"])
+    return used.select("id", "k1", "k2", "text").mapInArrow(_set_rows(), "id long, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full shingle sets meet the threshold.
-    The larger id ``v`` travels with its set; ``u`` comes once per GROUP pairs."""
+    The larger number ``v`` travels with its set; ``u`` comes once per GROUP pairs."""
     size = stage(pairs.groupBy("u").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "pair-counts")
     pairs = pairs.join(size.hint("merge"), "u").withColumn("part", F.expr("pmod(xxhash64(v), parts)"))
     need = stage(pairs.select("u", "v", "part").union(
         size.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))), "confirm")
-    sets = _shingle_sets(need.select(F.col("v").alias("id")).distinct(), docs)
+    sets = _shingle_sets(need.select(F.col("v").alias("id")).distinct(), reps, docs)
     rows = need.join(sets.withColumnRenamed("id", "v").hint("merge"), "v")
     rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.expr("u <> v"))
     return rows.select("u", "v", "shingles").mapInArrow(_confirmer(percent), "u long, v long")
@@ -180,6 +200,7 @@ def _block_task(cut: float, percent: int, confirm: bool):
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
         first, second = (np.flatnonzero((t.block == k).to_numpy()) for k in key[1:])
         ids, comp = t.id.to_numpy(), t.component.to_numpy().copy()
+        size = t.n_shingles.to_numpy()
         sig = np.stack([t[c].to_numpy() for c in _SIG]).view(U)
         if confirm:
             bands, sets = np.stack(t.bands.to_numpy()), [np.frombuffer(x, U) for x in t.shingles]
@@ -191,7 +212,9 @@ def _block_task(cut: float, percent: int, confirm: bool):
                 d |= d >> U(1)
                 d |= d >> U(2)
                 same -= np.bitwise_count(d & ones)
-            ok = ((same / PERMS - chance) / (1 - chance) >= cut) & (comp[second] != comp[r])
+            other = size[second]
+            ok = ((same / PERMS - chance) / (1 - chance) >= cut) | (np.minimum(other, size[r]) < SMALL)
+            ok &= (comp[second] != comp[r]) & (100 * np.minimum(other, size[r]) >= percent * np.maximum(other, size[r]))
             hit = second[ok & (second > r)] if key[1] == key[2] else second[ok]
             if not confirm:
                 likely[hit], likely[r] = True, likely[r] or len(hit) > 0
@@ -208,40 +231,30 @@ def _block_task(cut: float, percent: int, confirm: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept), one row per input row.
-
-    Rows are linked if 100 * intersection >= percent * union of their sets;
-    ``component_id`` is the smallest id reachable, ``kept`` tells that it is
-    the row's own. The ids must be integers. Null and wordless texts have no
-    shingles and are linked with nothing. A row without an id is in no
-    component: its ``component_id`` is null and ``kept`` is true. Repeated ids
-    are looked at row by row. Other columns of ``docs`` are not read.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig_cols = ", ".join(f"{c} long" for c in _SIG)
-    signed = stage(docs.mapInArrow(_signer(), f"id long, n_shingles long, k1 long, k2 long, {sig_cols}, bands array<long>"), "signatures")
-
-    real = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = stage(real.groupBy("k1", "k2", "n_shingles").agg(F.min("id").alias("cid")), "classes")
-    # A class is represented by the row of its smallest id (any of them, if that id repeats).
-    reps = real.join(classes.hint("merge"), (real.id == classes.cid) & (real.k1 == classes.k1) & (real.k2 == classes.k2)
-                     & (real.n_shingles == classes.n_shingles), "left_semi")
-    reps = stage(reps.dropDuplicates(["id", "k1", "k2"]).select("id", "n_shingles", *_SIG, "bands"), "representatives")
+def _components(signed: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(k1, k2, n_shingles, component, first_id) of every class in ``signed``;
+    ``first_id`` is the smallest id in the component."""
+    key = ["k1", "k2", "n_shingles"]
+    one = signed.groupBy(*key).agg(F.min(F.struct(F.col("id").alias("doc"), "text_hash")).alias("first")).select(*key, "first.*")
+    classes = stage(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    reps = signed.withColumnRenamed("id", "doc").join(classes.hint("merge"), [*key, "doc", "text_hash"])
+    reps = reps.select(F.col("cid").alias("id"), "doc", "text_hash", *key, *_SIG, "bands")
+    reps = stage(reps.dropDuplicates(["id"]), "representatives")  # of repeated rows, whose sets are equal
     members = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
     buckets = stage(members.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = stage(members.join(buckets.hint("merge"), "band"), "shared")
 
-    lanes = reps.select("id", *_SIG)
+    lanes = reps.select("id", "n_shingles", *_SIG)
     star = shared.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
     cut = _cut(percent / 100)
 
     def likely(pairs):
-        p = pairs.join(lanes.select(F.col("id").alias("u"), F.struct(*_SIG).alias("x")).hint("merge"), "u")
-        p = p.join(lanes.select(F.col("id").alias("v"), F.struct(*_SIG).alias("y")).hint("merge"), "v")
-        return p.where(_estimate("x", "y") >= cut).select("u", "v")
+        p = pairs.join(lanes.select(F.col("id").alias("u"), F.struct("n_shingles", *_SIG).alias("x")).hint("merge"), "u")
+        p = p.join(lanes.select(F.col("id").alias("v"), F.struct("n_shingles", *_SIG).alias("y")).hint("merge"), "v")
+        small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+        return p.where((100 * small >= percent * large) & ((small < SMALL) | (_estimate("x", "y") >= cut))).select("u", "v")
 
-    links = stage(_confirmed(stage(likely(star), "likely"), docs, percent), "confirmed")
+    links = stage(_confirmed(stage(likely(star), "likely"), reps, docs, percent), "confirmed")
     found = stage(connected_components(links), "components")
 
     # Buckets that hold members of several components besides the pivot.
@@ -254,16 +267,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "component", "block")
     rest = rest.join(lanes.hint("merge"), "id").groupBy("band", "lo", "hi")
     rest = stage(rest.applyInPandas(_block_task(cut, percent, False), "band long, lo long, hi long, id long, component long, block long"), "rest-likely")
-    rest = rest.join(_shingle_sets(rest.select("id").distinct(), docs).hint("merge"), "id").join(reps.drop("n_shingles").hint("merge"), "id")
+    sets = _shingle_sets(rest.select("id").distinct(), reps, docs)
+    rest = rest.join(sets.hint("merge"), "id").join(reps.select("id", "n_shingles", *_SIG, "bands").hint("merge"), "id")
     more = stage(rest.groupBy("band", "lo", "hi").applyInPandas(_block_task(cut, percent, True), "u long, v long"), "rest-confirmed")
     found = stage(connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)), "all-components")
 
     named = classes.join(found.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
-    named = stage(named.select("k1", "k2", "n_shingles", F.coalesce("component", "cid").alias("component")), "named")
-    out = signed.select("id", "n_shingles", "k1", "k2").join(named.hint("merge"), ["k1", "k2", "n_shingles"], "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    named = stage(named.select("k1", "k2", "n_shingles", F.coalesce("component", "cid").alias("component"), "doc"), "named")
+    first = named.groupBy("component").agg(F.min("doc").alias("first_id"))
+    return named.drop("doc").join(first.hint("merge"), "component")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, key_col: str | None = None) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept), one row per input row.
+
+    Rows are linked if 100 * intersection >= percent * union of their sets;
+    ``component_id`` is the smallest id reachable, ``kept`` tells that it is
+    the row's own. The ids must be integers. Null and wordless texts have no
+    shingles and are linked with nothing. A row without an id is in no
+    component: its ``component_id`` is null and ``kept`` is true. Rows of one
+    id are looked at one by one: different texts of an id are linked only if
+    they are alike. Other columns of ``docs`` are not read.
+
+    With ``key_col`` two columns follow: that column of the row as ``row_key``,
+    and ``component``, a number of the row's component (null where it has none).
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       *([] if key_col is None else [F.col(key_col).alias("row_key")])).withColumn("text_hash", F.xxhash64("text"))
+    carried = [f for f in docs.schema if f.name != "text"]
+    shape = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in carried) + "n_shingles long, k1 long, k2 long, "
+    shape += "".join(f"{c} long, " for c in _SIG) + "bands array<long>"
+    signed = stage(docs.mapInArrow(_signer([f.name for f in carried]), shape), "signatures")
+
+    named = _components(signed.where("n_shingles > 0 AND id IS NOT NULL"), docs.where("id IS NOT NULL"), percent)
+    own = signed.select("id", "n_shingles", "k1", "k2", *([] if key_col is None else ["row_key"]))
+    out = own.join(named.hint("merge"), ["k1", "k2", "n_shingles"], "left")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce("first_id", "id"))
+    more = [] if key_col is None else ["row_key", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")]
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"),
-                      F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"), *more)
 
 
 #: The same on ``documents``, by a join on all shingles and closure of the links.
