@@ -85,8 +85,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     Without a ``budget`` (in tokens) the least is taken that uses every document
     once. A null source counts as the source ''. Documents of sources without
-    tokens come once, with weight 0. Null ids share a block, rows that share an
-    id come together. Other columns are not read; an empty table gives no rows.
+    tokens come once, with weight 0. A row's block follows from its id, and from
+    the row's place where the id is null or repeated, so that no id fills a
+    block. Other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
                        count_tokens(F.col(text_col)).alias("tokens"))
@@ -110,9 +111,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     quota = quota.withColumn("rest", F.when(F.col("total") > 0, F.col("quota") - F.col("whole") * F.col("total")).otherwise(0))
     quota = stage(quota.withColumn("blocks", F.greatest(F.ceil(F.col("total") / block), F.lit(1))), "quotas")
 
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    dealt = rows.join(quota.select("source", "blocks", "whole", "rest", "weight").hint("merge"), "source")
-    dealt = stage(dealt.withColumn("block", number % F.col("blocks")).drop("blocks"), "dealt")
+    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("repeated"))
+    rows = rows.join(stage(repeated, "repeated-ids").hint("merge"), "id", "left")
+    place = F.when(F.col("id").isNull() | F.col("repeated"), F.concat(F.lit("#"), F.col("rid").cast("string"))).otherwise(F.lit(""))
+    number = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), place).cast("binary")), 1, 8), 16, 10).cast("long")
+    dealt = rows.withColumn("number", number).drop("repeated").join(quota.select("source", "blocks", "whole", "rest", "weight").hint("merge"), "source")
+    dealt = stage(dealt.withColumn("block", F.col("number") % F.col("blocks")).drop("blocks", "number"), "dealt")
     blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "whole"))).withColumn("key", _order("source", "epoch", "block"))
     line = Window.partitionBy("source", "epoch").orderBy("key", "block")
@@ -131,7 +135,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 
 def SQL(entropy: float = ENTROPY, repeats: float = REPEATS, block: int = BLOCK) -> str:
-    """The same on ``documents``, for whole bisection steps instead of sections."""
+    """The same on ``documents`` with distinct ids, for whole bisection steps instead of sections."""
     h = "(ln(list_sum(list_transform(ps, lambda p: pow(p, {a})))) - {a} * list_sum(list_transform(ps, lambda p: pow(p, {a}) * ln(p))) / list_sum(list_transform(ps, lambda p: pow(p, {a}))))"
     mid = "((lo + hi) / 2)"
     key = lambda *c: f"md5('{SEED}' || " + " || ".join(f"'|' || coalesce({x}::VARCHAR, '')" for x in c) + ")"
