@@ -74,10 +74,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str | None, int]]) -> dict:
     """Latent space and labelled vectors of (text, label) rows."""
-    if not rows:
-        return {"space": np.zeros((FORMS + WORDS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0), "prior": 0.5}
     feats = Features()
-    x = np.concatenate([feats.rows(*text_buffer(pa.array([t or "" for t, _ in rows[i:i + 256]]))) for i in range(0, len(rows), 256)])
+    x = [feats.rows(*text_buffer(pa.array([t or "" for t, _ in rows[i:i + 256]]))) for i in range(0, len(rows), 256)]
+    return fit_vectors(np.concatenate([np.zeros((0, FORMS + WORDS), np.float32), *x]), [v for _, v in rows])
+
+
+def fit_vectors(x: np.ndarray, values: list[int]) -> dict:
+    """Latent space and labelled vectors of feature rows and their labels."""
+    if not len(x):
+        return {"space": np.zeros((FORMS + WORDS, 1), np.float32), "vectors": np.zeros((0, 1), np.float32), "labels": np.zeros(0), "prior": 0.5}
     idf = np.log1p(len(x) / (1.0 + (x > 0).sum(axis=0)))
     weight = (idf * np.where(np.arange(x.shape[1]) < FORMS, FORM_WEIGHT, WORD_WEIGHT)).astype(np.float32)
     x *= weight
@@ -87,7 +92,7 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
         y = x @ (x.T @ np.linalg.qr(y)[0])
     q = np.linalg.qr(y)[0]
     space = np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T * weight[:, None]
-    labels = np.array([v for _, v in rows], np.float64)
+    labels = np.array(values, np.float64)
     plain = x / np.maximum(weight, 1e-12)
     return {"space": space.astype(np.float32), "vectors": _unit(plain @ space).astype(np.float32), "labels": labels, "prior": float(labels.mean())}
 
@@ -111,14 +116,29 @@ def vote(model: dict, x: np.ndarray) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """Fit on SAMPLE labelled documents, those of smallest id hash, outside the
-    held-out fifth. Null labels are left out; a repeated id counts once, by its largest label."""
+    held-out fifth. Null labels are left out; a repeated id counts once, by its
+    largest label and its text of the smallest hash. The driver receives
+    features, not texts: (FORMS + WORDS) floats a document."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col), 0))
     known = known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("label"))
     ids = docs.select(F.col(id_col).alias("k")).join(known, "k").dropDuplicates(["k"])
     ids = ids.orderBy(F.xxhash64("k"), "k").limit(SAMPLE).toPandas()
-    texts = docs.where(F.col(id_col).isin(ids["k"].tolist())).select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).dropDuplicates(["k"])
-    text = dict(texts.toPandas().itertuples(index=False, name=None))
-    return fit([(text.get(k), int(v)) for k, v in ids.itertuples(index=False, name=None)])
+    rows = docs.where(F.col(id_col).isin(ids["k"].tolist())).select(F.col(id_col).alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
+    def features(batches):
+        feats = Features()
+        for batch in batches:
+            buf, offs = text_buffer(batch.column("text"))
+            for i, j in row_blocks(offs, 2 << 20):
+                for a in range(i, j, 256):
+                    b = min(j, a + 256)
+                    x = feats.rows(buf, offs[a:b + 1])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("k", "h")), pa.array([r.tobytes() for r in x], pa.binary())], names=["k", "h", "x"])
+
+    rows = rows.mapInArrow(features, f"k {rows.schema['k'].dataType.simpleString()}, h long, x binary")
+    found = dict(rows.groupBy("k").agg(F.min_by("x", "h").alias("x")).toPandas().itertuples(index=False, name=None))
+    x = [np.frombuffer(found[k], np.float32) for k in ids["k"]]
+    return fit_vectors(np.stack(x) if x else np.zeros((0, FORMS + WORDS), np.float32), [int(v) for v in ids["label"]])
 
 
 def score_quality(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
