@@ -23,8 +23,10 @@ KEY, ID, TEXT, SOURCE = "row_key", "in_doc_id", "in_text", "in_source"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row key, its own columns under a prefix, so that no name can clash."""
-    return docs.toDF(*(f"in_{c}" for c in docs.columns)).withColumn(KEY, F.xxhash64(ID, TEXT))
+    """``docs`` with a row key of 128 bits, its own columns under a prefix, so that no name can clash."""
+    own = docs.toDF(*(f"in_{c}" for c in docs.columns))
+    parts = [F.coalesce(F.col(ID).cast("string"), F.lit("-")), F.when(F.col(TEXT).isNull(), F.lit("|")).otherwise(F.lit("||")), F.coalesce(F.col(TEXT), F.lit(""))]
+    return own.withColumn(KEY, F.md5(F.concat(*parts).cast("binary")))
 
 
 def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -39,11 +41,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id.
-    Identical rows are one document; an id stays if any of its rows does."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(ID)).agg(F.max("kept").alias("kept")).where("NOT kept").select(ID)
-    rows = _keyed(docs).join(stage(gone, "copies"), ID, "left_anti")
+    """One document of each group of near copies: of the smallest id, and of
+    several texts of that id the one of the smallest row key. Identical rows are
+    one document; rows without an id are compared with those only."""
+    found = near_duplicates(_keyed(docs), ID, TEXT, key_col=KEY).where("component IS NOT NULL")
+    found = stage(found.select("component", F.struct(F.col(ID).alias("id"), "row_key").alias("row")), "copies")
+    first = found.groupBy("component").agg(F.min("row").alias("first"))
+    gone = found.select("row.row_key").distinct().join(first.select("first.row_key").hint("merge"), "row_key", "left_anti")
+    rows = _keyed(docs).join(stage(gone, "gone"), KEY, "left_anti")
     again = stage(rows.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "repeated-rows")
     return _restored(rows.join(again, KEY, "left_anti").unionByName(rows.join(again, KEY, "left_semi").dropDuplicates([KEY])), docs)
 
