@@ -112,8 +112,8 @@ def _split_sql_cte():
         f"coalesce(nullif((SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM sp WHERE split = 'train'), 0), 1.0), 6) AS {c}"
         for c in _FEATS) + " FROM sp", "features", extra=[_split_sql_cte()]))
 def scaled_features(spark, sf):
-    f = FE.text_features(_clean(spark, sf)).withColumn("target_class", L.target_class("rating"))
-    f = S.train_test_split(f, "target_class")
+    f = S.train_test_split(_clean(spark, sf).withColumn("target_class", L.target_class("rating")), "target_class")
+    f = staged(FE.text_features(f).select("review_id", "split", *_FEATS))  # read by the statistics and the result
     scaled = FE.standard_scale(f, _FEATS, fit_on=f.where(F.col("split") == "train"))
     return scaled.select("review_id", "split", *_FEATS)
 
