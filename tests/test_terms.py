@@ -42,3 +42,16 @@ def test_frame_shuffles_texts_not_terms(spark, monkeypatch):
     frame = M.supervised_frame(clean)
     assert "terms" not in seen["df"].columns and {"terms", "ttr", "label", "w", "split"} <= set(frame.columns)
     assert frame.first()["terms"] == ["good", "thing", "lovely", "gift", "good thing", "thing lovely", "lovely gift"] and "text" not in frame.columns
+
+
+def test_weights_do_not_deal_rows_out_by_class(spark):
+    """Fails before: rows met their class's weight in one task a class."""
+    from textlake.operators import models as M
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.with_balanced_weights(spark.createDataFrame([(i, i % 2) for i in range(8)] + [(9, None)], "id long, label int"))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString()
+        assert sorted((r["id"], round(r["w"], 6)) for r in got.collect()) == [(i, 0.75) for i in range(8)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
