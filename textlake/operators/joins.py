@@ -43,14 +43,15 @@ def enrich_category(reviews: DataFrame, products: DataFrame) -> DataFrame:
             .drop("categories"))
 
 
-def attach_timestamp(sample: DataFrame, raw: DataFrame, fanout: bool = False) -> DataFrame:
+def attach_timestamp(sample: DataFrame, raw: DataFrame, fanout: bool = False, key: str = "text") -> DataFrame:
     """Attach the raw timestamp.
 
     Default joins on ``review_id`` (one match). ``fanout=True`` reproduces the
-    text join, where duplicated raw texts multiply the row.
+    text join, where duplicated raw texts multiply the row; ``key`` may be a
+    digest of the text that both sides have.
     """
     if fanout:
-        return fan_out_join(sample.drop("timestamp"), raw.select("text", "timestamp"), "text")
+        return fan_out_join(sample.drop("timestamp"), raw.select(key, "timestamp"), key)
     return sample.drop("timestamp").join(raw.select("review_id", "timestamp"), "review_id", "left")
 
 
@@ -86,9 +87,9 @@ def fan_out_parts(left: DataFrame, right: DataFrame, key: str, part_rows: int):
 def fan_out_join(left: DataFrame, right: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Left join on ``key`` whose matches multiply. Keys hot on a side (found by a
     sketch) are joined by cells, so that a key with a third of both sides is
-    spread over tasks; the others are joined plainly."""
+    spread over tasks; the others are joined plainly, all by the key's digest."""
     hot, grid_l, grid_r, cold_l, cold_r = fan_out_parts(left, right, key, part_rows)
-    out = cold_l.drop("_d").join(cold_r.drop("_d"), key, "left")
+    out = cold_l.join(cold_r.drop(key), "_d", "left").select(key, *[c for c in left.columns if c != key], *[c for c in right.columns if c != key])
     if hot is None:
         return out
     cells = grid_l.join(grid_r.drop(key), ["_d", "_i", "_j"]).drop("_d", "_i", "_j")  # equal SHA-256, equal key

@@ -8,6 +8,7 @@ from textlake.operators import clean as C
 from textlake.operators import joins as J
 from textlake.plans.registry import register
 from textlake.plans.sqlviews import with_ctes
+from textlake.session import staged
 from textlake.sources import views as V
 
 
@@ -55,8 +56,11 @@ def attach_timestamp(spark, sf):
     "SELECT c.review_id, r.\"timestamp\" FROM clean c LEFT JOIN reviews r ON r.text = c.text",
     "clean", "reviews"))
 def attach_timestamp_fanout(spark, sf):
-    c = C.clean_reviews(V.reviews(spark, sf), V.products(spark, sf)).select("review_id", "text")
-    return J.attach_timestamp(c, V.reviews(spark, sf), fanout=True).select("review_id", "timestamp")
+    r = V.reviews(spark, sf, text_key=True)
+    c = C.clean_reviews(r, V.products(spark, sf), extra=("text_key",)).select("review_id", "text_key")
+    # both sides are read for their hot keys and for the join; without the texts they are small
+    c, raw = staged(c), staged(r.select("text_key", "timestamp"))
+    return J.attach_timestamp(c, raw, fanout=True, key="text_key").select("review_id", "timestamp")
 
 
 @register("products_in_reviews", "join", with_ctes(
