@@ -48,3 +48,34 @@ def test_dense_nodes_read_drawn_features(monkeypatch):
     monkeypatch.setattr(FO, "_ranges", None)
     pd.testing.assert_frame_equal(grown(12), sparse)
     assert len(sparse) > 20
+
+
+def test_rows_are_cleaned_and_encoded_once(spark, tmp_path, monkeypatch):
+    """Fails before: cleaning ran for the encoder and for the features, and every reader encoded all rows again."""
+    import pytest
+
+    from textlake.operators import encode as EN
+    from textlake.operators import models as M
+    from textlake.plans import q_ml
+
+    docs = [(i, f"Word{i % 7} word{i % 5} good bad fine text number {i}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "2024-01-01 00:00:00")], "event_id long, ts string").write.parquet(f"{tmp_path}/events.parquet")
+    parts = [(i, "n", "b", "t", 1.0) for i in range(20)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+
+    def classifier(train):
+        assert not _plan(train, "MapInArrow")
+        raise KeyError("seen")
+
+    monkeypatch.setattr(M, "text_classifier", lambda train: M.Pipeline(stages=[M.TextEncoder(dim=8), M.Normalizer(inputCol="emb_vec", outputCol="features"), M.logreg(max_iter=1)(train)]))
+    monkeypatch.setattr(M, "embedding_classifier", classifier)
+    with pytest.raises(KeyError, match="seen"):
+        q_ml.text_model_roundtrip(spark, str(tmp_path))
+
+    def encode(rows):
+        assert not _plan(rows, "Join") and not _plan(rows, "Aggregate")
+        return EN.hash_embed(rows, "review_id", "text")
+
+    frame = M.embedding_frame(q_ml.C.clean_reviews(q_ml.V.reviews(spark, str(tmp_path)), q_ml.V.products(spark, str(tmp_path))), encode)
+    assert frame.count() > 10
