@@ -121,3 +121,24 @@ def test_svd_projection_and_kmeans_starts(spark):
     assert [r["singular_value"] for r in CL.svd_values(pts, 2).orderBy("component").collect()] == [round(float(c), 6) for c in s[:2]]
     model, costs = CL.kmeans_best(pts, 5, starts=4)
     assert len(costs) == 4 and model.summary.trainingCost == min(costs)
+
+
+def test_principal_axes_from_the_sparse_gramian(spark, monkeypatch):
+    """C3 against numpy. Fails before: MLlib's fit expanded every sparse row to all features."""
+    import numpy as np
+    from pyspark.ml import feature
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    from textlake.operators import clusters as CL
+
+    monkeypatch.setattr(feature.PCA, "fit", lambda *a: (_ for _ in ()).throw(AssertionError("rows are expanded")))
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((50, 9)) < 0.4, rng.normal(1, 1, (50, 9)) * np.arange(1, 10), 0.0)
+    rows = [(i // 2 if i > 1 else None, SparseVector(9, [(int(j), float(v[j])) for j in np.flatnonzero(v)]) if i % 3 else Vectors.dense(v)) for i, v in enumerate(x)]
+    out = CL.pca_project(spark.createDataFrame(rows, ["review_id", "features"]), 2)
+    axes = np.linalg.svd(np.cov(x.T))[0][:, :2]
+    want = sorted(np.round(np.abs(x @ axes), 6).tolist())
+    assert out.columns == ["review_id", "pc1", "pc2"]
+    got = out.collect()
+    assert np.allclose(sorted([abs(r.pc1), abs(r.pc2)] for r in got), want, atol=2e-6)
+    assert sum(r.review_id is None for r in got) == 2 and len(got) == 50

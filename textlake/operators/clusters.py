@@ -1,6 +1,6 @@
 """Clustering, projections, topics.
 
-KMeans / PCA / LDA / LSH are MLlib estimators. Davies-Bouldin and
+KMeans / LDA / LSH are MLlib estimators, the Gramian is that of MLlib's row matrix. Davies-Bouldin and
 Calinski-Harabasz are computed from per-cluster aggregates joined with the
 (k rows) centroid table -- no pairwise distances between points.
 """
@@ -10,8 +10,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans, LDA
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import BucketedRandomProjectionLSH, PCA
+from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -71,10 +72,17 @@ def cluster_top_terms(weights: DataFrame, assignments: DataFrame, n: int = 10, i
 
 
 def pca_project(points: DataFrame, k: int = 2, id_col: str = "review_id") -> DataFrame:
-    """C3"""
-    m = PCA(k=k, inputCol="features", outputCol="pc").fit(points)
-    out = m.transform(points).select(id_col, vector_to_array("pc").alias("pc"))
-    return out.select(id_col, *[F.round(F.col("pc")[i], 6).alias(f"pc{i + 1}") for i in range(k)])
+    """The rows, as they are, on the first axes of their covariance. That is made
+    of the rows' Gramian, summed over their non-zero features only, and their means;
+    MLlib's fit writes every row out to all features."""
+    n, mean = points.select(Summarizer.metrics("count", "mean").summary(F.col("features")).alias("s")).select("s.count", "s.mean").first()
+    if n < 2:
+        raise ValueError(f"principal components need two rows, not {n}")
+    mean = mean.toArray()
+    gram = row_matrix(points).computeGramianMatrix().toArray()
+    axes = np.linalg.svd((gram - n * np.outer(mean, mean)) / (n - 1))[0][:, :k]
+    out = svd_project(points, axes, id_col)
+    return out.select(id_col, *[F.round(f"s{i + 1}", 6).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def row_matrix(points: DataFrame):
