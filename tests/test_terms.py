@@ -55,3 +55,22 @@ def test_weights_do_not_deal_rows_out_by_class(spark):
         assert sorted((r["id"], round(r["w"], 6)) for r in got.collect()) == [(i, 0.75) for i in range(8)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shared_vectors_start_from_counted_terms(spark, monkeypatch):
+    """Fails before: MLlib's fit held the terms of a partition, and the IDF's fit made all vectors a second time."""
+    import math
+
+    from pyspark.ml.feature import CountVectorizer
+
+    from textlake.plans import q_ml as Q
+    monkeypatch.setattr(CountVectorizer, "fit", lambda *a: (_ for _ in ()).throw(AssertionError("terms are held by the tasks")))
+    rows = [(1, "aa bb aa"), (1, "aa the bb"), (None, "cc"), (2, "")]
+    monkeypatch.setattr(Q.V, "reviews", lambda *a: None)
+    monkeypatch.setattr(Q.V, "products", lambda *a: None)
+    monkeypatch.setattr(Q.C, "clean_reviews", lambda *a: spark.createDataFrame(rows, "review_id long, text string"))
+    model, pts = Q._tfidf_features(spark, "", 2)
+    assert model.vocabulary == ["aa", "bb"] and pts.count() == 4
+    idf = math.log(5 / 3)
+    assert sorted([round(float(x), 9) for x in r.features.toArray()] for r in pts.collect()) == sorted(
+        [[round(2 * idf, 9), round(idf, 9)], [round(idf, 9), round(idf, 9)], [0.0, 0.0], [0.0, 0.0]])
