@@ -231,3 +231,21 @@ def test_against_sql(spark, name):
     con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
     cur = con.execute(sql)
     assert digest(df.columns, df.collect())[:2] == digest([c[0] for c in cur.description], cur.fetchall())[:2]
+
+
+def test_replicas_travel_as_they_are_and_once(spark):
+    """op8: sums of replicas' weights by ids seen. Fails before: weights went through two shuffles as doubles."""
+    import numpy as np
+
+    from textlake.llm import language_model as LM
+
+    rng = np.random.default_rng(5)
+    w = rng.standard_normal((70, 3)).astype(np.float32)
+    rows = [("u", 0, i % LM.PARTS, i + 1, [float(x) for x in w[i]]) for i in range(70)]
+    shape = "name string, block long, part long, seen long, w array<float>"
+    for n, steps in ((1, 1), (LM.PARTS, 1), (70, 2)):
+        out = LM._summed(spark.createDataFrame(rows[:n], shape), n)
+        assert out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas") == steps
+        (got,) = out.collect()
+        assert got.seen == n * (n + 1) // 2
+        assert np.allclose(got.w, (w[:n].astype(np.float64) * np.arange(1, n + 1)[:, None]).sum(axis=0), rtol=1e-14, atol=1e-12)

@@ -33,6 +33,8 @@ HEAD, IDS = 1 << 17, 2046
 #: One training document in SHARE is trained on in each of ROUNDS rounds, in replicas of REPLICA ids.
 SHARE, REPLICA, RATE = 16, 1_000_000, 0.02
 ROUNDS = SHARE
+#: Replicas are summed in so many parts at most, and then the parts.
+PARTS = 64
 #: Distinct tokens that a task holds before it passes their counts on.
 FLUSH = 1 << 20
 END = 0x656E64
@@ -109,30 +111,44 @@ def _sequences(sent):
 
 
 def _replica(sent, weights):
-    """Trains on a partition; returns its weights times the ids it has seen, in blocks."""
+    """Trains on a partition; returns its weights in blocks, as they are, and the ids it has seen."""
     def run(batches):
         seqs = [np.asarray(x.values, dtype=np.int64) for b in batches for x in b.column(0)]
         if not seqs:
             return
         p, seen = gru.train(weights.value, seqs, sent.value["end"], rate=RATE)
         for k in sorted(p):
-            flat = p[k].ravel().astype(np.float64) * seen
+            flat = p[k].ravel()
             parts = [flat[i:i + 8192] for i in range(0, len(flat), 8192)]
             yield pa.RecordBatch.from_pydict({"name": [k] * len(parts), "block": list(range(len(parts))),
-                                              "part": [(len(seqs[0]) * 31 + seen) % 64] * len(parts), "seen": [seen] * len(parts), "w": parts})
+                                              "part": [(len(seqs[0]) * 31 + seen) % PARTS] * len(parts), "seen": [seen] * len(parts), "w": parts})
     return run
 
 
+def _sum(key: tuple, seen: pd.Series, w: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"name": [key[0]], "block": [key[1]], "seen": [int(seen.sum())], "w": [w.sum(axis=0)]})
+
+
 def _sum_within(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"name": [key[0]], "block": [key[1]], "part": [key[2]], "seen": [int(t.seen.sum())], "w": [np.sum(np.stack(t.w.to_numpy()), axis=0)]})
+    """The replicas' weights, as doubles, times the ids seen."""
+    return _sum(key, t.seen, np.stack(t.w.to_numpy()).astype(np.float64) * t.seen.to_numpy()[:, None])
 
 
 def _sum_all(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-    return _sum_within((*key, 0), t)
+    return _sum(key, t.seen, np.stack(t.w.to_numpy()))
+
+
+def _summed(rows: DataFrame, replicas: int) -> DataFrame:
+    """(name, block, seen, w): sums over the replicas, in two steps if there are more than PARTS, so no task sees them all."""
+    shape = "name string, block long, seen long, w array<double>"
+    if replicas <= PARTS:
+        return rows.groupBy("name", "block").applyInPandas(_sum_within, shape)
+    rows = rows.groupBy("name", "block", "part").applyInPandas(_sum_within, shape)
+    return rows.groupBy("name", "block").applyInPandas(_sum_all, shape)
 
 
 def _train(docs: DataFrame, id_col: str, sent, head: dict) -> dict:
-    """Averaged weights after ROUNDS rounds. Replicas are summed in two steps, so no task sees them all."""
+    """Averaged weights after ROUNDS rounds."""
     total = max(head["total"], 1)
     counts = np.concatenate(([max(total - head["named"], 0)], head["freq"]))
     params = gru.init(counts)
@@ -143,16 +159,15 @@ def _train(docs: DataFrame, id_col: str, sent, head: dict) -> dict:
     docs.select(turn_of.alias("turn"), "text").mapInArrow(_sequences(sent), "turn long, ids array<int>").write.partitionBy("turn").parquet(path)
     share = docs.sparkSession.read.schema("ids array<int>, turn long").parquet(path)
     size = {r.turn: r.n for r in share.groupBy("turn").agg(F.sum(F.size("ids")).alias("n")).collect()}  # SHARE rows
-    shape = "name string, block long, part long, seen long, w array<double>"
+    shape = "name string, block long, part long, seen long, w array<float>"
     for turn in range(ROUNDS):
         n = size.get(turn, 0)
         if not n:
             continue
         weights = sc.broadcast(params)
         ids = share.where(F.col("turn") == turn).select("ids")
-        rows = ids.repartition(max(1, round(n / REPLICA))).mapInArrow(_replica(sent, weights), shape)
-        rows = rows.groupBy("name", "block", "part").applyInPandas(_sum_within, shape)
-        done = rows.groupBy("name", "block").applyInPandas(_sum_all, shape).toPandas()
+        replicas = max(1, round(n / REPLICA))
+        done = _summed(ids.repartition(replicas).mapInArrow(_replica(sent, weights), shape), replicas).toPandas()
         flat = {k: np.concatenate([w / s for w, s in zip(t.w, t.seen)]) for k, t in done.sort_values("block").groupby("name")}
         params = {k: flat[k].reshape(v.shape).astype(np.float32) for k, v in params.items()}
     return params
