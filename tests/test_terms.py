@@ -74,3 +74,11 @@ def test_shared_vectors_start_from_counted_terms(spark, monkeypatch):
     idf = math.log(5 / 3)
     assert sorted([round(float(x), 9) for x in r.features.toArray()] for r in pts.collect()) == sorted(
         [[round(2 * idf, 9), round(idf, 9)], [round(idf, 9), round(idf, 9)], [0.0, 0.0], [0.0, 0.0]])
+
+
+def test_ties_at_the_end_of_the_vocabulary_are_mllibs(spark):
+    from pyspark.ml.feature import CountVectorizer
+    df = spark.createDataFrame([(["f", "b", "a", "c"],), (["b", "a"],), (["c", "d", "d"],), ([],), (["e", "a"],)], "terms array<string>").coalesce(1)
+    for n in range(1, 8):
+        mllib = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=n).fit(df)
+        assert set(TX.fit_frequent(df, n).vocabulary) == set(mllib.vocabulary)
