@@ -249,3 +249,53 @@ def test_replicas_travel_as_they_are_and_once(spark):
         (got,) = out.collect()
         assert got.seen == n * (n + 1) // 2
         assert np.allclose(got.w, (w[:n].astype(np.float64) * np.arange(1, n + 1)[:, None]).sum(axis=0), rtol=1e-14, atol=1e-12)
+
+
+def test_steps_and_sums_of_the_network_are_cheap_and_whole(monkeypatch):
+    """op8: the step by gates equals ``cell``, rows far below the others keep their sums, windows share their
+    memory. Fails before: every window took new memory, every row its own maximum."""
+    rng = np.random.default_rng(9)
+    p = gru.init(np.arange(120, 0, -1))
+    h, ids = np.tanh(rng.standard_normal((5, gru.HIDDEN))).astype(np.float32), rng.integers(0, 120, 5)
+    u, table = gru._halved(p)
+    a, new, out = (np.empty((k * gru.HIDDEN, 5), np.float32) for k in (3, 1, 1))
+    gru._advance(u, table[ids].T, h.T, a, new, out)
+    assert np.allclose(out.T, gru.cell(p, h, p["x"][ids] + p["b"])[0], atol=1e-6)
+    for low in (0, -10, -300):
+        x = (rng.standard_normal((4, 6)) + np.array([0, low, 0, low / 2])[:, None]).astype(np.float32)
+        top, total = gru._exp(x.copy())
+        assert np.allclose(top + np.log(total), np.log(np.exp(x.astype(np.float64)).sum(axis=1)), rtol=1e-5)
+    trainer, before = gru.Trainer(p), rng.integers(0, 120, (6, 4))
+    memory = []
+    for n in (6, 6, 3):
+        state = trainer.window(np.zeros((4, gru.HIDDEN), np.float32), before[:n], before[:n], np.ones((n, 4), bool), 3)
+        memory.append({k: v.ctypes.data for k, v in trainer.kept.items()})
+    assert memory[0] and memory[0] == memory[1] == memory[2] and not any(np.shares_memory(state, v) for v in trainer.kept.values())
+
+
+def test_texts_of_a_task_are_scored_side_by_side(monkeypatch):
+    """op8: blocks are held and scored together, in the order of their rows. Fails before: one call a block."""
+    import pyarrow as pa
+
+    from textlake.llm import language_model as LM
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    p, calls, plain = gru.init(np.arange(9, 0, -1)), [], gru.score
+    words = LM._tokens(LM.Words(LM.SPACE), np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))[0]
+    keys = np.sort(words)
+    head = Sent({"keys": keys, "counts": np.arange(1, 5), "ids": np.arange(1, 5), "n_ids": 5, "named": 10, "end": 1, "total": 12, "types": 6})
+    texts = ["a b", None, "c c c a", "zz a", "", "b " * 70]
+    batches = [pa.record_batch([pa.array([i]), pa.array([t], pa.string())], names=["rid", "text"]) for i, t in enumerate(texts)]
+    monkeypatch.setattr(gru, "score", lambda p, seqs, start: (calls.append(len(seqs)), plain(p, seqs, start))[1])
+    run = LM._scorer(head, Sent(p), ["rid"])
+    got = pa.Table.from_batches(run(batches)).to_pydict()
+    assert calls == [6] and got["rid"] == list(range(6))
+    alone = [next(iter(run([b]))).to_pydict() for b in batches]
+    assert np.allclose(got["score"], [x["score"][0] for x in alone], rtol=1e-5)
+    assert [got[k] for k in ("n_tokens", "n_known", "rare")] == [[x[k][0] for x in alone] for k in ("n_tokens", "n_known", "rare")]
+    calls.clear()
+    monkeypatch.setattr(LM, "HELD", 5)
+    assert pa.Table.from_batches(run(batches)).to_pydict()["rid"] == list(range(6)) and len(calls) > 2

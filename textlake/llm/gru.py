@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN, WIDTH = 24, 48
+#: Weights that are updated, and states whose next ids are scored, at a time, so that they stay in the cache.
+BLOCK, STATES = 1 << 14, 1 << 12
 f4 = np.float32
 
 
@@ -47,43 +49,92 @@ def cell(p: dict, h: np.ndarray, x: np.ndarray):
     return new + z * (h - new), (z, r, v, new)
 
 
+def _halved(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_advance`` takes: u, a row a unit of the gates, and the gate inputs of
+    each id. Those of the two logistic gates are halved, which is exact."""
+    u, table = p["u"].T.copy(), p["x"] + p["b"]
+    u[:2 * HIDDEN] *= f4(0.5)
+    table[:, :2 * HIDDEN] *= f4(0.5)
+    return u, table
+
+
+def _advance(u: np.ndarray, x: np.ndarray, h: np.ndarray, a: np.ndarray, new: np.ndarray, out: np.ndarray) -> None:
+    """``cell`` with a row a unit, so that every gate is one block: fills ``a`` (z, r, v), ``new`` and the state ``out``."""
+    np.matmul(u, h, out=a)
+    g = a[:2 * HIDDEN]
+    g += x[:2 * HIDDEN]
+    np.tanh(g, out=g)
+    g *= f4(0.5)
+    g += f4(0.5)
+    np.multiply(a[HIDDEN:2 * HIDDEN], a[2 * HIDDEN:], out=new)
+    new += x[2 * HIDDEN:]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= a[:HIDDEN]
+    out += new
+
+
+def _order(ids: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of ids of at most ``most``; short integers are sorted by their digits."""
+    return np.argsort(ids.astype(np.int16 if most < 1 << 15 else np.int64), kind="stable")
+
+
 def _by_class(p: dict, ids: np.ndarray):
     """Order of the ids by class, their classes in that order, and (class, from, to) of each class that occurs."""
     k = ids // WIDTH
-    order = np.argsort(k.astype(np.int16 if len(p["cb"]) < 1 << 15 else np.int64), kind="stable")
+    order = _order(k, len(p["cb"]))
     k = k[order]
-    edge = np.searchsorted(k, np.arange(len(p["cb"]) + 1))
-    return order, k, [(c, edge[c], edge[c + 1]) for c in np.flatnonzero(np.diff(edge))]
+    edge = np.searchsorted(k, np.arange(len(p["cb"]) + 1)).tolist()
+    return order, k, [(c, i, j) for c, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
 
 
 def _exp(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row maxima of ``a``, which becomes exp(a - maximum) in place, and the sums of its rows."""
-    top = a.max(axis=1)
-    a -= top[:, None]
+    """What is taken off the rows of ``a``, which becomes exp(a - that) in place, and the sums of its rows."""
+    top = a.max(initial=-np.inf, keepdims=True)
+    # One maximum for all rows, unless a row may lie so far below it that its sum is lost.
+    if (a[:, 0] < top[0] - f4(40)).any():
+        top = a.max(axis=1, keepdims=True)
+    a -= top
     np.exp(a, out=a)
-    return top, a @ np.ones(a.shape[1], a.dtype)
+    return top[:, 0], a @ np.ones(a.shape[1], a.dtype)
 
 
-def _inner(p: dict, hs: np.ndarray, k: np.ndarray, parts: list) -> np.ndarray:
-    """Scores of the ids within the class of each state; the states come by class."""
-    a = np.empty((len(hs), WIDTH), hs.dtype)
+def _with_one(hs: np.ndarray) -> np.ndarray:
+    """States with a last unit of one, which carries the biases."""
+    out = np.ones((len(hs), HIDDEN + 1), hs.dtype)
+    out[:, :HIDDEN] = hs
+    return out
+
+
+def _outputs(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes, and of the ids within each, with their biases as a last row."""
+    return np.concatenate((p["c"], p["cb"][None])), np.concatenate((p["w"], p["wb"][:, None]), axis=1)
+
+
+def _inner(w: np.ndarray, hs: np.ndarray, parts: list, a: np.ndarray) -> np.ndarray:
+    """Scores (in ``a``) of the ids within the class of each state; the states come by class."""
     for c, i, j in parts:
-        np.matmul(hs[i:j], p["w"][c], out=a[i:j])
-    a += p["wb"][k]
+        np.dot(hs[i:j], w[c], out=a[i:j])
     return a
 
 
 def log_prob(p: dict, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Natural log-probability of each next id after each state."""
+    weights, out = _outputs(p), np.empty(len(ids), h.dtype)
+    for i in range(0, len(ids), STATES):
+        out[i:i + STATES] = _log_prob(p, weights, _with_one(h[i:i + STATES]), ids[i:i + STATES])
+    return out
+
+
+def _log_prob(p: dict, weights: tuple, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     order, k, parts = _by_class(p, ids)
-    h, row, out = h[order], np.arange(len(ids)), np.empty(len(ids), h.dtype)
-    a = h @ p["c"]
-    a += p["cb"]
-    own = a[row, k]
+    (c, w), h, row, out = weights, h[order], np.arange(len(ids)), np.empty(len(ids), h.dtype)
+    a = h @ c
+    own = a.ravel()[row * len(p["cb"]) + k]
     top, total = _exp(a)
     got = own - top - np.log(total)
-    a = _inner(p, h, k, parts)
-    own = a[row, ids[order] - k * WIDTH]
+    a = _inner(w, h, parts, np.empty((len(h), WIDTH), h.dtype))
+    own = a.ravel()[row * WIDTH + ids[order] - k * WIDTH]
     top, total = _exp(a)
     out[order] = got + own - top - np.log(total)
     return out
@@ -96,7 +147,14 @@ class Trainer:
         self.p = {k: v.copy() for k, v in params.items()}
         self.m = {k: np.zeros_like(v) for k, v in params.items()}
         self.v = {k: np.zeros_like(v) for k, v in params.items()}
-        self.rate, self.t = rate, 0
+        self.rate, self.t, self.kept = rate, 0, {}
+
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array of any content, the same memory for every window."""
+        size = int(np.prod(shape))
+        if name not in self.kept or self.kept[name].size < size:
+            self.kept[name] = np.empty(size, f4)
+        return self.kept[name][:size].reshape(shape)
 
     def window(self, h: np.ndarray, before: np.ndarray, after: np.ndarray, live: np.ndarray, start: int) -> np.ndarray:
         """One update from a window: ``before`` and ``after`` are (steps, rows)
@@ -104,91 +162,106 @@ class Trainer:
         Returns the last state, to carry on."""
         p, n, rows = self.p, len(before), before.shape[1]
         # Within a window states and gates lie as (step, unit, row), so that every gate is one block.
-        u = np.ascontiguousarray(p["u"].T)
-        xs = np.ascontiguousarray((p["x"][before] + p["b"]).transpose(0, 2, 1))
+        u, table = _halved(p)
+        xs, room = self._room("xs", n, 3 * HIDDEN, rows), self._room
+        xs[:] = table[before].transpose(0, 2, 1)
         keep = (before != start).astype(f4)
-        prev, hs, v, new = (np.empty((n, HIDDEN, rows), f4) for _ in range(4))
-        gates, state = np.empty((n, 2 * HIDDEN, rows), f4), np.ascontiguousarray(h.T, f4)
-        for t in range(n):
-            np.multiply(state, keep[t], out=prev[t])
-            a = u @ prev[t]
-            g, x = gates[t], xs[t]
-            np.add(a[:2 * HIDDEN], x[:2 * HIDDEN], out=g)
-            g *= f4(0.5)
-            np.tanh(g, out=g)
-            g *= f4(0.5)
-            g += f4(0.5)
-            v[t] = a[2 * HIDDEN:]
-            m = g[HIDDEN:] * v[t]
-            m += x[2 * HIDDEN:]
-            np.tanh(m, out=new[t])
-            state = hs[t]
-            np.subtract(prev[t], new[t], out=state)
-            state *= g[:HIDDEN]
-            state += new[t]
-        g, dh = self._outputs(np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, HIDDEN), after.ravel(), live.ravel())
-        dh = np.ascontiguousarray(dh.reshape(n, rows, HIDDEN).transpose(0, 2, 1))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        by_new, by_z = (1 - z) * (1 - new * new), (prev - new) * z * (1 - z)
-        by_r, carry = v * r * (1 - r), np.zeros((HIDDEN, rows), f4)
-        # What reaches the gates: of the update gate, the reset gate, and the new state before and after the reset gate.
-        dx, du = np.empty((n, 3 * HIDDEN, rows), f4), np.empty((n, 3 * HIDDEN, rows), f4)
+        prev, hs, new = (room(k, n, HIDDEN, rows) for k in ("prev", "hs", "new"))
+        gates, state = room("gates", n, 3 * HIDDEN, rows), np.ascontiguousarray(h.T, f4)
+        for h, x, on, a, m, out in zip(prev, xs, keep, gates, new, hs):
+            np.multiply(state, on, out=h)
+            _advance(u, x, h, a, m, out)
+            state = out
+        flat = room("states", n * rows, HIDDEN + 1)
+        flat[:, HIDDEN] = 1
+        flat[:, :HIDDEN].reshape(n, rows, HIDDEN)[:] = hs.transpose(0, 2, 1)
+        g, back = self._outputs(flat, after.ravel(), live.ravel())
+        dh = room("dh", n, HIDDEN, rows)
+        dh[:] = back.reshape(n, rows, HIDDEN).transpose(0, 2, 1)
+        # What reaches the gates: of the update gate, the reset gate, and the new state after (du) and before (dn) the reset gate.
+        du, dn = xs, room("dn", n, HIDDEN, rows)
+        carry, kept, part = (np.zeros((HIDDEN, rows), f4) for _ in range(3))
         for t in range(n - 1, -1, -1):
-            d = dh[t]
+            d, a, x, m, q = dh[t], gates[t], du[t], new[t], dn[t]
+            z, r, v, reset, late = a[:HIDDEN], a[HIDDEN:2 * HIDDEN], a[2 * HIDDEN:], x[HIDDEN:2 * HIDDEN], x[2 * HIDDEN:]
             d += carry
-            a, x = du[t], dx[t]
-            dn = x[2 * HIDDEN:]
-            np.multiply(d, by_new[t], out=dn)
-            np.multiply(d, by_z[t], out=x[:HIDDEN])
-            np.multiply(dn, by_r[t], out=x[HIDDEN:2 * HIDDEN])
-            a[:2 * HIDDEN] = x[:2 * HIDDEN]
-            np.multiply(dn, r[t], out=a[2 * HIDDEN:])
-            carry = p["u"] @ a
-            d *= z[t]
-            carry += d
+            np.multiply(d, z, out=kept)
+            d -= kept
+            np.subtract(hs[t], m, out=part)
+            np.multiply(d, part, out=x[:HIDDEN])
+            np.multiply(m, m, out=part)
+            part *= d
+            np.subtract(d, part, out=q)
+            np.multiply(q, r, out=late)
+            np.multiply(late, v, out=reset)
+            np.multiply(reset, r, out=part)
+            reset -= part
+            np.matmul(p["u"], x, out=carry)
+            carry += kept
             carry *= keep[t]
         g["u"] = np.matmul(prev, du.transpose(0, 2, 1)).sum(axis=0)
-        flat, idx = np.ascontiguousarray(dx.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN), before.ravel()
-        g["b"] = flat.sum(axis=0)
-        order = np.argsort(idx, kind="stable")
+        flat, idx = room("dx", n * rows, 3 * HIDDEN), before.ravel()
+        flat[:, :2 * HIDDEN].reshape(n, rows, 2 * HIDDEN)[:] = du[:, :2 * HIDDEN].transpose(0, 2, 1)
+        flat[:, 2 * HIDDEN:].reshape(n, rows, HIDDEN)[:] = dn.transpose(0, 2, 1)
+        g["b"] = np.ones(len(flat), flat.dtype) @ flat
+        order = _order(idx, len(p["x"]))
         first = np.flatnonzero(np.diff(idx[order], prepend=-1))
-        g["x"] = np.zeros_like(p["x"])
+        g["x"] = room("x", *p["x"].shape)
+        g["x"].fill(0)
         g["x"][idx[order][first]] = np.add.reduceat(flat[order], first, axis=0)
         self._step(g)
         return np.ascontiguousarray(state.T)
 
     def _outputs(self, hs: np.ndarray, ids: np.ndarray, on: np.ndarray) -> tuple[dict, np.ndarray]:
-        """Gradients of the output weights and of the states ``hs``, for the mean loss over the ids that are ``on``."""
-        p, dh = self.p, np.zeros_like(hs)
-        at = np.flatnonzero(on)
+        """Gradients of the output weights and of the states ``hs`` (a last
+        unit of one apart), for the mean loss over the ids that are ``on``."""
+        p, at, room = self.p, np.flatnonzero(on), self._room
         order, k, parts = _by_class(p, ids[at])
-        at = at[order]
-        hs, own, row, scale = hs[at], ids[at] - k * WIDTH, np.arange(len(at)), f4(1 / max(len(at), 1))
-        d = hs @ p["c"]
-        d += p["cb"]
+        at, n = at[order], len(at)
+        (c, w), row, scale = _outputs(p), np.arange(n), f4(1 / max(n, 1))
+        hs, dh = np.take(hs, at, axis=0, out=room("by class", n, HIDDEN + 1), mode="clip"), room("back", len(hs), HIDDEN)
+        d = np.matmul(hs, c, out=room("classes", n, len(p["cb"])))
         d *= (scale / _exp(d)[1])[:, None]
-        d[row, k] -= scale
-        g = {"c": hs.T @ d, "cb": d.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        back = d @ p["c"].T
-        d = _inner(p, hs, k, parts)
+        d.reshape(-1)[row * len(p["cb"]) + k] -= scale
+        by_c, by_w = hs.T @ d, room("w", *w.shape)
+        back, within = d @ p["c"].T, room("within", n, HIDDEN)
+        by_w.fill(0)
+        d = _inner(w, hs, parts, room("inner", n, WIDTH))
         d *= (scale / _exp(d)[1])[:, None]
-        d[row, own] -= scale
-        for c, i, j in parts:
-            g["w"][c], g["wb"][c] = hs[i:j].T @ d[i:j], d[i:j].sum(axis=0)
-            back[i:j] += d[i:j] @ p["w"][c].T
+        d.reshape(-1)[row * WIDTH + ids[at] - k * WIDTH] -= scale
+        for m, i, j in parts:
+            part = d[i:j]
+            np.dot(hs[i:j].T, part, out=by_w[m])
+            np.dot(part, p["w"][m].T, out=within[i:j])
+        back += within
+        if n < len(dh):
+            dh.fill(0)
         dh[at] = back
-        return g, dh
+        return {"c": by_c[:-1], "cb": by_c[-1], "w": by_w[:, :-1].copy(), "wb": by_w[:, -1].copy()}, dh
 
     def _step(self, g: dict) -> None:
         self.t += 1
-        norm = sum(float((v.astype(np.float64) ** 2).sum()) for v in g.values()) ** 0.5
+        norm = sum(float(np.dot(v, v)) for v in (x.reshape(-1) for x in g.values())) ** 0.5
         clip = f4(min(1.0, 1.0 / max(norm, 1e-12)))
         a = f4(self.rate * (1 - 0.999 ** self.t) ** 0.5 / (1 - 0.9 ** self.t))
-        for k, v in g.items():
-            v *= clip
-            self.m[k] += f4(0.1) * (v - self.m[k])
-            self.v[k] += f4(0.001) * (v * v - self.v[k])
-            self.p[k] -= a * self.m[k] / (np.sqrt(self.v[k]) + f4(1e-8))
+        for k in g:
+            whole = [x.reshape(-1) for x in (g[k], self.m[k], self.v[k], self.p[k])]
+            for i in range(0, len(whole[0]), BLOCK):
+                d, m, v, p = (x[i:i + BLOCK] for x in whole)
+                if clip < 1:
+                    d *= clip
+                s = d * d
+                s -= v
+                s *= f4(0.001)
+                v += s
+                d -= m
+                d *= f4(0.1)
+                m += d
+                np.sqrt(v, out=s)
+                s += f4(1e-8)
+                np.multiply(m, a, out=d)
+                d /= s
+                p -= d
             if self.t % 64 == 0:  # before they become denormal numbers, which are slow
                 self.m[k][np.abs(self.m[k]) < 1e-20] = 0
                 self.v[k][self.v[k] < 1e-30] = 0
@@ -200,26 +273,36 @@ def score(p: dict, seqs: list[np.ndarray], start: int, rows: int = 512, steps: i
     out = np.zeros(len(seqs))
     size = np.array([len(s) for s in seqs], np.int64)
     order = np.argsort(-size, kind="stable")
-    table = p["x"] + p["b"]
+    weights, (u, table), everyone = _outputs(p), _halved(p), np.arange(rows)
+    # States with a last unit of one, the ids that follow them and their rows, until no further step may fit.
+    most = max(STATES, rows)
+    hs, ids, who, filled = np.ones((most, HIDDEN + 1), f4), np.empty(most, np.int64), np.empty(most, np.int64), 0
     for i in range(0, len(order), rows):
         part = order[i:i + rows]
         n = size[part]
-        h = np.zeros((len(part), HIDDEN), f4)
-        last = np.full(len(part), start, np.int64)
-        for t0 in range(0, int(n[0]) if len(n) else 0, steps):
-            live = int(np.searchsorted(-n, -t0))
-            block = np.zeros((live, steps), np.int64)
-            for r in range(live):
+        longest, width = int(n[0]), -1
+        reach = np.searchsorted(-n, -np.arange(longest)).tolist()  # so many sequences have a step
+        h, last, got = np.zeros((HIDDEN, len(part)), f4), np.full(len(part), start, np.int64), np.zeros(len(part))
+        for t0 in range(0, longest, steps):
+            block = np.zeros((steps, reach[t0]), np.int64)
+            for r in range(reach[t0]):
                 piece = seqs[part[r]][t0:t0 + steps]
-                block[r, :len(piece)] = piece
-            hs, ids, who = [], [], []
-            for t in range(min(steps, int(n[0]) - t0)):
-                live = int(np.searchsorted(-n, -(t0 + t)))
-                h = cell(p, h[:live], table[last[:live]])[0]
-                last = block[:live, t]
-                hs.append(h), ids.append(last), who.append(np.arange(live))
-            got = log_prob(p, np.concatenate(hs), np.concatenate(ids))
-            out[part] += np.bincount(np.concatenate(who), weights=got, minlength=len(part))
+                block[:len(piece), r] = piece
+            for t, live in enumerate(reach[t0:t0 + steps]):
+                if live != width:
+                    h, width = h[:, :live], live
+                    a, x, new, state = (np.empty((k * HIDDEN, live), f4) for k in (3, 3, 1, 1))
+                if filled + live > most:
+                    got += np.bincount(who[:filled], weights=_log_prob(p, weights, hs[:filled], ids[:filled]), minlength=len(part))
+                    filled = 0
+                x[:] = table[last[:live]].T
+                _advance(u, x, h, a, new, state)
+                h, state = state, h
+                last, end = block[t, :live], filled + live
+                hs[filled:end, :HIDDEN], ids[filled:end], who[filled:end] = h.T, last, everyone[:live]
+                filled = end
+        out[part] = got + np.bincount(who[:filled], weights=_log_prob(p, weights, hs[:filled], ids[:filled]), minlength=len(part))
+        filled = 0
     return out
 
 

@@ -35,6 +35,8 @@ SHARE, REPLICA, RATE = 16, 1_000_000, 0.02
 ROUNDS = SHARE
 #: Replicas are summed in so many parts at most, and then the parts.
 PARTS = 64
+#: Bytes of text (and rows) whose ids a task holds to score them side by side.
+HELD = 24 << 20
 #: Distinct tokens that a task holds before it passes their counts on.
 FLUSH = 1 << 20
 END = 0x656E64
@@ -183,9 +185,20 @@ def _rare(h: np.ndarray, row: np.ndarray, n: int) -> pa.Array:
 
 
 def _scorer(sent, weights, carried: list[str]):
+    names = [*carried, "n_tokens", "n_known", "base_score", "score", "rare"]
+
+    def scored(held):
+        """The held blocks with their scores: sequences of like length of all of them go side by side."""
+        seqs = [ids[i:j] for _, ids, edge, _, _ in held for i, j in zip(edge, edge[1:])]
+        model, at = gru.score(weights.value, seqs, sent.value["end"]) / np.log(10), 0
+        for known, _, edge, tail, rare in held:
+            n = len(edge) - 1
+            yield pa.RecordBatch.from_arrays([*known, pa.array(model[at:at + n] + tail), rare], names=names)
+            at += n
+
     def run(batches):
         hasher, head = Words(SPACE), _Head(sent.value)
-        v = sent.value
+        v, held, size_held = sent.value, [], 0
         log = np.log10
         base_low = log(v["total"] + 0.5 * (v["types"] + 1))
         tail_low = log(v["total"] - v["named"] + 0.5 * (v["types"] - v["n_ids"] + 2))
@@ -198,15 +211,17 @@ def _scorer(sent, weights, carried: list[str]):
                 count = head.counts[at] if len(head.counts) else np.zeros(len(h))
                 own = np.where(at >= 0, log(count + 0.5), 0.0)
                 add = lambda x: np.bincount(row, weights=x, minlength=j - i)
-                seqs = [ids[edge[r]:edge[r + 1]] for r in range(j - i)]
-                model = gru.score(weights.value, seqs, v["end"]) / np.log(10)
                 # Words without an id: their smoothed share among such words; those outside HEAD lack their count as yet.
-                model += add(np.where((ids == 0) & (at >= 0), own - tail_low, 0.0))
+                tail = add(np.where((ids == 0) & (at >= 0), own - tail_low, 0.0))
                 size = np.diff(edge)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in carried), pa.array(size), pa.array(add(at >= 0).astype(np.int64)),
-                     pa.array(add(own) - size * base_low), pa.array(model), _rare(h[at < 0], row[at < 0], j - i)],
-                    names=[*carried, "n_tokens", "n_known", "base_score", "score", "rare"])
+                known = [*(batch.column(c).slice(i, j - i) for c in carried), pa.array(size), pa.array(add(at >= 0).astype(np.int64)), pa.array(add(own) - size * base_low)]
+                held.append((known, ids.astype(np.int32), edge, tail, _rare(h[at < 0], row[at < 0], j - i)))
+                size_held += int(offs[j] - offs[i]) + j - i
+                if size_held >= HELD:
+                    yield from scored(held)
+                    held, size_held = [], 0
+        if held:
+            yield from scored(held)
     return run
 
 
