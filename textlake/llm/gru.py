@@ -210,7 +210,7 @@ class Trainer:
         g["x"].fill(0)
         g["x"][idx[order][first]] = np.add.reduceat(flat[order], first, axis=0)
         self._step(g)
-        return np.ascontiguousarray(state.T)
+        return state.T.copy()
 
     def _outputs(self, hs: np.ndarray, ids: np.ndarray, on: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the output weights and of the states ``hs`` (a last
