@@ -8,8 +8,11 @@ the fingerprint (a hash aggregate, no tokens or vectors are made); only if no
 index of that fingerprint exists is it built.
 
 Lexical index. ``blocks`` holds the postings by term and block of documents,
-one row each: (term, block, max_weight, postings), sorted by term, so a file
-covers a narrow range of terms. All terms share the blocks (a hash of the id,
+one row each: (term, block, max_weight, postings). Written are counts, the norm of
+the document and the idf, each of few values in a file and so a few bits; weights are
+made of them by who reads. It is made block by block:
+documents are dealt out by CHUNK_BLOCKS blocks, each such chunk gets the idf of
+the terms that it has, and its postings are complete in one task. All terms share the blocks (a hash of the id,
 about BLOCK_DOCS documents each), so the largest weights of a query's terms in a
 block bound the score of every document there. ``vocab`` holds (term, df, idf).
 
@@ -25,15 +28,20 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import vectors as VF
 from textlake.operators import text as TX
-from textlake.session import checkpoint_root
+from textlake.session import checkpoint_root, discard, release, staged
 
 BLOCK_DOCS, BLOCK_ROWS = 512, 16_384
+#: Blocks of documents that one task makes the postings of at a time.
+CHUNK_BLOCKS = 16
 
 
 def fingerprint(df: DataFrame) -> str:
@@ -84,24 +92,73 @@ def open_lexical_index(corpus: DataFrame, id_col: str = "review_id", text_col: s
     """The inverted table of the corpus, TF-IDF weights of unigrams with unit rows."""
     spark, words = corpus.sparkSession, TX.english_stop_words() if stop_words is None else tuple(stop_words)
     rows = corpus.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
+    schema = f"term string, block int, idf double, postings array<struct<id:{rows.schema['id'].dataType.simpleString()},tf:int,norm:double>>"
 
     def build(data: str, n: int) -> dict:
-        model = TX.fit_tfidf(rows, "id", "text", (1, 1), words, min_df=1, max_features=None, digits=None, vocab_path=f"{data}/vocab")
         n_blocks = max(1, -(-n // BLOCK_DOCS))
-        post = model.weights.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-        blocks = post.groupBy("term", "block").agg(F.max("weight").alias("max_weight"), F.sort_array(F.collect_list(F.struct("id", "weight"))).alias("postings"))
-        blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{data}/blocks")
+        packed = TX.term_counts(rows, "id", "text", (1, 1), words, packed=True)
+        docs = packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+        docs = staged(docs.withColumn("chunk", F.expr(f"block DIV {CHUNK_BLOCKS}").cast("int")).repartition("chunk").sortWithinPartitions("chunk"))
+        discard(packed)
+        idf = F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+        TX.term_stats(docs, "tokens").select("term", "df", idf.alias("idf")).write.parquet(f"{data}/vocab")
+        release(spark)
+        vocab = spark.read.schema("term string, df long, idf double").parquet(f"{data}/vocab")
+        asked = docs.select("chunk", "tokens").mapInArrow(_terms_of_chunks, "chunk int, term string")
+        known = staged(asked.join(vocab.select("term", "idf"), "term").select("chunk", "term", "idf"))
+        release(spark)
+        made = docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_postings, schema)
+        made.write.parquet(f"{data}/blocks")
+        discard(docs), discard(known)
         written = spark.read.parquet(f"{data}/blocks").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("postings")).alias("postings")).first()
-        return {"n_docs": n, "n_blocks": n_blocks, "terms": model.vocab.count(), "block_rows": written["rows"], "postings": written["postings"] or 0}
+        return {"n_docs": n, "n_blocks": n_blocks, "terms": vocab.count(), "block_rows": written["rows"], "postings": written["postings"] or 0}
 
-    kind = f"lexical-{zlib.crc32(chr(10).join(words).encode()):08x}"  # other stop words make another index
+    kind = f"lexical2-{zlib.crc32(chr(10).join(words).encode()):08x}"  # other stop words make another index
     found = open_or_build(rows, kind, root, build)
     vocab = spark.read.schema("term string, df long, idf double").parquet(f"{found['data']}/vocab")
-    blocks = spark.read.schema(f"term string, block int, max_weight double, postings array<struct<id:{id_type},weight:double>>").parquet(f"{found['data']}/blocks")
+    blocks = spark.read.schema(schema).parquet(f"{found['data']}/blocks")
+    weighted = F.transform("postings", lambda p: F.struct(p["id"].alias("id"), (p["tf"] * F.col("idf") / p["norm"]).alias("weight")))
+    most = F.array_max(F.transform("postings", lambda p: p["tf"] * F.col("idf") / p["norm"]))
+    blocks = blocks.select("term", "block", most.alias("max_weight"), weighted.alias("postings"))
     return LexicalIndex(vocab, blocks, found, (1, 1), words)
 
 
+def _terms_of_chunks(batches):
+    """The distinct terms of each chunk's texts in a batch."""
+    for batch in batches:
+        chunks = batch["chunk"].to_numpy(zero_copy_only=False)
+        for c in np.unique(chunks):
+            part = TX.token_lists(batch["tokens"].take(pa.array(np.flatnonzero(chunks == c))))
+            terms = pc.drop_null(pc.unique(part.flatten()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), c, np.int32)), terms], names=["chunk", "term"])
+
+
+def _postings(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of the index of one chunk's documents: unit rows of tf * idf, by block and term, ids in order."""
+    docs = docs.sort_by([("id", "ascending")]).combine_chunks()
+    ids, lists = pa.concat_arrays(docs["id"].chunks) if docs.num_rows else pa.array([], docs["id"].type), TX.token_lists(docs["tokens"].combine_chunks())
+    if not isinstance(lists, pa.Array):
+        lists = lists.combine_chunks()
+    nulls = docs["id"].null_count  # sorted last there, first here
+    blocks = docs["block"].to_numpy()
+    rank = (np.arange(docs.num_rows) + nulls) % max(1, docs.num_rows)
+    names, at = np.unique(known["term"].to_numpy(zero_copy_only=False).astype(object), return_index=True) if known.num_rows else (np.zeros(0, object), np.zeros(0, int))
+    idf, n = known["idf"].to_numpy()[at], max(1, len(names))
+    names = pa.array(names, pa.string())
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    code = pc.index_in(lists.flatten(), value_set=names).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, tf = np.unique(np.repeat(np.arange(docs.num_rows), lengths) * n + code, return_counts=True)
+    row, code = pairs // n, pairs % n
+    norm = np.sqrt(np.bincount(row, (tf * idf[code]) ** 2, docs.num_rows))
+    order = np.lexsort((rank[row], code, blocks[row]))
+    row, code, tf = row[order], code[order], tf[order]
+    block = blocks[row]
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (code[1:] != code[:-1])][:len(row)])
+    postings = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf.astype(np.int32)), pa.array(norm[row])], names=["id", "tf", "norm"])
+    return pa.table({"term": names.take(pa.array(code[first])), "block": pa.array(block[first].astype(np.int32)), "idf": pa.array(idf[code[first]]),
+                     "postings": pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)].astype(np.int32)), postings)})
+
+
 # -------------------------------------------------------------- vectors ---
 @dataclass
 class VectorIndex:

@@ -17,7 +17,10 @@ Lexical search
 The sum of query weight * largest weight of a block bounds the score of all
 documents of the block. The SEED_BLOCKS blocks of largest bound are scored
 first; their k-th score leaves only the blocks whose bound reaches it, and only
-the postings of these are read further.
+the postings of these are read further. All postings of a block are in one row a
+term, so the terms asked for meet by block, numpy multiplies them with the queries
+and only the best documents of every block go on. Query weights are sent to the
+tasks up to SENT_ROWS of them; more are joined.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -33,11 +38,13 @@ from pyspark.sql import Window
 from textlake.functions import vectors as VF
 from textlake.operators import indexes as IX
 from textlake.operators import text as TX
-from textlake.session import staged
+from textlake.session import release, staged
 
 BLOCK_CELLS = 1 << 21
 QUERY_BLOCK = 1024
 SEED_BLOCKS = 4
+#: Rows of query weights that are sent to all tasks; cells of a piece of a block's scores.
+SENT_ROWS, PIECE = 200_000, 1024
 DIGITS = 6
 #: Bounds and scores are sums of doubles in any order, and scores are rounded.
 SLACK = 2e-6
@@ -169,24 +176,75 @@ class LexicalPlan:
     rest: DataFrame
 
 
-def _block_scores(index: IX.LexicalIndex, weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(query_id, id, score) of all documents of the (query, block) pairs that share a term with their query."""
+def _block_scores(index: IX.LexicalIndex, weights: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of the documents of the (query, block) pairs that share a term with
+    their query: those that are among the best ``k`` of their block, or all."""
+    if weights.count() <= SENT_ROWS:
+        return _sent_scores(index, weights, pairs, k)
     asked = pairs.select("query_id", "block").join(weights, "query_id")
     hits = asked.join(index.blocks.select("term", "block", "postings"), ["term", "block"]).select("query_id", "qw", F.explode("postings").alias("p"))
     scores = hits.groupBy("query_id", F.col("p.id").alias("id")).agg(F.round(F.sum(F.col("qw") * F.col("p.weight")), DIGITS).alias("score"))
     return scores.where("score > 0")
 
 
+def _sent_scores(index: IX.LexicalIndex, weights: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    qid, iid = weights.schema["query_id"].dataType, index.blocks.schema["postings"].dataType.elementType["id"].dataType
+    asked = weights.toArrow()  # SENT_ROWS rows
+    terms = pc.unique(asked["term"])
+    queries = pc.unique(asked["query_id"])
+    sent = weights.sparkSession.sparkContext.broadcast((terms, queries, pc.index_in(asked["query_id"], value_set=queries).to_numpy(), pc.index_in(asked["term"], value_set=terms).to_numpy(), asked["qw"].to_numpy()))
+
+    def score(rows: pa.Table, of: pa.Table) -> pa.Table:
+        terms, queries, wq, wt, qw = sent.value
+        mine = pc.index_in(pc.unique(of["query_id"].combine_chunks()), value_set=queries).to_numpy(zero_copy_only=False)
+        lists = rows["ids"].combine_chunks()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        found = lists.flatten().dictionary_encode(null_encoding="encode")
+        doc, n = found.indices.to_numpy(zero_copy_only=False), len(found.dictionary)
+        code = np.repeat(pc.index_in(rows["term"].combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False), lengths)
+        weight = rows["ws"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        used = np.unique(code)
+        out = [[], [], []]
+        for a in range(0, len(mine), PIECE):
+            some = mine[a:a + PIECE]
+            at = np.full(len(queries), -1)
+            at[some] = np.arange(len(some))
+            s = np.zeros((len(some), n))
+            for b in range(0, len(used), 4 * PIECE):
+                part = used[b:b + 4 * PIECE]
+                place = np.full(len(terms), -1)
+                place[part] = np.arange(len(part))
+                x, y = np.zeros((len(some), len(part))), np.zeros((len(part), n))
+                own = (at[wq] >= 0) & (place[wt] >= 0)
+                x[at[wq[own]], place[wt[own]]] = qw[own]
+                own = place[code] >= 0
+                y[place[code[own]], doc[own]] = weight[own]
+                s += x @ y
+            least = np.partition(s, n - k, axis=1)[:, n - k] - SLACK if n > k else np.zeros(len(some))
+            q, d = np.nonzero((s >= least[:, None]) & (s > 0))
+            for to, x in zip(out, (some[q], d, s[q, d])):
+                to.append(x)
+        q, d, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        return pa.table({"query_id": queries.take(pa.array(q.astype(np.int64))), "id": found.dictionary.take(pa.array(d.astype(np.int64))), "score": pa.array(s.astype(np.float64))})
+
+    rows = index.blocks.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").select("term", "block", F.col("postings.id").alias("ids"), F.col("postings.weight").alias("ws"))
+    rows = rows.join(pairs.select("block").distinct(), "block", "left_semi")
+    scores = rows.groupBy("block").cogroup(pairs.select("block", "query_id").groupBy("block")).applyInArrow(score, f"query_id {qid.simpleString()}, id {iid.simpleString()}, score double")
+    return scores.select("query_id", "id", F.round("score", DIGITS).alias("score")).where("score > 0")
+
+
 def lexical_plan(index: IX.LexicalIndex, queries: DataFrame, k: int, qid_col: str = "query_id", text_col: str = "query") -> LexicalPlan:
     q = queries.where(F.trim(F.col(text_col)) != "").select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("query"))
     model = TX.TfidfModel(index.vocab, None, None, "query_id", index.ngram_range, index.stop_words)
     weights = staged(TX.transform_tfidf(model, q, "query_id", "query").withColumnRenamed("weight", "qw"))
-    heads = index.blocks.select("term", "block", "max_weight").join(weights, "term")
+    release(weights.sparkSession)
+    heads = index.blocks.select("term", "block", "max_weight").join(F.broadcast(weights) if weights.count() <= SENT_ROWS else weights, "term")
     bounds = staged(heads.groupBy("query_id", "block").agg(F.sum(F.col("qw") * F.col("max_weight")).alias("bound")))
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEED_BLOCKS).drop("r")
     first = staged(first)
-    seeds = staged(_block_scores(index, weights, first))
+    seeds = staged(_block_scores(index, weights, first, k))
+    release(weights.sparkSession)
     kth = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     least = seeds.withColumn("r", F.row_number().over(kth)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
     rest = bounds.join(first, ["query_id", "block"], "left_anti").join(least, "query_id", "left")
@@ -198,7 +256,7 @@ def lexical_search(index: IX.LexicalIndex, queries: DataFrame, k: int = 10, id_c
     """Cosine of each query against the corpus; zero scores dropped;
     at most ``k`` hits per query; blank queries give no rows."""
     plan = lexical_plan(index, queries, k, qid_col, text_col)
-    scores = plan.seeds.unionByName(_block_scores(index, plan.weights, plan.rest))
+    scores = plan.seeds.unionByName(_block_scores(index, plan.weights, plan.rest, k))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     top = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select(F.col("query_id").alias(qid_col), F.col("id").alias(id_col), "score", "rank")
